@@ -171,4 +171,174 @@ def q_chunk_ids(spark, sf_dir):
     c = CH.chunk_documents(both_docs(spark, sf_dir))
     return c.select("file_path", "chunk_index", "chunk_id", T.token_count("raw_chunk").alias("n_tokens"),
                     F.length("content").alias("n_chars"))
-FLAGSHIP = "chunk_docs"
+
+
+# --------------------------------------------------------------------------- E1
+from ..operators import embed as EM  # noqa: E402
+from ..operators import knn as KN  # noqa: E402
+from ..operators import search as SE  # noqa: E402
+
+DIM = C.EMBED_DIM
+DBL = "CAST({} AS DOUBLE)".format
+
+
+def sql_vectors(src: str, key: str, text: str) -> str:
+    """Hashed signed-count vectors in DuckDB: one row (key, vec DOUBLE[]) per text with tokens."""
+    e = S._v("e")
+    i = S._v("i")
+    return f"""(SELECT {key}, list_transform(range({DIM}), lambda {i}:
+              coalesce(list_filter(pairs, lambda {e}: {e}.b = {i})[1].v, 0))::DOUBLE[] AS vec
+       FROM (SELECT {key}, list({{'b': b, 'v': v}}) AS pairs
+             FROM (SELECT {key}, h % {DIM} AS b, sum(CASE WHEN (h // {DIM}) % 2 = 0 THEN 1 ELSE -1 END) AS v
+                   FROM (SELECT {key}, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h
+                         FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '{EM.HASH_TOKEN_PATTERN}')) AS w
+                               FROM {src}))
+                   GROUP BY ALL)
+             GROUP BY {key}))"""
+
+
+@register("embed_hashed", f"""
+SELECT d.doc_id, array_to_string(list_transform(v.vec, lambda x: CAST(x AS INTEGER)), ',') AS vector,
+       CAST(list_dot_product(v.vec, v.vec) AS BIGINT) AS norm2
+FROM documents d JOIN {sql_vectors('documents', 'doc_id', 'text')} v USING (doc_id)""")
+def q_embed_hashed(spark, sf_dir):
+    d = EM.embed_hashed(table(spark, sf_dir, "documents", "doc_id", "text"), "text")
+    d = d.filter(F.col("vector").isNotNull())
+    return d.select("doc_id", F.array_join(F.transform("vector", lambda x: x.cast("int")), ",").alias("vector"),
+                    F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x).cast("bigint").alias("norm2"))
+
+
+# --------------------------------------------------------------------------- J2
+def sql_score(a: str, b: str) -> str:
+    return (f"floor(list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b}))"
+            f" * 1e9 + 0.5) / 1e9")
+
+
+@register("knn_topk", f"""
+SELECT qid, item_id, score, rank FROM (
+  SELECT q.vec_id AS qid, CAST(i.vec_id AS VARCHAR) AS item_id,
+         {sql_score('q.embedding::DOUBLE[]', 'i.embedding::DOUBLE[]')} AS score,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY {sql_score('q.embedding::DOUBLE[]', 'i.embedding::DOUBLE[]')} DESC,
+                            CAST(i.vec_id AS VARCHAR)) AS rank
+  FROM embeddings q CROSS JOIN embeddings i)
+WHERE rank <= 10""")
+def q_knn_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    q = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    it = e.select(F.col("vec_id").cast("string").alias("item_id"), F.col("embedding").alias("vector"))
+    return KN.knn(q, it, 10).select("qid", "item_id", "score", F.col("rank").cast("int").alias("rank"))
+
+
+# --------------------------------------------------------------------------- search
+SQL_TWO_VERSIONS = f"""(
+SELECT '{D.OLD_VERSION}' AS version, printf('%s/%s/%d.md', lang, source, doc_id) AS file_path, text AS content
+FROM documents
+UNION ALL
+SELECT '{D.NEW_VERSION}', printf('%s/%s/%d.md', d.lang, d.source, d.doc_id),
+       CASE WHEN l.toxic = 1 THEN d.text || {S.lit(D.REVISION_NOTE)} ELSE d.text END
+FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.quality, 1) <> 0
+UNION ALL
+SELECT '{D.NEW_VERSION}', printf('bench/%d.md', item_id), text FROM benchmark)"""
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = D.two_versions(spark, sf_dir)
+    chunks = CH.chunk_documents(old.unionByName(new))
+    # derived here from the tables; read by the kNN scan and the payload join
+    return EM.embed_hashed(chunks, "content").persist()
+
+
+def search_queries(spark: SparkSession, sf_dir: str, limit=None, min_score=None) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark", "item_id", "text")
+    filters = spark.createDataFrame([(0, None), (1, D.OLD_VERSION), (2, D.NEW_VERSION)], "j int, version string")
+    return b.crossJoin(F.broadcast(filters)).select(
+        (F.col("item_id") * 10 + F.col("j")).alias("qid"), F.col("text").alias("query"), "version",
+        F.lit(limit).cast("int").alias("limit"), F.lit(min_score).cast("double").alias("min_score"))
+
+
+def _sql_search(limit: int, min_score: float, stages: tuple[str, ...]) -> str:
+    L, M = limit, DBL(min_score)
+    t, h = S._v("t"), S._v("acc")
+    type_hit = " OR ".join(f"contains(lower(c.content_type), '{x}')" for x in C.TYPE_TERMS)
+    code_q = " OR ".join(f"contains(lower(q.query), '{x}')" for x in C.CODE_QUERY_PHRASES)
+    ui_q = " OR ".join(f"contains(lower(q.query), '{x}')" for x in C.UI_QUERY_TERMS)
+    ui_c = " OR ".join(f"contains(lower(c.content), '{x}')" for x in C.UI_CONTENT_TERMS)
+    terms = f"list_filter(regexp_split_to_array(lower(q.query), '{C.WS_CLASS}+'), lambda {t}: {t} <> '')"
+    b0 = f"(CAST(1.0 AS DOUBLE) + CASE WHEN {type_hit} THEN {DBL(C.TYPE_BOOST)} ELSE CAST(0.0 AS DOUBLE) END)"
+    b1 = (f"list_reduce({terms}, lambda {h}, {t}: ({h} + CASE WHEN contains(lower(c.title), {t}) "
+          f"THEN {DBL(C.TITLE_TERM_BOOST)} ELSE CAST(0.0 AS DOUBLE) END) + CASE WHEN "
+          f"contains(lower(array_to_string(c.heading_path, ' ')), {t}) THEN {DBL(C.HEADING_TERM_BOOST)} "
+          f"ELSE CAST(0.0 AS DOUBLE) END, {b0})")
+    b2 = f"({b1} + CASE WHEN c.has_code AND ({code_q}) THEN {DBL(C.CODE_BOOST)} ELSE CAST(0.0 AS DOUBLE) END)"
+    b3 = f"({b2} + CASE WHEN ({ui_q}) AND ({ui_c}) THEN {DBL(C.UI_BOOST)} ELSE CAST(0.0 AS DOUBLE) END)"
+    no_res = C.NO_RESULTS_TEXT.split("{query}")
+    cols = ("content, title, file_path, section, doc_url, array_to_string(heading_path, ' | ') AS heading_path, "
+            "has_code, content_type, version")
+    stage_list = ", ".join(f"'{s}'" for s in stages)
+    return f"""
+WITH chunks AS ({_sql_chunks(SQL_TWO_VERSIONS)}),
+items AS (SELECT version || '/' || chunk_id AS item_id, * FROM chunks),
+ivec AS {sql_vectors('items', 'item_id', 'content')},
+queries AS (SELECT item_id * 10 + j AS qid, text AS query, v AS version
+            FROM benchmark CROSS JOIN (VALUES (0, NULL), (1, '{D.OLD_VERSION}'), (2, '{D.NEW_VERSION}')) f(j, v)),
+qvec AS {sql_vectors('queries', 'qid', 'query')},
+scored AS (
+  SELECT qv.qid, iv.item_id, {sql_score('qv.vec', 'iv.vec')} AS score
+  FROM qvec qv JOIN queries q USING (qid) CROSS JOIN ivec iv JOIN items i ON i.item_id = iv.item_id
+  WHERE (q.version IS NULL OR q.version = '' OR q.version = i.version)
+    AND list_dot_product(qv.vec, qv.vec) > 0 AND list_dot_product(iv.vec, iv.vec) > 0),
+ranked AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id) AS rank
+                 FROM scored WHERE score >= {DBL(C.FALLBACK_MIN_SCORE)})
+  WHERE rank <= {C.CANDIDATE_CAP}),
+cand AS (SELECT r.*, q.query, c.* EXCLUDE (item_id) FROM ranked r JOIN queries q USING (qid)
+         JOIN items c ON c.item_id = r.item_id),
+boosted AS (
+  SELECT c.*, c.score * {b3} AS boosted FROM cand c JOIN queries q USING (qid)
+  WHERE c.rank <= least({L} * 2, {C.CANDIDATE_CAP}) AND c.score >= greatest({M} - {DBL(C.CANDIDATE_MARGIN)}, {DBL(C.CANDIDATE_FLOOR)})),
+first AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY boosted DESC, rank) AS pos
+                 FROM boosted WHERE boosted >= {M}) WHERE pos <= {L}),
+fb AS (SELECT * FROM cand WHERE rank <= {C.FALLBACK_K} AND qid NOT IN (SELECT qid FROM first)),
+results AS (
+  SELECT qid, CAST(pos AS INTEGER) AS rank, 'hit' AS stage, {cols}, round(boosted, {C.SCORE_DIGITS}) AS similarity_score FROM first
+  UNION ALL
+  SELECT qid, CAST(rank AS INTEGER), 'fallback', {cols}, round(score, {C.SCORE_DIGITS}) FROM fb
+  UNION ALL
+  SELECT qid, 1, 'none', {S.lit(no_res[0])} || query || {S.lit(no_res[1])}, '{C.NO_RESULTS_TITLE}', '',
+         '{C.NO_RESULTS_SECTION}', '', '', false, '{C.NO_RESULTS_TYPE}', coalesce(nullif(version, ''), '{C.UNKNOWN_VERSION}'),
+         CAST(0.0 AS DOUBLE)
+  FROM queries WHERE qid IN (SELECT qid FROM qvec) AND qid NOT IN (SELECT qid FROM first) AND qid NOT IN (SELECT qid FROM fb)
+  UNION ALL
+  SELECT qid, 1, 'error', 'Error searching knowledge base: the query has no usable embedding', '{C.ERROR_TITLE}', '',
+         '{C.ERROR_SECTION}', '', '', false, '{C.ERROR_TYPE}', coalesce(nullif(version, ''), '{C.UNKNOWN_VERSION}'),
+         CAST(0.0 AS DOUBLE)
+  FROM queries WHERE qid NOT IN (SELECT qid FROM qvec))
+SELECT * FROM results WHERE stage IN ({stage_list})"""
+
+
+def _search_out(df: DataFrame) -> DataFrame:
+    return df.withColumn("heading_path", F.array_join("heading_path", " | "))
+
+
+ALL_STAGES = ("hit", "fallback", "none", "error")
+
+
+@register("search_full", _sql_search(C.SEARCH_LIMIT, C.SEARCH_MIN_SCORE, ALL_STAGES))
+def q_search_full(spark, sf_dir):
+    return _search_out(SE.search(search_queries(spark, sf_dir), search_index(spark, sf_dir)))
+
+
+@register("search_rerank", _sql_search(10, 0.3, ("hit",)))
+def q_search_rerank(spark, sf_dir):
+    r = SE.search(search_queries(spark, sf_dir, 10, 0.3), search_index(spark, sf_dir))
+    return _search_out(r.filter(F.col("stage") == "hit"))
+
+
+@register("search_fallback", _sql_search(C.SEARCH_LIMIT, C.SEARCH_MIN_SCORE, ("fallback", "none")))
+def q_search_fallback(spark, sf_dir):
+    r = SE.search(search_queries(spark, sf_dir), search_index(spark, sf_dir))
+    return _search_out(r.filter(F.col("stage").isin("fallback", "none")))
+
+
+FLAGSHIP = "search_full"
