@@ -40,7 +40,10 @@ def split_by_headers(content) -> Column:
 def merge_small_sections(sections, min_tokens: int = C.MIN_SECTION_TOKENS) -> Column:
     """A section under ``min_tokens`` that is not last is prepended (``\\n\\n``) to
     the next one; the merged text is measured again."""
-    secs = T._c(sections)
+    return T.let(T._c(sections), lambda secs: _merge(secs, min_tokens))
+
+
+def _merge(secs: Column, min_tokens: int) -> Column:
     n = F.size(secs)
     init = F.struct(_empty().alias("done"), F.lit(None).cast("string").alias("buf"))
 

@@ -43,18 +43,27 @@ def _add_if(acc: Column, cond: Column, amount: float) -> Column:
 def boost_factor(query, content_type, title, heading_path, has_code, content,
                  rules: RerankRules = RerankRules()) -> Column:
     """Multiplicative boost, additions in the same order as the rules."""
-    q = F.lower(F.col(query))
-    b = _add_if(F.lit(1.0), _any_in(F.lower(F.coalesce(F.col(content_type), F.lit(""))), rules.type_terms),
-                rules.type_boost)
-    title_l = F.lower(F.coalesce(F.col(title), F.lit("")))
-    head_l = F.lower(F.array_join(F.coalesce(F.col(heading_path), F.array().cast("array<string>")), " "))
-    terms = F.filter(F.split(q, C.WS_CLASS + "+", -1), lambda t: t != F.lit(""))
-    b = F.aggregate(terms, b, lambda acc, t: _add_if(
-        _add_if(acc, title_l.contains(t), rules.title_boost), head_l.contains(t), rules.heading_boost))
-    b = _add_if(b, F.coalesce(F.col(has_code), F.lit(False)) & _any_in(q, rules.code_phrases), rules.code_boost)
-    ui = _any_in(q, rules.ui_query_terms) & _any_in(F.lower(F.coalesce(F.col(content), F.lit(""))),
-                                                    rules.ui_content_terms)
-    return _add_if(b, ui, rules.ui_boost)
+    from ..functions.text import let
+
+    def with_texts(t):
+        q, title_l, head_l, content_l = t["q"], t["title"], t["head"], t["content"]
+        b = _add_if(F.lit(1.0), _any_in(F.lower(F.coalesce(F.col(content_type), F.lit(""))), rules.type_terms),
+                    rules.type_boost)
+        terms = F.filter(F.split(q, C.WS_CLASS + "+", -1), lambda w: w != F.lit(""))
+        b = F.aggregate(terms, b, lambda acc, w: _add_if(
+            _add_if(acc, title_l.contains(w), rules.title_boost), head_l.contains(w), rules.heading_boost))
+        b = _add_if(b, F.coalesce(F.col(has_code), F.lit(False)) & _any_in(q, rules.code_phrases),
+                    rules.code_boost)
+        ui = _any_in(q, rules.ui_query_terms) & _any_in(content_l, rules.ui_content_terms)
+        return _add_if(b, ui, rules.ui_boost)
+
+    # each lower-cased text is computed once, not once per term
+    texts = F.struct(
+        F.lower(F.col(query)).alias("q"),
+        F.lower(F.coalesce(F.col(title), F.lit(""))).alias("title"),
+        F.lower(F.array_join(F.coalesce(F.col(heading_path), F.array().cast("array<string>")), " ")).alias("head"),
+        F.lower(F.coalesce(F.col(content), F.lit(""))).alias("content"))
+    return let(texts, with_texts)
 
 
 RESULT_COLUMNS = ["qid", "rank", "stage", "content", "title", "file_path", "section", "doc_url",

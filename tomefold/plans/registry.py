@@ -341,4 +341,216 @@ def q_search_fallback(spark, sf_dir):
     return _search_out(r.filter(F.col("stage").isin("fallback", "none")))
 
 
+
+
+# --------------------------------------------------------------------------- index, ingest
+from ..operators import dedup as DD  # noqa: E402
+from ..operators import index as IX  # noqa: E402
+from ..operators import ingest as IN  # noqa: E402
+from ..operators import quality as QA  # noqa: E402
+from ..operators import versions as VS  # noqa: E402
+
+SQL_OLD = f"(SELECT * FROM {SQL_TWO_VERSIONS} WHERE version = '{D.OLD_VERSION}')"
+SQL_NEW = f"(SELECT * FROM {SQL_TWO_VERSIONS} WHERE version = '{D.NEW_VERSION}')"
+
+
+@register("pair_vectors", """
+SELECT coalesce(d.doc_id, e.vec_id) AS doc_id,
+       CASE WHEN d.doc_id IS NULL THEN 'vector without chunk'
+            WHEN e.vec_id IS NULL THEN 'missing vector'
+            WHEN len(e.embedding) <> 64 THEN 'wrong vector size' ELSE 'paired' END AS status
+FROM documents d FULL OUTER JOIN embeddings e ON d.doc_id = e.vec_id""")
+def q_pair_vectors(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id")
+    vecs = table(spark, sf_dir, "embeddings", "vec_id", "embedding").select(
+        F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    paired, errors = IX.pair_vectors(docs, vecs, key="doc_id", dim=DIM)
+    return paired.select("doc_id", F.lit("paired").alias("status")).unionByName(
+        errors.select("doc_id", F.col("error").alias("status")))
+
+
+def _chunks_of(docs: DataFrame) -> DataFrame:
+    return CH.chunk_documents(docs).select("version", "file_path", "chunk_index", "chunk_id")
+
+
+@register("upsert_index", f"""
+WITH o AS (SELECT version, file_path, chunk_index, chunk_id FROM ({_sql_chunks(SQL_OLD)})),
+     n AS (SELECT version, file_path, chunk_index, chunk_id FROM ({_sql_chunks(SQL_NEW)}))
+SELECT * FROM o WHERE chunk_id NOT IN (SELECT chunk_id FROM n)
+UNION ALL SELECT * FROM n""")
+def q_upsert_index(spark, sf_dir):
+    old, new = D.two_versions(spark, sf_dir)
+    return IX.upsert(_chunks_of(old), _chunks_of(new), mode="upsert")
+
+
+def _relabel(df: DataFrame, version: str) -> DataFrame:
+    return df.withColumn("version", F.lit(version))
+
+
+@register("refresh_index", f"""
+WITH oh AS (SELECT file_path, sha256(content) AS h FROM {SQL_OLD}),
+     nh AS (SELECT file_path, sha256(content) AS h FROM {SQL_NEW}),
+     same AS (SELECT file_path FROM oh JOIN nh USING (file_path) WHERE oh.h = nh.h),
+     todo AS (SELECT file_path FROM nh WHERE file_path NOT IN (SELECT file_path FROM same)),
+     o AS (SELECT file_path, chunk_index, chunk_id FROM ({_sql_chunks(SQL_OLD)})),
+     n AS (SELECT file_path, chunk_index, chunk_id FROM ({_sql_chunks(
+        f"SELECT * FROM {SQL_NEW} WHERE file_path IN (SELECT file_path FROM todo)")}))
+SELECT * FROM o WHERE file_path IN (SELECT file_path FROM same)
+UNION ALL SELECT * FROM n""")
+def q_refresh_index(spark, sf_dir):
+    """Incremental update (D7) applied to an index: changed and new files are
+    re-chunked and replace their old rows; deleted files lose theirs."""
+    old, new = D.two_versions(spark, sf_dir)
+    v = D.NEW_VERSION
+    ledger = IX.ledger_rows(_relabel(old, v), _chunks_of(_relabel(old, v)), "previous")
+    existing = _chunks_of(_relabel(old, v))
+    ch = IN.changes(ledger, new)
+    todo = new.join(ch.filter(F.col("status").isin("new", "changed")).select("file_path"), "file_path", "left_semi")
+    gone = ch.filter(F.col("status") == "deleted").select("file_path")
+    nxt = IX.upsert(existing.join(gone, "file_path", "left_anti"), _chunks_of(todo), mode="replace")
+    return nxt.select("file_path", "chunk_index", "chunk_id")
+
+
+@register("pending_docs", f"""
+SELECT version, file_path FROM {SQL_NEW}
+WHERE file_path NOT IN (SELECT file_path FROM {SQL_OLD})""")
+def q_pending_docs(spark, sf_dir):
+    old, new = D.two_versions(spark, sf_dir)
+    ledger = _relabel(old, D.NEW_VERSION).select("version", "file_path")
+    return IN.pending_by_path(new, ledger).select("version", "file_path")
+
+
+@register("incremental_changes", f"""
+SELECT coalesce(n.file_path, o.file_path) AS file_path,
+       CASE WHEN o.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'deleted'
+            WHEN o.h <> n.h THEN 'changed' ELSE 'same' END AS status
+FROM (SELECT file_path, sha256(content) AS h FROM {SQL_OLD}) o
+FULL OUTER JOIN (SELECT file_path, sha256(content) AS h FROM {SQL_NEW}) n USING (file_path)""")
+def q_incremental_changes(spark, sf_dir):
+    old, new = D.two_versions(spark, sf_dir)
+    ledger = IX.ledger_rows(old, _chunks_of(old), "previous")
+    return IN.changes(ledger, new)
+
+
+@register("coverage", f"""
+WITH d AS (SELECT version, file_path, {S.is_blank('content')} AS blank FROM {SQL_BOTH_DOCS}),
+     c AS (SELECT version, file_path, count(*) AS n FROM ({SQL_CHUNKS_BOTH}) GROUP BY ALL),
+     s AS (SELECT d.version, CASE WHEN blank THEN 'empty' WHEN coalesce(c.n, 0) = 0 THEN 'no_chunks'
+                  ELSE 'processed' END AS status, coalesce(c.n, 0) AS n
+           FROM d LEFT JOIN c USING (version, file_path))
+SELECT version, status, count(*) AS n_files, sum(n) AS n_chunks FROM s GROUP BY ALL""")
+def q_coverage(spark, sf_dir):
+    docs = both_docs(spark, sf_dir)
+    return IN.coverage_summary(IN.coverage(docs, CH.chunk_documents(docs)))
+
+
+SQL_INDEX = f"""(WITH chunks AS ({_sql_chunks(SQL_TWO_VERSIONS)}),
+  items AS (SELECT version || '/' || chunk_id AS item_id, * FROM chunks)
+  SELECT i.*, v.vec FROM items i LEFT JOIN {sql_vectors('items', 'item_id', 'content')} v USING (item_id))"""
+
+
+@register("index_stats", f"""
+SELECT version, count(*) AS n_chunks, count(DISTINCT file_path) AS n_files,
+       sum(CAST(has_code AS INTEGER)) AS n_code_chunks,
+       sum(CASE WHEN vec IS NULL THEN 1 ELSE 0 END) AS n_without_vector
+FROM {SQL_INDEX} GROUP BY version""")
+def q_index_stats(spark, sf_dir):
+    return IX.index_stats(search_index(spark, sf_dir))
+
+
+@register("chunk_quality", f"""
+SELECT version, count(*) AS n_chunks, avg(n_tokens) AS avg_tokens,
+       quantile_cont(n_tokens, 0.5) AS p50_tokens, quantile_cont(n_tokens, 0.9) AS p90_tokens,
+       max(n_tokens) AS max_tokens, sum(CAST(has_code AS INTEGER)) AS n_code,
+       sum(CAST(content_type = 'tutorial' AS INTEGER)) AS n_tutorial,
+       sum(CAST(content_type = 'example' AS INTEGER)) AS n_example,
+       sum(CAST(content_type = 'api' AS INTEGER)) AS n_api,
+       sum(CAST(content_type = 'reference' AS INTEGER)) AS n_reference,
+       sum(CASE WHEN vec IS NULL THEN 1 ELSE 0 END) AS n_no_vector,
+       sum(CASE WHEN len(vec) <> {DIM} THEN 1 ELSE 0 END) AS n_bad_dim,
+       sum(CASE WHEN list_dot_product(vec, vec) = 0 THEN 1 ELSE 0 END) AS n_zero_vector
+FROM (SELECT *, {S.tok('content')} AS n_tokens FROM {SQL_INDEX}) GROUP BY version""")
+def q_chunk_quality(spark, sf_dir):
+    return QA.chunk_quality(search_index(spark, sf_dir), DIM)
+
+
+# --------------------------------------------------------------------------- D1, D3
+def _sql_norm(x: str) -> str:
+    return f"lower({S.strip(f'regexp_replace({x}, {chr(39)}{C.WS_CLASS}+{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')})"
+
+
+@register("exact_dups", f"""
+WITH h AS (SELECT doc_id, sha256({_sql_norm('text')}) AS text_hash FROM documents),
+     g AS (SELECT text_hash, min(doc_id) AS keep_id, count(*) AS group_size FROM h GROUP BY text_hash)
+SELECT doc_id, text_hash, group_size, keep_id, doc_id = keep_id AS keep FROM h JOIN g USING (text_hash)""")
+def q_exact_dups(spark, sf_dir):
+    return DD.exact_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+BP_SHARE, BP_MIN_DOCS = 0.01, 3
+_SQL_LINES = (f"SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line "
+              f"FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)")
+_SQL_BP = (f"SELECT norm, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, {S.strip('line')} AS norm "
+           f"FROM ({_SQL_LINES})) WHERE norm <> '' GROUP BY norm "
+           f"HAVING count(DISTINCT doc_id) >= greatest({BP_MIN_DOCS}, "
+           f"CAST(ceil({BP_SHARE} * (SELECT count(*) FROM documents)) AS BIGINT))")
+
+
+@register("boilerplate_lines", _SQL_BP)
+def q_boilerplate_lines(spark, sf_dir):
+    return DD.boilerplate_lines(table(spark, sf_dir, "documents", "doc_id", "text"),
+                                share=BP_SHARE, min_docs=BP_MIN_DOCS)
+
+
+@register("strip_boilerplate", f"""
+WITH l AS ({_SQL_LINES}), bp AS ({_SQL_BP}),
+     k AS (SELECT * FROM l WHERE {S.strip('line')} NOT IN (SELECT norm FROM bp))
+SELECT d.doc_id, len(string_split(d.text, chr(10))) AS n_lines, coalesce(x.n_kept, 0) AS n_kept,
+       coalesce(x.clean_text, '') AS clean_text
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY pos) AS clean_text
+                            FROM k GROUP BY doc_id) x USING (doc_id)""")
+def q_strip_boilerplate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return DD.strip_boilerplate(docs, DD.boilerplate_lines(docs, share=BP_SHARE, min_docs=BP_MIN_DOCS))
+
+
+@register("near_dups")
+def q_near_dups(spark, sf_dir):
+    return DD.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+# --------------------------------------------------------------------------- D5
+def _sql_secs(docs_sql: str) -> str:
+    return (f"SELECT file_path, sec_idx, sha256(section) AS h, {S.tok('section')} AS n FROM ("
+            f"SELECT file_path, unnest(range(len(secs))) AS sec_idx, unnest(secs) AS section FROM ("
+            f"SELECT file_path, {S.split_by_headers('content')} AS secs FROM {docs_sql}))")
+
+
+@register("version_diff", f"""
+SELECT coalesce(o.file_path, n.file_path) AS file_path, coalesce(o.sec_idx, n.sec_idx) AS sec_idx,
+       CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed'
+            WHEN o.h <> n.h THEN 'changed' ELSE 'same' END AS status,
+       coalesce(o.n, 0) AS old_tokens, coalesce(n.n, 0) AS new_tokens
+FROM ({_sql_secs(SQL_OLD)}) o FULL OUTER JOIN ({_sql_secs(SQL_NEW)}) n USING (file_path, sec_idx)""")
+def q_version_diff(spark, sf_dir):
+    old, new = D.two_versions(spark, sf_dir)
+    return VS.section_diff(old, new)
+
+
+# --------------------------------------------------------------------------- D12
+@register("retrieval_accuracy", f"""
+WITH s AS (SELECT q.vec_id AS qid, CAST(i.vec_id AS VARCHAR) AS item_id, q.label AS qlabel, i.label AS ilabel,
+                  {sql_score('q.embedding::DOUBLE[]', 'i.embedding::DOUBLE[]')} AS score
+           FROM embeddings q CROSS JOIN embeddings i WHERE q.vec_id <> i.vec_id),
+     r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id) AS pos FROM s)
+           WHERE pos <= 10),
+     pq AS (SELECT qid, qlabel, sum(CAST(qlabel = ilabel AS INTEGER)) / 10 AS p_at_k,
+                   coalesce(1.0 / min(CASE WHEN qlabel = ilabel THEN pos END), 0.0) AS rr
+            FROM r GROUP BY qid, qlabel)
+SELECT qlabel AS label, count(*) AS n_queries, round(avg(p_at_k), 9) AS precision_at_k, round(avg(rr), 9) AS mrr
+FROM pq GROUP BY qlabel""")
+def q_retrieval_accuracy(spark, sf_dir):
+    return QA.retrieval_accuracy(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 FLAGSHIP = "search_full"
