@@ -177,18 +177,86 @@ def _grid_plan(q: DataFrame, it: DataFrame, k: int, block_rows: int) -> DataFram
             .withColumn("qblk", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
             .withColumn("g", F.col("qblk") * ib + F.col("iblk")))
 
-    def per_block(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
-        if qpdf.empty or ipdf.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "item_id": pd.Series([], dtype=object),
-                                 "score": pd.Series([], dtype="float64")})
-        versions = sorted({v for v in qpdf["qversion"] if isinstance(v, str) and v != ""})
-        codes = {v: i for i, v in enumerate(versions)}
-        qver = np.array([codes.get(v, ANY_VERSION) if isinstance(v, str) and v != "" else ANY_VERSION
-                         for v in qpdf["qversion"]])
-        qmat = np.stack(qpdf["qvec"].to_numpy()).astype(np.float64)
-        fn = _kernel(qpdf["qid"].to_numpy(np.int64), qmat, qver, qpdf["qmin"].to_numpy(np.float64), k, codes)
-        parts = list(fn(iter([ipdf])))
-        return parts[0] if parts else per_block(qpdf.iloc[:0], ipdf.iloc[:0])
-
     return (qg.groupBy("g").cogroup(ig.groupBy("g"))
-            .applyInPandas(per_block, _OUT))
+            .applyInPandas(lambda a, b: _block_topk(a, b, k), _OUT))
+
+
+def _block_topk(qpdf: pd.DataFrame, ipdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Top-k of one (query block, item block) pair."""
+    empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "item_id": pd.Series([], dtype=object),
+                          "score": pd.Series([], dtype="float64")})
+    if qpdf.empty or ipdf.empty:
+        return empty
+    versions = sorted({v for v in qpdf["qversion"] if isinstance(v, str) and v != ""})
+    codes = {v: i for i, v in enumerate(versions)}
+    qver = np.array([codes.get(v, ANY_VERSION) if isinstance(v, str) and v != "" else ANY_VERSION
+                     for v in qpdf["qversion"]])
+    qmat = np.stack(qpdf["qvec"].to_numpy()).astype(np.float64)
+    fn = _kernel(qpdf["qid"].to_numpy(np.int64), qmat, qver, qpdf["qmin"].to_numpy(np.float64), k, codes)
+    parts = list(fn(iter([ipdf])))
+    return parts[0] if parts else empty
+
+
+# --------------------------------------------------------------------------- A7
+MAX_CELLS = 16384
+
+
+def _unit(v):
+    from ..functions.text import let
+    return let(v, lambda a: let(F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x)),
+                                lambda n: F.transform(a, lambda x: x / n)))
+
+
+def knn_ivf(queries: DataFrame, items: DataFrame, k: int, *, n_cells: int | None = None,
+            n_probe: int = 8, block_rows: int = GRID_BLOCK_ROWS, seed: int = 1,
+            max_iter: int = 20) -> DataFrame:
+    """Approximate top-k (A7): an inverted-file index.
+
+    Cells are k-means centroids of the unit item vectors (``pyspark.ml``,
+    distributed).  Each query is scored only against the items of its
+    ``n_probe`` nearest cells.  A cell larger than ``block_rows`` is split by
+    a hash salt and the query is replicated over the salts, so a hot cell never
+    lands in one task.  Scores are exact cosine for the items looked at.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    spark = items.sparkSession
+    it = items.filter(F.col("vector").isNotNull()).select("item_id", "vector")
+    n = it.count()
+    cells = max(1, min(MAX_CELLS, n_cells or int(math.sqrt(max(n, 1)))))
+    feats = it.withColumn("features", array_to_vector(_unit(F.col("vector"))))
+    model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="features",
+                   predictionCol="cell").fit(feats)
+    centers = np.array([c for c in model.clusterCenters()], dtype=np.float64)  # <= MAX_CELLS x dim
+    assigned = model.transform(feats).select("item_id", "vector", "cell")
+
+    # hot cells are salted into blocks of at most ~block_rows items
+    sizes = assigned.groupBy("cell").agg(F.count("*").alias("n"))
+    salts = sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("int").alias("n_salt"))
+    ig = (assigned.join(F.broadcast(salts), "cell")  # one row per cell: bounded by MAX_CELLS
+          .withColumn("salt", F.pmod(F.xxhash64("item_id"), F.col("n_salt")))
+          .withColumn("g", F.col("cell").cast("long") * 1_000_000 + F.col("salt")))
+
+    bc = spark.sparkContext.broadcast(centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-300))
+    probe_n = min(n_probe, cells)
+
+    @F.pandas_udf(TY.ArrayType(TY.IntegerType()))
+    def probe(vecs: pd.Series) -> pd.Series:
+        c = bc.value
+        out = []
+        for v in vecs:
+            s = c @ np.asarray(v, dtype=np.float64)
+            out.append(np.argsort(-s, kind="stable")[:probe_n].astype(np.int32))
+        return pd.Series(out, dtype=object)
+
+    q = queries.filter(F.col("qvec").isNotNull()).select(
+        "qid", "qvec", F.lit(None).cast("string").alias("qversion"), F.lit(-math.inf).alias("qmin"))
+    qp = q.withColumn("cell", F.explode(probe(F.col("qvec"))))
+    qg = (qp.join(F.broadcast(salts), "cell")
+          .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1)))
+          .withColumn("g", F.col("cell").cast("long") * 1_000_000 + F.col("salt")))
+    cand = (qg.select("g", "qid", "qvec", "qversion", "qmin").groupBy("g")
+            .cogroup(ig.select("g", "item_id", "vector").groupBy("g"))
+            .applyInPandas(lambda a, b: _block_topk(a, b, k), _OUT))
+    return _rank(cand, k)

@@ -553,4 +553,60 @@ def q_retrieval_accuracy(spark, sf_dir):
     return QA.retrieval_accuracy(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+
+
+# --------------------------------------------------------------------------- T0, F9, D13
+from ..operators import convert as CV  # noqa: E402
+
+
+def converted_pages(spark: SparkSession, sf_dir: str, selector=CV.DEFAULT_SELECTOR) -> DataFrame:
+    p = table(spark, sf_dir, "pages", "page_id", "url", "html").withColumn("file_path", D.page_file_path("url"))
+    return CV.pages_to_markdown(p, selector)
+
+
+def _md_counts(c: DataFrame) -> DataFrame:
+    return c.select("page_id", "file_path",
+                    F.regexp_count("markdown", F.lit(r"(?m)^#{1,6}( |$)")).alias("n_headings"),
+                    F.regexp_count("markdown", F.lit(r"\]\(")).alias("n_links"), "used_fallback")
+
+
+@register("html_to_markdown", f"""
+SELECT page_id, {sql_page_path('url')} AS file_path,
+       len(regexp_extract_all(html, '<h[1-6][\\s>]')) AS n_headings,
+       len(regexp_extract_all(html, '<a\\s[^>]*href')) AS n_links,
+       NOT regexp_matches(html, '<div[^>]*role="main"') AS used_fallback
+FROM pages""")
+def q_html_to_markdown(spark, sf_dir):
+    return _md_counts(converted_pages(spark, sf_dir))
+
+
+@register("html_article_markdown", f"""
+SELECT page_id, {sql_page_path('url')} AS file_path,
+       len(regexp_extract_all(a, '<h[1-6][\\s>]')) AS n_headings,
+       len(regexp_extract_all(a, '<a\\s[^>]*href')) AS n_links,
+       a = '' AS used_fallback
+FROM (SELECT page_id, url, regexp_extract(html, '<article[\\s>][\\s\\S]*?</article>') AS a FROM pages)""")
+def q_html_article_markdown(spark, sf_dir):
+    return _md_counts(converted_pages(spark, sf_dir, CV.ARTICLE_SELECTOR))
+
+
+@register("chunk_pages")
+def q_chunk_pages(spark, sf_dir):
+    """Pages -> markdown (article selector) -> chunks: the paragraph-packing path."""
+    docs = CV.markdown_docs(converted_pages(spark, sf_dir, CV.ARTICLE_SELECTOR), C.DEFAULT_VERSION)
+    return CH.chunk_documents(docs).select("file_path", "chunk_index", "chunk_id",
+                                           T.token_count("raw_chunk").alias("n_tokens"))
+
+
+
+
+# --------------------------------------------------------------------------- A7
+@register("knn_approx")
+def q_knn_approx(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    q = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    it = e.select(F.col("vec_id").cast("string").alias("item_id"), F.col("embedding").alias("vector"))
+    return KN.knn_ivf(q, it, 10).select("qid", "item_id", "score", F.col("rank").cast("int").alias("rank"))
+
+
 FLAGSHIP = "search_full"
