@@ -75,3 +75,14 @@ def test_tokens_and_overlap(spark):
 def test_strip_matches_python(spark):
     s = "　\t x y \x1c\n"
     assert one(spark, T.py_strip, s) == s.strip()
+
+
+def test_java_and_re2_whitespace_classes_equal_python(spark, duck):
+    from tomefold import constants as C
+    chars = "".join(chr(i) for i in range(1, 0x3001) if not 0xD800 <= i <= 0xDFFF)
+    py = "".join(ch for ch in chars if ch.isspace())
+    df = spark.createDataFrame([(chars,)], "s string")
+    java = df.select(F.array_join(F.regexp_extract_all("s", F.lit("(?U)" + C.JAVA_WS_CLASS), 0), "").alias("w")).first().w
+    assert java == py
+    re2 = duck.execute(f"SELECT array_to_string(regexp_extract_all(?, '{C.WS_CLASS}'), '')", [chars]).fetchone()[0]
+    assert re2 == py

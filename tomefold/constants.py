@@ -86,6 +86,12 @@ BASE_DELAY_S = 1.0
 BATCH_DELAY_S = 0.1
 RETRYABLE_MARKERS = ["429", "rate limit"]
 
+# ---------------------------------------------------------------------------
+# fixed values: cl100k_base pre-tokenizer split pattern (public), Java syntax
+# ---------------------------------------------------------------------------
+PRETOKEN_PATTERN = (r"(?U)(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}"
+                    r"| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+")
+
 # ---------------------------------------------------------------------------
 # Derived: Python's notion of whitespace (str.isspace / str.split / str.strip),
 # written as a regex class that Java and RE2 both read the same way.
@@ -98,6 +104,7 @@ def _regex_class(chars: str, negate: bool = False) -> str:
     return ("[^" if negate else "[") + body + "]"
 
 
+# RE2 (DuckDB) spelling: every whitespace char listed
 WS_CLASS = _regex_class(PY_WHITESPACE)
 NON_WS_CLASS = _regex_class(PY_WHITESPACE, negate=True)
 # one "word" token = a maximal run of non-whitespace (= len(text.split()))
@@ -106,3 +113,12 @@ WORD_PATTERN = NON_WS_CLASS + "+"
 # last piece; concatenating all pieces of a text with >= 1 word gives the text back
 # minus its leading whitespace
 WORD_PIECE_PATTERN = WS_CLASS + "*" + NON_WS_CLASS + "+(?:" + WS_CLASS + "+\\z)?"
+
+# Java spelling of the same sets (Spark side): with UNICODE_CHARACTER_CLASS, ``\s``
+# is the White_Space property, which is Python's whitespace minus U+001C..U+001F.
+# One property test per char is several times faster than the listed class.
+JAVA_WS_CLASS = r"[\s\x{1C}-\x{1F}]"
+JAVA_NON_WS_CLASS = r"[^\s\x{1C}-\x{1F}]"
+JAVA_WORD_PATTERN = "(?U)" + JAVA_NON_WS_CLASS + "+"
+JAVA_WORD_PIECE_PATTERN = ("(?U)" + JAVA_WS_CLASS + "*" + JAVA_NON_WS_CLASS + "+(?:"
+                           + JAVA_WS_CLASS + "+\\z)?")

@@ -28,16 +28,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 # --------------------------------------------------------------------------- tokens
-def token_count(text) -> Column:
-    """Number of word tokens (``len(text.split())`` in Python)."""
-    return F.regexp_count(_c(text), F.lit(C.WORD_PATTERN))
+# counter name -> (pattern whose matches are the tokens, lossless piece pattern)
+COUNTERS = {
+    "words": (C.JAVA_WORD_PATTERN, C.JAVA_WORD_PIECE_PATTERN),
+    "pretoken": (C.PRETOKEN_PATTERN, C.PRETOKEN_PATTERN),
+}
 
 
-def overlap_tail(text, n: int) -> Column:
+def token_count(text, counter: str = "words") -> Column:
+    """Number of tokens: ``words`` = ``len(text.split())``; ``pretoken`` = pieces
+    of the cl100k pre-tokenizer (a lower bound of the BPE count)."""
+    return F.regexp_count(_c(text), F.lit(COUNTERS[counter][0]))
+
+
+def overlap_tail(text, n: int, counter: str = "words") -> Column:
     """Text of the last ``n`` tokens; the whole text if it has at most ``n``."""
     t = _c(text)
-    return F.when(token_count(t) <= n, t).otherwise(
-        F.array_join(F.slice(F.regexp_extract_all(t, F.lit(C.WORD_PIECE_PATTERN), 0), -n, n), ""))
+    return F.when(token_count(t, counter) <= n, t).otherwise(
+        F.array_join(F.slice(F.regexp_extract_all(t, F.lit(COUNTERS[counter][1]), 0), -n, n), ""))
 
 
 # --------------------------------------------------------------------------- strip
@@ -118,7 +126,7 @@ def _java_code_patterns() -> list[str]:
     # for Java with an explicit class and UNIX_LINES.
     out = []
     for pat in C.CODE_PATTERNS_PY:
-        out.append("(?md)" + pat.replace(r"[\s\S]", r"[\s\S]").replace(r"\s{4,}", C.WS_CLASS + "{4,}"))
+        out.append("(?mdU)" + pat.replace(r"\s{4,}", C.JAVA_WS_CLASS + "{4,}"))
     return out
 
 

@@ -24,6 +24,7 @@ class ChunkParams:
     overlap_tokens: int = C.OVERLAP_TOKENS
     min_section_tokens: int = C.MIN_SECTION_TOKENS
     source_root: str = C.SOURCE_ROOT
+    counter: str = "words"  # or "pretoken"
 
 
 def _empty():
@@ -37,13 +38,13 @@ def split_by_headers(content) -> Column:
 
 
 # --------------------------------------------------------------------------- T2
-def merge_small_sections(sections, min_tokens: int = C.MIN_SECTION_TOKENS) -> Column:
+def merge_small_sections(sections, min_tokens: int = C.MIN_SECTION_TOKENS, counter: str = "words") -> Column:
     """A section under ``min_tokens`` that is not last is prepended (``\\n\\n``) to
     the next one; the merged text is measured again."""
-    return T.let(T._c(sections), lambda secs: _merge(secs, min_tokens))
+    return T.let(T._c(sections), lambda secs: _merge(secs, min_tokens, counter))
 
 
-def _merge(secs: Column, min_tokens: int) -> Column:
+def _merge(secs: Column, min_tokens: int, counter: str) -> Column:
     n = F.size(secs)
     init = F.struct(_empty().alias("done"), F.lit(None).cast("string").alias("buf"))
 
@@ -52,7 +53,7 @@ def _merge(secs: Column, min_tokens: int) -> Column:
         cur = F.when(acc["buf"].isNull(), piece).otherwise(F.concat(acc["buf"], F.lit("\n\n"), piece))
 
         def decide(c):
-            carry = (T.token_count(c) < min_tokens) & (i < n)
+            carry = (T.token_count(c, counter) < min_tokens) & (i < n)
             return F.when(carry, F.struct(acc["done"].alias("done"), c.alias("buf"))).otherwise(
                 F.struct(F.array_append(acc["done"], c).alias("done"),
                          F.lit(None).cast("string").alias("buf")))
@@ -62,7 +63,7 @@ def _merge(secs: Column, min_tokens: int) -> Column:
 
 
 # --------------------------------------------------------------------------- T3c
-def _halve(cur: Column, max_tokens: int) -> Column:
+def _halve(cur: Column, max_tokens: int, counter: str = "words") -> Column:
     """Repeatedly cut the ``". "`` sentence list in half while the rest is too big.
 
     Returns ``struct(out array<string>, rest string)``: the emitted first halves
@@ -77,7 +78,7 @@ def _halve(cur: Column, max_tokens: int) -> Column:
         def step(acc, _r):
             left = m - acc["b"]
             rest = F.array_join(F.slice(sents, acc["b"] + 1, left), ". ")
-            halt = acc["stop"] | (left <= 1) | (T.token_count(rest) <= max_tokens)
+            halt = acc["stop"] | (left <= 1) | (T.token_count(rest, counter) <= max_tokens)
             k = F.floor(left / 2).cast("int")
             cut = F.concat(F.array_join(F.slice(sents, acc["b"] + 1, k), ". "), F.lit("."))
             return F.when(halt, F.struct(acc["out"].alias("out"), acc["b"].alias("b"),
@@ -97,7 +98,7 @@ def split_large_section(section, params: ChunkParams = ChunkParams()) -> Column:
     """Greedy packing of ``\\n\\n`` paragraphs up to ``target_tokens``; each new
     chunk starts with the last ``overlap_tokens`` of the previous one; an
     oversize chunk is cut by sentence halving.  A section that fits is kept."""
-    max_t, ov = params.target_tokens, params.overlap_tokens
+    max_t, ov, ctr = params.target_tokens, params.overlap_tokens, params.counter
     sec = T._c(section)
     init = F.struct(_empty().alias("done"), F.lit("").alias("cur"))
 
@@ -106,24 +107,24 @@ def split_large_section(section, params: ChunkParams = ChunkParams()) -> Column:
         test = F.when(has_cur, F.concat(acc["cur"], F.lit("\n\n"), para)).otherwise(para)
 
         def overflow(_):
-            start = F.when(has_cur, F.concat(T.overlap_tail(acc["cur"], ov), F.lit("\n\n"), para)).otherwise(para)
+            start = F.when(has_cur, F.concat(T.overlap_tail(acc["cur"], ov, ctr), F.lit("\n\n"), para)).otherwise(para)
             done = F.when(has_cur, F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"])
-            return T.let(_halve(start, max_t), lambda h: F.struct(
+            return T.let(_halve(start, max_t, ctr), lambda h: F.struct(
                 F.concat(done, h["out"]).alias("done"), h["rest"].alias("cur")))
 
         return T.let(test, lambda t: F.when(
-            T.token_count(t) <= max_t, F.struct(acc["done"].alias("done"), t.alias("cur"))
+            T.token_count(t, ctr) <= max_t, F.struct(acc["done"].alias("done"), t.alias("cur"))
         ).otherwise(overflow(t)))
 
     packed = F.aggregate(F.split(sec, "\n\n", -1), init, step, lambda acc: F.when(
         acc["cur"] != F.lit(""), F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"]))
-    return F.when(T.token_count(sec) <= max_t, F.array(sec)).otherwise(packed)
+    return F.when(T.token_count(sec, ctr) <= max_t, F.array(sec)).otherwise(packed)
 
 
 # --------------------------------------------------------------------------- T4
 def chunk_texts(content, params: ChunkParams = ChunkParams()) -> Column:
     """All raw (unstripped) chunk texts of a document, blanks dropped (T1+T2+T3+F2)."""
-    merged = merge_small_sections(split_by_headers(content), params.min_section_tokens)
+    merged = merge_small_sections(split_by_headers(content), params.min_section_tokens, params.counter)
     pieces = F.flatten(F.transform(merged, lambda s: split_large_section(s, params)))
     return F.filter(pieces, lambda p: ~T.is_blank(p))
 
@@ -142,9 +143,12 @@ def chunk_documents(docs: DataFrame, params: ChunkParams = ChunkParams()) -> Dat
         T.heading_list("content").alias("heading_path"),
         chunk_texts("content", params).alias("chunks"))
     per_doc = per_doc.withColumn("title", T.title_of("heading_path", "file_path"))
+    # posexplode_outer + null filter: a plain posexplode lets the optimizer infer
+    # `size(chunks) > 0` and push it below this projection, which would evaluate
+    # the whole chunker twice
     rows = per_doc.select(
         "version", "file_path", "title", "heading_path",
-        F.posexplode("chunks").alias("chunk_index", "raw_chunk"))
+        F.posexplode_outer("chunks").alias("chunk_index", "raw_chunk")).filter(F.col("raw_chunk").isNotNull())
     return rows.select(
         "version", "file_path", "chunk_index",
         T.chunk_id_of(T.full_path_of("file_path", params.source_root), "chunk_index", "raw_chunk")
@@ -163,6 +167,7 @@ def sections_of(docs: DataFrame, merged: bool, params: ChunkParams = ChunkParams
     """One row per (merged) section: version, file_path, sec_idx, section, n_tokens."""
     secs = split_by_headers("content")
     if merged:
-        secs = merge_small_sections(secs, params.min_section_tokens)
-    out = docs.select("version", "file_path", F.posexplode(secs).alias("sec_idx", "section"))
-    return out.withColumn("n_tokens", T.token_count("section"))
+        secs = merge_small_sections(secs, params.min_section_tokens, params.counter)
+    out = (docs.select("version", "file_path", F.posexplode_outer(secs).alias("sec_idx", "section"))
+           .filter(F.col("section").isNotNull()))
+    return out.withColumn("n_tokens", T.token_count("section", params.counter))

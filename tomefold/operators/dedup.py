@@ -22,7 +22,7 @@ from ..session import ensure_checkpoint_dir
 
 def normalise(text) -> Column:
     """Lower-case, whitespace runs -> one space, stripped."""
-    return F.lower(T.py_strip(F.regexp_replace(T._c(text), C.WS_CLASS + "+", " ")))
+    return F.lower(T.py_strip(F.regexp_replace(T._c(text), "(?U)" + C.JAVA_WS_CLASS + "+", " ")))
 
 
 # --------------------------------------------------------------------------- D1

@@ -123,14 +123,18 @@ def write_snapshot(index: DataFrame, base_dir: str, run_id: str) -> str:
 
 
 # --------------------------------------------------------------------------- S8, A2
-def ledger_rows(docs: DataFrame, chunks: DataFrame, run_id: str) -> DataFrame:
-    """One ledger row per committed document: its content hash and chunk count."""
-    counts = chunks.groupBy("version", "file_path").agg(F.count("*").cast("int").alias("n_chunks"))
-    return (docs.select("version", "file_path", content_hash("content").alias("content_hash"))
-            .join(counts, ["version", "file_path"], "left")
-            .select("version", "file_path", "content_hash",
-                    F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"),
-                    F.lit(run_id).alias("run_id"), F.current_timestamp().alias("ts")))
+def ledger_rows(docs: DataFrame, chunks: DataFrame | None, run_id: str) -> DataFrame:
+    """One ledger row per committed document: its content hash and chunk count
+    (``chunks=None`` records hashes only)."""
+    base = docs.select("version", "file_path", content_hash("content").alias("content_hash"))
+    if chunks is None:
+        base = base.withColumn("n_chunks", F.lit(None).cast("int"))
+    else:
+        # blank files and files without chunks count as done but are not marked
+        counts = chunks.groupBy("version", "file_path").agg(F.count("*").cast("int").alias("n_chunks"))
+        base = base.join(counts, ["version", "file_path"], "inner")
+    return base.select("version", "file_path", "content_hash", "n_chunks",
+                       F.lit(run_id).alias("run_id"), F.current_timestamp().alias("ts"))
 
 
 def ledger_totals(ledger: DataFrame) -> DataFrame:

@@ -60,6 +60,25 @@ def drop_uncommitted(index: DataFrame, ledger: DataFrame) -> DataFrame:
     return index.join(runs, "run_id", "left_semi")
 
 
+def expand_queries(queries: DataFrame, synonyms: DataFrame, max_synonym_rows: int = 1_000_000) -> DataFrame:
+    """Query expansion (roadmap D9): every query term is followed by its synonyms.
+
+    ``synonyms(term, synonym)`` is a dictionary; its row count is checked before
+    it is broadcast, above the bound it is joined by shuffle.
+    """
+    terms = queries.select("qid", F.posexplode(F.split(F.lower("query"), r"(?U)[\s\x{1C}-\x{1F}]+", -1))
+                           .alias("pos", "term")).filter(F.col("term") != "")
+    syn = synonyms.select(F.lower("term").alias("term"), "synonym")
+    small = syn.limit(max_synonym_rows + 1).count() <= max_synonym_rows
+    j = terms.join(F.broadcast(syn) if small else syn, "term", "left")
+    per_term = j.groupBy("qid", "pos", "term").agg(F.array_sort(F.collect_set("synonym")).alias("syns"))
+    words = per_term.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "syns"))).alias("w"))
+    expanded = words.select("qid", F.array_join(F.flatten(F.transform(
+        "w", lambda x: F.concat(F.array(x["term"]), x["syns"]))), " ").alias("expanded_query"))
+    return queries.join(expanded, "qid", "left").withColumn(
+        "expanded_query", F.coalesce("expanded_query", F.col("query")))
+
+
 def ingest_batch(docs: DataFrame, existing_index: DataFrame, ledger: DataFrame, run_id: str,
                  params: CH.ChunkParams = CH.ChunkParams(), mode: str = "replace",
                  embed=None, skip: str = "hash") -> tuple[DataFrame, DataFrame]:

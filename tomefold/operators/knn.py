@@ -252,7 +252,9 @@ def knn_ivf(queries: DataFrame, items: DataFrame, k: int, *, n_cells: int | None
 
     q = queries.filter(F.col("qvec").isNotNull()).select(
         "qid", "qvec", F.lit(None).cast("string").alias("qversion"), F.lit(-math.inf).alias("qmin"))
-    qp = q.withColumn("cell", F.explode(probe(F.col("qvec"))))
+    # explode_outer + filter: keeps the optimizer from inferring a size() filter
+    # over the UDF below this projection (which would run the UDF twice)
+    qp = q.withColumn("cell", F.explode_outer(probe(F.col("qvec")))).filter(F.col("cell").isNotNull())
     qg = (qp.join(F.broadcast(salts), "cell")
           .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1)))
           .withColumn("g", F.col("cell").cast("long") * 1_000_000 + F.col("salt")))

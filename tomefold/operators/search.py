@@ -49,7 +49,7 @@ def boost_factor(query, content_type, title, heading_path, has_code, content,
         q, title_l, head_l, content_l = t["q"], t["title"], t["head"], t["content"]
         b = _add_if(F.lit(1.0), _any_in(F.lower(F.coalesce(F.col(content_type), F.lit(""))), rules.type_terms),
                     rules.type_boost)
-        terms = F.filter(F.split(q, C.WS_CLASS + "+", -1), lambda w: w != F.lit(""))
+        terms = F.filter(F.split(q, "(?U)" + C.JAVA_WS_CLASS + "+", -1), lambda w: w != F.lit(""))
         b = F.aggregate(terms, b, lambda acc, w: _add_if(
             _add_if(acc, title_l.contains(w), rules.title_boost), head_l.contains(w), rules.heading_boost))
         b = _add_if(b, F.coalesce(F.col(has_code), F.lit(False)) & _any_in(q, rules.code_phrases),
@@ -75,8 +75,31 @@ def index_items(index: DataFrame) -> DataFrame:
     return index.withColumn("item_id", F.concat_ws("/", "version", "chunk_id"))
 
 
+def _first_pass(cand: DataFrame, rules: RerankRules) -> tuple[DataFrame, DataFrame]:
+    """(initial candidates, final hits) of the boosted pass."""
+    initial = cand.filter((F.col("rank") <= F.least(F.col("limit") * 2, F.lit(C.CANDIDATE_CAP)))
+                          & (F.col("score") >= F.greatest(F.col("min_score") - C.CANDIDATE_MARGIN,
+                                                          F.lit(C.CANDIDATE_FLOOR))))
+    first = initial.withColumn("boosted", F.col("score") * boost_factor(
+        "query", "content_type", "title", "heading_path", "has_code", "content", rules))
+    first = first.filter(F.col("boosted") >= F.col("min_score"))
+    w1 = Window.partitionBy("qid").orderBy(F.desc("boosted"), F.asc("rank"))
+    first = (first.withColumn("pos", F.row_number().over(w1)).filter(F.col("pos") <= F.col("limit"))
+             .select("*", F.lit("hit").alias("stage"), F.round("boosted", C.SCORE_DIGITS).alias("similarity_score")))
+    return initial, first
+
+
+def _hit_counts(good: DataFrame, initial: DataFrame, first: DataFrame) -> DataFrame:
+    """Per query: candidates returned by the first search and hits kept."""
+    ni = initial.groupBy("qid").agg(F.count("*").alias("n_initial"))
+    nf = first.groupBy("qid").agg(F.count("*").alias("n_final"))
+    return (good.select("qid").join(ni, "qid", "left").join(nf, "qid", "left")
+            .select("qid", F.coalesce("n_initial", F.lit(0)).alias("n_initial"),
+                    F.coalesce("n_final", F.lit(0)).alias("n_final")))
+
+
 def search(queries: DataFrame, index: DataFrame, *, rules: RerankRules = RerankRules(),
-           dim: int = C.EMBED_DIM, embedder=None, plan: str = "auto") -> DataFrame:
+           dim: int = C.EMBED_DIM, embedder=None, plan: str = "auto", counts_only: bool = False) -> DataFrame:
     """``queries(qid, query, version, limit, min_score)`` x ``index`` -> results.
 
     ``index`` has the chunk columns plus ``vector``.  ``embedder`` maps a text
@@ -106,16 +129,9 @@ def search(queries: DataFrame, index: DataFrame, *, rules: RerankRules = RerankR
     # both passes and the sentinel read the one candidate set (<= 30 rows per query)
     cand = cand.persist()
 
-    # first pass: candidates, boost, final threshold, sort, limit
-    first = cand.filter((F.col("rank") <= F.least(F.col("limit") * 2, F.lit(C.CANDIDATE_CAP)))
-                        & (F.col("score") >= F.greatest(F.col("min_score") - C.CANDIDATE_MARGIN,
-                                                        F.lit(C.CANDIDATE_FLOOR))))
-    first = first.withColumn("boosted", F.col("score") * boost_factor(
-        "query", "content_type", "title", "heading_path", "has_code", "content", rules))
-    first = first.filter(F.col("boosted") >= F.col("min_score"))
-    w1 = Window.partitionBy("qid").orderBy(F.desc("boosted"), F.asc("rank"))
-    first = (first.withColumn("pos", F.row_number().over(w1)).filter(F.col("pos") <= F.col("limit"))
-             .select("*", F.lit("hit").alias("stage"), F.round("boosted", C.SCORE_DIGITS).alias("similarity_score")))
+    initial, first = _first_pass(cand, rules)
+    if counts_only:
+        return _hit_counts(good, initial, first)
 
     # fallback: only queries without a first-pass hit, top 5 unboosted
     answered = first.select("qid").distinct()

@@ -249,14 +249,21 @@ def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_queries(spark: SparkSession, sf_dir: str, limit=None, min_score=None) -> DataFrame:
+    """Every benchmark text as a query without a version filter and with each version."""
     b = table(spark, sf_dir, "benchmark", "item_id", "text")
-    filters = spark.createDataFrame([(0, None), (1, D.OLD_VERSION), (2, D.NEW_VERSION)], "j int, version string")
-    return b.crossJoin(F.broadcast(filters)).select(
-        (F.col("item_id") * 10 + F.col("j")).alias("qid"), F.col("text").alias("query"), "version",
+    variants = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(v).cast("string").alias("version"))
+                         for j, v in [(0, None), (1, D.OLD_VERSION), (2, D.NEW_VERSION)]])
+    return b.select("item_id", "text", F.explode(variants).alias("f")).select(
+        (F.col("item_id") * 10 + F.col("f.j")).alias("qid"), F.col("text").alias("query"), F.col("f.version").alias("version"),
         F.lit(limit).cast("int").alias("limit"), F.lit(min_score).cast("double").alias("min_score"))
 
 
 def _sql_search(limit: int, min_score: float, stages: tuple[str, ...]) -> str:
+    stage_list = ", ".join(f"'{s}'" for s in stages)
+    return _sql_search_ctes(limit, min_score) + f"\nSELECT * FROM results WHERE stage IN ({stage_list})"
+
+
+def _sql_search_ctes(limit: int, min_score: float) -> str:
     L, M = limit, DBL(min_score)
     t, h = S._v("t"), S._v("acc")
     type_hit = " OR ".join(f"contains(lower(c.content_type), '{x}')" for x in C.TYPE_TERMS)
@@ -274,7 +281,6 @@ def _sql_search(limit: int, min_score: float, stages: tuple[str, ...]) -> str:
     no_res = C.NO_RESULTS_TEXT.split("{query}")
     cols = ("content, title, file_path, section, doc_url, array_to_string(heading_path, ' | ') AS heading_path, "
             "has_code, content_type, version")
-    stage_list = ", ".join(f"'{s}'" for s in stages)
     return f"""
 WITH chunks AS ({_sql_chunks(SQL_TWO_VERSIONS)}),
 items AS (SELECT version || '/' || chunk_id AS item_id, * FROM chunks),
@@ -313,8 +319,7 @@ results AS (
   SELECT qid, 1, 'error', 'Error searching knowledge base: the query has no usable embedding', '{C.ERROR_TITLE}', '',
          '{C.ERROR_SECTION}', '', '', false, '{C.ERROR_TYPE}', coalesce(nullif(version, ''), '{C.UNKNOWN_VERSION}'),
          CAST(0.0 AS DOUBLE)
-  FROM queries WHERE qid NOT IN (SELECT qid FROM qvec))
-SELECT * FROM results WHERE stage IN ({stage_list})"""
+  FROM queries WHERE qid NOT IN (SELECT qid FROM qvec))"""
 
 
 def _search_out(df: DataFrame) -> DataFrame:
@@ -402,7 +407,7 @@ def q_refresh_index(spark, sf_dir):
     re-chunked and replace their old rows; deleted files lose theirs."""
     old, new = D.two_versions(spark, sf_dir)
     v = D.NEW_VERSION
-    ledger = IX.ledger_rows(_relabel(old, v), _chunks_of(_relabel(old, v)), "previous")
+    ledger = IX.ledger_rows(_relabel(old, v), None, "previous")
     existing = _chunks_of(_relabel(old, v))
     ch = IN.changes(ledger, new)
     todo = new.join(ch.filter(F.col("status").isin("new", "changed")).select("file_path"), "file_path", "left_semi")
@@ -428,7 +433,7 @@ FROM (SELECT file_path, sha256(content) AS h FROM {SQL_OLD}) o
 FULL OUTER JOIN (SELECT file_path, sha256(content) AS h FROM {SQL_NEW}) n USING (file_path)""")
 def q_incremental_changes(spark, sf_dir):
     old, new = D.two_versions(spark, sf_dir)
-    ledger = IX.ledger_rows(old, _chunks_of(old), "previous")
+    ledger = IX.ledger_rows(old, None, "previous")
     return IN.changes(ledger, new)
 
 
@@ -609,4 +614,46 @@ def q_knn_approx(spark, sf_dir):
     return KN.knn_ivf(q, it, 10).select("qid", "item_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
+@register("search_hit_counts", _sql_search_ctes(C.SEARCH_LIMIT, C.SEARCH_MIN_SCORE) + """
+SELECT v.qid, coalesce(i.n, 0) AS n_initial, coalesce(f.n, 0) AS n_final
+FROM (SELECT qid FROM qvec) v
+LEFT JOIN (SELECT qid, count(*) AS n FROM boosted GROUP BY qid) i USING (qid)
+LEFT JOIN (SELECT qid, count(*) AS n FROM first GROUP BY qid) f USING (qid)""")
+def q_search_hit_counts(spark, sf_dir):
+    """Initial candidates vs final hits per query."""
+    return SE.search(search_queries(spark, sf_dir), search_index(spark, sf_dir), counts_only=True)
+
+
+# --------------------------------------------------------------------------- A2, D11
+@register("ledger_totals", f"""
+SELECT version, count(DISTINCT file_path) AS files_processed, count(*) AS chunks_created
+FROM ({_sql_chunks(SQL_OLD)}) GROUP BY version""")
+def q_ledger_totals(spark, sf_dir):
+    old, _ = D.two_versions(spark, sf_dir)
+    return IX.ledger_totals(IX.ledger_rows(old, _chunks_of(old), "run-1"))
+
+
+@register("uncommitted_cleanup", f"""
+SELECT version, file_path, chunk_index, chunk_id, 'run-1' AS run_id FROM ({_sql_chunks(SQL_OLD)})""")
+def q_uncommitted_cleanup(spark, sf_dir):
+    """Index rows of a run without a ledger commit are dropped (D11): the old
+    tree was committed by run-1; the new tree's rows from run-2 never were."""
+    old, new = D.two_versions(spark, sf_dir)
+    idx = (_chunks_of(old).withColumn("run_id", F.lit("run-1"))
+           .unionByName(_chunks_of(new).withColumn("run_id", F.lit("run-2"))))
+    ledger = IX.ledger_rows(old, None, "run-1")
+    return IN.drop_uncommitted(idx, ledger)
+
+
+# --------------------------------------------------------------------------- D8
+@register("quality_classifier")
+def q_quality_classifier(spark, sf_dir):
+    """Document quality classifier (D8) trained on ``labels`` with pyspark.ml:
+    hashed word counts -> IDF -> logistic regression; scores every document."""
+    from ..operators import classify as CL
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    return CL.quality_scores(docs, labels)
+
+
 FLAGSHIP = "search_full"

@@ -34,6 +34,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -50,3 +51,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="tomefold-ckpt-", dir=os.environ.get("TOMEFOLD_SCRATCH", "/tmp"))
     spark.sparkContext.setCheckpointDir(scratch)
     return scratch
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tomefold`` importable in Python workers (UDFs pickle references to it).
+
+    Adds the package as a zip with ``addPyFile`` (shipped to every executor) and
+    puts its parent directory on the workers' PYTHONPATH for local runs.
+    Idempotent per SparkContext.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    parent = os.path.dirname(pkg)
+    paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if parent not in paths:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([parent] + paths)
+    out_dir = tempfile.mkdtemp(prefix="tomefold-code-")
+    zpath = os.path.join(out_dir, "tomefold.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, parent))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
