@@ -93,6 +93,12 @@ def call_with_retry(fn: Callable[[list[str]], list[list[float]]], texts: list[st
     raise RuntimeError(f"failed after {max_retries} attempts")
 
 
+def _checked(got, part):
+    if len(got) != len(part):
+        raise ValueError("Number of chunks and embeddings must match")
+    return [list(map(float, g)) for g in got]
+
+
 def embed_with(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]],
                text_col: str = "content", out_col: str = "vector", batch_size: int = 64,
                **retry) -> DataFrame:
@@ -101,6 +107,8 @@ def embed_with(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]]
     Adds ``out_col`` (ARRAY<FLOAT>, NULL on failure) and ``embed_error``.
     The request rate is bounded by ``batch_size`` times the number of
     concurrently running partitions; ``coalesce`` before this to lower it.
+    A batch that fails for another reason than a rate limit is retried text by
+    text, so only the texts that really fail become error rows.
     """
     schema = TY.StructType([TY.StructField("v", TY.ArrayType(TY.FloatType())),
                             TY.StructField("err", TY.StringType())])
@@ -112,14 +120,21 @@ def embed_with(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]]
             for i in range(0, len(texts), batch_size):
                 part = [("" if t is None else t) for t in texts.iloc[i:i + batch_size]]
                 try:
-                    got = call_with_retry(embedder, part, **retry)
-                    if len(got) != len(part):
-                        raise ValueError("Number of chunks and embeddings must match")
-                    vecs.extend([list(map(float, g)) for g in got])
+                    got = _checked(call_with_retry(embedder, part, **retry), part)
+                    vecs.extend(got)
                     errs.extend([None] * len(part))
-                except Exception as err:  # the batch becomes error rows
-                    vecs.extend([None] * len(part))
-                    errs.extend([str(err)] * len(part))
+                except Exception as err:  # isolate the failing texts, one request each
+                    if len(part) == 1:
+                        vecs.append(None)
+                        errs.append(str(err))
+                        continue
+                    for t in part:
+                        try:
+                            vecs.extend(_checked(call_with_retry(embedder, [t], **retry), [t]))
+                            errs.append(None)
+                        except Exception as one_err:  # this text becomes an error row
+                            vecs.append(None)
+                            errs.append(str(one_err))
             yield pd.DataFrame({"v": vecs, "err": errs})
 
     out = df.withColumn("_emb", run(F.col(text_col)))

@@ -49,6 +49,30 @@ def coverage(docs: DataFrame, chunks: DataFrame) -> DataFrame:
                     F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "n_chars")
 
 
+def page_coverage(converted: DataFrame, chunks: DataFrame, index: DataFrame) -> DataFrame:
+    """Coverage from pages to the index (D10): per page the stage it reached.
+
+    status = convert_error | empty | no_chunks | not_indexed | indexed; with the
+    number of chunks and of indexed chunks and the share of page text kept.
+    """
+    n_chunks = chunks.groupBy("file_path").agg(F.count("*").alias("n_chunks"),
+                                               F.sum(F.length("content")).alias("chunk_chars"))
+    n_indexed = index.filter(F.col("vector").isNotNull()).groupBy("file_path").agg(
+        F.count("*").alias("n_indexed"))
+    j = (converted.select("page_id", "file_path", "error", "markdown")
+         .join(n_chunks, "file_path", "left").join(n_indexed, "file_path", "left"))
+    status = (F.when(F.col("error").isNotNull(), F.lit("convert_error"))
+              .when(T.is_blank(F.coalesce("markdown", F.lit(""))), F.lit("empty"))
+              .when(F.coalesce("n_chunks", F.lit(0)) == 0, F.lit("no_chunks"))
+              .when(F.coalesce("n_indexed", F.lit(0)) == 0, F.lit("not_indexed"))
+              .otherwise(F.lit("indexed")))
+    return j.select("page_id", "file_path", status.alias("status"),
+                    F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"),
+                    F.coalesce("n_indexed", F.lit(0)).alias("n_indexed"),
+                    F.round(F.coalesce("chunk_chars", F.lit(0)) / F.greatest(F.length("markdown"), F.lit(1)), 4)
+                    .alias("kept_share"))
+
+
 def coverage_summary(cov: DataFrame) -> DataFrame:
     return cov.groupBy("version", "status").agg(F.count("*").alias("n_files"),
                                                 F.sum("n_chunks").alias("n_chunks"))
@@ -85,10 +109,27 @@ def ingest_batch(docs: DataFrame, existing_index: DataFrame, ledger: DataFrame,
     """Chunk + embed the documents that need it and return (next index, ledger rows).
 
     ``skip="path"`` is the parity behaviour (a known path is never re-read);
-    ``skip="hash"`` re-processes files whose content changed.
+    ``skip="hash"`` re-processes files whose content changed; ``skip="none"``
+    ignores the ledger (a full reset).  See ``ingest_batch_with_errors`` for the
+    error rows of files that failed.
+    """
+    nxt, led, _errors = ingest_batch_with_errors(docs, existing_index, ledger, run_id, params, mode, embed, skip)
+    return nxt, led
+
+
+def ingest_batch_with_errors(docs: DataFrame, existing_index: DataFrame, ledger: DataFrame, run_id: str,
+                             params: CH.ChunkParams = CH.ChunkParams(), mode: str = "replace",
+                             embed=None, skip: str = "hash") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(next index, ledger rows, error rows) of one ingest run.
+
+    A file with any chunk whose embedding failed (``embed_error`` set) is
+    reported once in the errors, none of its chunks is written and it is not
+    marked processed, so the next run retries it; the other files commit.
     """
     if skip == "path":
         todo = pending_by_path(docs, ledger)
+    elif skip == "none":
+        todo = docs
     else:
         latest = IX.dedupe_latest(ledger, ["version", "file_path"], "ts")
         seen = latest.select("version", "file_path", "content_hash")
@@ -96,7 +137,14 @@ def ingest_batch(docs: DataFrame, existing_index: DataFrame, ledger: DataFrame,
                 .join(seen, ["version", "file_path", "content_hash"], "left_anti").drop("content_hash"))
     chunks = CH.chunk_documents(todo, params)
     embedded = (embed or (lambda df: EM.embed_hashed(df, "content")))(chunks)
-    rows = embedded.select(*[c.name for c in IX.INDEX_SCHEMA.fields if c.name != "run_id"],
-                           F.lit(run_id).alias("run_id"))
+    if "embed_error" not in embedded.columns:
+        embedded = embedded.withColumn("embed_error", F.lit(None).cast("string"))
+    failed = (embedded.filter(F.col("embed_error").isNotNull())
+              .groupBy("version", "file_path").agg(F.min("embed_error").alias("error")))
+    ok = embedded.join(failed.select("version", "file_path"), ["version", "file_path"], "left_anti")
+    rows = ok.select(*[c.name for c in IX.INDEX_SCHEMA.fields if c.name != "run_id"],
+                     F.lit(run_id).alias("run_id"))
     nxt = IX.upsert(existing_index, rows, mode=mode)
-    return nxt, IX.ledger_rows(todo, chunks, run_id)
+    errors = failed.select("version", "file_path", F.lit("embed").alias("stage"), "error",
+                           F.current_timestamp().alias("ts"))
+    return nxt, IX.ledger_rows(todo, ok, run_id), errors

@@ -656,4 +656,14 @@ def q_quality_classifier(spark, sf_dir):
     return CL.quality_scores(docs, labels)
 
 
+# --------------------------------------------------------------------------- D10 (from pages)
+@register("page_coverage")
+def q_page_coverage(spark, sf_dir):
+    """Pages -> markdown -> chunks -> index: the stage each page reached."""
+    conv = converted_pages(spark, sf_dir, CV.ARTICLE_SELECTOR).persist()
+    chunks = CH.chunk_documents(CV.markdown_docs(conv, C.DEFAULT_VERSION))
+    index = EM.embed_hashed(chunks, "content")
+    return IN.page_coverage(conv, chunks, index)
+
+
 FLAGSHIP = "search_full"
