@@ -9,7 +9,8 @@ Physical plans
 --------------
 * ``broadcast`` (query side within a checked size): the query matrix is
   shipped once to every executor; the item table is scanned in place by
-  ``mapInPandas`` (no shuffle of items) and each partition keeps a running
+  ``mapInArrow`` (no shuffle of items; the vector column becomes one numpy
+  matrix per Arrow batch) and each partition keeps a running
   top-k per query.  A window ``row_number`` (planned as a partial + final
   ``WindowGroupLimit``) merges the per-partition lists.
 * ``grid`` (both sides large): queries and items are hashed into blocks; every
@@ -75,35 +76,82 @@ def _merge_topk(best_s, best_id, s, ids, k):
     return s, ids
 
 
-def _kernel(qids, qmat, qver, qmin, k, version_codes):
-    """Returns the mapInPandas function scoring item batches against the queries."""
-    q2 = np.einsum("ij,ij->i", qmat, qmat)
+class _TopK:
+    """Running top-k per query over item blocks (score desc, item id asc)."""
+
+    def __init__(self, qids, qmat, qver, qmin, k):
+        self.qids, self.qmat, self.qver, self.qmin, self.k = qids, qmat, qver, qmin, k
+        self.q2 = np.einsum("ij,ij->i", qmat, qmat)
+        self.best_s = self.best_id = None
+
+    def add(self, x: np.ndarray, ids: np.ndarray, iv: np.ndarray) -> None:
+        step = max(1, MAX_SCORE_CELLS // max(1, len(self.qids)))  # bound the score matrix
+        for lo in range(0, len(x), step):
+            xs, ids_s, iv_s = x[lo:lo + step], ids[lo:lo + step], iv[lo:lo + step]
+            s = _scores(self.qmat, self.q2, xs)
+            ok = (self.qver[:, None] == ANY_VERSION) | (self.qver[:, None] == iv_s[None, :])
+            s = np.where(ok & (s >= self.qmin[:, None]), s, -np.inf)
+            idm = np.broadcast_to(ids_s[None, :], s.shape)
+            self.best_s, self.best_id = _merge_topk(self.best_s, self.best_id, s, idm, self.k)
 
+    def result(self):
+        if self.best_s is None:
+            return None
+        rows_q, rows_k = np.nonzero(np.isfinite(self.best_s))
+        if not len(rows_q):
+            return None
+        return (self.qids[rows_q].astype(np.int64), self.best_id[rows_q, rows_k], self.best_s[rows_q, rows_k])
+
+
+def _kernel(qids, qmat, qver, qmin, k, version_codes):
+    """mapInPandas-style function scoring item batches against the queries."""
     def run(batches):
-        best_s = best_id = None
+        acc = _TopK(qids, qmat, qver, qmin, k)
         for pdf in batches:
             pdf = pdf[pdf["vector"].notna()]
             if pdf.empty:
                 continue
-            x_all = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-            ids_all = pdf["item_id"].to_numpy(dtype=object)
-            iv_all = pdf["version"].map(version_codes).fillna(NO_MATCH).to_numpy() \
+            x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
+            ids = pdf["item_id"].to_numpy(dtype=object)
+            iv = pdf["version"].map(version_codes).fillna(NO_MATCH).to_numpy() \
                 if "version" in pdf else np.full(len(pdf), NO_MATCH)
-            step = max(1, MAX_SCORE_CELLS // max(1, len(qids)))  # bound the score matrix
-            for lo in range(0, len(pdf), step):
-                x, ids, iv = x_all[lo:lo + step], ids_all[lo:lo + step], iv_all[lo:lo + step]
-                s = _scores(qmat, q2, x)
-                ok = (qver[:, None] == ANY_VERSION) | (qver[:, None] == iv[None, :])
-                s = np.where(ok & (s >= qmin[:, None]), s, -np.inf)
-                idm = np.broadcast_to(ids[None, :], s.shape)
-                best_s, best_id = _merge_topk(best_s, best_id, s, idm, k)
-        if best_s is None:
-            return
-        rows_q, rows_k = np.nonzero(np.isfinite(best_s))
-        if len(rows_q):
-            yield pd.DataFrame({"qid": qids[rows_q].astype(np.int64),
-                                "item_id": best_id[rows_q, rows_k],
-                                "score": best_s[rows_q, rows_k]})
+            acc.add(x, ids, iv)
+        res = acc.result()
+        if res is not None:
+            yield pd.DataFrame({"qid": res[0], "item_id": res[1], "score": res[2]})
+    return run
+
+
+def _arrow_kernel(qids, qmat, qver, qmin, k, version_codes):
+    """mapInArrow function: the vector column becomes one (rows x dim) matrix
+    without a Python object per row."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    dim = qmat.shape[1]
+
+    def run(batches):
+        acc = _TopK(qids, qmat, qver, qmin, k)
+        for rb in batches:
+            vec = rb.column(rb.schema.get_field_index("vector"))
+            keep = pc.and_(pc.is_valid(vec), pc.equal(pc.list_value_length(vec), dim))
+            keep = pc.fill_null(keep, False)
+            if not pc.any(keep).as_py():
+                continue
+            rb = rb.filter(keep)
+            vec = rb.column(rb.schema.get_field_index("vector"))
+            x = pc.list_flatten(vec).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            ids = rb.column(rb.schema.get_field_index("item_id")).to_numpy(zero_copy_only=False).astype(object)
+            vi = rb.schema.get_field_index("version")
+            if vi >= 0:
+                iv = pd.Series(rb.column(vi).to_pylist()).map(version_codes).fillna(NO_MATCH).to_numpy()
+            else:
+                iv = np.full(len(ids), NO_MATCH)
+            acc.add(x, ids, iv)
+        res = acc.result()
+        if res is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(res[0], pa.int64()), pa.array(list(res[1]), pa.string()), pa.array(res[2], pa.float64())],
+                names=["qid", "item_id", "score"])
     return run
 
 
@@ -160,9 +208,9 @@ def _broadcast_plan(q: DataFrame, it: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         qids, qm, qv, qmin, cd = bc.value
-        yield from _kernel(qids, qm, qv, qmin, k, cd)(batches)
+        yield from _arrow_kernel(qids, qm, qv, qmin, k, cd)(batches)
 
-    return it.mapInPandas(run, _OUT)
+    return it.mapInArrow(run, _OUT)
 
 
 def _grid_plan(q: DataFrame, it: DataFrame, k: int, block_rows: int) -> DataFrame:
