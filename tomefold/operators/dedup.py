@@ -37,6 +37,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 # --------------------------------------------------------------------------- D2
 MINHASH_PRIME = (1 << 31) - 1  # keeps a * x + b inside uint64
+MINHASH_CELLS = 1 << 24        # hash values x permutations held at once (128 MB)
 
 
 def _minhash_udf(num_perm: int, seed: int):
@@ -50,15 +51,23 @@ def _minhash_udf(num_perm: int, seed: int):
         arr = pa.array(hashes, type=pa.list_(pa.int64()))
         offsets = arr.offsets.to_numpy()
         vals = arr.values.to_numpy(zero_copy_only=False).view(np.uint64) % p
-        out = []
-        for r in range(len(offsets) - 1):
-            v = vals[offsets[r]:offsets[r + 1]]
-            if len(v) == 0:
-                out.append(None)
-                continue
-            hv = (np.multiply.outer(a, v) + b[:, None]) % p
-            out.append(hv.min(axis=1).astype(np.int64))
-        return pd.Series(out, dtype=object)
+        lengths = np.diff(offsets)
+        out = np.zeros((len(lengths), num_perm), dtype=np.int64)
+        # slices of whole rows, about MINHASH_CELLS hash values x permutations at a time
+        start = 0
+        while start < len(lengths):
+            stop, cells = start, 0
+            while stop < len(lengths) and (stop == start or cells + lengths[stop] * num_perm <= MINHASH_CELLS):
+                cells += lengths[stop] * num_perm
+                stop += 1
+            rows = np.arange(start, stop)
+            rows = rows[lengths[rows] > 0]
+            if len(rows):
+                lo, hi = offsets[start], offsets[stop]
+                hv = (np.multiply.outer(a, vals[lo:hi]) + b[:, None]) % p
+                out[rows] = np.minimum.reduceat(hv, offsets[rows] - lo, axis=1).T.astype(np.int64)
+            start = stop
+        return pd.Series([None if n == 0 else row for row, n in zip(out, lengths)], dtype=object)
     return minhash
 
 
