@@ -53,7 +53,7 @@ def _merge(secs: Column, min_tokens: int, counter: str) -> Column:
         cur = F.when(acc["buf"].isNull(), piece).otherwise(F.concat(acc["buf"], F.lit("\n\n"), piece))
 
         def decide(c):
-            carry = (T.token_count(c, counter) < min_tokens) & (i < n)
+            carry = (i < n) & (T.token_count(c, counter) < min_tokens)  # cheap test first
             return F.when(carry, F.struct(acc["done"].alias("done"), c.alias("buf"))).otherwise(
                 F.struct(F.array_append(acc["done"], c).alias("done"),
                          F.lit(None).cast("string").alias("buf")))

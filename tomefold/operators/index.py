@@ -3,9 +3,9 @@
 
 The index is a parquet table partitioned by ``version``.  Parquet has no
 MERGE, so an update writes a new snapshot directory from ``existing`` and the
-new rows (never overwriting what is being read); the ledger row of a run is
-appended only after its snapshot is written, so a crash repeats work but never
-leaves a half-committed run behind.
+new rows (never overwriting what is being read).  A run commits in the order
+snapshot -> pointer to it -> ledger rows, so a crash repeats work but the
+ledger never names a file that the current snapshot lacks.
 """
 
 from __future__ import annotations

@@ -115,7 +115,8 @@ def search(queries: DataFrame, index: DataFrame, *, rules: RerankRules = RerankR
 
     items = index_items(index)
     if plan == "auto":
-        n_q = good.count()
+        # the raw request count bounds the embedded query side (no UDF needed to count)
+        n_q = queries.count()
         plan = "broadcast" if n_q * dim * 8 <= K.MAX_BROADCAST_BYTES else "grid"
     hits = K.knn(good.select("qid", "qvec", F.col("version").alias("qversion")),
                  items, C.CANDIDATE_CAP, default_min_score=C.FALLBACK_MIN_SCORE, plan=plan)

@@ -22,8 +22,8 @@ def build_index(spark: SparkSession, pages: DataFrame, base_dir: str, version: s
                 mode: str = "replace", embed=None, skip: str = "hash") -> dict:
     """Convert and ingest ``pages(page_id, file_path, html)`` into ``base_dir``.
 
-    Writes a new index snapshot, then appends ledger and error rows, then moves
-    the ``current`` pointer; returns the paths and the run id.
+    Writes a new index snapshot, moves the ``current`` pointer to it, then
+    appends ledger and error rows; returns the snapshot path and the run id.
     """
     run_id = IX.new_run_id()
     converted = CV.pages_to_markdown(pages, selector)
@@ -35,10 +35,12 @@ def build_index(spark: SparkSession, pages: DataFrame, base_dir: str, version: s
     conv_err = converted.filter(F.col("error").isNotNull()).select(
         F.lit(version).alias("version"), "file_path", F.lit("convert").alias("stage"), "error",
         F.current_timestamp().alias("ts"))
+    # snapshot, then pointer, then ledger (see streaming.ingest_stream for why)
     path = IX.write_snapshot(nxt, base_dir, run_id)
+    spark.createDataFrame([(path,)], "path string").withColumn(
+            "ts", F.current_timestamp()).write.mode("append").parquet(current)
     led.write.mode("append").parquet(f"{base_dir}/ledger")
     errors.unionByName(conv_err).write.mode("append").parquet(f"{base_dir}/errors")
-    spark.createDataFrame([(path,)], "path string").write.mode("append").parquet(current)
     return {"run_id": run_id, "snapshot": path}
 
 

@@ -3,7 +3,7 @@
 ``readStream`` over the tree with ``trigger(availableNow=True)``: the stream
 checkpoint records which files were read, so a rerun picks up only new files.
 Each micro-batch is chunked, embedded and merged into a new index snapshot;
-its ledger rows are appended after the snapshot is written.  Changed files at
+the pointer to the snapshot is appended next and the ledger rows last.  Changed files at
 a known path are not re-read by the file source: run the batch ``changes``
 job (hash ledger, D7) for those.
 """
@@ -38,9 +38,14 @@ def start_ingest(spark: SparkSession, root: str, base_dir: str, checkpoint: str,
         ledger = IX.read_or_empty(s, ledger_path, IX.LEDGER_SCHEMA)
         run_id = f"epoch{epoch:08d}-{IX.new_run_id()}"
         nxt, led = IN.ingest_batch(batch, existing, ledger, run_id, mode=mode)
+        # commit order: snapshot, then the pointer to it, then the ledger.  A crash
+        # before the ledger append only makes the next run redo these files, and
+        # replacing them again is idempotent; the ledger never names a file whose
+        # chunks are missing from the current snapshot.
         path = IX.write_snapshot(nxt, base_dir, run_id)
+        s.createDataFrame([(path,)], "path string").withColumn(
+            "ts", F.current_timestamp()).write.mode("append").parquet(current)
         led.write.mode("append").parquet(ledger_path)
-        s.createDataFrame([(path,)], "path string").write.mode("append").parquet(current)
 
     return (docs.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -48,7 +53,7 @@ def start_ingest(spark: SparkSession, root: str, base_dir: str, checkpoint: str,
 
 def _latest_snapshot(spark: SparkSession, current: str) -> str | None:
     try:
-        rows = spark.read.parquet(current).orderBy(F.desc("path")).head(1)
+        rows = spark.read.parquet(current).orderBy(F.desc("ts"), F.desc("path")).head(1)
     except Exception:
         return None
     return rows[0]["path"] if rows else None
