@@ -104,3 +104,18 @@ def test_file_sources_and_end_to_end_job(spark):
     assert res and res[0].file_path in ("guide/intro.md", "index.md")
     md = files.read_markdown_tree(spark, root)
     assert md.count() == 0
+
+
+def test_parity_switches(spark):
+    from tomefold.operators import convert as CV
+    doc = "# A\nintro\n```\n# not a heading\ncode\n```\n# B\nend"
+    df = spark.createDataFrame([("v", "f.md", doc)], "version string, file_path string, content string")
+    plain = CH.chunk_documents(df).collect()
+    aware = CH.chunk_documents(df, CH.ChunkParams(fence_aware=True)).collect()
+    assert plain[0].heading_path == ["A", "not a heading", "B"]
+    assert aware[0].heading_path == ["A", "B"]
+    assert "# not a heading" in "".join(r.raw_chunk for r in aware) and "\u0000" not in "".join(r.raw_chunk for r in aware)
+    with_v = CH.chunk_documents(df, CH.ChunkParams(id_includes_version=True)).collect()
+    assert {r.chunk_id for r in with_v}.isdisjoint({r.chunk_id for r in plain})
+    md, _ = CV.html_to_markdown("<h1>Title</h1><h2>Sub</h2><h3>Deep</h3><p>x</p>", heading_style="underlined")
+    assert md.startswith("Title\n=====\n\nSub\n---\n\n### Deep")

@@ -25,6 +25,20 @@ class ChunkParams:
     min_section_tokens: int = C.MIN_SECTION_TOKENS
     source_root: str = C.SOURCE_ROOT
     counter: str = "words"  # or "pretoken"
+    fence_aware: bool = False          # Q2: `#` lines inside ``` fences neither split nor count as headings
+    id_includes_version: bool = False  # Q9: put the version into the chunk id hash
+
+
+# a `#` line inside a fence gets this mark in front of the `#` while chunking
+FENCE_MARK = "\u0000"
+
+
+def protect_fences(content) -> Column:
+    """Mark ``#`` lines inside ``` fences so the splitter and the heading
+    extraction skip them; the mark is removed from the chunks again."""
+    pieces = F.split(T._c(content), "(?m)^```", -1)
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(
+        i % 2 == 1, F.regexp_replace(p, "\n([ \t]*)#", "\n$1" + FENCE_MARK + "#")).otherwise(p)), "```")
 
 
 def _empty():
@@ -138,6 +152,8 @@ def chunk_documents(docs: DataFrame, params: ChunkParams = ChunkParams()) -> Dat
     """
     d = (docs.filter(~T.is_blank("content"))
          .select("version", "file_path", "content"))
+    if params.fence_aware:
+        d = d.withColumn("content", protect_fences("content"))
     per_doc = d.select(
         "version", "file_path",
         T.heading_list("content").alias("heading_path"),
@@ -149,10 +165,16 @@ def chunk_documents(docs: DataFrame, params: ChunkParams = ChunkParams()) -> Dat
     rows = per_doc.select(
         "version", "file_path", "title", "heading_path",
         F.posexplode_outer("chunks").alias("chunk_index", "raw_chunk")).filter(F.col("raw_chunk").isNotNull())
+    if params.fence_aware:
+        rows = rows.withColumn("raw_chunk", F.replace("raw_chunk", F.lit(FENCE_MARK), F.lit("")))
+        rows = rows.withColumn("heading_path", F.transform(
+            "heading_path", lambda h: F.replace(h, F.lit(FENCE_MARK), F.lit(""))))
+    id_path = T.full_path_of("file_path", params.source_root)
+    if params.id_includes_version:
+        id_path = F.concat_ws("_", F.col("version"), id_path)
     return rows.select(
         "version", "file_path", "chunk_index",
-        T.chunk_id_of(T.full_path_of("file_path", params.source_root), "chunk_index", "raw_chunk")
-        .alias("chunk_id"),
+        T.chunk_id_of(id_path, "chunk_index", "raw_chunk").alias("chunk_id"),
         T.py_strip("raw_chunk").alias("content"),
         "raw_chunk",
         T.section_of("file_path").alias("section"),

@@ -83,7 +83,7 @@ def _select(events, selector: MainSelector):
     return None
 
 
-def _render(events) -> str:
+def _render(events, heading_style: str = "atx") -> str:
     out: list[str] = []
     skip = 0
     pre = 0
@@ -96,7 +96,10 @@ def _render(events) -> str:
             if skip:
                 continue
             if re.fullmatch(r"h[1-6]", tag):
-                out.append("\n\n" + "#" * int(tag[1]) + " ")
+                if heading_style == "underlined" and tag in ("h1", "h2"):
+                    out.append("\n\n\x02")
+                else:
+                    out.append("\n\n" + "#" * int(tag[1]) + " ")
             elif tag in _BLOCK:
                 out.append("\n\n")
                 if tag in ("ul", "ol"):
@@ -126,7 +129,9 @@ def _render(events) -> str:
                 continue
             if skip:
                 continue
-            if re.fullmatch(r"h[1-6]", tag) or tag in _BLOCK:
+            if heading_style == "underlined" and tag in ("h1", "h2"):
+                out.append("\x03" + tag[1] + "\n\n")
+            elif re.fullmatch(r"h[1-6]", tag) or tag in _BLOCK:
                 out.append("\n\n")
                 if tag in ("ul", "ol") and lists:
                     lists.pop()
@@ -145,6 +150,9 @@ def _render(events) -> str:
         elif not skip:
             out.append(tag if pre else re.sub(r"\s+", " ", tag))
     md = "".join(out)
+    # setext headings: the text underlined with = (h1) or - (h2)
+    md = re.sub(r"\x02\s*(.*?)\s*\x03([12])", lambda m: m.group(1) + "\n" + ("=" if m.group(2) == "1" else "-")
+                * max(len(m.group(1)), 3), md, flags=re.S)
     # headings are one line; blank-line runs collapse to one blank line
     md = re.sub(r"(?m)^(#{1,6} )[ \t]+", r"\1", md)
     md = re.sub(r"[ \t]+\n", lambda m: "  \n" if m.group(0).startswith("  ") else "\n", md)
@@ -152,14 +160,18 @@ def _render(events) -> str:
     return md.strip() + "\n"
 
 
-def html_to_markdown(html: str, selector: MainSelector = DEFAULT_SELECTOR) -> tuple[str, bool]:
+def html_to_markdown(html: str, selector: MainSelector = DEFAULT_SELECTOR,
+                     heading_style: str = "atx") -> tuple[str, bool]:
+    """Markdown of the selected element (or the whole page) and whether the
+    fallback was used.  ``heading_style="underlined"`` writes h1/h2 as setext
+    headings (Q18), which the ``#`` splitter does not see."""
     p = _Events()
     p.feed(html)
     p.close()
     main = _select(p.events, selector)
     if main is None:
-        return _render(p.events), True
-    return _render(main), False
+        return _render(p.events, heading_style), True
+    return _render(main, heading_style), False
 
 
 _OUT = TY.StructType([
@@ -171,14 +183,15 @@ _OUT = TY.StructType([
 ])
 
 
-def pages_to_markdown(pages: DataFrame, selector: MainSelector = DEFAULT_SELECTOR) -> DataFrame:
+def pages_to_markdown(pages: DataFrame, selector: MainSelector = DEFAULT_SELECTOR,
+                      heading_style: str = "atx") -> DataFrame:
     """``pages(page_id, file_path, html)`` -> ``(page_id, file_path, markdown, used_fallback, error)``."""
     def run(batches):
         for pdf in batches:
             mds, fbs, errs = [], [], []
             for h in pdf["html"]:
                 try:
-                    md, fb = html_to_markdown(h or "", selector)
+                    md, fb = html_to_markdown(h or "", selector, heading_style)
                     mds.append(md), fbs.append(fb), errs.append(None)
                 except Exception as err:  # reported per page, like the per-file catch
                     mds.append(None), fbs.append(None), errs.append(f"{type(err).__name__}: {err}")

@@ -202,6 +202,9 @@ def _broadcast_plan(q: DataFrame, it: DataFrame, k: int) -> DataFrame:
     codes = {v: i for i, v in enumerate(versions)}
     qver = np.array([codes.get(v, ANY_VERSION) if isinstance(v, str) and v != "" else ANY_VERSION
                      for v in pdf["qversion"]])
+    if "version" in it.columns and len(versions) and (qver != ANY_VERSION).all():
+        # every query names its version(s): only those partitions are read
+        it = it.filter(F.col("version").isin(versions))
     qmat = np.stack(pdf["qvec"].to_numpy()).astype(np.float64)
     bc = it.sparkSession.sparkContext.broadcast(
         (pdf["qid"].to_numpy(np.int64), qmat, qver, pdf["qmin"].to_numpy(np.float64), codes))
