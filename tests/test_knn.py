@@ -34,7 +34,8 @@ def test_broadcast_equals_grid_equals_bruteforce(spark):
 def test_ivf_probing_every_cell_is_exact(spark):
     _, q, it = _frames(spark)
     exact = sorted((r.qid, r.item_id) for r in K.knn(q, it, 5).collect())
-    approx = sorted((r.qid, r.item_id) for r in K.knn_ivf(q, it, 5, n_cells=6, n_probe=6, block_rows=16).collect())
+    approx = sorted((r.qid, r.item_id) for r in K.knn_ivf(q, it, 5, n_cells=6, n_probe=6, block_rows=16,
+                                                                    full_scan_threshold=0).collect())
     assert approx == exact
 
 
@@ -44,3 +45,11 @@ def test_version_filter_and_floor(spark):
                                "item_id string, vector array<float>, version string")
     got = sorted((r.qid, r.item_id) for r in K.knn(q, it, 5, default_min_score=0.5).collect())
     assert got == [(1, "x"), (2, "x"), (2, "y")]
+
+
+def test_ivf_recall_with_few_probes(spark):
+    _, q, it = _frames(spark)
+    exact = {(r.qid, r.item_id) for r in K.knn(q, it, 10).collect()}
+    approx = {(r.qid, r.item_id) for r in
+              K.knn_ivf(q, it, 10, n_cells=8, n_probe=4, full_scan_threshold=0).collect()}
+    assert len(approx & exact) / len(exact) > 0.5

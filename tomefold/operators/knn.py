@@ -250,6 +250,8 @@ def _block_topk(qpdf: pd.DataFrame, ipdf: pd.DataFrame, k: int) -> pd.DataFrame:
 
 # --------------------------------------------------------------------------- A7
 MAX_CELLS = 16384
+# fixed value: below this many vectors the approximate search scans exactly
+FULL_SCAN_THRESHOLD = 10000
 
 
 def _unit(v):
@@ -260,14 +262,15 @@ def _unit(v):
 
 def knn_ivf(queries: DataFrame, items: DataFrame, k: int, *, n_cells: int | None = None,
             n_probe: int = 8, block_rows: int = GRID_BLOCK_ROWS, seed: int = 1,
-            max_iter: int = 20) -> DataFrame:
+            max_iter: int = 20, full_scan_threshold: int = FULL_SCAN_THRESHOLD) -> DataFrame:
     """Approximate top-k (A7): an inverted-file index.
 
     Cells are k-means centroids of the unit item vectors (``pyspark.ml``,
     distributed).  Each query is scored only against the items of its
     ``n_probe`` nearest cells.  A cell larger than ``block_rows`` is split by
     a hash salt and the query is replicated over the salts, so a hot cell never
-    lands in one task.  Scores are exact cosine for the items looked at.
+    lands in one task.  Scores are exact cosine for the items looked at.  At or
+    below ``full_scan_threshold`` items the exact kNN is used instead.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -275,6 +278,9 @@ def knn_ivf(queries: DataFrame, items: DataFrame, k: int, *, n_cells: int | None
     spark = items.sparkSession
     it = items.filter(F.col("vector").isNotNull()).select("item_id", "vector")
     n = it.count()
+    if n <= full_scan_threshold:
+        # small collections are scanned exactly, like the store's full-scan cut-off
+        return knn(queries, it, k)
     cells = max(1, min(MAX_CELLS, n_cells or int(math.sqrt(max(n, 1)))))
     feats = it.withColumn("features", array_to_vector(_unit(F.col("vector"))))
     model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="features",

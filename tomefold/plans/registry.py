@@ -606,8 +606,9 @@ def q_chunk_pages(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- A7
-@register("knn_approx")
+@register("knn_approx", ORACLE["knn_topk"])  # exact at or below the full-scan cut-off
 def q_knn_approx(spark, sf_dir):
+    """Approximate top-10 (A7); exact at or below the 10000-vector full-scan cut-off."""
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     q = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     it = e.select(F.col("vec_id").cast("string").alias("item_id"), F.col("embedding").alias("vector"))
