@@ -43,10 +43,10 @@ SQL_CONV_DOCS = (
 _URL = "'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)'"
 
 
-def sql_page_path(url: str) -> str:
+def sql_page_path(url: str, page_id: str = "page_id") -> str:
     path = f"regexp_replace(regexp_replace(regexp_extract({url}, {_URL}, 2), '^/+|/+$', '', 'g'), '\\.html?$', '')"
     return (f"(regexp_extract({url}, {_URL}, 1) || '/' || "
-            f"(CASE WHEN {path} = '' THEN 'index' ELSE {path} END) || '.md')")
+            f"(CASE WHEN {path} = '' THEN 'index' ELSE {path} END) || '/' || CAST({page_id} AS VARCHAR) || '.md')")
 
 
 def both_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ SELECT page_id, {sql_page_path('url')} AS file_path,
        {S.doc_url(sql_page_path('url'))} AS doc_url
 FROM pages""")
 def q_path_metadata(spark, sf_dir):
-    p = table(spark, sf_dir, "pages", "page_id", "url").withColumn("file_path", D.page_file_path("url"))
+    p = table(spark, sf_dir, "pages", "page_id", "url").withColumn("file_path", D.page_file_path("url", "page_id"))
     return p.select("page_id", "file_path", T.section_of("file_path").alias("section"),
                     T.content_type_of("file_path").alias("content_type"),
                     T.doc_url_of("file_path").alias("doc_url"))
@@ -565,7 +565,7 @@ from ..operators import convert as CV  # noqa: E402
 
 
 def converted_pages(spark: SparkSession, sf_dir: str, selector=CV.DEFAULT_SELECTOR) -> DataFrame:
-    p = table(spark, sf_dir, "pages", "page_id", "url", "html").withColumn("file_path", D.page_file_path("url"))
+    p = table(spark, sf_dir, "pages", "page_id", "url", "html").withColumn("file_path", D.page_file_path("url", "page_id"))
     return CV.pages_to_markdown(p, selector)
 
 

@@ -43,14 +43,18 @@ def conversation_docs(spark: SparkSession, sf_dir: str, version: str = C.DEFAULT
         F.concat(F.format_string("# Conversation %d\n\n", "conv_id"), body).alias("content"))
 
 
-def page_file_path(url) -> F.Column:
-    """``scheme://host/a/b.html?x#y`` -> ``host/a/b.md`` (index.md for an empty path)."""
+def page_file_path(url, page_id) -> F.Column:
+    """``scheme://host/a/b.html?x#y`` of page 7 -> ``host/a/b/7.md``.
+
+    URLs that differ only in query or fragment map to the same path, so the page
+    id names the file (``index`` stands for an empty path)."""
     u = F.col(url) if isinstance(url, str) else url
+    pid = F.col(page_id) if isinstance(page_id, str) else page_id
     host = F.regexp_extract(u, _URL_RE, 1)
     path = F.regexp_replace(F.regexp_extract(u, _URL_RE, 2), r"^/+|/+$", "")
     path = F.regexp_replace(path, r"\.html?$", "")
     path = F.when(path == "", F.lit("index")).otherwise(path)
-    return F.concat(host, F.lit("/"), path, F.lit(".md"))
+    return F.concat(host, F.lit("/"), path, F.lit("/"), pid.cast("string"), F.lit(".md"))
 
 
 def two_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
