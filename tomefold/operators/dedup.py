@@ -40,46 +40,67 @@ MINHASH_PRIME = (1 << 31) - 1  # keeps a * x + b inside uint64
 MINHASH_CELLS = 1 << 24        # hash values x permutations held at once (128 MB)
 
 
-def _minhash_udf(num_perm: int, seed: int):
+_SHINGLE_MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(1))
+
+
+def _signature_udf(num_perm: int, seed: int, k: int):
+    """Word hashes -> (distinct shingle hashes, MinHash signature), per row.
+
+    A shingle hash combines ``k`` consecutive word hashes (uint64 arithmetic);
+    a text with fewer than ``k`` words is one shingle.  Vectorised over the
+    Arrow batch in slices of about ``MINHASH_CELLS`` values x permutations.
+    """
     rng = np.random.default_rng(seed)
     a = rng.integers(1, MINHASH_PRIME, size=num_perm, dtype=np.uint64)
     b = rng.integers(0, MINHASH_PRIME, size=num_perm, dtype=np.uint64)
     p = np.uint64(MINHASH_PRIME)
-
-    @F.pandas_udf(TY.ArrayType(TY.LongType()))
-    def minhash(hashes: pd.Series) -> pd.Series:
-        arr = pa.array(hashes, type=pa.list_(pa.int64()))
-        offsets = arr.offsets.to_numpy()
-        vals = arr.values.to_numpy(zero_copy_only=False).view(np.uint64) % p
-        lengths = np.diff(offsets)
-        out = np.zeros((len(lengths), num_perm), dtype=np.int64)
-        # slices of whole rows, about MINHASH_CELLS hash values x permutations at a time
+    mult = [np.uint64(int(_SHINGLE_MULT[j % 3]) * (j + 1) % (1 << 64)) for j in range(k)]
+    schema = TY.StructType([TY.StructField("sh", TY.ArrayType(TY.LongType())),
+                            TY.StructField("mh", TY.ArrayType(TY.LongType()))])
+
+    @F.pandas_udf(schema)
+    def signature(word_hashes: pd.Series) -> pd.DataFrame:
+        arr = pa.array(word_hashes, type=pa.list_(pa.int64()))
+        offs = arr.offsets.to_numpy()
+        words = arr.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        shingles = []
+        with np.errstate(over="ignore"):
+            for r in range(len(offs) - 1):
+                w = words[offs[r]:offs[r + 1]]
+                if len(w) == 0:
+                    shingles.append(np.empty(0, np.uint64))
+                    continue
+                m = max(1, len(w) - k + 1)
+                h = np.zeros(m, np.uint64)
+                for j in range(min(k, len(w))):
+                    h = h + w[j:j + m] * mult[j]
+                shingles.append(np.unique(h))
+        lengths = np.array([len(x) for x in shingles], dtype=np.int64)
+        mh = np.zeros((len(shingles), num_perm), dtype=np.int64)
         start = 0
-        while start < len(lengths):
+        while start < len(shingles):
             stop, cells = start, 0
-            while stop < len(lengths) and (stop == start or cells + lengths[stop] * num_perm <= MINHASH_CELLS):
+            while stop < len(shingles) and (stop == start or cells + lengths[stop] * num_perm <= MINHASH_CELLS):
                 cells += lengths[stop] * num_perm
                 stop += 1
             rows = np.arange(start, stop)
             rows = rows[lengths[rows] > 0]
             if len(rows):
-                lo, hi = offsets[start], offsets[stop]
-                hv = (np.multiply.outer(a, vals[lo:hi]) + b[:, None]) % p
-                out[rows] = np.minimum.reduceat(hv, offsets[rows] - lo, axis=1).T.astype(np.int64)
+                vals = np.concatenate([shingles[r] for r in rows]) % p
+                starts = np.concatenate([[0], np.cumsum(lengths[rows])[:-1]])
+                hv = (np.multiply.outer(a, vals) + b[:, None]) % p
+                mh[rows] = np.minimum.reduceat(hv, starts, axis=1).T.astype(np.int64)
             start = stop
-        return pd.Series([None if n == 0 else row for row, n in zip(out, lengths)], dtype=object)
-    return minhash
+        return pd.DataFrame({
+            "sh": [x.view(np.int64) if len(x) else None for x in shingles],
+            "mh": [row if n else None for row, n in zip(mh, lengths)]})
+    return signature
 
 
-def shingle_hashes(text, k: int = 3) -> Column:
-    """Distinct xxhash64 of word k-grams (letters/digits, lower-cased)."""
-    def body(words):
-        n = F.size(words)
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))),
-                            lambda i: F.array_join(F.slice(words, i, k), " "))
-        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(
-            F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))))
-    return T.let(F.regexp_extract_all(F.lower(T._c(text)), F.lit(r"[\p{L}\p{N}]+"), 0), body)
+def word_hashes(text) -> Column:
+    """xxhash64 of each lower-cased letter/digit word, in text order."""
+    return F.transform(F.regexp_extract_all(F.lower(T._c(text)), F.lit(r"[\p{L}\p{N}]+"), 0),
+                       lambda w: F.xxhash64(w))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
@@ -92,12 +113,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of size >= 2.
     """
     spark = docs.sparkSession
-    sh = docs.select(F.col(id_col).alias("id"), shingle_hashes(text_col, k).alias("sh")) \
-        .filter(F.size("sh") > 0)
     ensure_checkpoint_dir(spark)
     # signatures are read three times (buckets, both sides of the Jaccard check):
     # write them once to reliable storage
-    sig = sh.withColumn("mh", _minhash_udf(bands * rows, seed)(F.col("sh"))).checkpoint()
+    sig = (docs.select(F.col(id_col).alias("id"),
+                       _signature_udf(bands * rows, seed, k)(word_hashes(text_col)).alias("s"))
+           .select("id", "s.sh", "s.mh").filter(F.col("mh").isNotNull()).checkpoint())
     bucket = sig.select("id", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda bi: F.xxhash64(F.slice("mh", bi * rows + 1, rows)))).alias("band", "bkey"))
@@ -116,7 +137,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the verified edges are read by every iteration: materialise them once
     both = both.checkpoint()
     labels = both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
-    for it in range(max_iter):
+    for _round in range(max_iter):
         nbr = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(
             F.min("label").alias("nl"))
         new = (labels.join(nbr.withColumnRenamed("src", "id"), "id", "left")
