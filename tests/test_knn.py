@@ -53,3 +53,19 @@ def test_ivf_recall_with_few_probes(spark):
     approx = {(r.qid, r.item_id) for r in
               K.knn_ivf(q, it, 10, n_cells=8, n_probe=4, full_scan_threshold=0).collect()}
     assert len(approx & exact) / len(exact) > 0.5
+
+
+def test_ties_at_the_cut_keep_smallest_ids(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, qvec array<float>")
+    rows = [(f"id{i:03d}", [1.0, 0.0]) for i in range(60, 0, -1)] + [("best", [1.0, 0.0]), ("far", [0.0, 1.0])]
+    it = spark.createDataFrame(rows, "item_id string, vector array<float>").repartition(3)
+    for plan in ("broadcast", "grid"):
+        got = [r.item_id for r in K.knn(q, it, 5, plan=plan, block_rows=7).orderBy("rank").collect()]
+        assert got == ["best", "id001", "id002", "id003", "id004"], plan
+
+
+def test_merge_topk_unit():
+    s = np.array([[0.5, 0.9, 0.5, 0.5, -np.inf]])
+    ids = np.array([["c", "a", "b", "d", "e"]], dtype=object)
+    out_s, out_id = K._merge_topk(None, None, s, ids, 3)
+    assert sorted(zip(out_s[0], out_id[0])) == [(0.5, "b"), (0.5, "c"), (0.9, "a")]

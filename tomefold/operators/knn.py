@@ -58,22 +58,34 @@ def _scores(q: np.ndarray, q2: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _merge_topk(best_s, best_id, s, ids, k):
-    """Keep the k best (score desc, id asc) per row across two candidate sets."""
+    """Keep the k best (score desc, id asc) per row across two candidate sets.
+
+    Vectorised: everything above the row's k-th score is kept; only rows with a
+    tie exactly at the cut choose among the tied ids in Python (smallest ids
+    win).  The order inside the k kept entries is left to the final window.
+    """
     if best_s is not None:
         s = np.concatenate([best_s, s], axis=1)
         ids = np.concatenate([best_id, ids], axis=1)
-    if s.shape[1] > k:
-        kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k][:, None]
-        keep = (s >= kth) & np.isfinite(s)  # ties at the cut stay in; order decided below
-        out_s = np.full((s.shape[0], k), -np.inf)
-        out_id = np.empty((s.shape[0], k), dtype=object)
-        for r in range(s.shape[0]):
-            idx = np.nonzero(keep[r])[0]
-            order = sorted(idx, key=lambda j: (-s[r, j], ids[r, j]))[:k]
-            out_s[r, :len(order)] = s[r, order]
-            out_id[r, :len(order)] = ids[r, order]
-        return out_s, out_id
-    return s, ids
+    n_rows, m = s.shape
+    if m <= k:
+        return s, ids
+    kth = np.partition(s, m - k, axis=1)[:, m - k][:, None]
+    above = s > kth
+    tied = (s == kth) & np.isfinite(s)
+    need = k - above.sum(axis=1)
+    keep = above | tied
+    over = np.nonzero(tied.sum(axis=1) > need)[0]
+    for r in over:  # rare: more ties at the cut than places left
+        cols = np.nonzero(tied[r])[0]
+        chosen = sorted(cols, key=lambda j: ids[r, j])[:need[r]]
+        keep[r, cols] = False
+        keep[r, chosen] = True
+    key = np.where(keep, s, -np.inf)
+    sel = np.argpartition(-key, k - 1, axis=1)[:, :k]
+    out_s = np.take_along_axis(key, sel, axis=1)
+    out_id = np.take_along_axis(np.asarray(ids, dtype=object), sel, axis=1)
+    return out_s, out_id
 
 
 class _TopK:
