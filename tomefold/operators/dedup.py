@@ -94,7 +94,7 @@ def _signature_udf(num_perm: int, seed: int, k: int):
         return pd.DataFrame({
             "sh": [x.view(np.int64) if len(x) else None for x in shingles],
             "mh": [row if n else None for row, n in zip(mh, lengths)]})
-    return signature
+    return signature.asNondeterministic()  # never duplicated into pushed-down filters
 
 
 def word_hashes(text) -> Column:

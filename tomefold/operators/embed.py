@@ -53,7 +53,9 @@ def _bincount_factory(dim: int):
         empty = (lengths == 0) | np.asarray(hashes.isna())
         out = [None if e else row for row, e in zip(mat, empty)]
         return pd.Series(out, dtype=object)
-    return signed_counts
+    # marked non-deterministic only so that Catalyst never copies the call into a
+    # pushed-down filter (which would run the Python worker twice per row)
+    return signed_counts.asNondeterministic()
 
 
 _UDFS: dict[int, object] = {}

@@ -318,6 +318,7 @@ def knn_ivf(queries: DataFrame, items: DataFrame, k: int, *, n_cells: int | None
             s = c @ np.asarray(v, dtype=np.float64)
             out.append(np.argsort(-s, kind="stable")[:probe_n].astype(np.int32))
         return pd.Series(out, dtype=object)
+    probe = probe.asNondeterministic()  # never duplicated into pushed-down filters
 
     q = queries.filter(F.col("qvec").isNotNull()).select(
         "qid", "qvec", F.lit(None).cast("string").alias("qversion"), F.lit(-math.inf).alias("qmin"))
