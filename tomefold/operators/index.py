@@ -123,7 +123,7 @@ def write_snapshot(index: DataFrame, base_dir: str, run_id: str) -> str:
 
 
 # --------------------------------------------------------------------------- S8, A2
-def ledger_rows(docs: DataFrame, chunks: DataFrame | None, run_id: str) -> DataFrame:
+def ledger_rows(docs: DataFrame, chunks: DataFrame | None, run_id) -> DataFrame:
     """One ledger row per committed document: its content hash and chunk count
     (``chunks=None`` records hashes only)."""
     base = docs.select("version", "file_path", content_hash("content").alias("content_hash"))
@@ -133,8 +133,9 @@ def ledger_rows(docs: DataFrame, chunks: DataFrame | None, run_id: str) -> DataF
         # blank files and files without chunks count as done but are not marked
         counts = chunks.groupBy("version", "file_path").agg(F.count("*").cast("int").alias("n_chunks"))
         base = base.join(counts, ["version", "file_path"], "inner")
+    run = run_id if isinstance(run_id, F.Column) else F.lit(run_id)
     return base.select("version", "file_path", "content_hash", "n_chunks",
-                       F.lit(run_id).alias("run_id"), F.current_timestamp().alias("ts"))
+                       run.alias("run_id"), F.current_timestamp().alias("ts"))
 
 
 def ledger_totals(ledger: DataFrame) -> DataFrame:

@@ -110,7 +110,9 @@ def search(queries: DataFrame, index: DataFrame, *, rules: RerankRules = RerankR
                         F.coalesce("limit", F.lit(C.SEARCH_LIMIT)).alias("limit"),
                         F.coalesce("min_score", F.lit(C.SEARCH_MIN_SCORE)).alias("min_score"))
          .withColumn("qvec", emb(F.col("query"))))
-    q = q.withColumn("bad", F.col("qvec").isNull() | (F.size("qvec") != dim))
+    # the embedded request table (one row per query) feeds several branches:
+    # embed once
+    q = q.withColumn("bad", F.col("qvec").isNull() | (F.size("qvec") != dim)).persist()
     good = q.filter(~F.col("bad"))
 
     items = index_items(index)

@@ -635,14 +635,19 @@ def q_ledger_totals(spark, sf_dir):
 
 
 @register("uncommitted_cleanup", f"""
-SELECT version, file_path, chunk_index, chunk_id, 'run-1' AS run_id FROM ({_sql_chunks(SQL_OLD)})""")
+SELECT version, file_path, chunk_index, chunk_id, 'old-' || split_part(file_path, '/', 2) AS run_id
+FROM ({_sql_chunks(SQL_OLD)})""")
 def q_uncommitted_cleanup(spark, sf_dir):
-    """Index rows of a run without a ledger commit are dropped (D11): the old
-    tree was committed by run-1; the new tree's rows from run-2 never were."""
+    """Index rows of a run without a ledger commit are dropped (D11).  One run
+    per document source and version; the old tree's runs committed their ledger
+    rows, the new tree's runs never did."""
     old, new = D.two_versions(spark, sf_dir)
-    idx = (_chunks_of(old).withColumn("run_id", F.lit("run-1"))
-           .unionByName(_chunks_of(new).withColumn("run_id", F.lit("run-2"))))
-    ledger = IX.ledger_rows(old, None, "run-1")
+
+    def run_of(prefix):
+        return F.concat(F.lit(prefix), F.split_part(F.col("file_path"), F.lit("/"), F.lit(2)))
+    idx = (_chunks_of(old).withColumn("run_id", run_of("old-"))
+           .unionByName(_chunks_of(new).withColumn("run_id", run_of("new-"))))
+    ledger = IX.ledger_rows(old, None, run_of("old-"))
     return IN.drop_uncommitted(idx, ledger)
 
 
