@@ -307,9 +307,9 @@ first AS (
                  FROM boosted WHERE boosted >= {M}) WHERE pos <= {L}),
 fb AS (SELECT * FROM cand WHERE rank <= {C.FALLBACK_K} AND qid NOT IN (SELECT qid FROM first)),
 results AS (
-  SELECT qid, CAST(pos AS INTEGER) AS rank, 'hit' AS stage, {cols}, round(boosted, {C.SCORE_DIGITS}) AS similarity_score FROM first
+  SELECT qid, CAST(pos AS BIGINT) AS rank, 'hit' AS stage, {cols}, round(boosted, {C.SCORE_DIGITS}) AS similarity_score FROM first
   UNION ALL
-  SELECT qid, CAST(rank AS INTEGER), 'fallback', {cols}, round(score, {C.SCORE_DIGITS}) FROM fb
+  SELECT qid, CAST(rank AS BIGINT), 'fallback', {cols}, round(score, {C.SCORE_DIGITS}) FROM fb
   UNION ALL
   SELECT qid, 1, 'none', {S.lit(no_res[0])} || query || {S.lit(no_res[1])}, '{C.NO_RESULTS_TITLE}', '',
          '{C.NO_RESULTS_SECTION}', '', '', false, '{C.NO_RESULTS_TYPE}', coalesce(nullif(version, ''), '{C.UNKNOWN_VERSION}'),
@@ -443,7 +443,7 @@ WITH d AS (SELECT version, file_path, {S.is_blank('content')} AS blank FROM {SQL
      s AS (SELECT d.version, CASE WHEN blank THEN 'empty' WHEN coalesce(c.n, 0) = 0 THEN 'no_chunks'
                   ELSE 'processed' END AS status, coalesce(c.n, 0) AS n
            FROM d LEFT JOIN c USING (version, file_path))
-SELECT version, status, count(*) AS n_files, sum(n) AS n_chunks FROM s GROUP BY ALL""")
+SELECT version, status, count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_chunks FROM s GROUP BY ALL""")
 def q_coverage(spark, sf_dir):
     docs = both_docs(spark, sf_dir)
     return IN.coverage_summary(IN.coverage(docs, CH.chunk_documents(docs)))
@@ -456,8 +456,8 @@ SQL_INDEX = f"""(WITH chunks AS ({_sql_chunks(SQL_TWO_VERSIONS)}),
 
 @register("index_stats", f"""
 SELECT version, count(*) AS n_chunks, count(DISTINCT file_path) AS n_files,
-       sum(CAST(has_code AS INTEGER)) AS n_code_chunks,
-       sum(CASE WHEN vec IS NULL THEN 1 ELSE 0 END) AS n_without_vector
+       CAST(sum(CAST(has_code AS INTEGER)) AS BIGINT) AS n_code_chunks,
+       CAST(sum(CASE WHEN vec IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_without_vector
 FROM {SQL_INDEX} GROUP BY version""")
 def q_index_stats(spark, sf_dir):
     return IX.index_stats(search_index(spark, sf_dir))
@@ -466,14 +466,14 @@ def q_index_stats(spark, sf_dir):
 @register("chunk_quality", f"""
 SELECT version, count(*) AS n_chunks, avg(n_tokens) AS avg_tokens,
        quantile_cont(n_tokens, 0.5) AS p50_tokens, quantile_cont(n_tokens, 0.9) AS p90_tokens,
-       max(n_tokens) AS max_tokens, sum(CAST(has_code AS INTEGER)) AS n_code,
-       sum(CAST(content_type = 'tutorial' AS INTEGER)) AS n_tutorial,
-       sum(CAST(content_type = 'example' AS INTEGER)) AS n_example,
-       sum(CAST(content_type = 'api' AS INTEGER)) AS n_api,
-       sum(CAST(content_type = 'reference' AS INTEGER)) AS n_reference,
-       sum(CASE WHEN vec IS NULL THEN 1 ELSE 0 END) AS n_no_vector,
-       sum(CASE WHEN len(vec) <> {DIM} THEN 1 ELSE 0 END) AS n_bad_dim,
-       sum(CASE WHEN list_dot_product(vec, vec) = 0 THEN 1 ELSE 0 END) AS n_zero_vector
+       max(n_tokens) AS max_tokens, CAST(sum(CAST(has_code AS INTEGER)) AS BIGINT) AS n_code,
+       CAST(sum(CAST(content_type = 'tutorial' AS INTEGER)) AS BIGINT) AS n_tutorial,
+       CAST(sum(CAST(content_type = 'example' AS INTEGER)) AS BIGINT) AS n_example,
+       CAST(sum(CAST(content_type = 'api' AS INTEGER)) AS BIGINT) AS n_api,
+       CAST(sum(CAST(content_type = 'reference' AS INTEGER)) AS BIGINT) AS n_reference,
+       CAST(sum(CASE WHEN vec IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_no_vector,
+       CAST(sum(CASE WHEN len(vec) <> {DIM} THEN 1 ELSE 0 END) AS BIGINT) AS n_bad_dim,
+       CAST(sum(CASE WHEN list_dot_product(vec, vec) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_zero_vector
 FROM (SELECT *, {S.tok('content')} AS n_tokens FROM {SQL_INDEX}) GROUP BY version""")
 def q_chunk_quality(spark, sf_dir):
     return QA.chunk_quality(search_index(spark, sf_dir), DIM)
@@ -552,7 +552,7 @@ WITH s AS (SELECT q.vec_id AS qid, CAST(i.vec_id AS VARCHAR) AS item_id, q.label
      pq AS (SELECT qid, qlabel, sum(CAST(qlabel = ilabel AS INTEGER)) / 10 AS p_at_k,
                    coalesce(1.0 / min(CASE WHEN qlabel = ilabel THEN pos END), 0.0) AS rr
             FROM r GROUP BY qid, qlabel)
-SELECT qlabel AS label, count(*) AS n_queries, round(avg(p_at_k), 9) AS precision_at_k, round(avg(rr), 9) AS mrr
+SELECT CAST(qlabel AS BIGINT) AS label, count(*) AS n_queries, round(avg(p_at_k), 9) AS precision_at_k, round(avg(rr), 9) AS mrr
 FROM pq GROUP BY qlabel""")
 def q_retrieval_accuracy(spark, sf_dir):
     return QA.retrieval_accuracy(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
