@@ -75,3 +75,20 @@ def test_ingest_resume_and_change_detection(spark):
     _, led_p = IN.ingest_batch(docs2, idx1, led1, "r3", skip="path")
     assert [r.file_path for r in led_p.collect()] == ["c.md"]              # parity: path only
     assert sorted(r.run_id for r in idx2.collect()) == ["r1", "r2", "r2"]
+
+
+def test_ledger_round_trip_missing_and_corrupt(spark, tmp_path):
+    import os
+    led = IX.ledger_rows(spark.createDataFrame([("v", "a.md", "# A\nx")], "version string, file_path string, content string"),
+                         spark.createDataFrame([("v", "a.md")], "version string, file_path string"), "r1")
+    path = str(tmp_path / "ledger")
+    led.write.parquet(path)
+    back = IX.read_or_empty(spark, path, IX.LEDGER_SCHEMA).collect()
+    assert [(r.file_path, r.n_chunks, r.run_id) for r in back] == [("a.md", 1, "r1")]
+    assert IX.read_or_empty(spark, str(tmp_path / "missing"), IX.LEDGER_SCHEMA).count() == 0
+    bad = tmp_path / "corrupt"
+    os.makedirs(bad)
+    (bad / "part-0.parquet").write_bytes(b"not parquet at all")
+    assert IX.read_or_empty(spark, str(bad), IX.LEDGER_SCHEMA).count() == 0
+    totals = IX.ledger_totals(IX.read_or_empty(spark, path, IX.LEDGER_SCHEMA)).collect()
+    assert [(r.files_processed, r.chunks_created) for r in totals] == [(1, 1)]

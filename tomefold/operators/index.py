@@ -59,11 +59,14 @@ def new_run_id() -> str:
 
 
 def read_or_empty(spark: SparkSession, path: str | None, schema: TY.StructType) -> DataFrame:
-    """A table, or an empty frame of ``schema`` when it is missing or unreadable."""
+    """A table, or an empty frame of ``schema`` when it is missing.
+
+    Corrupt files are skipped (``ignoreCorruptFiles``): for the ledger this only
+    means their files are processed again, like a lost state file."""
     if path:
         try:
-            return spark.read.schema(schema).parquet(path)
-        except Exception:  # missing or corrupt: start empty, like a fresh collection
+            return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
+        except Exception:  # missing: start empty, like a fresh collection
             pass
     return spark.createDataFrame([], schema)
 
