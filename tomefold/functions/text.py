@@ -135,15 +135,17 @@ JAVA_CODE_PATTERNS = _java_code_patterns()
 
 def code_chars(text) -> Column:
     """Length of the matches of the three code patterns, joined with one space
-    inside a pattern and nothing between patterns."""
+    inside a pattern and nothing between patterns.  The two backtick patterns
+    are only run on texts that contain a backtick (they cannot match otherwise)."""
     t = _c(text)
-    total = F.lit(0)
-    for pat in JAVA_CODE_PATTERNS:
+
+    def chars_of(pat):
         matches = F.regexp_extract_all(t, F.lit(pat), 0)
-        n = F.size(matches)
-        chars = F.aggregate(matches, F.lit(0), lambda acc, m: acc + F.length(m))
-        total = total + chars + F.greatest(n - 1, F.lit(0))
-    return total
+        return (F.aggregate(matches, F.lit(0), lambda acc, m: acc + F.length(m))
+                + F.greatest(F.size(matches) - 1, F.lit(0)))
+    fenced, inline, indented = (chars_of(p) for p in JAVA_CODE_PATTERNS)
+    ticks = F.when(t.contains("`"), fenced + inline).otherwise(F.lit(0))
+    return ticks + indented
 
 
 def has_code(text) -> Column:
