@@ -218,11 +218,13 @@ def _broadcast_plan(q: DataFrame, it: DataFrame, k: int) -> DataFrame:
         # every query names its version(s): only those partitions are read
         it = it.filter(F.col("version").isin(versions))
     qmat = np.stack(pdf["qvec"].to_numpy()).astype(np.float64)
-    bc = it.sparkSession.sparkContext.broadcast(
-        (pdf["qid"].to_numpy(np.int64), qmat, qver, pdf["qmin"].to_numpy(np.float64), codes))
+    payload = (pdf["qid"].to_numpy(np.int64), qmat, qver, pdf["qmin"].to_numpy(np.float64), codes)
+    from ..session import _context
+    sc = _context(it.sparkSession)
+    bc = sc.broadcast(payload) if sc is not None else None  # Connect: travels with the function
 
     def run(batches):
-        qids, qm, qv, qmin, cd = bc.value
+        qids, qm, qv, qmin, cd = bc.value if bc is not None else payload
         yield from _arrow_kernel(qids, qm, qv, qmin, k, cd)(batches)
 
     return it.mapInArrow(run, _OUT)
@@ -307,12 +309,15 @@ def knn_ivf(queries: DataFrame, items: DataFrame, k: int, *, n_cells: int | None
           .withColumn("salt", F.pmod(F.xxhash64("item_id"), F.col("n_salt")))
           .withColumn("g", F.col("cell").cast("long") * 1_000_000 + F.col("salt")))
 
-    bc = spark.sparkContext.broadcast(centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-300))
+    unit_centers = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-300)
+    from ..session import _context
+    sc = _context(spark)
+    bc = sc.broadcast(unit_centers) if sc is not None else None
     probe_n = min(n_probe, cells)
 
     @F.pandas_udf(TY.ArrayType(TY.IntegerType()))
     def probe(vecs: pd.Series) -> pd.Series:
-        c = bc.value
+        c = bc.value if bc is not None else unit_centers
         out = []
         for v in vecs:
             s = c @ np.asarray(v, dtype=np.float64)

@@ -43,16 +43,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
     """
-    current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    sc = _context(spark)
+    current = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
+        if sc and not sc.getCheckpointDir():
+            sc.setCheckpointDir(current)
         return current
     scratch = tempfile.mkdtemp(prefix="tomefold-ckpt-", dir=os.environ.get("TOMEFOLD_SCRATCH", "/tmp"))
-    spark.sparkContext.setCheckpointDir(scratch)
+    if sc:
+        sc.setCheckpointDir(scratch)
+    else:
+        spark.conf.set("spark.checkpoint.dir", scratch)
     return scratch
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None for a Spark Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:
+        return None
+
+
 _SHIPPED: set[int] = set()
 
 
@@ -65,7 +77,9 @@ def ship_package(spark: SparkSession) -> None:
     """
     import zipfile
 
-    sc = spark.sparkContext
+    sc = _context(spark)
+    if sc is None:  # Spark Connect: code is shipped with the client's artifacts
+        return
     key = id(sc._jsc)
     if key in _SHIPPED:
         return
