@@ -34,7 +34,8 @@ NO_MATCH = -2
 
 # size bound for the broadcast plan (query rows x dims x 8 bytes)
 MAX_BROADCAST_BYTES = 64 << 20
-GRID_BLOCK_ROWS = 4096
+GRID_BLOCK_ROWS = 4096          # IVF salt size (items per (cell, salt) group)
+GRID_BLOCK_BYTES = 128 << 20   # grid plan: float64 bytes of each side held by one group
 MAX_SCORE_CELLS = 1 << 24  # scores held at once per task (128 MB of float64)
 
 _OUT = TY.StructType([
@@ -174,7 +175,7 @@ def _rank(cands: DataFrame, k: int) -> DataFrame:
 
 def knn(queries: DataFrame, items: DataFrame, k: int, *, min_score_col: str | None = None,
         default_min_score: float = -math.inf, plan: str = "auto",
-        max_broadcast_bytes: int = MAX_BROADCAST_BYTES, block_rows: int = GRID_BLOCK_ROWS) -> DataFrame:
+        max_broadcast_bytes: int = MAX_BROADCAST_BYTES, block_rows: int | None = None) -> DataFrame:
     """Top-``k`` items per query by cosine similarity.
 
     queries: ``qid BIGINT, qvec ARRAY<FLOAT>`` and optional ``qversion`` (NULL or
@@ -230,8 +231,17 @@ def _broadcast_plan(q: DataFrame, it: DataFrame, k: int) -> DataFrame:
     return it.mapInArrow(run, _OUT)
 
 
-def _grid_plan(q: DataFrame, it: DataFrame, k: int, block_rows: int) -> DataFrame:
+def _grid_plan(q: DataFrame, it: DataFrame, k: int, block_rows: int | None) -> DataFrame:
+    """Every (query block, item block) pair is one cogroup task.
+
+    Moving data costs ``items x query_blocks + queries x item_blocks`` rows, so
+    blocks are as large as a group may hold (``GRID_BLOCK_BYTES`` of float64
+    per side by default, ~260k rows at 64 dims), instead of replicating either
+    side thousands of times.
+    """
     n_q, n_i = q.count(), it.count()
+    if block_rows is None:
+        block_rows = max(1024, GRID_BLOCK_BYTES // (8 * max(_dim_of(q), 1)))
     qb = max(1, math.ceil(n_q / block_rows))
     ib = max(1, math.ceil(n_i / block_rows))
     # every query block meets every item block: replicate by the other side's count
