@@ -286,7 +286,8 @@ def _unit(v):
 
 def knn_ivf(queries: DataFrame, items: DataFrame, k: int, *, n_cells: int | None = None,
             n_probe: int = 8, block_rows: int = GRID_BLOCK_ROWS, seed: int = 1,
-            max_iter: int = 20, full_scan_threshold: int = FULL_SCAN_THRESHOLD) -> DataFrame:
+            max_iter: int = 20, full_scan_threshold: int = FULL_SCAN_THRESHOLD,
+            train_rows: int = 1_000_000) -> DataFrame:
     """Approximate top-k (A7): an inverted-file index.
 
     Cells are k-means centroids of the unit item vectors (``pyspark.ml``,
@@ -295,6 +296,10 @@ def knn_ivf(queries: DataFrame, items: DataFrame, k: int, *, n_cells: int | None
     a hash salt and the query is replicated over the salts, so a hot cell never
     lands in one task.  Scores are exact cosine for the items looked at.  At or
     below ``full_scan_threshold`` items the exact kNN is used instead.
+
+    The centroids are fitted on at most about ``train_rows`` vectors (a seeded
+    sample when the table is larger); every vector is still assigned to a cell
+    and searched, so no result row is dropped.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -307,8 +312,9 @@ def knn_ivf(queries: DataFrame, items: DataFrame, k: int, *, n_cells: int | None
         return knn(queries, it, k)
     cells = max(1, min(MAX_CELLS, n_cells or int(math.sqrt(max(n, 1)))))
     feats = it.withColumn("features", array_to_vector(_unit(F.col("vector"))))
+    train = feats if n <= train_rows else feats.sample(fraction=train_rows / n, seed=seed)
     model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="features",
-                   predictionCol="cell").fit(feats)
+                   predictionCol="cell").fit(train)
     centers = np.array([c for c in model.clusterCenters()], dtype=np.float64)  # <= MAX_CELLS x dim
     assigned = model.transform(feats).select("item_id", "vector", "cell")
 
