@@ -58,3 +58,13 @@ def test_code_blocks(spark):
     blocks = [(r.block_idx, r.lang, r.code) for r in CB.code_blocks(df).collect()]
     assert blocks == [(0, "python", "print(1)\n"), (1, "", "plain\n")]
     assert [r.code for r in CB.inline_code(df).collect()] == ["inline"]
+
+
+def test_connected_components_chain_and_star(spark):
+    chain = [(i, i + 1) for i in range(100, 160)]          # 61 nodes in a line
+    star = [(7, j) for j in range(500, 540)]               # 41 nodes around 7
+    pairs = chain + star
+    edges = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "src long, dst long")
+    got = {r.id: r.label for r in DD.connected_components(edges).collect()}
+    assert all(got[i] == 100 for i in range(100, 161))
+    assert all(got[j] == 7 for j in range(500, 540)) and got[7] == 7

@@ -105,7 +105,7 @@ def word_hashes(text) -> Column:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                     bands: int = 16, rows: int = 4, threshold: float = 0.7, k: int = 3,
-                    seed: int = 7, max_iter: int = 20) -> DataFrame:
+                    seed: int = 7, max_iter: int = 200) -> DataFrame:
     """Near-duplicate components: MinHash LSH candidates, exact Jaccard check,
     connected components by iterated min-label propagation.
 
@@ -134,23 +134,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
            .filter(F.col("jac") >= threshold).select("id", "rep"))
     both = ver.unionByName(ver.select(F.col("rep").alias("id"), F.col("id").alias("rep")))
     both = both.select(F.col("id").alias("src"), F.col("rep").alias("dst"))
-    # the verified edges are read by every iteration: materialise them once
-    both = both.checkpoint()
+    labels = connected_components(both, max_iter)
+    sizes = labels.groupBy("label").agg(F.count("*").alias("component_size"))
+    return (labels.join(sizes, "label")
+            .select(F.col("id").alias(id_col), F.col("label").alias("component"), "component_size"))
+
+
+def connected_components(edges: DataFrame, max_iter: int = 200) -> DataFrame:
+    """``edges(src, dst)`` (both directions present) -> ``(id, label)`` with the
+    smallest id of each connected component as label."""
+    ensure_checkpoint_dir(edges.sparkSession)
+    both = edges.checkpoint()  # read by every round
     labels = both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
+    # min-label propagation with pointer jumping (a node takes its label's label),
+    # run to convergence: rounds grow with log(diameter), never stopped early
     for _round in range(max_iter):
         nbr = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(
             F.min("label").alias("nl"))
-        new = (labels.join(nbr.withColumnRenamed("src", "id"), "id", "left")
-               .select("id", F.least("label", F.coalesce("nl", "label")).alias("label")))
+        step = (labels.join(nbr.withColumnRenamed("src", "id"), "id", "left")
+                .select("id", F.least("label", F.coalesce("nl", "label")).alias("label")))
+        parent = step.select(F.col("id").alias("label"), F.col("label").alias("pl"))
+        new = (step.join(parent, "label", "left")
+               .select("id", F.least("label", F.coalesce("pl", "label")).alias("label")))
         new = new.checkpoint()  # reliable storage: cuts the growing lineage
         changed = new.join(labels.withColumnRenamed("label", "old"), "id").filter(
             F.col("label") != F.col("old")).limit(1).count()
         labels = new
         if changed == 0:
             break
-    sizes = labels.groupBy("label").agg(F.count("*").alias("component_size"))
-    return (labels.join(sizes, "label")
-            .select(F.col("id").alias(id_col), F.col("label").alias("component"), "component_size"))
+    else:
+        raise RuntimeError(f"connected components did not converge in {max_iter} rounds")
+    return labels
 
 
 # --------------------------------------------------------------------------- D3
