@@ -132,7 +132,12 @@ def split_large_section(section, params: ChunkParams = ChunkParams()) -> Column:
 
     packed = F.aggregate(F.split(sec, "\n\n", -1), init, step, lambda acc: F.when(
         acc["cur"] != F.lit(""), F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"]))
-    return F.when(T.token_count(sec, ctr) <= max_t, F.array(sec)).otherwise(packed)
+    # one oversize paragraph: the fold would only measure it again and halve it
+    halved = T.let(_halve(sec, max_t, ctr), lambda h: F.when(
+        h["rest"] != F.lit(""), F.array_append(h["out"], h["rest"])).otherwise(h["out"]))
+    return (F.when(T.token_count(sec, ctr) <= max_t, F.array(sec))
+            .when(~sec.contains("\n\n"), halved)
+            .otherwise(packed))
 
 
 # --------------------------------------------------------------------------- T4
