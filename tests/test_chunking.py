@@ -1,9 +1,7 @@
 import pytest
-from pyspark.sql import functions as F
 
 from tomefold.functions import text as T
 from tomefold.operators import chunk as CH
-from tomefold.plans import sql_twins as S
 
 EDGE_DOCS = [
     ("edge/no_headers.md", "Just a paragraph.\nAnother line."),

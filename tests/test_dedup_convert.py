@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from tomefold.operators import code_blocks as CB
 from tomefold.operators import convert as CV

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from tomefold.operators import embed as EM
 from tomefold.operators import index as IX

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
-from .. import constants as C
 from ..functions import text as T
 
 INDEX_SCHEMA = TY.StructType([
