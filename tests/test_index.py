@@ -91,3 +91,27 @@ def test_ledger_round_trip_missing_and_corrupt(spark, tmp_path):
     assert IX.read_or_empty(spark, str(bad), IX.LEDGER_SCHEMA).count() == 0
     totals = IX.ledger_totals(IX.read_or_empty(spark, path, IX.LEDGER_SCHEMA)).collect()
     assert [(r.files_processed, r.chunks_created) for r in totals] == [(1, 1)]
+
+
+def test_append_only_index_liveness(spark, tmp_path):
+    base = str(tmp_path / "kb")
+    schema = "version string, file_path string, content string"
+
+    def run(docs, run_id):
+        ledger = IX.read_or_empty(spark, base + "/ledger", IX.LEDGER_SCHEMA)
+        rows, led, _ = IN.ingest_batch_with_errors(docs, None, ledger, run_id, mode="append")
+        IX.append_rows(rows, base)
+        led.write.mode("append").parquet(base + "/ledger")
+
+    run(spark.createDataFrame([("v", "a.md", "# A\nfirst"), ("v", "b.md", "# B\nbee")], schema), "r1")
+    run(spark.createDataFrame([("v", "a.md", "# A\nsecond text"), ("v", "b.md", "# B\nbee")], schema), "r2")
+    IX.tombstones(spark.createDataFrame([("v", "b.md")], "version string, file_path string"), "r3") \
+        .write.mode("append").parquet(base + "/ledger")
+    # a run that appended rows but crashed before its ledger rows: never live
+    orphan = spark.createDataFrame([("v", "c.md", "# C\nsee")], schema)
+    rows, _, _ = IN.ingest_batch_with_errors(orphan, None, IX.read_or_empty(spark, base + "/ledger", IX.LEDGER_SCHEMA),
+                                             "r4", mode="append")
+    IX.append_rows(rows, base)
+    live = IX.read_live_index(spark, base).collect()
+    assert [(r.file_path, r.run_id, r.content) for r in live] == [("a.md", "r2", "# A\nsecond text")]
+    assert spark.read.parquet(base + "/chunks").count() == 4  # r1: a, b; r2: a; r4: c

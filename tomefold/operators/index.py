@@ -124,6 +124,40 @@ def write_snapshot(index: DataFrame, base_dir: str, run_id: str) -> str:
     return path
 
 
+# --------------------------------------------------------------------------- append-only index
+def append_rows(rows: DataFrame, base_dir: str) -> None:
+    """Append a run's chunk rows to ``base_dir/chunks`` (partitioned by version).
+
+    Nothing is rewritten: which rows are live is decided by the ledger (see
+    ``live_index``), so a run touches only its own files, whatever the index size.
+    """
+    rows.write.mode("append").partitionBy("version").parquet(f"{base_dir.rstrip('/')}/chunks")
+
+
+def live_index(index_rows: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Rows written by the latest committed run of their file.
+
+    Older rows of a re-processed file, rows of runs that never committed their
+    ledger rows and rows of deleted files (a ledger row without chunks) drop out;
+    the ledger has one row per file and run, far fewer rows than the index.
+    """
+    latest = dedupe_latest(ledger, ["version", "file_path"], "ts").select("version", "file_path", "run_id")
+    return index_rows.join(latest, ["version", "file_path", "run_id"], "left_semi")
+
+
+def read_live_index(spark: SparkSession, base_dir: str) -> DataFrame:
+    base = base_dir.rstrip("/")
+    return live_index(read_or_empty(spark, f"{base}/chunks", INDEX_SCHEMA),
+                      read_or_empty(spark, f"{base}/ledger", LEDGER_SCHEMA))
+
+
+def tombstones(deleted: DataFrame, run_id) -> DataFrame:
+    """Ledger rows that retire deleted files (``deleted(version, file_path)``)."""
+    run = run_id if isinstance(run_id, F.Column) else F.lit(run_id)
+    return deleted.select("version", "file_path", F.lit(None).cast("string").alias("content_hash"),
+                          F.lit(0).alias("n_chunks"), run.alias("run_id"), F.current_timestamp().alias("ts"))
+
+
 # --------------------------------------------------------------------------- S8, A2
 def ledger_rows(docs: DataFrame, chunks: DataFrame | None, run_id) -> DataFrame:
     """One ledger row per committed document: its content hash and chunk count

@@ -122,6 +122,10 @@ def ingest_batch_with_errors(docs: DataFrame, existing_index: DataFrame, ledger:
                              embed=None, skip: str = "hash") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(next index, ledger rows, error rows) of one ingest run.
 
+    ``mode="append"`` returns only this run's rows (for ``index.append_rows``;
+    liveness comes from the ledger); ``"replace"``/``"upsert"`` return the whole
+    next snapshot.
+
     A file with any chunk whose embedding failed (``embed_error`` set) is
     reported once in the errors, none of its chunks is written and it is not
     marked processed, so the next run retries it; the other files commit.
@@ -144,7 +148,7 @@ def ingest_batch_with_errors(docs: DataFrame, existing_index: DataFrame, ledger:
     ok = embedded.join(failed.select("version", "file_path"), ["version", "file_path"], "left_anti")
     rows = ok.select(*[c.name for c in IX.INDEX_SCHEMA.fields if c.name != "run_id"],
                      F.lit(run_id).alias("run_id"))
-    nxt = IX.upsert(existing_index, rows, mode=mode)
+    nxt = rows if mode == "append" else IX.upsert(existing_index, rows, mode=mode)
     errors = failed.select("version", "file_path", F.lit("embed").alias("stage"), "error",
                            F.current_timestamp().alias("ts"))
     return nxt, IX.ledger_rows(todo, ok, run_id), errors

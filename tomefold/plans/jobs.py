@@ -1,5 +1,5 @@
 """End-to-end batch jobs: pages -> markdown -> chunks -> vectors -> index
-snapshot + ledger, and tables of queries -> results.  Paths are shared storage
+(append-only rows + ledger, or snapshots) and tables of queries -> results.  Paths are shared storage
 (the cluster's file system); nothing goes through the driver.
 """
 
@@ -14,30 +14,37 @@ from ..operators import convert as CV
 from ..operators import index as IX
 from ..operators import ingest as IN
 from ..operators import search as SE
-from ..streaming.ingest_stream import _latest_snapshot
+from ..streaming.ingest_stream import _latest_snapshot, latest_index
 
 
 def build_index(spark: SparkSession, pages: DataFrame, base_dir: str, version: str = C.DEFAULT_VERSION,
                 selector: CV.MainSelector = CV.DEFAULT_SELECTOR, params: CH.ChunkParams = CH.ChunkParams(),
-                mode: str = "replace", embed=None, skip: str = "hash") -> dict:
+                mode: str = "append", embed=None, skip: str = "hash") -> dict:
     """Convert and ingest ``pages(page_id, file_path, html)`` into ``base_dir``.
 
-    Writes a new index snapshot, moves the ``current`` pointer to it, then
-    appends ledger and error rows; returns the snapshot path and the run id.
+    ``mode="append"`` (default): append this run's chunk rows, then its ledger and
+    error rows; the ledger decides which rows are live (``index.read_live_index``).
+    ``mode="replace"``/``"upsert"``: write a whole new snapshot, move the
+    ``current`` pointer to it, then append ledger and error rows.
     """
     run_id = IX.new_run_id()
     converted = CV.pages_to_markdown(pages, selector)
     docs = CV.markdown_docs(converted, version)
     current = f"{base_dir}/current"
-    existing = IX.read_or_empty(spark, _latest_snapshot(spark, current), IX.INDEX_SCHEMA)
     ledger = IX.read_or_empty(spark, f"{base_dir}/ledger", IX.LEDGER_SCHEMA)
+    existing = None if mode == "append" else IX.read_or_empty(
+        spark, _latest_snapshot(spark, current), IX.INDEX_SCHEMA)
     nxt, led, errors = IN.ingest_batch_with_errors(docs, existing, ledger, run_id, params, mode, embed, skip)
     conv_err = converted.filter(F.col("error").isNotNull()).select(
         F.lit(version).alias("version"), "file_path", F.lit("convert").alias("stage"), "error",
         F.current_timestamp().alias("ts"))
-    # snapshot, then pointer, then ledger (see streaming.ingest_stream for why)
-    path = IX.write_snapshot(nxt, base_dir, run_id)
-    spark.createDataFrame([(path,)], "path string").withColumn(
+    if mode == "append":
+        IX.append_rows(nxt, base_dir)
+        path = f"{base_dir}/chunks"
+    else:
+        # snapshot, then pointer, then ledger (see streaming.ingest_stream for why)
+        path = IX.write_snapshot(nxt, base_dir, run_id)
+        spark.createDataFrame([(path,)], "path string").withColumn(
             "ts", F.current_timestamp()).write.mode("append").parquet(current)
     led.write.mode("append").parquet(f"{base_dir}/ledger")
     errors.unionByName(conv_err).write.mode("append").parquet(f"{base_dir}/errors")
@@ -47,7 +54,7 @@ def build_index(spark: SparkSession, pages: DataFrame, base_dir: str, version: s
 def answer(spark: SparkSession, queries: DataFrame, base_dir: str, out_path: str | None = None,
            rules: SE.RerankRules = SE.RerankRules()) -> DataFrame:
     """Search the current index snapshot; optionally append the results to ``out_path``."""
-    index = IX.read_or_empty(spark, _latest_snapshot(spark, f"{base_dir}/current"), IX.INDEX_SCHEMA)
+    index = latest_index(spark, base_dir)
     res = SE.search(queries, index, rules=rules)
     if out_path:
         res.write.mode("append").parquet(out_path)

@@ -2,8 +2,9 @@
 
 ``readStream`` over the tree with ``trigger(availableNow=True)``: the stream
 checkpoint records which files were read, so a rerun picks up only new files.
-Each micro-batch is chunked, embedded and merged into a new index snapshot;
-the pointer to the snapshot is appended next and the ledger rows last.  Changed files at
+Each micro-batch is chunked and embedded; by default its rows are appended to
+the index and its ledger rows after them, so a batch costs the size of the
+batch, not of the index (the ledger decides which rows are live).  Changed files at
 a known path are not re-read by the file source: run the batch ``changes``
 job (hash ledger, D7) for those.
 """
@@ -21,8 +22,14 @@ from ..sources.files import _rel
 
 
 def start_ingest(spark: SparkSession, root: str, base_dir: str, checkpoint: str,
-                 version: str = C.DEFAULT_VERSION, mode: str = "replace"):
-    """Start the stream; returns the ``StreamingQuery`` (call ``awaitTermination``)."""
+                 version: str = C.DEFAULT_VERSION, mode: str = "append"):
+    """Start the stream; returns the ``StreamingQuery`` (call ``awaitTermination``).
+
+    ``mode="append"`` (default): each micro-batch appends only its own chunk rows
+    and then its ledger rows; ``index.read_live_index`` gives the current index.
+    ``mode="replace"``/``"upsert"``: each micro-batch writes a full new snapshot
+    (small collections only: the whole index is rewritten per batch).
+    """
     stream = (spark.readStream.format("text").option("wholetext", True)
               .option("recursiveFileLookup", True).option("pathGlobFilter", "*.md")
               .schema(TY.StructType([TY.StructField("value", TY.StringType())])).load(root))
@@ -33,10 +40,16 @@ def start_ingest(spark: SparkSession, root: str, base_dir: str, checkpoint: str,
     def per_batch(batch: DataFrame, epoch: int) -> None:
         s = batch.sparkSession
         ledger_path = f"{base_dir}/ledger"
-        current = f"{base_dir}/current"
-        existing = IX.read_or_empty(s, _latest_snapshot(s, current), IX.INDEX_SCHEMA)
         ledger = IX.read_or_empty(s, ledger_path, IX.LEDGER_SCHEMA)
         run_id = f"epoch{epoch:08d}-{IX.new_run_id()}"
+        if mode == "append":
+            rows, led, _err = IN.ingest_batch_with_errors(batch, None, ledger, run_id, mode="append")
+            # rows first, ledger last: rows of a run without ledger rows are never live
+            IX.append_rows(rows, base_dir)
+            led.write.mode("append").parquet(ledger_path)
+            return
+        current = f"{base_dir}/current"
+        existing = IX.read_or_empty(s, _latest_snapshot(s, current), IX.INDEX_SCHEMA)
         nxt, led = IN.ingest_batch(batch, existing, ledger, run_id, mode=mode)
         # commit order: snapshot, then the pointer to it, then the ledger.  A crash
         # before the ledger append only makes the next run redo these files, and
@@ -60,4 +73,8 @@ def _latest_snapshot(spark: SparkSession, current: str) -> str | None:
 
 
 def latest_index(spark: SparkSession, base_dir: str) -> DataFrame:
-    return IX.read_or_empty(spark, _latest_snapshot(spark, f"{base_dir}/current"), IX.INDEX_SCHEMA)
+    """The current index of either layout (append-only chunks or snapshots)."""
+    snap = _latest_snapshot(spark, f"{base_dir}/current")
+    if snap:
+        return IX.read_or_empty(spark, snap, IX.INDEX_SCHEMA)
+    return IX.read_live_index(spark, base_dir)
