@@ -67,3 +67,43 @@ def test_connected_components_chain_and_star(spark):
     got = {r.id: r.label for r in DD.connected_components(edges).collect()}
     assert all(got[i] == 100 for i in range(100, 161))
     assert all(got[j] == 7 for j in range(500, 540)) and got[7] == 7
+
+
+def test_near_duplicates_on_documents_against_bruteforce(spark):
+    import re
+    from tomefold.sources.tables import table
+    docs = table(spark, "/root/testdata/sf0.001", "documents", "doc_id", "text")
+    comp = {r.doc_id: r.component for r in DD.near_duplicates(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    def sh(t):
+        w = re.findall(r"[^\W_]+", t.lower())
+        return {" ".join(w[i:i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+    shs = {k: sh(v) for k, v in texts.items()}
+    ids = sorted(shs)
+    strong = []
+    adj = {i: set() for i in ids}
+    for x in range(len(ids)):
+        for y in range(x + 1, len(ids)):
+            a, b = shs[ids[x]], shs[ids[y]]
+            if not a or not b:
+                continue
+            j = len(a & b) / len(a | b)
+            if j >= 0.7:
+                adj[ids[x]].add(ids[y]), adj[ids[y]].add(ids[x])
+            if j >= 0.9:
+                strong.append((ids[x], ids[y]))
+    for a, b in strong:   # every strong pair is found
+        assert comp.get(a) is not None and comp.get(a) == comp.get(b), (a, b)
+    # every reported component is connected by verified (>= 0.7) edges
+    groups = {}
+    for d, c in comp.items():
+        groups.setdefault(c, set()).add(d)
+    for members in groups.values():
+        start = next(iter(members))
+        seen, todo = {start}, [start]
+        while todo:
+            for n in adj[todo.pop()] & members:
+                if n not in seen:
+                    seen.add(n), todo.append(n)
+        assert seen == members
