@@ -119,3 +119,13 @@ def test_parity_switches(spark):
     assert {r.chunk_id for r in with_v}.isdisjoint({r.chunk_id for r in plain})
     md, _ = CV.html_to_markdown("<h1>Title</h1><h2>Sub</h2><h3>Deep</h3><p>x</p>", heading_style="underlined")
     assert md.startswith("Title\n=====\n\nSub\n---\n\n### Deep")
+
+
+def test_relative_paths_from_uri_roots(spark):
+    from tomefold.sources import files
+    root = tempfile.mkdtemp(prefix="tf-md-")
+    os.makedirs(os.path.join(root, "a"))
+    with open(os.path.join(root, "a", "x.md"), "w") as f:
+        f.write("# X\nbody")
+    for r in (root, "file://" + root, root + "/"):
+        assert [row.file_path for row in files.read_markdown_tree(spark, r).collect()] == ["a/x.md"]

@@ -13,9 +13,17 @@ from pyspark.sql import functions as F
 from .. import constants as C
 
 
+def _norm_root(root: str) -> str:
+    """``file:///a/b``, ``file:/a/b`` and ``/a/b`` name the same local root."""
+    import re
+    return re.sub(r"^file:(//)?", "", root).rstrip("/") + "/"
+
+
 def _rel(path_col, root: str):
-    prefix = root.rstrip("/") + "/"
-    p = F.regexp_replace(path_col, "^file:", "")
+    """Path relative to ``root``; local ``file:`` URIs and plain paths compare equal,
+    other schemes (``s3a://``, ``hdfs://``) are compared as given."""
+    prefix = _norm_root(root)
+    p = F.regexp_replace(path_col, "^file:(//)?", "")
     return F.when(p.startswith(prefix), F.substring(p, len(prefix) + 1, 1 << 30)).otherwise(p)
 
 
