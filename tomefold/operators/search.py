@@ -134,7 +134,7 @@ def search(queries: DataFrame, index: DataFrame, *, rules: RerankRules = RerankR
 
     initial, first = _first_pass(cand, rules)
     if counts_only:
-        return _hit_counts(good, initial, first)
+        return _keep(_hit_counts(good, initial, first), q, cand)
 
     # fallback: only queries without a first-pass hit, top 5 unboosted
     answered = first.select("qid").distinct()
@@ -174,4 +174,15 @@ def search(queries: DataFrame, index: DataFrame, *, rules: RerankRules = RerankR
         F.lit(C.ERROR_TYPE).alias("content_type"),
         F.coalesce(F.when(F.col("version") != "", F.col("version")), F.lit(C.UNKNOWN_VERSION)).alias("version"),
         F.lit(0.0).alias("similarity_score"))
-    return found.unionByName(sentinel).unionByName(errors)
+    return _keep(found.unionByName(sentinel).unionByName(errors).select(*RESULT_COLUMNS), q, cand)
+
+
+def _keep(result: DataFrame, *persisted: DataFrame) -> DataFrame:
+    result._tomefold_persisted = list(persisted)  # released by ``release``
+    return result
+
+
+def release(result: DataFrame) -> None:
+    """Unpersist what ``search`` cached for ``result`` (call after it was written)."""
+    for df in getattr(result, "_tomefold_persisted", []):
+        df.unpersist()

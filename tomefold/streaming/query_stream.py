@@ -12,7 +12,9 @@ def start_query_stream(requests: DataFrame, index: DataFrame, out_path: str, che
                        rules: SE.RerankRules = SE.RerankRules(), once: bool = True):
     """``requests`` is a streaming frame ``(qid, query, version, limit, min_score)``."""
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        SE.search(batch, index, rules=rules).write.mode("append").parquet(out_path)
+        res = SE.search(batch, index, rules=rules)
+        res.write.mode("append").parquet(out_path)
+        SE.release(res)  # a long-running stream must not pile up cached batches
 
     w = requests.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime="5 seconds")
