@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import keep_cached
 from . import chunk as CH
 from . import embed as EM
 from . import index as IX
@@ -143,6 +144,8 @@ def ingest_batch_with_errors(docs: DataFrame, existing_index: DataFrame, ledger:
     embedded = (embed or (lambda df: EM.embed_hashed(df, "content")))(chunks)
     if "embed_error" not in embedded.columns:
         embedded = embedded.withColumn("embed_error", F.lit(None).cast("string"))
+    # rows, ledger counts and errors all come from this one batch: chunk and embed once
+    embedded = embedded.persist()
     failed = (embedded.filter(F.col("embed_error").isNotNull())
               .groupBy("version", "file_path").agg(F.min("embed_error").alias("error")))
     ok = embedded.join(failed.select("version", "file_path"), ["version", "file_path"], "left_anti")
@@ -151,4 +154,4 @@ def ingest_batch_with_errors(docs: DataFrame, existing_index: DataFrame, ledger:
     nxt = rows if mode == "append" else IX.upsert(existing_index, rows, mode=mode)
     errors = failed.select("version", "file_path", F.lit("embed").alias("stage"), "error",
                            F.current_timestamp().alias("ts"))
-    return nxt, IX.ledger_rows(todo, ok, run_id), errors
+    return keep_cached(nxt, embedded), IX.ledger_rows(todo, ok, run_id), errors

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..session import keep_cached
+from ..session import release as _release
 from . import embed as E
 from . import knn as K
 
@@ -178,11 +180,7 @@ def search(queries: DataFrame, index: DataFrame, *, rules: RerankRules = RerankR
 
 
 def _keep(result: DataFrame, *persisted: DataFrame) -> DataFrame:
-    result._tomefold_persisted = list(persisted)  # released by ``release``
-    return result
+    return keep_cached(result, *persisted)
 
 
-def release(result: DataFrame) -> None:
-    """Unpersist what ``search`` cached for ``result`` (call after it was written)."""
-    for df in getattr(result, "_tomefold_persisted", []):
-        df.unpersist()
+release = _release  # unpersist what ``search`` cached, after the result was written

@@ -14,6 +14,7 @@ from ..operators import convert as CV
 from ..operators import index as IX
 from ..operators import ingest as IN
 from ..operators import search as SE
+from ..session import release
 from ..streaming.ingest_stream import _latest_snapshot, latest_index
 
 
@@ -48,6 +49,7 @@ def build_index(spark: SparkSession, pages: DataFrame, base_dir: str, version: s
             "ts", F.current_timestamp()).write.mode("append").parquet(current)
     led.write.mode("append").parquet(f"{base_dir}/ledger")
     errors.unionByName(conv_err).write.mode("append").parquet(f"{base_dir}/errors")
+    release(nxt)
     return {"run_id": run_id, "snapshot": path}
 
 

@@ -98,3 +98,16 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, parent))
     sc.addPyFile(zpath)
     _SHIPPED.add(key)
+
+
+def keep_cached(result, *persisted):
+    """Remember the frames persisted to build ``result`` (see ``release``)."""
+    result._tomefold_persisted = list(getattr(result, "_tomefold_persisted", [])) + list(persisted)
+    return result
+
+
+def release(*results) -> None:
+    """Unpersist what was cached to build ``results`` (call after they were written)."""
+    for result in results:
+        for df in getattr(result, "_tomefold_persisted", []):
+            df.unpersist()

@@ -17,6 +17,7 @@ from pyspark.sql import types as TY
 
 from .. import constants as C
 from ..operators import index as IX
+from ..session import release
 from ..operators import ingest as IN
 from ..sources.files import _rel
 
@@ -43,14 +44,16 @@ def start_ingest(spark: SparkSession, root: str, base_dir: str, checkpoint: str,
         ledger = IX.read_or_empty(s, ledger_path, IX.LEDGER_SCHEMA)
         run_id = f"epoch{epoch:08d}-{IX.new_run_id()}"
         if mode == "append":
-            rows, led, _err = IN.ingest_batch_with_errors(batch, None, ledger, run_id, mode="append")
-            # rows first, ledger last: rows of a run without ledger rows are never live
+            rows, led, err = IN.ingest_batch_with_errors(batch, None, ledger, run_id, mode="append")
+            # rows first, ledger next: rows of a run without ledger rows are never live
             IX.append_rows(rows, base_dir)
             led.write.mode("append").parquet(ledger_path)
+            err.write.mode("append").parquet(f"{base_dir}/errors")
+            release(rows)
             return
         current = f"{base_dir}/current"
         existing = IX.read_or_empty(s, _latest_snapshot(s, current), IX.INDEX_SCHEMA)
-        nxt, led = IN.ingest_batch(batch, existing, ledger, run_id, mode=mode)
+        nxt, led, err = IN.ingest_batch_with_errors(batch, existing, ledger, run_id, mode=mode)
         # commit order: snapshot, then the pointer to it, then the ledger.  A crash
         # before the ledger append only makes the next run redo these files, and
         # replacing them again is idempotent; the ledger never names a file whose
@@ -59,6 +62,8 @@ def start_ingest(spark: SparkSession, root: str, base_dir: str, checkpoint: str,
         s.createDataFrame([(path,)], "path string").withColumn(
             "ts", F.current_timestamp()).write.mode("append").parquet(current)
         led.write.mode("append").parquet(ledger_path)
+        err.write.mode("append").parquet(f"{base_dir}/errors")
+        release(nxt)
 
     return (docs.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
