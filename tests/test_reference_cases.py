@@ -32,7 +32,7 @@ Closing remarks.
 """
 
 
-def _docs(spark, content, path="flame/game_widget.md", version="1.7.0"):
+def _docs(spark, content, path="engine/game_widget.md", version="1.7.0"):
     return spark.createDataFrame([(version, path, content)], "version string, file_path string, content string")
 
 
@@ -40,8 +40,8 @@ def test_basic_chunk_fields(spark):
     rows = CH.chunk_documents(_docs(spark, SAMPLE)).orderBy("chunk_index").collect()
     assert len(rows) > 0
     for r in rows:
-        assert r.content and r.chunk_id and r.version == "1.7.0" and r.file_path == "flame/game_widget.md"
-        assert r.section == "flame" and r.doc_url == "/flame/game_widget.html" and r.title == "Main Title"
+        assert r.content and r.chunk_id and r.version == "1.7.0" and r.file_path == "engine/game_widget.md"
+        assert r.section == "engine" and r.doc_url == "/engine/game_widget.html" and r.title == "Main Title"
         assert "Main Title" in r.heading_path
 
 

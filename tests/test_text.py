@@ -11,10 +11,10 @@ def one(spark, expr, value, typ="string"):
 
 
 @pytest.mark.parametrize("path,section,ctype", [
-    ("flame/game_widget.md", "flame", "reference"),
+    ("engine/game_widget.md", "engine", "reference"),
     ("tutorials/platformer/step_1.md", "tutorials", "tutorial"),
     ("api/components.md", "api", "api"),
-    ("bridge_packages/flame_audio/audio.md", "bridge_packages", "reference"),
+    ("bridge_packages/audio_pkg/audio.md", "bridge_packages", "reference"),
     ("examples/simple_game.md", "examples", "example"),
     ("other_modules/jenny/language/commands/character.md", "other_modules", "reference"),
     ("root_file.md", "root_file.md", "reference"),
@@ -42,7 +42,7 @@ def test_headings(spark, content, expected):
 
 
 def test_title_and_url(spark):
-    df = spark.createDataFrame([(["A", "B"], "x/y.md"), ([], "flame/game_widget.md"), ([], "a/abc1def_x.md")],
+    df = spark.createDataFrame([(["A", "B"], "x/y.md"), ([], "engine/game_widget.md"), ([], "a/abc1def_x.md")],
                                "h array<string>, p string")
     got = df.select(T.title_of("h", "p").alias("t"), T.doc_url_of("p").alias("u")).collect()
     assert [r.t for r in got] == ["A", "Game Widget", "abc1def_x".replace("_", " ").title()]
