@@ -228,6 +228,13 @@ def _broadcast_plan(q: DataFrame, it: DataFrame, k: int) -> DataFrame:
         qids, qm, qv, qmin, cd = bc.value if bc is not None else payload
         yield from _arrow_kernel(qids, qm, qv, qmin, k, cd)(batches)
 
+    # every kernel task emits up to k rows per query, so the merge shuffles
+    # queries x k x tasks rows: read the items with about two tasks per core
+    # (coalesce: no shuffle, a task reads several splits in turn)
+    if sc is not None:
+        tasks = 2 * sc.defaultParallelism
+        if it.rdd.getNumPartitions() > tasks:
+            it = it.coalesce(tasks)
     return it.mapInArrow(run, _OUT)
 
 
