@@ -69,3 +69,13 @@ def test_merge_topk_unit():
     ids = np.array([["c", "a", "b", "d", "e"]], dtype=object)
     out_s, out_id = K._merge_topk(None, None, s, ids, 3)
     assert sorted(zip(out_s[0], out_id[0])) == [(0.5, "b"), (0.5, "c"), (0.9, "a")]
+
+
+def test_many_item_partitions_are_coalesced_before_the_kernel(spark):
+    _, q, it = _frames(spark)
+    many = it.repartition(40)
+    a = sorted(tuple(r) for r in K.knn(q, many, 5, plan="broadcast").collect())
+    b = sorted(tuple(r) for r in K.knn(q, it, 5, plan="grid", block_rows=100).collect())
+    assert a == b
+    plan = K.knn(q, many, 5, plan="broadcast")._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" in plan
