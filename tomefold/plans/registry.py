@@ -64,6 +64,7 @@ SELECT page_id, {sql_page_path('url')} AS file_path,
        {S.doc_url(sql_page_path('url'))} AS doc_url
 FROM pages""")
 def q_path_metadata(spark, sf_dir):
+    """Section, content type and URL of every page path."""
     p = table(spark, sf_dir, "pages", "page_id", "url").withColumn("file_path", D.page_file_path("url", "page_id"))
     return p.select("page_id", "file_path", T.section_of("file_path").alias("section"),
                     T.content_type_of("file_path").alias("content_type"),
@@ -75,6 +76,7 @@ def q_path_metadata(spark, sf_dir):
 SELECT file_path, len(h) AS n_headings, array_to_string(h, ' | ') AS headings
 FROM (SELECT file_path, {S.heading_list('content')} AS h FROM {SQL_BOTH_DOCS})""")
 def q_headings(spark, sf_dir):
+    """Heading list of every document and conversation file (P5)."""
     d = both_docs(spark, sf_dir).select("file_path", T.heading_list("content").alias("h"))
     return d.select("file_path", F.size("h").alias("n_headings"),
                     F.array_join("h", " | ").alias("headings"))
@@ -86,6 +88,7 @@ SELECT file_path, {S.title(S.heading_list('content'), 'file_path')} AS title,
        {S.doc_url('file_path')} AS doc_url
 FROM {SQL_BOTH_DOCS}""")
 def q_title_url(spark, sf_dir):
+    """Title (first heading or file stem) and URL of every file."""
     d = both_docs(spark, sf_dir)
     return d.select("file_path", T.title_of(T.heading_list("content"), "file_path").alias("title"),
                     T.doc_url_of("file_path").alias("doc_url"))
@@ -95,6 +98,7 @@ def q_title_url(spark, sf_dir):
 @register("has_code", f"""
 SELECT file_path, {S.has_code('content')} AS has_code FROM {SQL_BOTH_DOCS}""")
 def q_has_code(spark, sf_dir):
+    """Code flag of every file's whole text."""
     return both_docs(spark, sf_dir).select("file_path", T.has_code("content").alias("has_code"))
 
 
@@ -102,6 +106,7 @@ def q_has_code(spark, sf_dir):
 @register("token_count", f"""
 SELECT doc_id, {S.tok('text')} AS n_tokens, length(text) AS n_chars FROM documents""")
 def q_token_count(spark, sf_dir):
+    """Word tokens and characters of every document (P10)."""
     d = table(spark, sf_dir, "documents", "doc_id", "text")
     return d.select("doc_id", T.token_count("text").alias("n_tokens"), F.length("text").alias("n_chars"))
 
@@ -110,6 +115,7 @@ def q_token_count(spark, sf_dir):
 @register("overlap_tail", f"""
 SELECT doc_id, {S.overlap('text', C.OVERLAP_TOKENS)} AS tail FROM documents""")
 def q_overlap_tail(spark, sf_dir):
+    """Text of the last 175 tokens of every document."""
     d = table(spark, sf_dir, "documents", "doc_id", "text")
     return d.select("doc_id", T.overlap_tail("text", C.OVERLAP_TOKENS).alias("tail"))
 
@@ -120,6 +126,7 @@ SELECT file_path, sec_idx, section, {S.tok('section')} AS n_tokens
 FROM (SELECT file_path, unnest(range(len(secs))) AS sec_idx, unnest(secs) AS section
       FROM (SELECT file_path, {S.split_by_headers('content')} AS secs FROM {SQL_BOTH_DOCS}))""")
 def q_split_sections(spark, sf_dir):
+    """Sections split at column-0 headers."""
     return CH.sections_of(both_docs(spark, sf_dir), merged=False).drop("version")
 
 
@@ -129,6 +136,7 @@ SELECT file_path, sec_idx, section, {S.tok('section')} AS n_tokens
 FROM (SELECT file_path, unnest(range(len(secs))) AS sec_idx, unnest(secs) AS section
       FROM (SELECT file_path, {S.merge_small(S.split_by_headers('content'))} AS secs FROM {SQL_BOTH_DOCS}))""")
 def q_merge_sections(spark, sf_dir):
+    """Sections after the small-section merge."""
     return CH.sections_of(both_docs(spark, sf_dir), merged=True).drop("version")
 
 
@@ -158,6 +166,7 @@ SELECT version, file_path, chunk_index, chunk_id, content, section, content_type
        array_to_string(heading_path, ' | ') AS heading_path, has_code, doc_url
 FROM ({SQL_CHUNKS_BOTH})""")
 def q_chunk_docs(spark, sf_dir):
+    """All chunks of the documents and conversation files with metadata."""
     c = CH.chunk_documents(both_docs(spark, sf_dir))
     return c.select("version", "file_path", "chunk_index", "chunk_id", "content", "section",
                     "content_type", "title", F.array_join("heading_path", " | ").alias("heading_path"),
@@ -168,6 +177,7 @@ def q_chunk_docs(spark, sf_dir):
 SELECT file_path, chunk_index, chunk_id, {S.tok('raw_chunk')} AS n_tokens, length(content) AS n_chars
 FROM ({SQL_CHUNKS_BOTH})""")
 def q_chunk_ids(spark, sf_dir):
+    """Chunk ids, positions and sizes."""
     c = CH.chunk_documents(both_docs(spark, sf_dir))
     return c.select("file_path", "chunk_index", "chunk_id", T.token_count("raw_chunk").alias("n_tokens"),
                     F.length("content").alias("n_chars"))
@@ -202,6 +212,7 @@ SELECT d.doc_id, array_to_string(list_transform(v.vec, lambda x: CAST(x AS INTEG
        CAST(list_dot_product(v.vec, v.vec) AS BIGINT) AS norm2
 FROM documents d JOIN {sql_vectors('documents', 'doc_id', 'text')} v USING (doc_id)""")
 def q_embed_hashed(spark, sf_dir):
+    """Hashed bag-of-words vector of every document."""
     d = EM.embed_hashed(table(spark, sf_dir, "documents", "doc_id", "text"), "text")
     d = d.filter(F.col("vector").isNotNull())
     return d.select("doc_id", F.array_join(F.transform("vector", lambda x: x.cast("int")), ",").alias("vector"),
@@ -223,6 +234,7 @@ SELECT qid, item_id, score, rank FROM (
   FROM embeddings q CROSS JOIN embeddings i)
 WHERE rank <= 10""")
 def q_knn_topk(spark, sf_dir):
+    """Exact top-10 neighbours of every driver vector among all of them."""
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     q = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     it = e.select(F.col("vec_id").cast("string").alias("item_id"), F.col("embedding").alias("vector"))
@@ -331,17 +343,20 @@ ALL_STAGES = ("hit", "fallback", "none", "error")
 
 @register("search_full", _sql_search(C.SEARCH_LIMIT, C.SEARCH_MIN_SCORE, ALL_STAGES))
 def q_search_full(spark, sf_dir):
+    """All 600 benchmark queries against the two-version index: every result row."""
     return _search_out(SE.search(search_queries(spark, sf_dir), search_index(spark, sf_dir)))
 
 
 @register("search_rerank", _sql_search(10, 0.3, ("hit",)))
 def q_search_rerank(spark, sf_dir):
+    """First-pass hits with limit 10 and min_score 0.3."""
     r = SE.search(search_queries(spark, sf_dir, 10, 0.3), search_index(spark, sf_dir))
     return _search_out(r.filter(F.col("stage") == "hit"))
 
 
 @register("search_fallback", _sql_search(C.SEARCH_LIMIT, C.SEARCH_MIN_SCORE, ("fallback", "none")))
 def q_search_fallback(spark, sf_dir):
+    """Fallback and 'No Results' rows of the default search."""
     r = SE.search(search_queries(spark, sf_dir), search_index(spark, sf_dir))
     return _search_out(r.filter(F.col("stage").isin("fallback", "none")))
 
@@ -366,6 +381,7 @@ SELECT coalesce(d.doc_id, e.vec_id) AS doc_id,
             WHEN len(e.embedding) <> 64 THEN 'wrong vector size' ELSE 'paired' END AS status
 FROM documents d FULL OUTER JOIN embeddings e ON d.doc_id = e.vec_id""")
 def q_pair_vectors(spark, sf_dir):
+    """Documents paired with their vectors; mismatches as error rows."""
     docs = table(spark, sf_dir, "documents", "doc_id")
     vecs = table(spark, sf_dir, "embeddings", "vec_id", "embedding").select(
         F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
@@ -384,6 +400,7 @@ WITH o AS (SELECT version, file_path, chunk_index, chunk_id FROM ({_sql_chunks(S
 SELECT * FROM o WHERE chunk_id NOT IN (SELECT chunk_id FROM n)
 UNION ALL SELECT * FROM n""")
 def q_upsert_index(spark, sf_dir):
+    """Old-version chunks upserted with new-version chunks by point id."""
     old, new = D.two_versions(spark, sf_dir)
     return IX.upsert(_chunks_of(old), _chunks_of(new), mode="upsert")
 
@@ -420,6 +437,7 @@ def q_refresh_index(spark, sf_dir):
 SELECT version, file_path FROM {SQL_NEW}
 WHERE file_path NOT IN (SELECT file_path FROM {SQL_OLD})""")
 def q_pending_docs(spark, sf_dir):
+    """New-version files not yet in the ledger by path."""
     old, new = D.two_versions(spark, sf_dir)
     ledger = _relabel(old, D.NEW_VERSION).select("version", "file_path")
     return IN.pending_by_path(new, ledger).select("version", "file_path")
@@ -432,6 +450,7 @@ SELECT coalesce(n.file_path, o.file_path) AS file_path,
 FROM (SELECT file_path, sha256(content) AS h FROM {SQL_OLD}) o
 FULL OUTER JOIN (SELECT file_path, sha256(content) AS h FROM {SQL_NEW}) n USING (file_path)""")
 def q_incremental_changes(spark, sf_dir):
+    """new / changed / deleted / same per file by content hash."""
     old, new = D.two_versions(spark, sf_dir)
     ledger = IX.ledger_rows(old, None, "previous")
     return IN.changes(ledger, new)
@@ -445,6 +464,7 @@ WITH d AS (SELECT version, file_path, {S.is_blank('content')} AS blank FROM {SQL
            FROM d LEFT JOIN c USING (version, file_path))
 SELECT version, status, count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_chunks FROM s GROUP BY ALL""")
 def q_coverage(spark, sf_dir):
+    """Files per status with their chunk counts."""
     docs = both_docs(spark, sf_dir)
     return IN.coverage_summary(IN.coverage(docs, CH.chunk_documents(docs)))
 
@@ -460,6 +480,7 @@ SELECT version, count(*) AS n_chunks, count(DISTINCT file_path) AS n_files,
        CAST(sum(CASE WHEN vec IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_without_vector
 FROM {SQL_INDEX} GROUP BY version""")
 def q_index_stats(spark, sf_dir):
+    """Chunks, files, code chunks and missing vectors per version."""
     return IX.index_stats(search_index(spark, sf_dir))
 
 
@@ -476,6 +497,7 @@ SELECT version, count(*) AS n_chunks, avg(n_tokens) AS avg_tokens,
        CAST(sum(CASE WHEN list_dot_product(vec, vec) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_zero_vector
 FROM (SELECT *, {S.tok('content')} AS n_tokens FROM {SQL_INDEX}) GROUP BY version""")
 def q_chunk_quality(spark, sf_dir):
+    """Chunk size distribution, type counts and vector checks per version."""
     return QA.chunk_quality(search_index(spark, sf_dir), DIM)
 
 
@@ -489,6 +511,7 @@ WITH h AS (SELECT doc_id, sha256({_sql_norm('text')}) AS text_hash FROM document
      g AS (SELECT text_hash, min(doc_id) AS keep_id, count(*) AS group_size FROM h GROUP BY text_hash)
 SELECT doc_id, text_hash, group_size, keep_id, doc_id = keep_id AS keep FROM h JOIN g USING (text_hash)""")
 def q_exact_dups(spark, sf_dir):
+    """Exact duplicate groups of the documents after normalisation."""
     return DD.exact_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
@@ -503,6 +526,7 @@ _SQL_BP = (f"SELECT norm, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id,
 
 @register("boilerplate_lines", _SQL_BP)
 def q_boilerplate_lines(spark, sf_dir):
+    """Lines repeated across at least 1 % of the documents (D3)."""
     return DD.boilerplate_lines(table(spark, sf_dir, "documents", "doc_id", "text"),
                                 share=BP_SHARE, min_docs=BP_MIN_DOCS)
 
@@ -515,12 +539,14 @@ SELECT d.doc_id, len(string_split(d.text, chr(10))) AS n_lines, coalesce(x.n_kep
 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY pos) AS clean_text
                             FROM k GROUP BY doc_id) x USING (doc_id)""")
 def q_strip_boilerplate(spark, sf_dir):
+    """Documents rebuilt without their boilerplate lines (D3)."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return DD.strip_boilerplate(docs, DD.boilerplate_lines(docs, share=BP_SHARE, min_docs=BP_MIN_DOCS))
 
 
 @register("near_dups")
 def q_near_dups(spark, sf_dir):
+    """Near-duplicate components of the documents."""
     return DD.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
@@ -538,6 +564,7 @@ SELECT coalesce(o.file_path, n.file_path) AS file_path, coalesce(o.sec_idx, n.se
        coalesce(o.n, 0) AS old_tokens, coalesce(n.n, 0) AS new_tokens
 FROM ({_sql_secs(SQL_OLD)}) o FULL OUTER JOIN ({_sql_secs(SQL_NEW)}) n USING (file_path, sec_idx)""")
 def q_version_diff(spark, sf_dir):
+    """Section-by-section comparison of the two versions."""
     old, new = D.two_versions(spark, sf_dir)
     return VS.section_diff(old, new)
 
@@ -555,6 +582,7 @@ WITH s AS (SELECT q.vec_id AS qid, CAST(i.vec_id AS VARCHAR) AS item_id, q.label
 SELECT CAST(qlabel AS BIGINT) AS label, count(*) AS n_queries, round(avg(p_at_k), 9) AS precision_at_k, round(avg(rr), 9) AS mrr
 FROM pq GROUP BY qlabel""")
 def q_retrieval_accuracy(spark, sf_dir):
+    """Leave-one-out precision@10 and MRR per label over the driver vectors."""
     return QA.retrieval_accuracy(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
@@ -582,6 +610,7 @@ SELECT page_id, {sql_page_path('url')} AS file_path,
        NOT regexp_matches(html, '<div[^>]*role="main"') AS used_fallback
 FROM pages""")
 def q_html_to_markdown(spark, sf_dir):
+    """Heading and link counts of every converted page, default selector."""
     return _md_counts(converted_pages(spark, sf_dir))
 
 
@@ -592,6 +621,7 @@ SELECT page_id, {sql_page_path('url')} AS file_path,
        a = '' AS used_fallback
 FROM (SELECT page_id, url, regexp_extract(html, '<article[\\s>][\\s\\S]*?</article>') AS a FROM pages)""")
 def q_html_article_markdown(spark, sf_dir):
+    """Heading and link counts of every converted page, article selector."""
     return _md_counts(converted_pages(spark, sf_dir, CV.ARTICLE_SELECTOR))
 
 
@@ -630,6 +660,7 @@ def q_search_hit_counts(spark, sf_dir):
 SELECT version, count(DISTINCT file_path) AS files_processed, count(*) AS chunks_created
 FROM ({_sql_chunks(SQL_OLD)}) GROUP BY version""")
 def q_ledger_totals(spark, sf_dir):
+    """Files processed and chunks created per version from a ledger (A2)."""
     old, _ = D.two_versions(spark, sf_dir)
     return IX.ledger_totals(IX.ledger_rows(old, _chunks_of(old), "run-1"))
 
