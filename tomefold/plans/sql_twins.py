@@ -170,10 +170,11 @@ def split_large(sec: str, max_t: int = C.TARGET_CHUNK_TOKENS, ov: int = C.OVERLA
     return f"(CASE WHEN {tok(sec)} <= {max_t} THEN [{sec}] ELSE {packed} END)"
 
 
-def chunk_texts(content: str) -> str:
+def chunk_texts(content: str, max_t: int = C.TARGET_CHUNK_TOKENS, ov: int = C.OVERLAP_TOKENS,
+                min_t: int = C.MIN_SECTION_TOKENS) -> str:
     s, p = _v("s"), _v("p")
-    merged = merge_small(split_by_headers(content))
-    pieces = f"flatten(list_transform({merged}, lambda {s}: {split_large(s)}))"
+    merged = merge_small(split_by_headers(content), min_t)
+    pieces = f"flatten(list_transform({merged}, lambda {s}: {split_large(s, max_t, ov)}))"
     return f"list_filter({pieces}, lambda {p}: NOT {is_blank(p)})"
 
 
