@@ -29,3 +29,26 @@ def test_spark_chunker_equals_duckdb_twin(spark, docs):
     sql = f"SELECT id, {twin} AS c FROM d"
     want = {r[0]: list(r[1]) for r in con.sql(sql).fetchall()}
     assert got == want
+
+
+WORDS = ["ui", "build", "guide", "menu", "Menu", "how to", "example", "overlay", "screen", "widget", "code",
+         "sprite", "tutorial", "api", "x", "zebra", "create", "method", "button", "navigation", "implement"]
+text = st.lists(st.sampled_from(WORDS + [" ", "  ", "\t", "\n"]), max_size=12).map("".join)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(text, st.sampled_from(["tutorial", "example", "api", "reference", "guide", ""]),
+                          text, st.lists(text, max_size=3), st.booleans(), text), min_size=1, max_size=30))
+def test_boost_equals_duckdb_twin(spark, rows):
+    from tomefold.operators import search as SE
+    from tomefold.plans import registry as R
+    schema = ("id long, query string, content_type string, title string, heading_path array<string>, "
+              "has_code boolean, content string")
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], schema)
+    got = {r.id: r.b for r in df.select("id", SE.boost_factor(
+        "query", "content_type", "title", "heading_path", "has_code", "content").alias("b")).collect()}
+    con = duckdb.connect()
+    con.register("t", df.toPandas())
+    twin = R.sql_boost("query", "content_type", "title", "heading_path", "has_code", "content")
+    want = {r[0]: r[1] for r in con.sql(f"SELECT id, {twin} FROM t").fetchall()}
+    assert got == want

@@ -275,21 +275,28 @@ def _sql_search(limit: int, min_score: float, stages: tuple[str, ...]) -> str:
     return _sql_search_ctes(limit, min_score) + f"\nSELECT * FROM results WHERE stage IN ({stage_list})"
 
 
+def sql_boost(query: str, content_type: str, title: str, heading_path: str, has_code: str,
+              content: str) -> str:
+    """DuckDB twin of ``search.boost_factor`` (same additions in the same order)."""
+    t, h = S._v("t"), S._v("acc")
+    type_hit = " OR ".join(f"contains(lower(coalesce({content_type}, '')), '{x}')" for x in C.TYPE_TERMS)
+    code_q = " OR ".join(f"contains(lower({query}), '{x}')" for x in C.CODE_QUERY_PHRASES)
+    ui_q = " OR ".join(f"contains(lower({query}), '{x}')" for x in C.UI_QUERY_TERMS)
+    ui_c = " OR ".join(f"contains(lower(coalesce({content}, '')), '{x}')" for x in C.UI_CONTENT_TERMS)
+    terms = f"list_filter(regexp_split_to_array(lower({query}), '{C.WS_CLASS}+'), lambda {t}: {t} <> '')"
+    zero = "CAST(0.0 AS DOUBLE)"
+    b0 = f"(CAST(1.0 AS DOUBLE) + CASE WHEN {type_hit} THEN {DBL(C.TYPE_BOOST)} ELSE {zero} END)"
+    b1 = (f"list_reduce({terms}, lambda {h}, {t}: ({h} + CASE WHEN contains(lower(coalesce({title}, '')), {t}) "
+          f"THEN {DBL(C.TITLE_TERM_BOOST)} ELSE {zero} END) + CASE WHEN "
+          f"contains(lower(array_to_string(coalesce({heading_path}, []::VARCHAR[]), ' ')), {t}) "
+          f"THEN {DBL(C.HEADING_TERM_BOOST)} ELSE {zero} END, {b0})")
+    b2 = f"({b1} + CASE WHEN coalesce({has_code}, false) AND ({code_q}) THEN {DBL(C.CODE_BOOST)} ELSE {zero} END)"
+    return f"({b2} + CASE WHEN ({ui_q}) AND ({ui_c}) THEN {DBL(C.UI_BOOST)} ELSE {zero} END)"
+
+
 def _sql_search_ctes(limit: int, min_score: float) -> str:
     L, M = limit, DBL(min_score)
-    t, h = S._v("t"), S._v("acc")
-    type_hit = " OR ".join(f"contains(lower(c.content_type), '{x}')" for x in C.TYPE_TERMS)
-    code_q = " OR ".join(f"contains(lower(q.query), '{x}')" for x in C.CODE_QUERY_PHRASES)
-    ui_q = " OR ".join(f"contains(lower(q.query), '{x}')" for x in C.UI_QUERY_TERMS)
-    ui_c = " OR ".join(f"contains(lower(c.content), '{x}')" for x in C.UI_CONTENT_TERMS)
-    terms = f"list_filter(regexp_split_to_array(lower(q.query), '{C.WS_CLASS}+'), lambda {t}: {t} <> '')"
-    b0 = f"(CAST(1.0 AS DOUBLE) + CASE WHEN {type_hit} THEN {DBL(C.TYPE_BOOST)} ELSE CAST(0.0 AS DOUBLE) END)"
-    b1 = (f"list_reduce({terms}, lambda {h}, {t}: ({h} + CASE WHEN contains(lower(c.title), {t}) "
-          f"THEN {DBL(C.TITLE_TERM_BOOST)} ELSE CAST(0.0 AS DOUBLE) END) + CASE WHEN "
-          f"contains(lower(array_to_string(c.heading_path, ' ')), {t}) THEN {DBL(C.HEADING_TERM_BOOST)} "
-          f"ELSE CAST(0.0 AS DOUBLE) END, {b0})")
-    b2 = f"({b1} + CASE WHEN c.has_code AND ({code_q}) THEN {DBL(C.CODE_BOOST)} ELSE CAST(0.0 AS DOUBLE) END)"
-    b3 = f"({b2} + CASE WHEN ({ui_q}) AND ({ui_c}) THEN {DBL(C.UI_BOOST)} ELSE CAST(0.0 AS DOUBLE) END)"
+    b3 = sql_boost("q.query", "c.content_type", "c.title", "c.heading_path", "c.has_code", "c.content")
     no_res = C.NO_RESULTS_TEXT.split("{query}")
     cols = ("content, title, file_path, section, doc_url, array_to_string(heading_path, ' | ') AS heading_path, "
             "has_code, content_type, version")
