@@ -52,3 +52,21 @@ def test_boost_equals_duckdb_twin(spark, rows):
     twin = R.sql_boost("query", "content_type", "title", "heading_path", "has_code", "content")
     want = {r[0]: r[1] for r in con.sql(f"SELECT id, {twin} FROM t").fetchall()}
     assert got == want
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(doc, st.sampled_from(["a/b.md", "x_y_z.md", "root.md", "t/tutorial_1.md",
+                                                "api/ref.x.md", "é_é/ü1a_b.md", ".md"])), min_size=1, max_size=25))
+def test_text_functions_equal_duckdb_twins(spark, rows):
+    from tomefold.functions import text as T
+    df = spark.createDataFrame([(i, c, p) for i, (c, p) in enumerate(rows)], "id long, content string, path string")
+    got = {r.id: tuple(r)[1:] for r in df.select(
+        "id", T.heading_list("content").alias("h"), T.title_of(T.heading_list("content"), "path").alias("t"),
+        T.has_code("content").alias("c"), T.token_count("content").alias("n"),
+        T.overlap_tail("content", 3).alias("o"), T.content_type_of("path").alias("ct")).collect()}
+    con = duckdb.connect()
+    con.register("t", df.toPandas())
+    sql = (f"SELECT id, {S.heading_list('content')}, {S.title(S.heading_list('content'), 'path')}, "
+           f"{S.has_code('content')}, {S.tok('content')}, {S.overlap('content', 3)}, {S.content_type('path')} FROM t")
+    want = {r[0]: (list(r[1]), *r[2:]) for r in con.sql(sql).fetchall()}
+    assert {k: (list(v[0]), *v[1:]) for k, v in got.items()} == want
