@@ -13,7 +13,7 @@ from tomefold.plans import sql_twins as S
 
 PIECES = ["alpha", "beta", "gamma", "delta", "x", "42", "é", "#", "## ", "# Head", "\n", "\n\n", "\n\n\n",
           ". ", ".", " ", "  ", "\t", "```", "`code`", "    indented", "　", "end."]
-PARAMS = CH.ChunkParams(target_tokens=12, overlap_tokens=3, min_section_tokens=4)
+PARAMS = CH.ChunkParams(target_tokens=12, overlap_tokens=3, min_section_tokens=4, counter="words")
 
 doc = st.lists(st.sampled_from(PIECES), min_size=0, max_size=120).map("".join)
 

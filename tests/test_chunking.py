@@ -49,7 +49,7 @@ def test_large_split_bounds(spark):
 def test_spark_equals_duckdb_on_edge_rows(spark, edge):
     import duckdb
     sp = sorted((r.file_path, r.chunk_index, r.chunk_id, r.content, r.has_code) for r in
-                CH.chunk_documents(edge).collect())
+                CH.chunk_documents(edge, CH.ChunkParams(counter="words")).collect())
     con = duckdb.connect()
     con.register("edge_docs", edge.toPandas())
     from tomefold.plans.registry import _sql_chunks

@@ -24,7 +24,9 @@ class ChunkParams:
     overlap_tokens: int = C.OVERLAP_TOKENS
     min_section_tokens: int = C.MIN_SECTION_TOKENS
     source_root: str = C.SOURCE_ROOT
-    counter: str = "words"  # or "pretoken"
+    # cl100k pre-tokens by default (a lower bound of the BPE count); "words"
+    # (len(text.split())) is what the SQL twins reproduce
+    counter: str = "pretoken"
     fence_aware: bool = False          # Q2: `#` lines inside ``` fences neither split nor count as headings
     id_includes_version: bool = False  # Q9: put the version into the chunk id hash
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from . import chunk as CH
 
 
-def section_diff(old_docs: DataFrame, new_docs: DataFrame) -> DataFrame:
+def section_diff(old_docs: DataFrame, new_docs: DataFrame,
+                 params: CH.ChunkParams = CH.ChunkParams()) -> DataFrame:
     """Full outer join of (file_path, sec_idx) sections of two versions.
     status = added | removed | changed | same."""
     def secs(d, tag):
-        s = CH.sections_of(d, merged=False)
+        s = CH.sections_of(d, merged=False, params=params)
         return s.select("file_path", "sec_idx", F.sha2("section", 256).alias(f"{tag}_hash"),
                         F.col("n_tokens").alias(f"{tag}_tokens"))
     j = secs(old_docs, "old").join(secs(new_docs, "new"), ["file_path", "sec_idx"], "full_outer")

@@ -19,6 +19,8 @@ from ..sources.tables import table
 from . import sql_twins as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+# oracle-checked queries count tokens as words: the SQL twins reproduce that counter
+WORDS = CH.ChunkParams(counter="words")
 ORACLE: dict[str, str] = {}
 
 
@@ -127,7 +129,7 @@ FROM (SELECT file_path, unnest(range(len(secs))) AS sec_idx, unnest(secs) AS sec
       FROM (SELECT file_path, {S.split_by_headers('content')} AS secs FROM {SQL_BOTH_DOCS}))""")
 def q_split_sections(spark, sf_dir):
     """Sections split at column-0 headers."""
-    return CH.sections_of(both_docs(spark, sf_dir), merged=False).drop("version")
+    return CH.sections_of(both_docs(spark, sf_dir), merged=False, params=WORDS).drop("version")
 
 
 # --------------------------------------------------------------------------- T2
@@ -137,7 +139,7 @@ FROM (SELECT file_path, unnest(range(len(secs))) AS sec_idx, unnest(secs) AS sec
       FROM (SELECT file_path, {S.merge_small(S.split_by_headers('content'))} AS secs FROM {SQL_BOTH_DOCS}))""")
 def q_merge_sections(spark, sf_dir):
     """Sections after the small-section merge."""
-    return CH.sections_of(both_docs(spark, sf_dir), merged=True).drop("version")
+    return CH.sections_of(both_docs(spark, sf_dir), merged=True, params=WORDS).drop("version")
 
 
 # --------------------------------------------------------------------------- T4, W1, P8, P12
@@ -167,7 +169,7 @@ SELECT version, file_path, chunk_index, chunk_id, content, section, content_type
 FROM ({SQL_CHUNKS_BOTH})""")
 def q_chunk_docs(spark, sf_dir):
     """All chunks of the documents and conversation files with metadata."""
-    c = CH.chunk_documents(both_docs(spark, sf_dir))
+    c = CH.chunk_documents(both_docs(spark, sf_dir), WORDS)
     return c.select("version", "file_path", "chunk_index", "chunk_id", "content", "section",
                     "content_type", "title", F.array_join("heading_path", " | ").alias("heading_path"),
                     "has_code", "doc_url")
@@ -178,7 +180,7 @@ SELECT file_path, chunk_index, chunk_id, {S.tok('raw_chunk')} AS n_tokens, lengt
 FROM ({SQL_CHUNKS_BOTH})""")
 def q_chunk_ids(spark, sf_dir):
     """Chunk ids, positions and sizes."""
-    c = CH.chunk_documents(both_docs(spark, sf_dir))
+    c = CH.chunk_documents(both_docs(spark, sf_dir), WORDS)
     return c.select("file_path", "chunk_index", "chunk_id", T.token_count("raw_chunk").alias("n_tokens"),
                     F.length("content").alias("n_chars"))
 
@@ -255,7 +257,7 @@ SELECT '{D.NEW_VERSION}', printf('bench/%d.md', item_id), text FROM benchmark)""
 
 def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = D.two_versions(spark, sf_dir)
-    chunks = CH.chunk_documents(old.unionByName(new))
+    chunks = CH.chunk_documents(old.unionByName(new), WORDS)
     # derived here from the tables; read by the kNN scan and the payload join
     return EM.embed_hashed(chunks, "content").persist()
 
@@ -398,7 +400,7 @@ def q_pair_vectors(spark, sf_dir):
 
 
 def _chunks_of(docs: DataFrame) -> DataFrame:
-    return CH.chunk_documents(docs).select("version", "file_path", "chunk_index", "chunk_id")
+    return CH.chunk_documents(docs, WORDS).select("version", "file_path", "chunk_index", "chunk_id")
 
 
 @register("upsert_index", f"""
@@ -473,7 +475,7 @@ SELECT version, status, count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_chunks
 def q_coverage(spark, sf_dir):
     """Files per status with their chunk counts."""
     docs = both_docs(spark, sf_dir)
-    return IN.coverage_summary(IN.coverage(docs, CH.chunk_documents(docs)))
+    return IN.coverage_summary(IN.coverage(docs, CH.chunk_documents(docs, WORDS)))
 
 
 SQL_INDEX = f"""(WITH chunks AS ({_sql_chunks(SQL_TWO_VERSIONS)}),
@@ -573,7 +575,7 @@ FROM ({_sql_secs(SQL_OLD)}) o FULL OUTER JOIN ({_sql_secs(SQL_NEW)}) n USING (fi
 def q_version_diff(spark, sf_dir):
     """Section-by-section comparison of the two versions."""
     old, new = D.two_versions(spark, sf_dir)
-    return VS.section_diff(old, new)
+    return VS.section_diff(old, new, WORDS)
 
 
 # --------------------------------------------------------------------------- D12
@@ -637,7 +639,7 @@ def q_chunk_pages(spark, sf_dir):
     """Pages -> markdown (article selector) -> chunks: the paragraph-packing path."""
     docs = CV.markdown_docs(converted_pages(spark, sf_dir, CV.ARTICLE_SELECTOR), C.DEFAULT_VERSION)
     return CH.chunk_documents(docs).select("file_path", "chunk_index", "chunk_id",
-                                           T.token_count("raw_chunk").alias("n_tokens"))
+                                           T.token_count("raw_chunk", "pretoken").alias("n_tokens"))
 
 
 
