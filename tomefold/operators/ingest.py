@@ -136,7 +136,9 @@ def ingest_batch_with_errors(docs: DataFrame, existing_index: DataFrame, ledger:
     elif skip == "none":
         todo = docs
     else:
-        latest = IX.dedupe_latest(ledger, ["version", "file_path"], "ts")
+        # only the ledger rows of this batch's files matter: restrict before ranking
+        mine = ledger.join(docs.select("version", "file_path").distinct(), ["version", "file_path"], "left_semi")
+        latest = IX.dedupe_latest(mine, ["version", "file_path"], "ts")
         seen = latest.select("version", "file_path", "content_hash")
         todo = (docs.withColumn("content_hash", IX.content_hash("content"))
                 .join(seen, ["version", "file_path", "content_hash"], "left_anti").drop("content_hash"))
