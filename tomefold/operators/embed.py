@@ -8,8 +8,9 @@ divides by the norms, and integer inputs make every engine agree bit for bit.
 
 Any other embedder (a remote service) plugs in through ``embed_with``: texts
 go out in fixed-size batches from an iterator pandas UDF, with retry and
-backoff on rate limits; a batch that still fails yields NULL vectors plus an
-error text instead of failing the job.
+backoff on rate limits; a batch that fails otherwise is retried text by text,
+and a text that still fails yields a NULL vector plus an error text instead of
+failing the job.
 """
 
 from __future__ import annotations

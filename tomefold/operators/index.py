@@ -1,11 +1,17 @@
 """Chunk index: schema, pairing with vectors, upsert, ledger, stats
 (S5-S9, S11, J1, J5, A2).
 
-The index is a parquet table partitioned by ``version``.  Parquet has no
-MERGE, so an update writes a new snapshot directory from ``existing`` and the
-new rows (never overwriting what is being read).  A run commits in the order
-snapshot -> pointer to it -> ledger rows, so a crash repeats work but the
-ledger never names a file that the current snapshot lacks.
+The index is parquet partitioned by ``version``, in one of two layouts:
+
+* append-only (default for ingest): a run appends only its own chunk rows, then
+  its ledger rows; ``live_index`` keeps the rows of each file's latest
+  committed run, so nothing is ever rewritten;
+* snapshots: parquet has no MERGE, so an update writes a whole new snapshot
+  directory (never overwriting what is being read), then a pointer row, then
+  the ledger rows.
+
+Either way the ledger append is a run's last write: a crash repeats work, but
+the ledger never names a file whose rows are missing.
 """
 
 from __future__ import annotations
