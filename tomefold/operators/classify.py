@@ -1,6 +1,6 @@
 """Document classification from text and structure (roadmap D8) with pyspark.ml.
 
-Training and scoring are distributed ML pipelines; the training set is the
+Training and scoring are distributed pyspark.ml stages; the training set is the
 labelled subset, every document is scored.
 """
 
