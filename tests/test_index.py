@@ -115,3 +115,24 @@ def test_append_only_index_liveness(spark, tmp_path):
     live = IX.read_live_index(spark, base).collect()
     assert [(r.file_path, r.run_id, r.content) for r in live] == [("a.md", "r2", "# A\nsecond text")]
     assert spark.read.parquet(base + "/chunks").count() == 4  # r1: a, b; r2: a; r4: c
+
+
+def test_compaction_keeps_live_rows_only(spark, tmp_path):
+    base = str(tmp_path / "kb")
+    schema = "version string, file_path string, content string"
+
+    def run(docs, run_id):
+        ledger = IX.read_or_empty(spark, base + "/ledger", IX.LEDGER_SCHEMA)
+        rows, led, _ = IN.ingest_batch_with_errors(docs, None, ledger, run_id, mode="append")
+        IX.append_rows(rows, base)
+        led.write.mode("append").parquet(base + "/ledger")
+
+    run(spark.createDataFrame([("v", "a.md", "# A\nfirst"), ("v", "b.md", "# B\nbee")], schema), "r1")
+    run(spark.createDataFrame([("v", "a.md", "# A\nsecond")], schema), "r2")
+    before = sorted((r.file_path, r.run_id) for r in IX.read_live_index(spark, base).collect())
+    new_dir = IX.compact(spark, base)
+    assert spark.read.parquet(new_dir).count() == len(before) == 2
+    run(spark.createDataFrame([("v", "c.md", "# C\nsee")], schema), "r3")   # appends go to the new dir
+    after = sorted((r.file_path, r.run_id) for r in IX.read_live_index(spark, base).collect())
+    assert after == before + [("c.md", "r3")]
+    assert spark.read.parquet(new_dir).count() == 3

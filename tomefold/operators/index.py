@@ -131,13 +131,23 @@ def write_snapshot(index: DataFrame, base_dir: str, run_id: str) -> str:
 
 
 # --------------------------------------------------------------------------- append-only index
+def chunks_dir(spark: SparkSession, base_dir: str) -> str:
+    """The current generation of the append-only chunk rows (see ``compact``)."""
+    base = base_dir.rstrip("/")
+    try:
+        rows = spark.read.parquet(f"{base}/generation").orderBy(F.desc("ts"), F.desc("path")).head(1)
+    except Exception:  # never compacted
+        rows = []
+    return rows[0]["path"] if rows else f"{base}/chunks"
+
+
 def append_rows(rows: DataFrame, base_dir: str) -> None:
-    """Append a run's chunk rows to ``base_dir/chunks`` (partitioned by version).
+    """Append a run's chunk rows to the current chunk directory (partitioned by version).
 
     Nothing is rewritten: which rows are live is decided by the ledger (see
     ``live_index``), so a run touches only its own files, whatever the index size.
     """
-    rows.write.mode("append").partitionBy("version").parquet(f"{base_dir.rstrip('/')}/chunks")
+    rows.write.mode("append").partitionBy("version").parquet(chunks_dir(rows.sparkSession, base_dir))
 
 
 def live_index(index_rows: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -153,10 +163,26 @@ def live_index(index_rows: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def read_live_index(spark: SparkSession, base_dir: str) -> DataFrame:
     base = base_dir.rstrip("/")
-    return live_index(read_or_empty(spark, f"{base}/chunks", INDEX_SCHEMA),
+    return live_index(read_or_empty(spark, chunks_dir(spark, base), INDEX_SCHEMA),
                       read_or_empty(spark, f"{base}/ledger", LEDGER_SCHEMA))
 
 
+def compact(spark: SparkSession, base_dir: str) -> str:
+    """Write the live rows once into a new chunk directory and make it current.
+
+    Dead rows (replaced, deleted, uncommitted) are left behind in the old
+    directory; live rows keep their run ids, so the ledger still decides.  Run it
+    between ingest runs (rows appended to the old directory meanwhile would not
+    be carried over).
+    """
+    base = base_dir.rstrip("/")
+    new_dir = f"{base}/chunks-{new_run_id()}"
+    read_live_index(spark, base).write.mode("errorifexists").partitionBy("version").parquet(new_dir)
+    spark.createDataFrame([(new_dir,)], "path string").withColumn(
+        "ts", F.current_timestamp()).write.mode("append").parquet(f"{base}/generation")
+    return new_dir
+
+
 def tombstones(deleted: DataFrame, run_id) -> DataFrame:
     """Ledger rows that retire deleted files (``deleted(version, file_path)``)."""
     run = run_id if isinstance(run_id, F.Column) else F.lit(run_id)
