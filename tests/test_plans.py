@@ -36,3 +36,19 @@ def test_chunker_and_kernel_shapes(spark):
     assert sum(v for k, v in ops.items() if k.startswith("ShuffleExchange")) == 1   # conversations only
     ops = _ops(spark, "knn_topk")
     assert ops["MapInArrow"] == 1 and ops["WindowGroupLimit"] >= 1
+
+
+def _scans(spark, name):
+    df = E.queries()[name](spark, SF)
+    qe = df._jdf.queryExecution()
+    qe.toRdd().count()
+    ops, scans = Counter(), []
+    walk(qe.executedPlan(), ops, scans)
+    spark.catalog.clearCache()
+    return [s[0] for s in scans]
+
+
+def test_scans_read_only_needed_columns(spark):
+    assert _scans(spark, "path_metadata") == ["struct<page_id:bigint,url:string>"]      # no html column
+    assert _scans(spark, "token_count") == ["struct<doc_id:bigint,text:string>"]
+    assert all("embedding" in s and "label" not in s for s in _scans(spark, "knn_topk"))
