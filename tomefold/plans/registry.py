@@ -474,7 +474,7 @@ WITH d AS (SELECT version, file_path, {S.is_blank('content')} AS blank FROM {SQL
 SELECT version, status, count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_chunks FROM s GROUP BY ALL""")
 def q_coverage(spark, sf_dir):
     """Files per status with their chunk counts."""
-    docs = both_docs(spark, sf_dir)
+    docs = both_docs(spark, sf_dir).persist()  # read by both sides of the coverage join
     return IN.coverage_summary(IN.coverage(docs, CH.chunk_documents(docs, WORDS)))
 
 
