@@ -70,3 +70,36 @@ def test_text_functions_equal_duckdb_twins(spark, rows):
            f"{S.has_code('content')}, {S.tok('content')}, {S.overlap('content', 3)}, {S.content_type('path')} FROM t")
     want = {r[0]: (list(r[1]), *r[2:]) for r in con.sql(sql).fetchall()}
     assert {k: (list(v[0]), *v[1:]) for k, v in got.items()} == want
+
+
+vec = st.lists(st.integers(-2, 2), min_size=4, max_size=4)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(vec, st.sampled_from([None, "a", "b"])), min_size=1, max_size=6),
+       st.lists(st.tuples(vec, st.sampled_from(["a", "b"])), min_size=1, max_size=40),
+       st.integers(1, 6), st.sampled_from(["broadcast", "grid"]))
+def test_knn_equals_bruteforce_sql_with_ties(spark, qs, items, k, plan):
+    from tomefold.operators import knn as K
+    q = spark.createDataFrame([(i, [float(x) for x in v], ver) for i, (v, ver) in enumerate(qs)],
+                              "qid long, qvec array<float>, qversion string")
+    it = spark.createDataFrame([(f"i{j:02d}", [float(x) for x in v], ver) for j, (v, ver) in enumerate(items)],
+                               "item_id string, vector array<float>, version string")
+    got = sorted(tuple(r) for r in K.knn(q, it, k, default_min_score=0.1, plan=plan, block_rows=7).collect())
+    con = duckdb.connect()
+    con.register("q", q.toPandas())
+    con.register("it", it.toPandas())
+    sql = f"""
+    SELECT qid, item_id, score, rank FROM (
+      SELECT qid, item_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id) AS rank
+      FROM (SELECT q.qid, it.item_id,
+                   floor(list_dot_product(q.qvec::DOUBLE[], it.vector::DOUBLE[])
+                         / sqrt(list_dot_product(q.qvec::DOUBLE[], q.qvec::DOUBLE[])
+                                * list_dot_product(it.vector::DOUBLE[], it.vector::DOUBLE[])) * 1e9 + 0.5) / 1e9 AS score
+            FROM q, it
+            WHERE (q.qversion IS NULL OR q.qversion = it.version)
+              AND list_dot_product(q.qvec, q.qvec) > 0 AND list_dot_product(it.vector, it.vector) > 0)
+      WHERE score >= 0.1)
+    WHERE rank <= {k}"""
+    want = sorted(tuple(r) for r in con.sql(sql).fetchall())
+    assert got == want
