@@ -103,3 +103,30 @@ def test_knn_equals_bruteforce_sql_with_ties(spark, qs, items, k, plan):
     WHERE rank <= {k}"""
     want = sorted(tuple(r) for r in con.sql(sql).fetchall())
     assert got == want
+
+
+files = st.dictionaries(st.sampled_from([f"f{i}.md" for i in range(8)]), st.sampled_from(["x", "y", "z"]),
+                        max_size=8)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(files, files)
+def test_changes_and_upserts_match_set_semantics(spark, old, new):
+    from tomefold.operators import index as IX
+    from tomefold.operators import ingest as IN
+    schema = "version string, file_path string, content string"
+    old_df = spark.createDataFrame([("v", p, c) for p, c in old.items()], schema)
+    new_df = spark.createDataFrame([("v", p, c) for p, c in new.items()], schema)
+    got = {r.file_path: r.status for r in IN.changes(IX.ledger_rows(old_df, None, "r0"), new_df).collect()}
+    want = {p: ("new" if p not in old else "changed" if old[p] != new[p] else "same") for p in new}
+    want.update({p: "deleted" for p in old if p not in new})
+    assert got == want
+    # chunk rows: one per character of the content, id = path + char
+    rows = lambda d: [("v", p, f"{p}:{ch}", i) for p, c in d.items() for i, ch in enumerate(c)]
+    cols = "version string, file_path string, chunk_id string, chunk_index int"
+    ex, nw = spark.createDataFrame(rows(old), cols), spark.createDataFrame(rows(new), cols)
+    up = sorted(r.chunk_id for r in IX.upsert(ex, nw, mode="upsert").collect())
+    rep = sorted(r.chunk_id for r in IX.upsert(ex, nw, mode="replace").collect())
+    new_ids = {r[2] for r in rows(new)}
+    assert up == sorted({r[2] for r in rows(old)} - new_ids | new_ids)
+    assert rep == sorted({r[2] for r in rows(old) if r[1] not in new} | new_ids)
