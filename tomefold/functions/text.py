@@ -55,6 +55,7 @@ def py_strip(text) -> Column:
 
 
 def is_blank(text) -> Column:
+    """True for empty or whitespace-only text (F1, F2)."""
     return py_strip(text) == F.lit("")
 
 
@@ -90,6 +91,7 @@ def doc_url_of(file_path) -> Column:
 
 
 def file_stem(file_path) -> Column:
+    """Last path part without its final suffix (``Path.stem``)."""
     name = F.element_at(F.split(_c(file_path), "/", -1), -1)
     return F.regexp_replace(name, r"^(.+)\.[^.]*$", "$1")
 
@@ -164,4 +166,5 @@ def chunk_id_of(full_path, chunk_index, raw_chunk) -> Column:
 
 
 def full_path_of(file_path, root: str = C.SOURCE_ROOT) -> Column:
+    """Path under the source root, as used in chunk ids (Q8)."""
     return F.concat(F.lit(root.rstrip("/") + "/"), _c(file_path))

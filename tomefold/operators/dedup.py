@@ -169,6 +169,7 @@ def connected_components(edges: DataFrame, max_iter: int = 200) -> DataFrame:
 
 # --------------------------------------------------------------------------- D3
 def line_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stripped non-blank line -> number of documents it occurs in."""
     lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
     lines = lines.withColumn("norm", T.py_strip("line")).filter(F.col("norm") != "")
     return lines.groupBy("norm").agg(F.countDistinct(id_col).alias("n_docs"))

@@ -60,6 +60,7 @@ ERROR_SCHEMA = TY.StructType([
 
 
 def new_run_id() -> str:
+    """A sortable, unique run id: UTC time plus a random suffix."""
     return _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
 
 
@@ -77,6 +78,7 @@ def read_or_empty(spark: SparkSession, path: str | None, schema: TY.StructType)
 
 
 def content_hash(content) -> F.Column:
+    """sha-256 of a document text (the change detector of D7)."""
     return F.sha2(T._c(content), 256)
 
 
@@ -162,6 +164,7 @@ def live_index(index_rows: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def read_live_index(spark: SparkSession, base_dir: str) -> DataFrame:
+    """The live rows of an append-only index directory."""
     base = base_dir.rstrip("/")
     return live_index(read_or_empty(spark, chunks_dir(spark, base), INDEX_SCHEMA),
                       read_or_empty(spark, f"{base}/ledger", LEDGER_SCHEMA))
@@ -215,6 +218,7 @@ def ledger_totals(ledger: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- S11
 def index_stats(index: DataFrame) -> DataFrame:
+    """Chunks, files, code chunks and chunks without vector per version."""
     return index.groupBy("version").agg(
         F.count("*").alias("n_chunks"),
         F.countDistinct("file_path").alias("n_files"),

@@ -75,6 +75,7 @@ def page_coverage(converted: DataFrame, chunks: DataFrame, index: DataFrame) ->
 
 
 def coverage_summary(cov: DataFrame) -> DataFrame:
+    """Files and chunks per version and coverage status (A1)."""
     return cov.groupBy("version", "status").agg(F.count("*").alias("n_files"),
                                                 F.sum("n_chunks").alias("n_chunks"))
 
