@@ -52,3 +52,12 @@ def test_scans_read_only_needed_columns(spark):
     assert _scans(spark, "path_metadata") == ["struct<page_id:bigint,url:string>"]      # no html column
     assert _scans(spark, "token_count") == ["struct<doc_id:bigint,text:string>"]
     assert all("embedding" in s and "label" not in s for s in _scans(spark, "knn_topk"))
+
+
+def test_integer_outputs_are_bigint(spark):
+    from pyspark.sql import types as T
+    for name, fn in E.queries().items():
+        schema = fn(spark, SF).schema
+        small = [f.name for f in schema.fields if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType))]
+        assert not small, (name, small)
+        spark.catalog.clearCache()
