@@ -6,11 +6,32 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomefold.llm import packing, token_store
-from tomefold.llm.common import prepare, table
+from tomefold.llm import langid, mixing, packing, token_store, weak_rules, winnowing
+from tomefold.llm.common import held_out, prepare, table
 from tomefold.llm.tokens import default_path
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return winnowing.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs.where(~held_out(docs["doc_id"]))))
+
+
+def op8_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return weak_rules.quality(table(spark, sf_dir, "documents")).drop("n_lines", "n_ended", "n_distinct")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
@@ -24,5 +45,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.document_digests(token_store.read_store(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op9_best_fit_packing, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_winnowing, op5_language_id, op8_weak_rules, op9_best_fit_packing, op10_token_store)}
 ORACLE: dict[str, str] = {}
