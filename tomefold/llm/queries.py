@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomefold.llm import langid, mixing, packing, secret_scan, token_store, weak_rules, winnowing
+from tomefold.llm import langid, mixing, packing, pii, secret_scan, token_store, weak_rules, winnowing
 from tomefold.llm.common import held_out, prepare, table
 from tomefold.llm.tokens import default_path
 
@@ -27,6 +27,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs.where(~held_out(docs["doc_id"]))))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return secret_scan.scan(table(spark, sf_dir, "documents"))
@@ -50,6 +55,6 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.document_digests(token_store.read_store(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_winnowing, op5_language_id, op7_secret_scan, op8_weak_rules,
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_winnowing, op5_language_id, op6_pii, op7_secret_scan, op8_weak_rules,
                                   op9_best_fit_packing, op10_token_store)}
 ORACLE: dict[str, str] = {}
