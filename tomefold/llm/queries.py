@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomefold.llm import langid, mixing, packing, pii, secret_scan, token_store, weak_rules, winnowing
+from tomefold.llm import chosen_path, langid, mixing, packing, pii, secret_scan, token_store, weak_rules, winnowing
 from tomefold.llm.common import held_out, prepare, table
 from tomefold.llm.tokens import default_path
 
@@ -21,6 +21,11 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return chosen_path.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
@@ -55,6 +60,6 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.document_digests(token_store.read_store(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_winnowing, op5_language_id, op6_pii, op7_secret_scan, op8_weak_rules,
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_winnowing, op4_chosen_path_join, op5_language_id, op6_pii, op7_secret_scan, op8_weak_rules,
                                   op9_best_fit_packing, op10_token_store)}
 ORACLE: dict[str, str] = {}
