@@ -50,8 +50,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, blanks: bool, capacity:
         enc = encoder(tokenizer, blanks)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = enc.ids(text.as_py()) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.ids(batch.column(1).to_pylist())):
+                ids += end
                 n = len(ids) // 4
                 edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
                 rows += [(doc_id, k, a, b - a, zlib.crc32(ids[4 * a:4 * b]))

@@ -102,8 +102,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, blanks:
             return pa.RecordBatch.from_pylist([row], schema=_SHARD)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = enc.ids(text.as_py()) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.ids(batch.column(1).to_pylist())):
+                ids += end
                 doc_ids.append(doc_id)
                 lengths.append(len(ids) // 4)
                 data.append(ids)

@@ -16,7 +16,8 @@ import numpy as np
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _RUN = re.compile(r"[ \n][ \n]|\A[ \n]|[ \n]\Z")
-MEMO_UNITS = 600_000
+MEMO_UNITS = 1_200_000
+TEXTS_AT_ONCE = 64
 
 _ENCODERS: dict[tuple, "Encoder"] = {}
 
@@ -53,37 +54,46 @@ class Encoder:
         """Ids of ``text`` encoded in one piece."""
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, names: list[str]) -> None:
-        """Encode all new units in one call and remember each one's ids."""
+    def _learn(self, new: list[str]) -> None:
+        """Encode all new units in two calls and remember each one's ids."""
         memo = self.memo
-        new = [u for u in dict.fromkeys(names) if u not in memo]
-        if len(memo) + len(new) > MEMO_UNITS:
-            for old in list(memo)[:len(memo) // 2]:  # the units learnt first
-                del memo[old]
-            new = [u for u in dict.fromkeys(names) if u not in memo]
-        units = [u if u[0] == "\n" else u[1:] if u[0] == "\r" else " " + u for u in new]
+        firsts = [u for u in new if u[0] == "\r"]
+        for unit, got in zip(firsts, self.tokenizer.encode_batch_fast([u[1:] for u in firsts], add_special_tokens=False)):
+            memo[unit] = np.asarray(got.ids, dtype="<u4").tobytes()
+        rest = [u for u in new if u[0] != "\r"]
+        units = [u if u[0] == "\n" else " " + u for u in rest]
         starts = np.cumsum([0] + [len(u) for u in units])
         got = self.tokenizer.encode("".join(units), add_special_tokens=False)
         at = np.fromiter((o[0] for o in got.offsets), dtype=np.int64, count=len(got))
         ends = np.searchsorted(at, starts[1:]) * 4
         ids, begin = np.asarray(got.ids, dtype="<u4").tobytes(), 0
-        for unit, end in zip(new, ends.tolist()):
+        for unit, end in zip(rest, ends.tolist()):
             memo[unit] = ids[begin:end]
             begin = end
 
-    def ids(self, text: str | None) -> bytes:
-        """Ids of one text (null or empty: none)."""
-        if not text:
-            return b""
+    def _names(self, text: str) -> list[str] | None:
+        """The units of a text by name; None if it has to be encoded in one piece."""
         if not self.blanks:
-            names = [u for u in text.replace("\n", " ").split(" ") if u]
-        elif _OTHER_SPACE.search(text) or _RUN.search(text):
-            return self.plain(text)
-        else:  # only the first unit of a text has no white space before it
-            names = ("\r" + text.replace("\n", " \n")).split(" ")
-        memo = self.memo
-        try:
-            return b"".join([memo[u] for u in names])
-        except KeyError:
-            self._learn(names)
-            return b"".join([memo[u] for u in names])
+            return [u for u in text.replace("\n", " ").split(" ") if u]
+        if _OTHER_SPACE.search(text) or _RUN.search(text):
+            return None
+        return ("\r" + text.replace("\n", " \n")).split(" ")  # only the first has no white space before it
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text (null or empty: none)."""
+        out = []
+        for begin in range(0, len(texts), TEXTS_AT_ONCE):
+            some = texts[begin:begin + TEXTS_AT_ONCE]
+            named = [self._names(t) if t else [] for t in some]
+            memo = self.memo
+            if len(memo) > MEMO_UNITS:
+                for unit in list(memo)[MEMO_UNITS // 2:]:  # frequent units were met first: they stay
+                    del memo[unit]
+            new: dict[str, None] = {}
+            for names in named:
+                new.update(dict.fromkeys([u for u in names or () if u not in memo]))
+            if new:
+                self._learn(list(new))
+            for text, names in zip(some, named):
+                out.append(self.plain(text) if names is None else b"".join([memo[u] for u in names]))
+        return out
