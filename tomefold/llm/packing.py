@@ -6,11 +6,12 @@ of their own.  All others are dealt by hash into partitions of about ``PART_ITEM
 and packed by best-fit decreasing.  Dual feasible functions give a lower bound on each
 partition's sequences: a partition that meets its bound is certified and final.  From the
 others, full sequences are final too; the documents of their open sequences are exchanged
-(pooled, dealt anew by another hash) and packed again.  A repacking that saves no sequence
-is dropped and ends the rounds.
+(pooled, dealt anew by another hash into partitions twice as large) and packed again.  A
+repacking that saves no sequence is dropped and ends the rounds.
 
 Scale: texts never move, only one narrow row per piece does; every group has about
-``PART_ITEMS`` rows whatever the source or length it comes from.
+``PART_ITEMS`` rows, at most twice as many after each of ``ROUNDS`` exchanges, whatever the
+source or length they come from.
 
 Defined cases: null text is the empty text (one piece, the end id); null doc_ids and
 repeated rows are packed like any other, one piece set per row; equal lengths are ordered
@@ -135,7 +136,7 @@ def pack(items: DataFrame, capacity: int, rounds: int = ROUNDS) -> DataFrame:
         n = open_items.count()
         if not n:
             break
-        parts = max(MIN_PARTS if n >= SMALL else 1, n // PART_ITEMS)
+        parts = max(MIN_PARTS if n >= SMALL else 1, n // (PART_ITEMS << k))  # a round's partitions are twice as large
         key = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32", F.lit(k))
         dealt = open_items.select(*items.columns, F.pmod(key, F.lit(parts)).alias("part"))
         packed = stored(dealt.groupBy("part").applyInPandas(_packer(capacity, k << 56), _PACKED_DDL), f"packed{k}")
