@@ -35,28 +35,19 @@ BUCKET_DOCS = 2048
 SEED = 20240229
 
 
-def _row(docs: DataFrame) -> dict[str, Column]:
-    """Size, weight, source key and order of a document.
+def drawn(doc_id: Column, source: Column, text: Column) -> Column:
+    """Struct (size, weight, source_key, place) of a document; ``place`` is its order in the source.
 
     The weight prefers varied words: twice the share of distinct words, between 0.05 and 1.
     """
-    found = words(F.col("text"))
-    measured = let(found, lambda w: F.struct(F.size(w).cast("long").alias("size"), F.least(F.lit(1.0), F.greatest(
+    source_key = F.concat(F.when(source.isNull(), "1").otherwise("0"), F.coalesce(source.cast("string"), F.lit("")))
+    key = -F.log(unit_hash(doc_id, source, F.coalesce(text, F.lit("")), F.lit(SEED)))
+    measured = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("size"), F.least(F.lit(1.0), F.greatest(
         F.lit(0.05), 2.0 * F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1)))).alias("weight")))
-    return {"measured": measured, "source_key": F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"),
-                                                         F.coalesce(F.col("source").cast("string"), F.lit(""))),
-            "draw": unit_hash(F.col("doc_id"), F.col("source"), F.coalesce(F.col("text"), F.lit("")), F.lit(SEED))}
-
-
-def drawn(docs: DataFrame) -> DataFrame:
-    """``docs`` with one struct column ``_mix`` (size, source_key, place) added."""
-    r = _row(docs)
-    key = -F.log(r["draw"])
-    mix = let(r["measured"], lambda m: F.struct(
-        m["size"].alias("size"), m["weight"].alias("weight"), r["source_key"].alias("source_key"),
-        F.struct((key / m["weight"]).alias("key"), F.col("doc_id").isNull().alias("no_id"),
-                 F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), m["size"].alias("size")).alias("place")))
-    return docs.withColumn("_mix", mix)
+    return let(measured, lambda m: F.struct(
+        m["size"].alias("size"), m["weight"].alias("weight"), source_key.alias("source_key"),
+        F.struct((key / m["weight"]).alias("key"), doc_id.isNull().alias("no_id"),
+                 F.coalesce(doc_id.cast("long"), F.lit(0)).alias("id"), m["size"].alias("size")).alias("place")))
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -127,7 +118,8 @@ def _prefix_words(mix: Column) -> Column:
 
 def mixture(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken, epochs) of every document."""
-    rows = stored(drawn(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "_mix.*"), "mix-rows")
+    mix_ = drawn(F.col("doc_id"), F.col("source"), F.col("text")).alias("m")
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), mix_).select("doc_id", "m.*"), "mix-rows")
     row = F.struct("size", "place")
     return rows.join(plan(rows), "source_key").select(
         "doc_id", "size", "source_size", "target",
@@ -140,18 +132,18 @@ def mix(docs: DataFrame) -> DataFrame:
     The one document at which a source's prefix ends is cut after its last word taken.
     """
     names = {c: f"_{i}_{c}" for i, c in enumerate(docs.columns)}  # no clash with the columns of the plan
-    wide = drawn(docs)
-    planned = plan(stored(wide.select("_mix.*"), "mix-rows"))
-    joined = (wide.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col("_mix").alias("_mix_"),
-                          F.col("_mix.source_key").alias("source_key"))
-              .join(planned, "source_key").withColumn("_prefix", _prefix_words(F.col("_mix_"))))
+    wide = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     text = F.col(names["text"])
+    wide = wide.withColumn("m", drawn(F.col(names["doc_id"]), F.col(names["source"]), text))
+    planned = plan(stored(wide.select("m.*"), "mix-rows"))
+    joined = (wide.withColumn("source_key", F.col("m.source_key")).join(planned, "source_key")
+              .withColumn("prefix", _prefix_words(F.col("m"))))
     pieces = F.split(text, f"(?<=[^{SPACE}])(?=[{SPACE}])")  # a word with the space before it
-    part = F.when(F.col("_prefix") < F.col("_mix_.size"),
-                  F.array_join(F.slice(pieces, F.lit(1), F.col("_prefix").cast("int")), "")).otherwise(text)
+    part = F.when(F.col("prefix") < F.col("m.size"),
+                  F.array_join(F.slice(pieces, F.lit(1), F.col("prefix").cast("int")), "")).otherwise(text)
     copies = F.array_repeat(text, F.col("epochs").cast("int"))
-    copies = F.when(F.col("_prefix") > 0, F.concat(copies, F.array(part))).otherwise(copies)
-    taken = joined.where((F.col("epochs") > 0) & (F.col("_mix_.size") > 0) | (F.col("_prefix") > 0))
-    out = taken.withColumn("_text", F.explode(copies))
-    length = {"n_chars": F.length("_text").cast("long")} if "n_chars" in names else {}
-    return out.select(*[{"text": F.col("_text"), **length}.get(c, F.col(f"`{n}`")).alias(c) for c, n in names.items()])
+    copies = F.when(F.col("prefix") > 0, F.concat(copies, F.array(part))).otherwise(copies)
+    taken = joined.where((F.col("epochs") > 0) & (F.col("m.size") > 0) | (F.col("prefix") > 0))
+    out = taken.withColumn("taken_text", F.explode(copies))
+    new = {"text": F.col("taken_text")} | ({"n_chars": F.length("taken_text").cast("long")} if "n_chars" in names else {})
+    return out.select(*[new.get(c, F.col(f"`{n}`")).alias(c) for c, n in names.items()])

@@ -160,4 +160,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
     prefix = "_quality_"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix += "_"
-    return judged(docs, F.col("text"), rates, prefix).where(F.col(prefix + "kept")).select(*docs.columns)
+    return judged(docs, F.col("text"), rates, prefix).where(F.col(prefix + "kept")).select(
+        *[F.col(f"`{c}`") for c in docs.columns])
