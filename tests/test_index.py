@@ -88,7 +88,8 @@ def test_ledger_round_trip_missing_and_corrupt(spark, tmp_path):
     bad = tmp_path / "corrupt"
     os.makedirs(bad)
     (bad / "part-0.parquet").write_bytes(b"not parquet at all")
-    assert IX.read_or_empty(spark, str(bad), IX.LEDGER_SCHEMA).count() == 0
+    with pytest.raises(Exception, match="(?i)parquet"):  # a fault is no first run
+        IX.read_or_empty(spark, str(bad), IX.LEDGER_SCHEMA).count()
     totals = IX.ledger_totals(IX.read_or_empty(spark, path, IX.LEDGER_SCHEMA)).collect()
     assert [(r.files_processed, r.chunks_created) for r in totals] == [(1, 1)]
 

@@ -34,8 +34,7 @@ def test_broadcast_equals_grid_equals_bruteforce(spark):
 def test_ivf_probing_every_cell_is_exact(spark):
     _, q, it = _frames(spark)
     exact = sorted((r.qid, r.item_id) for r in K.knn(q, it, 5).collect())
-    approx = sorted((r.qid, r.item_id) for r in K.knn_ivf(q, it, 5, n_cells=6, n_probe=6, block_rows=16,
-                                                                    full_scan_threshold=0).collect())
+    approx = sorted((r.qid, r.item_id) for r in K.knn_ivf(q, it, 5, n_cells=6, n_probe=6, block_rows=16).collect())
     assert approx == exact
 
 
@@ -51,7 +50,7 @@ def test_ivf_recall_with_few_probes(spark):
     _, q, it = _frames(spark)
     exact = {(r.qid, r.item_id) for r in K.knn(q, it, 10).collect()}
     approx = {(r.qid, r.item_id) for r in
-              K.knn_ivf(q, it, 10, n_cells=8, n_probe=4, full_scan_threshold=0).collect()}
+              K.knn_ivf(q, it, 10, n_cells=8, n_probe=4).collect()}
     assert len(approx & exact) / len(exact) > 0.5
 
 

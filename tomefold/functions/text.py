@@ -32,12 +32,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 COUNTERS = {
     "words": (C.JAVA_WORD_PATTERN, C.JAVA_WORD_PIECE_PATTERN),
     "pretoken": (C.PRETOKEN_PATTERN, C.PRETOKEN_PATTERN),
+    "bounded": (C.JAVA_BOUNDED_PATTERN, C.JAVA_BOUNDED_PIECE_PATTERN),
 }
 
 
 def token_count(text, counter: str = "words") -> Column:
     """Number of tokens: ``words`` = ``len(text.split())``; ``pretoken`` = pieces
-    of the cl100k pre-tokenizer (a lower bound of the BPE count)."""
+    of the cl100k pre-tokenizer (a lower bound of the BPE count); ``bounded`` =
+    words cut into pieces of bounded length, single letters of unspaced scripts."""
     return F.regexp_count(_c(text), F.lit(COUNTERS[counter][0]))
 
 

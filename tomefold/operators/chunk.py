@@ -26,7 +26,7 @@ class ChunkParams:
     source_root: str = C.SOURCE_ROOT
     # cl100k pre-tokens by default (a lower bound of the BPE count); "words"
     # (len(text.split())) is what the SQL twins reproduce
-    counter: str = "pretoken"
+    counter: str = "bounded"
     fence_aware: bool = False          # Q2: `#` lines inside ``` fences neither split nor count as headings
     id_includes_version: bool = False  # Q9: put the version into the chunk id hash
 

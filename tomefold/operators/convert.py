@@ -39,6 +39,8 @@ DEFAULT_SELECTOR = MainSelector()
 ARTICLE_SELECTOR = MainSelector(tag="article", classes=(), attrs=())
 
 _SKIP = {"script", "style", "head", "title", "noscript", "template"}
+# tags that may stand inside ``head``; any other start tag begins the body, as in browsers
+_IN_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template", "html", "head"}
 _BLOCK = {"p", "div", "section", "article", "header", "footer", "nav", "main", "aside",
           "table", "tr", "blockquote", "ul", "ol", "dl", "form", "figure"}
 _VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -85,16 +87,23 @@ def _select(events, selector: MainSelector):
 
 def _render(events, heading_style: str = "atx") -> str:
     out: list[str] = []
-    skip = 0
+    hidden: list[str] = []  # open tags whose text is not shown, outermost first
     pre = 0
     links: list[tuple[str, int]] = []
     lists: list[list] = []
+    row_open = False  # the table row has a cell already
     for kind, tag, attrs in events:
         if kind == "start":
+            if hidden == ["head"] and tag not in _IN_HEAD:
+                hidden.clear()  # the end tag of head may be left out
+            if tag == "body":
+                hidden.clear()
             if tag in _SKIP:
-                skip += 1
-            if skip:
+                hidden.append(tag)
+            if hidden:
                 continue
+            if tag in ("tr", "table"):
+                row_open = False
             if re.fullmatch(r"h[1-6]", tag):
                 if heading_style == "underlined" and tag in ("h1", "h2"):
                     out.append("\n\n\x02")
@@ -111,6 +120,11 @@ def _render(events, heading_style: str = "atx") -> str:
                 out.append("\n" + "  " * max(0, len(lists) - 1) + marker)
             elif tag == "br":
                 out.append("  \n")
+            elif tag in ("td", "th"):
+                out.append(" | " if row_open else "")
+                row_open = True
+            elif tag == "img" and (attrs.get("alt") or "").strip():
+                out.append(f"![{attrs['alt'].strip()}]({attrs.get('src') or ''})")
             elif tag == "pre":
                 pre += 1
                 out.append("\n\n```\n")
@@ -125,10 +139,13 @@ def _render(events, heading_style: str = "atx") -> str:
                 out.append("[")
         elif kind == "end":
             if tag in _SKIP:
-                skip = max(0, skip - 1)
+                if tag in hidden:
+                    del hidden[hidden.index(tag):]
                 continue
-            if skip:
+            if hidden:
                 continue
+            if tag == "tr":
+                row_open = False
             if heading_style == "underlined" and tag in ("h1", "h2"):
                 out.append("\x03" + tag[1] + "\n\n")
             elif re.fullmatch(r"h[1-6]", tag) or tag in _BLOCK:
@@ -147,7 +164,7 @@ def _render(events, heading_style: str = "atx") -> str:
             elif tag == "a" and links:
                 href, _ = links.pop()
                 out.append(f"]({href})")
-        elif not skip:
+        elif not hidden:
             out.append(tag if pre else re.sub(r"\s+", " ", tag))
     md = "".join(out)
     # setext headings: the text underlined with = (h1) or - (h2)

@@ -84,21 +84,23 @@ def call_with_retry(fn: Callable[[list[str]], list[list[float]]], texts: list[st
                     max_retries: int = C.MAX_RETRIES, base_delay: float = C.BASE_DELAY_S,
                     batch_delay: float = C.BATCH_DELAY_S, sleep=time.sleep):
     """Retry only on rate limits, with exponential backoff and jitter."""
-    for attempt in range(max_retries):
-        if attempt == 0 and len(texts) > 1:
-            sleep(batch_delay)
+    waits = iter([base_delay * 2 ** k for k in range(max_retries - 1)])  # one before each repeat
+    if len(texts) > 1:
+        sleep(batch_delay)  # keeps a stream of batches under the service's rate (E3)
+    while True:
         try:
             return fn(texts)
-        except Exception as err:  # decide below
-            if not _is_retryable(err) or attempt == max_retries - 1:
+        except Exception as err:
+            wait = next(waits, None) if _is_retryable(err) else None
+            if wait is None:
                 raise
-            sleep(base_delay * (2 ** attempt) + random.uniform(0, 1))
-    raise RuntimeError(f"failed after {max_retries} attempts")
+        sleep(wait + random.uniform(0, 1))
 
 
 def _checked(got, part):
+    """Vectors of one request as floats; a reply of another length belongs to no text."""
     if len(got) != len(part):
-        raise ValueError("Number of chunks and embeddings must match")
+        raise ValueError(f"the embedder returned {len(got)} vectors for {len(part)} texts")
     return [list(map(float, g)) for g in got]
 
 
@@ -140,5 +142,6 @@ def embed_with(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]]
                             errs.append(str(one_err))
             yield pd.DataFrame({"v": vecs, "err": errs})
 
-    out = df.withColumn("_emb", run(F.col(text_col)))
+    # non-deterministic: a filter on the result must not send every text twice
+    out = df.withColumn("_emb", run.asNondeterministic()(F.col(text_col)))
     return out.withColumn(out_col, F.col("_emb.v")).withColumn("embed_error", F.col("_emb.err")).drop("_emb")

@@ -19,6 +19,7 @@ from __future__ import annotations
 import datetime as _dt
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
@@ -50,6 +51,11 @@ LEDGER_SCHEMA = TY.StructType([
     TY.StructField("ts", TY.TimestampType()),
 ])
 
+POINTER_SCHEMA = TY.StructType([
+    TY.StructField("path", TY.StringType()),
+    TY.StructField("ts", TY.TimestampType()),
+])
+
 ERROR_SCHEMA = TY.StructType([
     TY.StructField("version", TY.StringType()),
     TY.StructField("file_path", TY.StringType()),
@@ -65,15 +71,16 @@ def new_run_id() -> str:
 
 
 def read_or_empty(spark: SparkSession, path: str | None, schema: TY.StructType) -> DataFrame:
-    """A table, or an empty frame of ``schema`` when it is missing.
+    """A table, or an empty frame of ``schema`` when its path does not exist.
 
-    Corrupt files are skipped (``ignoreCorruptFiles``): for the ledger this only
-    means their files are processed again, like a lost state file."""
+    Only a missing path counts as a first run: a corrupt file, a denied read or a
+    storage fault fails, since an empty or partial table would drop live rows."""
     if path:
         try:
-            return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
-        except Exception:  # missing: start empty, like a fresh collection
-            pass
+            return spark.read.schema(schema).option("ignoreCorruptFiles", "false").parquet(path)
+        except AnalysisException as err:
+            if err.getCondition() != "PATH_NOT_FOUND":
+                raise
     return spark.createDataFrame([], schema)
 
 
@@ -102,10 +109,14 @@ def pair_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id",
 
 # --------------------------------------------------------------------------- S6, J5
 def dedupe_latest(rows: DataFrame, keys: list[str], order_col: str | None = None) -> DataFrame:
-    """One row per key; with ``order_col`` the greatest wins (last write wins)."""
+    """One row per key; with ``order_col`` the greatest wins (last write wins).
+
+    Equal ``order_col`` values are decided by the other columns, so the choice is
+    the same on every run."""
     if order_col is None:
         return rows.dropDuplicates(keys)
-    w = Window.partitionBy(*keys).orderBy(F.desc(order_col))
+    ties = [F.desc(c) for c in sorted(rows.columns) if c not in keys and c != order_col]
+    w = Window.partitionBy(*keys).orderBy(F.desc(order_col), *ties)
     return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
@@ -114,12 +125,14 @@ def upsert(existing: DataFrame, new: DataFrame, mode: str = "replace",
     """Next snapshot of the index.
 
     ``mode="upsert"``: by point id only (the parity mode): rows of ``existing``
-    whose id appears in ``new`` are replaced, nothing is ever deleted.
+    whose id appears in ``new`` are replaced, nothing is ever deleted; an id that
+    is twice in ``new`` is kept once (the row that sorts last).
     ``mode="replace"``: all rows of every ``(version, file_path)`` present in
     ``new`` are replaced, so a shrunk document leaves no stale chunks.
     """
     if mode == "upsert":
         keys = id_keys or ["chunk_id"]
+        new = dedupe_latest(new, keys, next(c for c in sorted(new.columns) if c not in keys))
         return existing.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
     files = new.select("version", "file_path").distinct()
     return existing.join(files, ["version", "file_path"], "left_anti").unionByName(new)
@@ -136,11 +149,13 @@ def write_snapshot(index: DataFrame, base_dir: str, run_id: str) -> str:
 def chunks_dir(spark: SparkSession, base_dir: str) -> str:
     """The current generation of the append-only chunk rows (see ``compact``)."""
     base = base_dir.rstrip("/")
-    try:
-        rows = spark.read.parquet(f"{base}/generation").orderBy(F.desc("ts"), F.desc("path")).head(1)
-    except Exception:  # never compacted
-        rows = []
-    return rows[0]["path"] if rows else f"{base}/chunks"
+    return latest_pointer(spark, f"{base}/generation") or f"{base}/chunks"
+
+
+def latest_pointer(spark: SparkSession, path: str) -> str | None:
+    """The newest path recorded in a pointer table (one small row per move); None before the first."""
+    rows = read_or_empty(spark, path, POINTER_SCHEMA).orderBy(F.desc("ts"), F.desc("path")).head(1)
+    return rows[0]["path"] if rows else None
 
 
 def append_rows(rows: DataFrame, base_dir: str) -> None:

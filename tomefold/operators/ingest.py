@@ -16,24 +16,37 @@ from . import index as IX
 
 def pending_by_path(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     """Parity skip (F4/J3): files whose (version, path) is not in the ledger.
-    The ledger is one row per file: small next to the documents, so the
-    anti-join is planned as a broadcast when its size allows."""
+    A file whose latest ledger row is a tombstone counts as not processed, so a
+    re-created file is read again."""
     done = ledger.select("version", "file_path").distinct()
+    if "content_hash" in ledger.columns and "ts" in ledger.columns:
+        done = _live(ledger).select("version", "file_path")
     return docs.join(done, ["version", "file_path"], "left_anti")
 
 
+def _live(ledger: DataFrame) -> DataFrame:
+    """The latest ledger row of every file that is not deleted."""
+    latest = IX.dedupe_latest(ledger, ["version", "file_path"], "ts")
+    return latest.filter(F.col("content_hash").isNotNull())
+
+
 def changes(old_ledger: DataFrame, docs: DataFrame) -> DataFrame:
     """Incremental update (D7): compare content hashes of the current tree with
-    the ledger by file path.  status = new | changed | deleted | same."""
-    cur = docs.select("file_path", IX.content_hash("content").alias("new_hash"))
-    prev = IX.dedupe_latest(old_ledger, ["file_path"], "ts").select(
-        "file_path", F.col("content_hash").alias("old_hash"))
-    j = cur.join(prev, "file_path", "full_outer")
+    the ledger by (version, file path).  status = new | changed | deleted | same.
+
+    A tombstone counts as absent: a file deleted earlier and still gone has no
+    row, one that came back is ``new``.  Only versions present in ``docs`` are
+    compared, so a tree of one version says nothing about another's files."""
+    keys = ["version", "file_path"]
+    cur = docs.select(*keys, IX.content_hash("content").alias("new_hash"))
+    prev = _live(old_ledger).select(*keys, F.col("content_hash").alias("old_hash"))
+    prev = prev.join(docs.select("version").distinct(), "version", "left_semi")
+    j = cur.join(prev, keys, "full_outer")
     status = (F.when(F.col("old_hash").isNull(), F.lit("new"))
               .when(F.col("new_hash").isNull(), F.lit("deleted"))
               .when(F.col("old_hash") != F.col("new_hash"), F.lit("changed"))
               .otherwise(F.lit("same")))
-    return j.select("file_path", status.alias("status"))
+    return j.select(*keys, status.alias("status"))
 
 
 def coverage(docs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -86,17 +99,15 @@ def drop_uncommitted(index: DataFrame, ledger: DataFrame) -> DataFrame:
     return index.join(runs, "run_id", "left_semi")
 
 
-def expand_queries(queries: DataFrame, synonyms: DataFrame, max_synonym_rows: int = 1_000_000) -> DataFrame:
+def expand_queries(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Query expansion (roadmap D9): every query term is followed by its synonyms.
 
-    ``synonyms(term, synonym)`` is a dictionary; its row count is checked before
-    it is broadcast, above the bound it is joined by shuffle.
+    ``synonyms(term, synonym)`` is a dictionary; the engine chooses the join by its size.
     """
     terms = queries.select("qid", F.posexplode(F.split(F.lower("query"), r"(?U)[\s\x{1C}-\x{1F}]+", -1))
                            .alias("pos", "term")).filter(F.col("term") != "")
     syn = synonyms.select(F.lower("term").alias("term"), "synonym")
-    small = syn.limit(max_synonym_rows + 1).count() <= max_synonym_rows
-    j = terms.join(F.broadcast(syn) if small else syn, "term", "left")
+    j = terms.join(syn, "term", "left")
     per_term = j.groupBy("qid", "pos", "term").agg(F.array_sort(F.collect_set("synonym")).alias("syns"))
     words = per_term.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "syns"))).alias("w"))
     expanded = words.select("qid", F.array_join(F.flatten(F.transform(

@@ -122,7 +122,7 @@ def _kernel(qids, qmat, qver, qmin, k, version_codes):
     def run(batches):
         acc = _TopK(qids, qmat, qver, qmin, k)
         for pdf in batches:
-            pdf = pdf[pdf["vector"].notna()]
+            pdf = pdf[pdf["vector"].map(lambda v: v is not None and len(v) == qmat.shape[1])]
             if pdf.empty:
                 continue
             x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
@@ -233,9 +233,7 @@ def _broadcast_plan(q: DataFrame, it: DataFrame, k: int) -> DataFrame:
     # queries x k x tasks rows: read the items with about two tasks per core
     # (coalesce: no shuffle, a task reads several splits in turn)
     if sc is not None:
-        tasks = 2 * sc.defaultParallelism
-        if it.rdd.getNumPartitions() > tasks:
-            it = it.coalesce(tasks)
+        it = it.coalesce(2 * sc.defaultParallelism)
     return it.mapInArrow(run, _OUT)
 
 
@@ -281,11 +279,6 @@ def _block_topk(qpdf: pd.DataFrame, ipdf: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 # --------------------------------------------------------------------------- A7
-MAX_CELLS = 16384
-# fixed value: below this many vectors the approximate search scans exactly
-FULL_SCAN_THRESHOLD = 10000
-
-
 def _unit(v):
     from ..functions.text import let
     return let(v, lambda a: let(F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x)),
@@ -294,44 +287,42 @@ def _unit(v):
 
 def knn_ivf(queries: DataFrame, items: DataFrame, k: int, *, n_cells: int | None = None,
             n_probe: int = 8, block_rows: int = GRID_BLOCK_ROWS, seed: int = 1,
-            max_iter: int = 20, full_scan_threshold: int = FULL_SCAN_THRESHOLD,
-            train_rows: int = 1_000_000) -> DataFrame:
+            max_iter: int = 20, default_min_score: float = -math.inf) -> DataFrame:
     """Approximate top-k (A7): an inverted-file index.
 
-    Cells are k-means centroids of the unit item vectors (``pyspark.ml``,
-    distributed).  Each query is scored only against the items of its
-    ``n_probe`` nearest cells.  A cell larger than ``block_rows`` is split by
-    a hash salt and the query is replicated over the salts, so a hot cell never
-    lands in one task.  Scores are exact cosine for the items looked at.  At or
-    below ``full_scan_threshold`` items the exact kNN is used instead.
-
-    The centroids are fitted on at most about ``train_rows`` vectors (a seeded
-    sample when the table is larger); every vector is still assigned to a cell
-    and searched, so no result row is dropped.
+    Cells are k-means centroids of all unit item vectors (``pyspark.ml``,
+    distributed), ``sqrt(n)`` of them unless given.  Each query is scored only
+    against the items of its ``n_probe`` nearest cells.  A cell larger than
+    ``block_rows`` is split by a hash salt and the query is replicated over the
+    salts; the queries of a cell are split into blocks as well, so neither a hot
+    cell nor a popular probe lands in one task.  Scores are exact cosine for the
+    items looked at; version filter and score floor are those of ``knn``.  The
+    same path runs at every size: for exact answers call ``knn``.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     spark = items.sparkSession
-    it = items.filter(F.col("vector").isNotNull()).select("item_id", "vector")
+    has_ver = "qversion" in queries.columns and "version" in items.columns
+    dim = _dim_of(queries.filter(F.col("qvec").isNotNull()))
+    it = items.filter(F.size("vector") == dim).select(
+        "item_id", "vector", (F.col("version") if has_ver else F.lit(None).cast("string")).alias("version"))
     n = it.count()
-    if n <= full_scan_threshold:
-        # small collections are scanned exactly, like the store's full-scan cut-off
-        return knn(queries, it, k)
-    cells = max(1, min(MAX_CELLS, n_cells or int(math.sqrt(max(n, 1)))))
+    if not n:
+        return _rank(spark.createDataFrame([], _OUT), k)
+    cells = max(2, n_cells or int(math.sqrt(n)))
     feats = it.withColumn("features", array_to_vector(_unit(F.col("vector"))))
-    train = feats if n <= train_rows else feats.sample(fraction=train_rows / n, seed=seed)
     model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="features",
-                   predictionCol="cell").fit(train)
-    centers = np.array([c for c in model.clusterCenters()], dtype=np.float64)  # <= MAX_CELLS x dim
-    assigned = model.transform(feats).select("item_id", "vector", "cell")
+                   predictionCol="cell").fit(feats)
+    centers = np.array([c for c in model.clusterCenters()], dtype=np.float64)  # sqrt(n) x dim
+    cells = len(centers)
+    assigned = model.transform(feats).select("item_id", "vector", "version", "cell")
 
     # hot cells are salted into blocks of at most ~block_rows items
     sizes = assigned.groupBy("cell").agg(F.count("*").alias("n"))
     salts = sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("int").alias("n_salt"))
-    ig = (assigned.join(F.broadcast(salts), "cell")  # one row per cell: bounded by MAX_CELLS
-          .withColumn("salt", F.pmod(F.xxhash64("item_id"), F.col("n_salt")))
-          .withColumn("g", F.col("cell").cast("long") * 1_000_000 + F.col("salt")))
+    ig = (assigned.join(salts, "cell")
+          .withColumn("salt", F.pmod(F.xxhash64("item_id"), F.col("n_salt"))))
 
     unit_centers = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-300)
     from ..session import _context
@@ -342,22 +333,26 @@ def knn_ivf(queries: DataFrame, items: DataFrame, k: int, *, n_cells: int | None
     @F.pandas_udf(TY.ArrayType(TY.IntegerType()))
     def probe(vecs: pd.Series) -> pd.Series:
         c = bc.value if bc is not None else unit_centers
-        out = []
-        for v in vecs:
-            s = c @ np.asarray(v, dtype=np.float64)
-            out.append(np.argsort(-s, kind="stable")[:probe_n].astype(np.int32))
-        return pd.Series(out, dtype=object)
+        s = c @ np.stack(vecs.to_numpy()).astype(np.float64).T if len(vecs) else np.empty((cells, 0))
+        near = np.argpartition(-s, probe_n - 1, axis=0)[:probe_n].astype(np.int32)
+        return pd.Series(list(near.T), dtype=object)
     probe = probe.asNondeterministic()  # never duplicated into pushed-down filters
 
-    q = queries.filter(F.col("qvec").isNotNull()).select(
-        "qid", "qvec", F.lit(None).cast("string").alias("qversion"), F.lit(-math.inf).alias("qmin"))
+    q = queries.filter(F.size("qvec") == dim).select(
+        "qid", "qvec", (F.col("qversion") if has_ver else F.lit(None).cast("string")).alias("qversion"),
+        F.lit(default_min_score).cast("double").alias("qmin"))
     # explode_outer + filter: keeps the optimizer from inferring a size() filter
     # over the UDF below this projection (which would run the UDF twice)
     qp = q.withColumn("cell", F.explode_outer(probe(F.col("qvec")))).filter(F.col("cell").isNotNull())
-    qg = (qp.join(F.broadcast(salts), "cell")
-          .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1)))
-          .withColumn("g", F.col("cell").cast("long") * 1_000_000 + F.col("salt")))
-    cand = (qg.select("g", "qid", "qvec", "qversion", "qmin").groupBy("g")
-            .cogroup(ig.select("g", "item_id", "vector").groupBy("g"))
+    # the queries of a cell go to blocks of their own; the items of a (cell, salt) meet every block
+    blocks = qp.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_block"))
+    qg = (qp.join(salts, "cell").join(blocks, "cell")
+          .withColumn("block", F.pmod(F.xxhash64("qid"), F.col("n_block")))
+          .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1))))
+    ig = (ig.join(blocks, "cell")
+          .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_block") - 1))))
+    group = ["cell", "salt", "block"]
+    cand = (qg.select(*group, "qid", "qvec", "qversion", "qmin").groupBy(*group)
+            .cogroup(ig.select(*group, "item_id", "vector", "version").groupBy(*group))
             .applyInPandas(lambda a, b: _block_topk(a, b, k), _OUT))
     return _rank(cand, k)

@@ -114,7 +114,9 @@ def search(queries: DataFrame, index: DataFrame, *, rules: RerankRules = RerankR
          .withColumn("qvec", emb(F.col("query"))))
     # the embedded request table (one row per query) feeds several branches:
     # embed once
-    q = q.withColumn("bad", F.col("qvec").isNull() | (F.size("qvec") != dim)).persist()
+    q = q.withColumn("problem", F.when(F.col("limit") < 1, F.lit("the limit must be at least 1"))
+                     .when(F.col("qvec").isNull() | (F.size("qvec") != dim), F.lit("the query has no usable embedding")))
+    q = q.withColumn("bad", F.col("problem").isNotNull()).persist()
     good = q.filter(~F.col("bad"))
 
     items = index_items(index)
@@ -124,13 +126,10 @@ def search(queries: DataFrame, index: DataFrame, *, rules: RerankRules = RerankR
         plan = "broadcast" if n_q * dim * 8 <= K.MAX_BROADCAST_BYTES else "grid"
     hits = K.knn(good.select("qid", "qvec", F.col("version").alias("qversion")),
                  items, C.CANDIDATE_CAP, default_min_score=C.FALLBACK_MIN_SCORE, plan=plan)
-    # the kNN result is at most 30 rows per query: broadcast it when the query side was
-    small = plan == "broadcast"
-    hits_b = F.broadcast(hits) if small else hits
+    # the engine chooses these joins by the measured size of the hits and queries (AQE)
     payload = items.select("item_id", "content", "title", "file_path", "section", "doc_url",
                            "heading_path", "has_code", "content_type", "version")
-    cand = hits_b.join(payload, "item_id").join(
-        (F.broadcast(good) if small else good).select("qid", "query", "limit", "min_score"), "qid")
+    cand = hits.join(payload, "item_id").join(good.select("qid", "query", "limit", "min_score"), "qid")
     # both passes and the sentinel read the one candidate set (<= 30 rows per query)
     cand = cand.persist()
 
@@ -169,7 +168,7 @@ def search(queries: DataFrame, index: DataFrame, *, rules: RerankRules = RerankR
         F.lit(0.0).alias("similarity_score"))
     errors = q.filter(F.col("bad")).select(
         "qid", F.lit(1).alias("rank"), F.lit("error").alias("stage"),
-        F.lit("Error searching knowledge base: the query has no usable embedding").alias("content"),
+        F.concat(F.lit("Error searching knowledge base: "), "problem").alias("content"),
         F.lit(C.ERROR_TITLE).alias("title"), F.lit("").alias("file_path"),
         F.lit(C.ERROR_SECTION).alias("section"), F.lit("").alias("doc_url"),
         F.array().cast("array<string>").alias("heading_path"), F.lit(False).alias("has_code"),

@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import chunk as CH
 
 
 def section_diff(old_docs: DataFrame, new_docs: DataFrame,
                  params: CH.ChunkParams = CH.ChunkParams()) -> DataFrame:
-    """Full outer join of (file_path, sec_idx) sections of two versions.
-    status = added | removed | changed | same."""
+    """Full outer join of the sections of two versions by file, heading and occurrence.
+
+    ``heading`` is a section's first line when it is a heading, else empty;
+    ``occurrence`` numbers equal headings within a file, so a section that only
+    moved is ``same``.  status = added | removed | changed | same."""
     def secs(d, tag):
         s = CH.sections_of(d, merged=False, params=params)
-        return s.select("file_path", "sec_idx", F.sha2("section", 256).alias(f"{tag}_hash"),
-                        F.col("n_tokens").alias(f"{tag}_tokens"))
-    j = secs(old_docs, "old").join(secs(new_docs, "new"), ["file_path", "sec_idx"], "full_outer")
+        first = F.substring_index("section", "\n", 1)
+        s = s.withColumn("heading", F.when(first.startswith("#"), T.py_strip(first)).otherwise(F.lit("")))
+        w = Window.partitionBy("file_path", "heading").orderBy("sec_idx")
+        return s.select("file_path", "heading", F.row_number().over(w).alias("occurrence"),
+                        F.sha2("section", 256).alias(f"{tag}_hash"), F.col("n_tokens").alias(f"{tag}_tokens"))
+    keys = ["file_path", "heading", "occurrence"]
+    j = secs(old_docs, "old").join(secs(new_docs, "new"), keys, "full_outer")
     status = (F.when(F.col("old_hash").isNull(), F.lit("added"))
               .when(F.col("new_hash").isNull(), F.lit("removed"))
               .when(F.col("old_hash") != F.col("new_hash"), F.lit("changed"))
               .otherwise(F.lit("same")))
-    return j.select("file_path", "sec_idx", status.alias("status"),
+    return j.select(*keys, status.alias("status"),
                     F.coalesce("old_tokens", F.lit(0)).alias("old_tokens"),
                     F.coalesce("new_tokens", F.lit(0)).alias("new_tokens"))

@@ -15,38 +15,51 @@ from ..operators import index as IX
 from ..operators import ingest as IN
 from ..operators import search as SE
 from ..session import release
-from ..streaming.ingest_stream import _latest_snapshot, latest_index
+from ..streaming.ingest_stream import latest_index
 
 
 def build_index(spark: SparkSession, pages: DataFrame, base_dir: str, version: str = C.DEFAULT_VERSION,
                 selector: CV.MainSelector = CV.DEFAULT_SELECTOR, params: CH.ChunkParams = CH.ChunkParams(),
-                mode: str = "append", embed=None, skip: str = "hash") -> dict:
+                mode: str = "append", embed=None, skip: str = "hash", whole_tree: bool = False) -> dict:
     """Convert and ingest ``pages(page_id, file_path, html)`` into ``base_dir``.
 
     ``mode="append"`` (default): append this run's chunk rows, then its ledger and
     error rows; the ledger decides which rows are live (``index.read_live_index``).
     ``mode="replace"``/``"upsert"``: write a whole new snapshot, move the
     ``current`` pointer to it, then append ledger and error rows.
+
+    ``whole_tree=True`` says that ``pages`` is the complete tree of ``version``:
+    files of the ledger that are no longer in it are retired (tombstones in the
+    ledger; in snapshot modes their rows are left out as well).
     """
     run_id = IX.new_run_id()
     converted = CV.pages_to_markdown(pages, selector)
     docs = CV.markdown_docs(converted, version)
     current = f"{base_dir}/current"
+    gone = None
     ledger = IX.read_or_empty(spark, f"{base_dir}/ledger", IX.LEDGER_SCHEMA)
     existing = None if mode == "append" else IX.read_or_empty(
-        spark, _latest_snapshot(spark, current), IX.INDEX_SCHEMA)
+        spark, IX.latest_pointer(spark, current), IX.INDEX_SCHEMA)
     nxt, led, errors = IN.ingest_batch_with_errors(docs, existing, ledger, run_id, params, mode, embed, skip)
+    if whole_tree:  # a page that failed to convert is still there
+        present = converted.select(F.lit(version).alias("version"), "file_path",
+                                   F.coalesce("markdown", F.lit("")).alias("content"))
+        gone = IN.changes(ledger, present).filter(F.col("status") == "deleted").select("version", "file_path")
+        if mode != "append":
+            nxt = nxt.join(gone, ["version", "file_path"], "left_anti")
     conv_err = converted.filter(F.col("error").isNotNull()).select(
         F.lit(version).alias("version"), "file_path", F.lit("convert").alias("stage"), "error",
         F.current_timestamp().alias("ts"))
     if mode == "append":
         IX.append_rows(nxt, base_dir)
-        path = f"{base_dir}/chunks"
+        path = IX.chunks_dir(spark, base_dir)
     else:
         # snapshot, then pointer, then ledger (see streaming.ingest_stream for why)
         path = IX.write_snapshot(nxt, base_dir, run_id)
         spark.createDataFrame([(path,)], "path string").withColumn(
             "ts", F.current_timestamp()).write.mode("append").parquet(current)
+    if gone is not None:
+        led = led.unionByName(IX.tombstones(gone, run_id))
     led.write.mode("append").parquet(f"{base_dir}/ledger")
     errors.unionByName(conv_err).write.mode("append").parquet(f"{base_dir}/errors")
     release(nxt)

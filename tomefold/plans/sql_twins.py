@@ -56,6 +56,15 @@ def overlap(x: str, n: int) -> str:
             f"regexp_extract_all({x}, '{C.WORD_PIECE_PATTERN}')[-{n}:], '') END)")
 
 
+def tok_bounded(x: str) -> str:
+    return f"len(regexp_extract_all({x}, '{C.BOUNDED_PATTERN}'))"
+
+
+def overlap_bounded(x: str, n: int) -> str:
+    return (f"(CASE WHEN {tok_bounded(x)} <= {n} THEN {x} ELSE array_to_string("
+            f"regexp_extract_all({x}, '{C.BOUNDED_PIECE_PATTERN}')[-{n}:], '') END)")
+
+
 def section(fp: str) -> str:
     return f"split_part({fp}, '/', 1)"
 

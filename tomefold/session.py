@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark.errors import PySparkAttributeError, PySparkNotImplementedError
 from pyspark.sql import SparkSession
 
 _LOCAL_DEFAULTS = {
@@ -49,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if sc and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     scratch = tempfile.mkdtemp(prefix="tomefold-ckpt-", dir=os.environ.get("TOMEFOLD_SCRATCH", "/tmp"))
     if sc:
         sc.setCheckpointDir(scratch)
@@ -61,7 +64,7 @@ def _context(spark: SparkSession):
     """The SparkContext of a classic session; None for a Spark Connect session."""
     try:
         return spark.sparkContext
-    except Exception:
+    except (PySparkAttributeError, PySparkNotImplementedError):  # what a Connect session raises
         return None
 
 

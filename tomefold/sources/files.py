@@ -60,5 +60,8 @@ def read_checked(spark: SparkSession, root: str, glob: str) -> tuple[DataFrame,
 
 
 def write_markdown_tree(docs: DataFrame, out_dir: str) -> None:
-    """S4 as a table: converted docs partitioned by version (the path is a column)."""
-    docs.write.mode("overwrite").partitionBy("version").parquet(out_dir)
+    """S4 as a table: converted docs partitioned by version (the path is a column).
+
+    Only the versions in ``docs`` are replaced; the others in ``out_dir`` stay."""
+    (docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("version").parquet(out_dir))

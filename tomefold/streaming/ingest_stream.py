@@ -52,7 +52,7 @@ def start_ingest(spark: SparkSession, root: str, base_dir: str, checkpoint: str,
             release(rows)
             return
         current = f"{base_dir}/current"
-        existing = IX.read_or_empty(s, _latest_snapshot(s, current), IX.INDEX_SCHEMA)
+        existing = IX.read_or_empty(s, IX.latest_pointer(s, current), IX.INDEX_SCHEMA)
         nxt, led, err = IN.ingest_batch_with_errors(batch, existing, ledger, run_id, mode=mode)
         # commit order: snapshot, then the pointer to it, then the ledger.  A crash
         # before the ledger append only makes the next run redo these files, and
@@ -69,17 +69,9 @@ def start_ingest(spark: SparkSession, root: str, base_dir: str, checkpoint: str,
             .trigger(availableNow=True).start())
 
 
-def _latest_snapshot(spark: SparkSession, current: str) -> str | None:
-    try:
-        rows = spark.read.parquet(current).orderBy(F.desc("ts"), F.desc("path")).head(1)
-    except Exception:
-        return None
-    return rows[0]["path"] if rows else None
-
-
 def latest_index(spark: SparkSession, base_dir: str) -> DataFrame:
     """The current index of either layout (append-only chunks or snapshots)."""
-    snap = _latest_snapshot(spark, f"{base_dir}/current")
+    snap = IX.latest_pointer(spark, f"{base_dir}/current")
     if snap:
         return IX.read_or_empty(spark, snap, IX.INDEX_SCHEMA)
     return IX.read_live_index(spark, base_dir)
