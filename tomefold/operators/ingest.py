@@ -132,9 +132,14 @@ def ingest_batch(docs: DataFrame, existing_index: DataFrame, ledger: DataFrame,
 
 def ingest_batch_with_errors(docs: DataFrame, existing_index: DataFrame, ledger: DataFrame, run_id: str,
                              params: CH.ChunkParams = CH.ChunkParams(), mode: str = "replace",
-                             embed=None, skip: str = "hash") -> tuple[DataFrame, DataFrame, DataFrame]:
+                             embed=None, skip: str = "hash",
+                             staging: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(next index, ledger rows, error rows) of one ingest run.
 
+    ``staging`` is a new folder on shared storage: the embedded batch is written there
+    and index rows, ledger and errors are all read from it, so they agree even when a
+    lost executor would have embedded some texts again.  Without it the batch is cached.
+
     ``mode="append"`` returns only this run's rows (for ``index.append_rows``;
     liveness comes from the ledger); ``"replace"``/``"upsert"`` return the whole
     next snapshot.
@@ -159,7 +164,11 @@ def ingest_batch_with_errors(docs: DataFrame, existing_index: DataFrame, ledger:
     if "embed_error" not in embedded.columns:
         embedded = embedded.withColumn("embed_error", F.lit(None).cast("string"))
     # rows, ledger counts and errors all come from this one batch: chunk and embed once
-    embedded = embedded.persist()
+    if staging:
+        embedded.write.mode("errorifexists").parquet(staging)
+        embedded = embedded.sparkSession.read.schema(embedded.schema).parquet(staging)
+    else:
+        embedded = embedded.persist()
     failed = (embedded.filter(F.col("embed_error").isNotNull())
               .groupBy("version", "file_path").agg(F.min("embed_error").alias("error")))
     ok = embedded.join(failed.select("version", "file_path"), ["version", "file_path"], "left_anti")
@@ -168,4 +177,5 @@ def ingest_batch_with_errors(docs: DataFrame, existing_index: DataFrame, ledger:
     nxt = rows if mode == "append" else IX.upsert(existing_index, rows, mode=mode)
     errors = failed.select("version", "file_path", F.lit("embed").alias("stage"), "error",
                            F.current_timestamp().alias("ts"))
-    return keep_cached(nxt, embedded), IX.ledger_rows(todo, ok, run_id), errors
+    ledger_new = IX.ledger_rows(todo, ok, run_id)
+    return (nxt if staging else keep_cached(nxt, embedded)), ledger_new, errors

@@ -17,6 +17,7 @@ from ..operators import code_blocks as CB
 from ..operators import embed as EM
 from ..operators import ingest as IN
 from ..operators import search as SE
+from ..session import written
 from ..sources.tables import table
 from . import registry as R
 from . import sql_twins as S
@@ -123,7 +124,7 @@ def q_rich_search(spark, sf_dir):
     chunks = CH.chunk_documents(rich_docs(spark, sf_dir), R.WORDS)
     for c in _NULLED:
         chunks = chunks.withColumn(c, F.when(F.col("chunk_index") % 5 != 4, F.col(c)))
-    index = EM.embed_hashed(chunks, "content").persist()
+    index = written(EM.embed_hashed(chunks, "content"), "rich-index")
     variants = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(v).cast("string").alias("version"))
                          for j, v in [(0, None), (1, "9.9"), (2, None)]])
     d = table(spark, sf_dir, "documents", "doc_id", "text")

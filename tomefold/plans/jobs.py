@@ -40,7 +40,8 @@ def build_index(spark: SparkSession, pages: DataFrame, base_dir: str, version: s
     ledger = IX.read_or_empty(spark, f"{base_dir}/ledger", IX.LEDGER_SCHEMA)
     existing = None if mode == "append" else IX.read_or_empty(
         spark, IX.latest_pointer(spark, current), IX.INDEX_SCHEMA)
-    nxt, led, errors = IN.ingest_batch_with_errors(docs, existing, ledger, run_id, params, mode, embed, skip)
+    nxt, led, errors = IN.ingest_batch_with_errors(docs, existing, ledger, run_id, params, mode, embed, skip,
+                                                  staging=f"{base_dir}/staging/{run_id}")
     if whole_tree:  # a page that failed to convert is still there
         present = converted.select(F.lit(version).alias("version"), "file_path",
                                    F.coalesce("markdown", F.lit("")).alias("content"))

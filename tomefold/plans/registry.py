@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text as T
 from ..operators import chunk as CH
+from ..session import written
 from ..sources import derived as D
 from ..sources.tables import table
 from . import sql_twins as S
@@ -258,7 +259,7 @@ def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = D.two_versions(spark, sf_dir)
     chunks = CH.chunk_documents(old.unionByName(new), WORDS)
     # derived here from the tables; read by the kNN scan and the payload join
-    return EM.embed_hashed(chunks, "content").persist()
+    return written(EM.embed_hashed(chunks, "content"), "search-index")
 
 
 def search_queries(spark: SparkSession, sf_dir: str, limit=None, min_score=None) -> DataFrame:
@@ -503,7 +504,7 @@ WITH d AS (SELECT version, file_path, {S.is_blank('content')} AS blank FROM {SQL
 SELECT version, status, count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_chunks FROM s GROUP BY ALL""")
 def q_coverage(spark, sf_dir):
     """Files per status with their chunk counts."""
-    docs = both_docs(spark, sf_dir).persist()  # read by both sides of the coverage join
+    docs = both_docs(spark, sf_dir)
     return IN.coverage_summary(IN.coverage(docs, CH.chunk_documents(docs, WORDS)))
 
 
@@ -756,7 +757,7 @@ def q_quality_classifier(spark, sf_dir):
 @register("page_coverage")
 def q_page_coverage(spark, sf_dir):
     """Pages -> markdown -> chunks -> index: the stage each page reached."""
-    conv = converted_pages(spark, sf_dir, CV.ARTICLE_SELECTOR).persist()
+    conv = written(converted_pages(spark, sf_dir, CV.ARTICLE_SELECTOR), "converted-pages")
     chunks = CH.chunk_documents(CV.markdown_docs(conv, C.DEFAULT_VERSION))
     index = EM.embed_hashed(chunks, "content")
     return IN.page_coverage(conv, chunks, index)

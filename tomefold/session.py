@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.errors import PySparkAttributeError, PySparkNotImplementedError
 from pyspark.sql import SparkSession
@@ -68,6 +69,16 @@ def _context(spark: SparkSession):
         return None
 
 
+def written(df, name: str):
+    """``df`` written once as Parquet under the checkpoint dir and read back.
+
+    What several branches read is then computed once, on shared storage: a lost executor
+    loses nothing, and later scans prune columns."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tomefold/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[int] = set()
 
 

@@ -43,8 +43,9 @@ def start_ingest(spark: SparkSession, root: str, base_dir: str, checkpoint: str,
         ledger_path = f"{base_dir}/ledger"
         ledger = IX.read_or_empty(s, ledger_path, IX.LEDGER_SCHEMA)
         run_id = f"epoch{epoch:08d}-{IX.new_run_id()}"
+        staging = f"{base_dir}/staging/{run_id}"
         if mode == "append":
-            rows, led, err = IN.ingest_batch_with_errors(batch, None, ledger, run_id, mode="append")
+            rows, led, err = IN.ingest_batch_with_errors(batch, None, ledger, run_id, mode="append", staging=staging)
             # rows first, ledger next: rows of a run without ledger rows are never live
             IX.append_rows(rows, base_dir)
             led.write.mode("append").parquet(ledger_path)
@@ -53,7 +54,7 @@ def start_ingest(spark: SparkSession, root: str, base_dir: str, checkpoint: str,
             return
         current = f"{base_dir}/current"
         existing = IX.read_or_empty(s, IX.latest_pointer(s, current), IX.INDEX_SCHEMA)
-        nxt, led, err = IN.ingest_batch_with_errors(batch, existing, ledger, run_id, mode=mode)
+        nxt, led, err = IN.ingest_batch_with_errors(batch, existing, ledger, run_id, mode=mode, staging=staging)
         # commit order: snapshot, then the pointer to it, then the ledger.  A crash
         # before the ledger append only makes the next run redo these files, and
         # replacing them again is idempotent; the ledger never names a file whose
