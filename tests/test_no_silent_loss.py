@@ -115,3 +115,19 @@ def test_limit_below_one_is_an_error_row(spark):
     q = spark.createDataFrame([(1, "word", None, 0, None)], "qid long, query string, version string, limit int, min_score double")
     got = SE.search(q, index).collect()
     assert [(r.stage, "limit" in r.content) for r in got] == [("error", True)]
+
+
+def _index(spark, *texts):
+    docs = spark.createDataFrame([("1", f"f{i}.md", t) for i, t in enumerate(texts)], DOCS)
+    from tomefold.operators import chunk as CH
+    return EM.embed_hashed(CH.chunk_documents(docs), "content")
+
+
+def test_search_with_probes_and_synonyms(spark):
+    index = _index(spark, "# Soup\nonion soup with toast", "# Bread\nflour water salt", "# Roses\nprune roses in spring")
+    q = spark.createDataFrame([(1, "potage", None, 1, 0.2), (2, "flour water salt", "1", 2, 0.2)],
+                              "qid long, query string, version string, limit int, min_score double")
+    syn = spark.createDataFrame([("potage", "onion"), ("potage", "soup"), ("potage", "toast")], "term string, synonym string")
+    exact = sorted(map(str, SE.search(q, index, synonyms=syn).collect()))
+    assert any("Soup" in r and "stage='hit'" in r and "qid=1," in r for r in exact)
+    assert sorted(map(str, SE.search(q, index, synonyms=syn, probes=1 << 20).collect())) == exact

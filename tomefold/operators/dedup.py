@@ -187,20 +187,17 @@ def boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return line_frequencies(docs, id_col, text_col).filter(F.col("n_docs") >= cut)
 
 
-MAX_BROADCAST_LINES = 1_000_000
-
-
 def strip_boilerplate(docs: DataFrame, bp: DataFrame, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """Remove boilerplate lines and rebuild each document in line order.
 
-    The boilerplate set is broadcast when its row count is within
-    ``MAX_BROADCAST_LINES`` (checked); beyond that it is a shuffle anti-join."""
+    Blank lines, the most frequent of all, never take part in the join; the engine
+    chooses it by the measured size of the boilerplate set."""
     lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
+    lines = lines.withColumn("_norm", T.py_strip(F.col("line")))
     bp_lines = bp.select(F.col("norm").alias("_bp"))
-    small = bp_lines.limit(MAX_BROADCAST_LINES + 1).count() <= MAX_BROADCAST_LINES
-    kept = lines.withColumn("_norm", T.py_strip(F.col("line"))).join(
-        F.broadcast(bp_lines) if small else bp_lines, F.col("_norm") == F.col("_bp"), "left_anti").drop("_norm")
+    kept = lines.filter(F.col("_norm") == "").unionByName(
+        lines.filter(F.col("_norm") != "").join(bp_lines, F.col("_norm") == F.col("_bp"), "left_anti")).drop("_norm")
     rebuilt = kept.groupBy(id_col).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]),
                      "\n").alias("clean_text"),

@@ -92,19 +92,18 @@ def content_hash(content) -> F.Column:
 # --------------------------------------------------------------------------- J1
 def pair_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id",
                  dim: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Inner equi-join of chunks with their vectors; everything unmatched, or of
-    the wrong size, comes back as error rows instead of failing the batch."""
-    v = vectors.select(key, "vector")
-    paired = chunks.join(v, key, "inner")
+    """Equi-join of chunks with their vectors; everything unmatched, or of the
+    wrong size, comes back as error rows instead of failing the batch (one full
+    outer join)."""
+    both = chunks.withColumn("_chunk", F.lit(True)).join(
+        vectors.select(key, "vector", F.lit(True).alias("_vector")), key, "full_outer")
+    problem = (F.when(F.col("_chunk").isNull(), F.lit("vector without chunk"))
+               .when(F.col("_vector").isNull(), F.lit("missing vector")))
     if dim is not None:
-        bad = paired.filter(F.size("vector") != dim)
-        paired = paired.filter(F.size("vector") == dim)
-    else:
-        bad = paired.limit(0)
-    missing = chunks.join(v, key, "left_anti").select(key, F.lit("missing vector").alias("error"))
-    orphan = v.join(chunks.select(key), key, "left_anti").select(key, F.lit("vector without chunk").alias("error"))
-    wrong = bad.select(key, F.lit("wrong vector size").alias("error"))
-    return paired, missing.unionByName(orphan).unionByName(wrong)
+        problem = problem.when(F.coalesce(F.size("vector"), F.lit(-1)) != dim, F.lit("wrong vector size"))
+    both = both.withColumn("error", problem)
+    paired = both.filter(F.col("error").isNull()).select(*chunks.columns, "vector")
+    return paired, both.filter(F.col("error").isNotNull()).select(key, "error")
 
 
 # --------------------------------------------------------------------------- S6, J5

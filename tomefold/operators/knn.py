@@ -307,10 +307,10 @@ def knn_ivf(queries: DataFrame, items: DataFrame, k: int, *, n_cells: int | None
     dim = _dim_of(queries.filter(F.col("qvec").isNotNull()))
     it = items.filter(F.size("vector") == dim).select(
         "item_id", "vector", (F.col("version") if has_ver else F.lit(None).cast("string")).alias("version"))
-    n = it.count()
-    if not n:
-        return _rank(spark.createDataFrame([], _OUT), k)
-    cells = max(2, n_cells or int(math.sqrt(n)))
+    seen = it.agg(F.count("*").alias("n"), F.countDistinct(F.xxhash64("vector")).alias("kinds")).first()
+    cells = min(n_cells or int(math.sqrt(seen["n"])), seen["kinds"])  # k-means needs as many kinds as cells
+    if cells < 2:  # one cell is the exact scan
+        return knn(queries, items, k, default_min_score=default_min_score)
     feats = it.withColumn("features", array_to_vector(_unit(F.col("vector"))))
     model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="features",
                    predictionCol="cell").fit(feats)

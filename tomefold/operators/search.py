@@ -101,17 +101,27 @@ def _hit_counts(good: DataFrame, initial: DataFrame, first: DataFrame) -> DataFr
 
 
 def search(queries: DataFrame, index: DataFrame, *, rules: RerankRules = RerankRules(),
-           dim: int = C.EMBED_DIM, embedder=None, plan: str = "auto", counts_only: bool = False) -> DataFrame:
+           dim: int = C.EMBED_DIM, embedder=None, plan: str = "auto", counts_only: bool = False,
+           probes: int | None = None, synonyms: DataFrame | None = None) -> DataFrame:
     """``queries(qid, query, version, limit, min_score)`` x ``index`` -> results.
 
     ``index`` has the chunk columns plus ``vector``.  ``embedder`` maps a text
     column to a vector column (default: the hashed embedder).
+
+    ``probes``: search approximately, in that many cells per query (A7); None is
+    exact.  ``synonyms(term, synonym)``: embed the expanded query text (D9); boosts
+    and messages keep the text as asked.
     """
     emb = embedder or (lambda c: E.hashed_vector(c, dim))
     q = (queries.select("qid", "query", "version",
                         F.coalesce("limit", F.lit(C.SEARCH_LIMIT)).alias("limit"),
                         F.coalesce("min_score", F.lit(C.SEARCH_MIN_SCORE)).alias("min_score"))
-         .withColumn("qvec", emb(F.col("query"))))
+         )
+    if synonyms is None:
+        q = q.withColumn("qvec", emb(F.col("query")))
+    else:
+        from .ingest import expand_queries
+        q = expand_queries(q, synonyms).withColumn("qvec", emb(F.col("expanded_query"))).drop("expanded_query")
     # the embedded request table (one row per query) feeds several branches:
     # embed once
     q = q.withColumn("problem", F.when(F.col("limit") < 1, F.lit("the limit must be at least 1"))
@@ -124,8 +134,11 @@ def search(queries: DataFrame, index: DataFrame, *, rules: RerankRules = RerankR
         # the raw request count bounds the embedded query side (no UDF needed to count)
         n_q = queries.count()
         plan = "broadcast" if n_q * dim * 8 <= K.MAX_BROADCAST_BYTES else "grid"
-    hits = K.knn(good.select("qid", "qvec", F.col("version").alias("qversion")),
-                 items, C.CANDIDATE_CAP, default_min_score=C.FALLBACK_MIN_SCORE, plan=plan)
+    asked = good.select("qid", "qvec", F.col("version").alias("qversion"))
+    if probes is None:
+        hits = K.knn(asked, items, C.CANDIDATE_CAP, default_min_score=C.FALLBACK_MIN_SCORE, plan=plan)
+    else:
+        hits = K.knn_ivf(asked, items, C.CANDIDATE_CAP, n_probe=probes, default_min_score=C.FALLBACK_MIN_SCORE)
     # the engine chooses these joins by the measured size of the hits and queries (AQE)
     payload = items.select("item_id", "content", "title", "file_path", "section", "doc_url",
                            "heading_path", "has_code", "content_type", "version")
