@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomefold.llm.common import stored
+from tomefold.llm.common import prepare, stored
 from tomefold.llm.tokens import encoder
 
 PART_ITEMS = 2048
@@ -45,6 +45,7 @@ _PACKED_DDL = _PIECES_DDL + ", sequence_id long, offset long, opens int, fill lo
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, blanks: bool, capacity: int) -> DataFrame:
     """One row per piece of every document: its place in the document, length and digest."""
+    prepare(docs.sparkSession)
     end = np.asarray([end_id], "<u4").tobytes()
 
     def cut(batches):

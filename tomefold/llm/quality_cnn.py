@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomefold.llm.common import held_out
+from tomefold.llm.common import held_out, prepare
 
 WIDTH = 8
 FILTERS = 24
@@ -148,6 +148,7 @@ class Scorer:
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
     """(chunks, label) of a bounded sample of the labelled documents."""
+    prepare(docs.sparkSession)
     picked = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
               .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
@@ -172,6 +173,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
 
 def classify(docs: DataFrame, model: dict | None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tomefold.llm.common import prepare
 from tomefold.llm.tokens import encoder
 
 CHUNK_BITS = 8
@@ -88,6 +89,7 @@ def token_at(levels: list[dict], i: int) -> int:
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, blanks: bool,
                 shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode ``docs`` (doc_id, text) in ascending doc_id order and write a store at ``path``."""
+    prepare(docs.sparkSession)
     end = np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches):

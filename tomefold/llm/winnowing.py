@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomefold.llm.common import prepare
+
 K = 32
 WINDOW = 96
 BLOCK = 1 << 20
@@ -143,6 +145,7 @@ def _compare(batches):
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses."""
     spark = docs.sparkSession
+    prepare(spark)
     n_ranges = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n_ranges for i in range(1, n_ranges)], 100 * n_ranges)).first()[0]
