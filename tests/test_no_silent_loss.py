@@ -55,7 +55,7 @@ def test_changes_by_version_with_tombstones(spark):
         [("1", "a", "h1"), ("2", "a", "h2"), ("2", "gone", None), ("2", "back", None)], "version string, file_path string, content_hash string")
     ledger = ledger.withColumn("ts", F.current_timestamp()).withColumn("n_chunks", F.lit(1)).withColumn("run_id", F.lit("r"))
     docs = spark.createDataFrame([("2", "back", "x"), ("2", "new", "y")], DOCS)
-    got = {(r.version, r.file_path): r.status for r in IN.changes(ledger, docs).collect()}
+    got = {(r.version, r.file_path): r.status for r in IN.changes(ledger, docs, ["2"]).collect()}
     assert got == {("2", "a"): "deleted", ("2", "back"): "new", ("2", "new"): "new"}
     pending = IN.pending_by_path(docs, ledger)
     assert sorted(r.file_path for r in pending.collect()) == ["back", "new"]

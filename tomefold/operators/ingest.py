@@ -30,17 +30,19 @@ def _live(ledger: DataFrame) -> DataFrame:
     return latest.filter(F.col("content_hash").isNotNull())
 
 
-def changes(old_ledger: DataFrame, docs: DataFrame) -> DataFrame:
+def changes(old_ledger: DataFrame, docs: DataFrame, versions: list[str] | None = None) -> DataFrame:
     """Incremental update (D7): compare content hashes of the current tree with
     the ledger by (version, file path).  status = new | changed | deleted | same.
 
     A tombstone counts as absent: a file deleted earlier and still gone has no
-    row, one that came back is ``new``.  Only versions present in ``docs`` are
-    compared, so a tree of one version says nothing about another's files."""
+    row, one that came back is ``new``.  ``versions`` names the versions of which
+    ``docs`` is the whole tree: ledger rows of others are left out, since a tree of
+    one version says nothing about another's files."""
     keys = ["version", "file_path"]
     cur = docs.select(*keys, IX.content_hash("content").alias("new_hash"))
     prev = _live(old_ledger).select(*keys, F.col("content_hash").alias("old_hash"))
-    prev = prev.join(docs.select("version").distinct(), "version", "left_semi")
+    if versions is not None:
+        prev = prev.filter(F.col("version").isin(versions))
     j = cur.join(prev, keys, "full_outer")
     status = (F.when(F.col("old_hash").isNull(), F.lit("new"))
               .when(F.col("new_hash").isNull(), F.lit("deleted"))

@@ -45,7 +45,7 @@ def build_index(spark: SparkSession, pages: DataFrame, base_dir: str, version: s
     if whole_tree:  # a page that failed to convert is still there
         present = converted.select(F.lit(version).alias("version"), "file_path",
                                    F.coalesce("markdown", F.lit("")).alias("content"))
-        gone = IN.changes(ledger, present).filter(F.col("status") == "deleted").select("version", "file_path")
+        gone = IN.changes(ledger, present, [version]).filter(F.col("status") == "deleted").select("version", "file_path")
         if mode != "append":
             nxt = nxt.join(gone, ["version", "file_path"], "left_anti")
     conv_err = converted.filter(F.col("error").isNotNull()).select(

@@ -492,7 +492,7 @@ def q_incremental_changes(spark, sf_dir):
               .unionByName(gone(here.filter(source.isin("src1", "src2", "src3")), 2))
               .unionByName(run(here.filter(source.isin("src2", "src3")), 3))
               .unionByName(gone(here.filter(source == "src3"), 4)))
-    return IN.changes(ledger, new)
+    return IN.changes(ledger, new, [D.NEW_VERSION])
 
 
 @register("coverage", f"""
