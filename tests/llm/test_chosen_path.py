@@ -56,9 +56,10 @@ def near_copies(n, words=120, seed=3):
     return out
 
 
-@pytest.mark.parametrize("small", [512, 6])
-def test_links_and_classes(spark, documents, monkeypatch, small):
+@pytest.mark.parametrize("small,medium", [(512, 8192), (6, 20), (6, 6)])
+def test_links_and_classes(spark, documents, monkeypatch, small, medium):
     monkeypatch.setattr(cp, "SMALL", small)
+    monkeypatch.setattr(cp, "MEDIUM", medium)
     rows = [(r.doc_id, r.text) for r in documents.collect()] + near_copies(60)
     rows += [(200_000, "a b c d"), (200_001, "a  b\nc d"), (200_002, None), (200_003, ""), (None, "a b c d"), (5, rows[5][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)

@@ -4,11 +4,11 @@ Method: a text is the set of its shingles (five consecutive words; a shorter tex
 word is one shingle).  Sets are embedded by ``COORDINATES`` minhashes: token i of a set is
 its i-th minhash, and two sets share it with the probability of their Jaccard similarity.
 A run sends every set down a path of sampled tokens: all sets of a bucket that agree on
-the sampled token share the next bucket.  Buckets of at most ``SMALL`` sets are compared
-by brute force.  Larger ones are first compared with a pivot: when every set is close to
-it, they are connected and the bucket is done; else it is split further by a token of its
-own.  What is still large after ``LEVELS`` is compared block by block, so no size is left
-out.  Runs repeat until the target recall: a pair at the threshold is missed by one run
+the sampled token share the next bucket.  Buckets of at most ``MEDIUM`` sets are compared
+by brute force, in pairs of blocks when they hold more than ``SMALL``.  Larger ones are
+first compared with a pivot: when every set is close to it, they are connected and the
+bucket is done; else it is split further by a token of its own.  What is still large after
+``LEVELS`` is compared block by block too, so no size is left out.  Runs repeat until the target recall: a pair at the threshold is missed by one run
 with probability ``1 - threshold**2`` at most when its path is two tokens long.
 
 Brute force inside buckets compares 8-bit sketches of the minhashes and connects sets that
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tomefold.llm.common import stored
+from tomefold.llm.common import prepare, stored
 from tomefold.llm.components import components
 
 WORDS = 5
@@ -49,6 +49,7 @@ RECALL = 0.99999
 COORDINATES = 128
 LOOKS = 0.62
 SMALL = 512
+MEDIUM = 8192
 LEVELS = 4
 BLOCK = 128
 MEMO = 300_000
@@ -213,7 +214,7 @@ def _similar_in_buckets(batches):
 
 def _in_blocks(big: DataFrame) -> DataFrame:
     """Buckets too large for one task as pairs of blocks, each a bucket of its own."""
-    n_blocks = F.ceil(2 * F.col("n") / SMALL).cast("int")
+    n_blocks = F.ceil(F.col("n") / SMALL).cast("int")
     own = F.pmod(F.xxhash64("set_id"), n_blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: F.xxhash64(
         F.col("bucket"), F.least(own, j), F.greatest(own, j)))
@@ -228,12 +229,12 @@ def similar_groups(sets: DataFrame, runs: int) -> DataFrame:
     for level in range(LEVELS + 1):
         members = stored(rows.join(sizes_of(rows), "bucket"), "path-members")
         small.append(members.where(F.col("n") <= SMALL).select("bucket", "set_id"))
-        large = members.where(F.col("n") > SMALL)
+        most = MEDIUM if level < LEVELS else None
+        medium = F.col("n") > SMALL if most is None else F.col("n").between(SMALL + 1, most)
+        small.append(_in_blocks(members.where(medium)))
+        large = members.where(F.col("n") > most) if most else members.limit(0)
         if not large.limit(1).count():
             break
-        if level == LEVELS:
-            small.append(_in_blocks(large))
-            break
         wide = large.select("bucket", "set_id").join(sets.select("set_id", "mins", "sketch"), "set_id")
         pivots = (large.groupBy("bucket").agg(F.min("set_id").alias("pivot"))
                   .join(sets.select(F.col("set_id").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot"))
@@ -335,6 +336,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     other documents at least ``threshold`` similar (copies count each), ``rep_hash`` the
     text hash of the class's first document.
     """
+    prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
                        "text")
     ddl = "doc_id long, text_hash long, set_id long, size int, mins binary, sketch binary"
