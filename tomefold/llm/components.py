@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
             return _rooted(star)
         before = seen
         both = star.select("a", "b").union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written, so that the join back has a shuffle of its own whose large keys can be split
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         near = both.join(least, "a").select(F.col("b").alias("x"), "m")
         own = least.select(F.col("a").alias("x"), "m")
         star = stored(near.union(own).where(F.col("x") > F.col("m")).select(
