@@ -120,7 +120,16 @@ def revealing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     pairs = (near.groupBy(F.col("p.entity").alias("entity"), F.col("p.term").alias("term"))
              .agg(F.countDistinct("key").alias("n_te"), F.countDistinct("text_hash").alias("texts"))
              .where(F.col("texts") >= SUPPORT).drop("texts"))
-    pairs = stored(pairs, "pii-pairs")
+    entities = (spans.where(F.col("entities").isNotNull()).select(F.explode("entities").alias("entity"))
+                .groupBy("entity").agg(F.count("*").alias("n_e")))
+    total = F.lit(float(max(2, spans.count())))
+    ic = F.log(total / F.least(F.col("n_e"), total - 1))
+    # The threshold bounds n_t from above.  A term near mentions of any kind in more
+    # documents than that cannot reach it: common words need no count over the corpus.
+    seen = near.groupBy(F.col("p.term").alias("term")).agg(F.countDistinct("key").alias("near_any"))
+    most = F.col("n_te") * F.exp((1 - GENERALISE) * ic) * (total / F.col("n_e")) / F.exp(ic) * (1 + 1e-9)
+    pairs = stored(pairs.join(entities, "entity").join(seen, "term").where(F.col("near_any") <= most).drop("near_any"),
+                   "pii-pairs")
     terms = stored(pairs.select("term").distinct(), "pii-terms")
     words = docs.select(row_key(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("key"), F.explode(
         F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
@@ -129,12 +138,8 @@ def revealing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
         counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
     else:
         counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
-    entities = (spans.where(F.col("entities").isNotNull()).select(F.explode("entities").alias("entity"))
-                .groupBy("entity").agg(F.count("*").alias("n_e")))
-    total = F.lit(float(max(2, spans.count())))
-    ic = F.log(total / F.least(F.col("n_e"), total - 1))
     pmi = F.log(total * F.col("n_te") / (F.col("n_e") * F.col("n_t")))
-    return (pairs.join(counts, "term").join(entities, "entity").withColumn("disclosure", pmi / ic)
+    return (pairs.join(counts, "term").withColumn("disclosure", pmi / ic)
             .where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure"))
 
 
