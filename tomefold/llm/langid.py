@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomefold.llm.common import held_out, stored
+from tomefold.llm.common import held_out, prepare, stored
 
 WORDS = 50_000
 GRAMS = 20_000
@@ -82,6 +82,7 @@ def _add_grams(counts, lang, word, n):
 
 def train(docs: DataFrame) -> dict:
     """Fit the model on ``docs`` (text, lang); rows with a null in either are not used."""
+    prepare(docs.sparkSession)
     rows = docs.select("lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     priors = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(priors)
@@ -105,41 +106,47 @@ def train(docs: DataFrame) -> dict:
 
 
 class Scorer:
-    """Scores texts; remembers the vectors of unknown words up to a bound."""
+    """Scores texts; remembers the n-grams of unknown words up to a bound."""
 
     def __init__(self, model: dict):
         self.model = model
-        self.known, self.known_logs = model["tables"][0]
-        self.memo: dict[str, np.ndarray] = {}
+        self.known = model["tables"][0][0]
+        self.memo: dict[str, tuple[int, list[int]]] = {}
 
-    def unseen(self, word: str) -> np.ndarray:
-        """The vector of a word by the longest n-grams known."""
+    def unseen(self, word: str) -> tuple[int, list[int]]:
+        """The longest order of which the model knows n-grams of the word, and their rows."""
         for size in ORDERS:
-            index, logs = self.model["tables"][size]
+            index = self.model["tables"][size][0]
             found = [index[g] for g in grams(word, size) if g in index]
             if found:
-                return logs[found].mean(axis=0)
-        return np.zeros(len(self.model["langs"]))
+                return size, found
+        return ORDERS[-1], []
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = Counter(letter_words(text or ""))
         if not found or not self.model["langs"]:
             return "und", 0.0
-        rows, times, total = [], [], self.model["prior"].copy()
+        rows: dict[int, list[int]] = {size: [] for size in (0, *ORDERS)}
+        times: dict[int, list[float]] = {size: [] for size in (0, *ORDERS)}
         for word, n in found.items():
             i = self.known.get(word)
             if i is not None:
-                rows.append(i)
-                times.append(n)
+                rows[0].append(i)
+                times[0].append(n)
                 continue
-            v = self.memo.get(word)
-            if v is None:
+            got = self.memo.get(word)
+            if got is None:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
-                v = self.memo[word] = self.unseen(word)
-            total += n * v
-        if rows:
-            total += np.asarray(times, dtype=np.float64) @ self.known_logs[rows]
+                got = self.memo[word] = self.unseen(word)
+            size, parts = got
+            if parts:
+                rows[size] += parts
+                times[size] += [n / len(parts)] * len(parts)
+        total = self.model["prior"].copy()
+        for size, own in rows.items():
+            if own:
+                total += np.asarray(times[size]) @ self.model["tables"][size][1][own]
         p = np.exp(total - total.max())
         p /= p.sum()
         best = int(p.argmax())
@@ -148,6 +155,7 @@ class Scorer:
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document."""
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
