@@ -91,3 +91,26 @@ def test_messy(spark):
     assert rows(out) == rows(docs)  # nothing personal in it
     assert pii.detect(frame(spark, empty=True)).count() == 0
     assert pii.sanitise(frame(spark, empty=True)).count() == 0
+
+
+def test_every_place_of_a_revealing_term(spark):
+    far = " plain words" * 20
+    rows = corpus() + [(300 + i, f"Mordax{far} tells{far} her@far.org{far} zorblatt {chr(97 + i)}{chr(98 + i)}{chr(99 + i)}")
+                       for i in range(4)] + [(400, f"nobody is named here{far} but MORDAX is")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans.split(",") for r in pii.detect(docs).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    for i in range(4):                                    # far beyond a mention, in the same text
+        assert "removed_term:0:6" in spans[300 + i] or "term:0:6" in spans[300 + i]
+        assert "Mordax" not in clean[300 + i] and "her@far" not in clean[300 + i] and "plain" in clean[300 + i]
+    assert "MORDAX" not in clean[400] and "nobody" in clean[400]  # a text without any mention
+    at = rows[-2][1].index("her@")                        # no word of a mention is a term of its own
+    assert [s for s in spans[303] if at <= int(s.split(":")[1]) < at + 11] == [f"email:{at}:{at + 11}"]
+
+
+def test_repeated_rows_are_counted_alike(spark):
+    rows = corpus() + [r for r in corpus() if r[0] < 5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.sanitise(docs).collect()
+    assert len(got) == len(rows) == pii.detect(docs).count()
+    assert not any("Zorblatt" in r.text for r in got)

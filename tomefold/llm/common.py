@@ -61,10 +61,11 @@ def held_out(doc_id: Column) -> Column:
 SPAN_BLOCK = 256
 
 
-def matches(text: Column, pattern: str, group: int | None = None) -> Column:
+def matches(text: Column, pattern: str, group: int | None = None, keep=None) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` in ``text`` as structs (start, end, m[, g]).
 
-    Places are in code points, ``end`` exclusive; ``g`` is the text of ``group``.  The gaps
+    Places are in code points, ``end`` exclusive; ``g`` is the text of ``group``;
+    only matches with ``keep(m)`` are returned, if given.  The gaps
     between matches are the pieces of a split by the same pattern.  Running sums go in
     blocks, so a text with very many matches costs no quadratic copying.
     """
@@ -80,7 +81,9 @@ def matches(text: Column, pattern: str, group: int | None = None) -> Column:
         def step(acc, x):
             at = acc["pos"] + x["gap"]
             item = F.struct(at.alias("start"), (at + x["len"]).alias("end"), x["m"].alias("m"), x["g"].alias("g"))
-            return F.struct((at + x["len"]).alias("pos"), F.concat(acc["out"], F.array(item)).alias("out"))
+            out = F.concat(acc["out"], F.array(item))
+            out = F.when(keep(x["m"]), out).otherwise(acc["out"]) if keep else out
+            return F.struct((at + x["len"]).alias("pos"), out.alias("out"))
         none = F.array().cast("array<struct<start: bigint, end: bigint, m: string, g: string>>")
         return F.aggregate(block, F.struct(begin.alias("pos"), none.alias("out")), step)["out"]
 

@@ -1,19 +1,20 @@
 """Operator 6: personal data by information-theoretic sanitisation.
 
-Method: the base patterns (email, ip, card, phone) are protected entities.  Terms near a
-mention may reveal the entity even after it is removed.  How strongly is estimated from
-the corpus: with N documents, the entity in n_e, the term in n_t and both near each other
-in n_te of them, the disclosure of e by t is ``PMI(e, t) / IC(e)`` =
+Method: the base patterns (email, ip, card, phone) are protected entities.  Terms in the
+same document may reveal the entity even after it is removed.  How strongly is estimated
+from the corpus: with N documents, the entity in n_e, the term (outside mentions) in n_t
+and both in n_te of them, the disclosure of e by t is ``PMI(e, t) / IC(e)`` =
 ``log(N n_te / (n_e n_t)) / log(N / n_e)``: 1 when every document with the term mentions
 the entity, 0 when they are independent.  Terms above ``REMOVE`` are removed, terms above
-``GENERALISE`` are replaced by their class.  A term must stand near the entity in at least
-``SUPPORT`` different texts, so a chance word, or copies of one text, reveal nothing.
+``GENERALISE`` are replaced by their class, at every place of every document that holds
+them.  A term must share at least ``SUPPORT`` different texts with the entity, so a chance
+word, or copies of one text, reveal nothing.
 
-Scale: DataFrame functions only.  Terms are looked for within ``NEAR`` code points of a
-mention, so rows stay in proportion to mentions and no pairs of a group are formed;
-document counts aggregate on the map side; texts stay where they are until ``sanitise``
-joins the few documents with terms to remove.  Candidate terms are broadcast only when
-their written size is small, else term counts are aggregated over all words and joined.
+Scale: DataFrame functions only.  Whole texts are counted, so long ones need no window.
+The threshold bounds n_t by n_e: common words go before any pair is formed, and no pairs of
+a group are.  Document counts aggregate on the map side; the distinct terms of each text
+are written once, texts stay where they are until ``sanitise`` joins them with the terms
+found in them.  Terms are broadcast only when few by count, else joined by shuffle.
 
 Defined cases: null text is the empty text; null doc_ids are allowed; repeated rows are one
 text for the support and each is returned; failing base matches are dropped without
@@ -43,7 +44,6 @@ PATTERNS = {
 MAYBE = {"email": "@", "ip": "[0-9]\\.[0-9]++\\.[0-9]++\\.[0-9]", "card": "[0-9](?:[\\x20-]?[0-9]){11}", "phone": "\\+[0-9]"}
 KINDS = tuple(PATTERNS)
 TERM = "\\p{L}{3,}+"
-NEAR = 60
 SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
 BROADCAST_TERMS = 200_000
@@ -80,33 +80,32 @@ def base_matches(text: Column) -> dict[str, Column]:
     return out
 
 
-def _near_terms(text: Column, mention: Column) -> Column:
-    """Whole terms within ``NEAR`` code points of a mention, as (term, start, end)."""
-    begin = F.greatest(F.lit(0).cast("long"), mention["start"] - NEAR)
-    left = F.substring(text, (begin + 1).cast("int"), (mention["start"] - begin).cast("int"))
-    right = F.substring(text, (mention["end"] + 1).cast("int"), F.lit(NEAR))
-
-    def placed(side, offset, whole):
-        return F.transform(F.filter(matches(side, TERM), whole), lambda x: F.struct(
-            F.lower(x["m"]).alias("term"), (x["start"] + offset).alias("start"), (x["end"] + offset).alias("end")))
+def _blanked(text: Column, mentions: Column) -> Column:
+    """``text`` with every mention replaced by as many spaces (places stay)."""
+    def step(acc, x):
+        begin, end = F.greatest(acc["pos"], x["start"]), F.greatest(acc["pos"], x["end"])
+        kept = F.substring(text, (acc["pos"] + 1).cast("int"), (begin - acc["pos"]).cast("int"))
+        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.concat(
+            kept, F.repeat(F.lit(" "), (end - begin).cast("int"))))).alias("out"))
 
-    return F.concat(placed(left, begin, lambda x: (x["start"] > 0) | (begin == 0)),
-                    placed(right, mention["end"], lambda x: (x["end"] < F.length(right)) | (F.length(right) < NEAR)))
+    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<string>").alias("out"))
+    return F.when(F.size(mentions) == 0, text).otherwise(let(F.aggregate(
+        F.array_sort(mentions), start, step), lambda end: F.concat(
+            F.array_join(end["out"], ""), F.substring(text, (end["pos"] + 1).cast("int"), F.length(text)))))
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, base spans by kind, near): ``near`` lists the terms around every mention."""
+    """(doc_id, key, base spans by kind, entities, terms): ``terms`` are the distinct ones outside mentions."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base_matches(F.col("text"))
     with_base = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key"),
                             *[m.alias(k) for k, m in base.items()])
     mentions = F.concat(*KINDS)
-    near = F.flatten(F.transform(mentions, lambda m: F.transform(_near_terms(F.col("text"), m), lambda t: F.struct(
-        F.lower(m["m"]).alias("entity"), t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end")))))
     entities = F.array_distinct(F.transform(mentions, lambda m: F.lower(m["m"])))
+    terms = F.transform(F.regexp_extract_all(_blanked(F.col("text"), mentions), F.lit(TERM), F.lit(0)), F.lower)
     return with_base.select(
         "doc_id", "key", F.xxhash64("text").alias("text_hash"), *[labelled(F.col(k), i, k).alias(k) for i, k in enumerate(KINDS)],
-        F.when(F.size(mentions) > 0, entities).alias("entities"), F.when(F.size(mentions) > 0, near).alias("near"))
+        F.when(F.size(mentions) > 0, entities).alias("entities"), F.array_distinct(terms).alias("terms"))
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -114,53 +113,71 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
+def _with_few(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``rows`` joined with written ``terms``, broadcast (about 20 bytes a row) if there are few."""
+    return rows.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term")
+
+
 def revealing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of all pairs above the lower threshold."""
-    near = spans.where(F.col("near").isNotNull()).select("key", "text_hash", F.explode("near").alias("p"))
-    pairs = (near.groupBy(F.col("p.entity").alias("entity"), F.col("p.term").alias("term"))
-             .agg(F.countDistinct("key").alias("n_te"), F.countDistinct("text_hash").alias("texts"))
-             .where(F.col("texts") >= SUPPORT).drop("texts"))
-    entities = (spans.where(F.col("entities").isNotNull()).select(F.explode("entities").alias("entity"))
-                .groupBy("entity").agg(F.count("*").alias("n_e")))
     total = F.lit(float(max(2, spans.count())))
+    held = spans.where(F.col("entities").isNotNull())
+    mentions = held.select("key", "text_hash", F.explode("entities").alias("entity"))
     ic = F.log(total / F.least(F.col("n_e"), total - 1))
-    # The threshold bounds n_t from above.  A term near mentions of any kind in more
-    # documents than that cannot reach it: common words need no count over the corpus.
-    seen = near.groupBy(F.col("p.term").alias("term")).agg(F.countDistinct("key").alias("near_any"))
-    most = F.col("n_te") * F.exp((1 - GENERALISE) * ic) * (total / F.col("n_e")) / F.exp(ic) * (1 + 1e-9)
-    pairs = stored(pairs.join(entities, "entity").join(seen, "term").where(F.col("near_any") <= most).drop("near_any"),
-                   "pii-pairs")
-    terms = stored(pairs.select("term").distinct(), "pii-terms")
-    words = docs.select(row_key(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("key"), F.explode(
-        F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    if terms.count() <= BROADCAST_TERMS:
-        words = words.join(F.broadcast(terms), "term", "left_semi")  # about 20 bytes a row
-        counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    else:
-        counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
+    # As n_te <= n_e, a pair above the threshold has n_t <= most.
+    entities = stored(mentions.groupBy("entity").agg(F.count("*").alias("n_e"), F.countDistinct("text_hash").alias("texts"))
+                      .where(F.col("texts") >= SUPPORT).withColumn("ic", ic)
+                      .select("entity", "n_e", "ic", (total * F.exp(-GENERALISE * F.col("ic")) * (1 + 1e-9)).alias("most")),
+                      "pii-entities")
+    marked = stored(mentions.join(entities, "entity").groupBy("key").agg(
+        F.collect_set(F.struct("entity", "n_e", "ic", "most")).alias("scored"), F.max("most").alias("bound")), "pii-marked")
+    near = stored(held.join(marked.select("key", "bound"), "key").select(
+        "key", "text_hash", "bound", F.explode("terms").alias("term")), "pii-near")
+    seen = (near.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("text_hash").alias("texts"), F.max("bound").alias("bound"))
+            .where((F.col("texts") >= SUPPORT) & (F.col("n") <= F.col("bound"))).select("term", "bound"))
+    counts = spans.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    terms = stored(counts.join(seen, "term").where(F.col("n_t") <= F.col("bound")).select("term", "n_t"), "pii-terms")
+    shared = (_with_few(near, terms).where(F.col("n_t") <= F.col("bound")).join(marked.select("key", "scored"), "key")
+              .select("text_hash", "term", "n_t", F.explode(F.filter("scored", lambda e: e["most"] >= F.col("n_t"))).alias("e")))
     pmi = F.log(total * F.col("n_te") / (F.col("n_e") * F.col("n_t")))
-    return (pairs.join(counts, "term").withColumn("disclosure", pmi / ic)
-            .where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure"))
+    return (shared.groupBy("e.entity", "e.n_e", "e.ic", "term", "n_t")
+            .agg(F.count("*").alias("n_te"), F.countDistinct("text_hash").alias("texts")).where(F.col("texts") >= SUPPORT)
+            .withColumn("disclosure", pmi / F.col("ic")).where(F.col("disclosure") >= GENERALISE)
+            .select("entity", "term", "disclosure"))
+
+
+def term_hits(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(key, hits): the revealing terms in the text and their disclosure, for the rows that have any."""
+    strong = stored(revealing_terms(docs, spans).groupBy("term").agg(F.max("disclosure").alias("d")), "pii-revealing")
+    hits = _with_few(spans.select("key", F.explode("terms").alias("term")), strong)
+    return hits.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "d"))).alias("hits"))
 
 
-def term_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(key, terms): the spans of revealing terms, for the rows that have any."""
-    strong = stored(revealing_terms(docs, spans), "pii-revealing")
-    near = (spans.where(F.col("near").isNotNull()).select("key", F.explode("near").alias("p"))
-            .select("key", "p.entity", "p.term", "p.start", "p.end"))
-    hits = near.join(strong, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("disclosure").alias("d"))
+def term_spans(text: Column, mentions: Column, hits: Column) -> Column:
+    """Spans of every place of the terms in ``hits`` outside the mentions of ``text``."""
     order = len(KINDS)
-    span = F.struct("start", F.when(F.col("d") >= REMOVE, order + 1).otherwise(order).alias("order"), "end",
-                    F.when(F.col("d") >= REMOVE, "removed_term").otherwise("term").alias("kind"))
-    return hits.groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("terms"))  # one text's own spans
+    places = let(_blanked(text, mentions), lambda t: matches(
+        t, TERM, keep=lambda m: F.coalesce(F.map_contains_key(hits, F.lower(m)), F.lit(False))))
+    every = F.transform(places, lambda x: F.struct(
+        x["start"].alias("start"), x["end"].alias("end"), F.try_element_at(hits, F.lower(x["m"])).alias("d")))
+    return F.when(hits.isNull(), F.array().cast(SPAN_TYPE)).otherwise(F.transform(every, lambda x: F.struct(
+        x["start"].alias("start"), F.when(x["d"] >= REMOVE, order + 1).otherwise(order).alias("order"), x["end"].alias("end"),
+        F.when(x["d"] >= REMOVE, "removed_term").otherwise("term").alias("kind"))))
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every document."""
     spans = stored(found(docs), "pii-spans")
-    joined = spans.join(term_spans(docs, spans), "key", "left")
+    hits = stored(term_hits(docs, spans), "pii-hits")
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(row_key(F.col("doc_id").cast("long"), text).alias("key"), text.alias("text"))
+    mentions = [F.col(k) for k in KINDS]
+    once = spans.select("key", *KINDS).join(hits, "key").dropDuplicates(["key"])
+    placed = (texts.join(once, "key").select("key", term_spans(F.col("text"), F.concat(*mentions), F.col("hits")).alias("places"))
+              .dropDuplicates(["key"]))
+    joined = spans.drop("terms").join(placed, "key", "left")
     base = F.array_sort(F.concat(*KINDS))
-    every = F.array_sort(F.concat(*KINDS, F.coalesce("terms", F.array().cast(SPAN_TYPE))))
+    every = F.array_sort(F.concat(*KINDS, F.coalesce("places", F.array().cast(SPAN_TYPE))))
     return joined.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
                          F.sha2(spelled(base), 256).alias("base_sha256"), spelled(every).alias("spans"))
 
@@ -185,13 +202,13 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data masked in ``text``; n_chars, if there, is counted anew."""
     names = {c: f"_{i}_{c}" for i, c in enumerate(docs.columns)}
     spans = stored(found(docs), "pii-spans")
-    terms = stored(term_spans(docs, spans), "pii-term-spans")
+    hits = stored(term_hits(docs, spans), "pii-hits")
     text = F.col(names["text"])
     whole = F.coalesce(text, F.lit(""))
     wide = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn(
-        "key", row_key(F.col(names["doc_id"]).cast("long"), whole)).join(terms, "key", "left")
-    base = [labelled(m, i, k) for i, (k, m) in enumerate(base_matches(whole).items())]
-    every = F.array_sort(F.concat(*base, F.coalesce("terms", F.array().cast(SPAN_TYPE))))
+        "key", row_key(F.col(names["doc_id"]).cast("long"), whole)).join(hits, "key", "left")
+    base = F.concat(*[labelled(m, i, k) for i, (k, m) in enumerate(base_matches(whole).items())])
+    every = let(base, lambda b: F.array_sort(F.concat(b, term_spans(whole, b, F.col("hits")))))
     marked = let(every, lambda s: F.when(F.size(s) == 0, text).otherwise(masked(text, s)))
     out = wide.withColumn("_text", marked)
     new = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast("long")} if "n_chars" in names else {})
