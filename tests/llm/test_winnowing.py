@@ -59,6 +59,14 @@ def test_match_guarantee():
         assert set(wn.winnow(a)[1].tolist()) & set(wn.winnow(b)[1].tolist())
 
 
+def test_short_texts_share_marks_with_their_edits():
+    rng = random.Random(5)
+    for n in range(62, 256):
+        a, b = ("".join(rng.choice("abcdefghij ") for _ in range(n)) for _ in range(2))
+        marks = [set(wn.winnow(t)[1].tolist()) for t in (a, wn.edited_text(a, b))]
+        assert wn.likeness(*marks) > 0
+
+
 def check(rows, got):
     by = {r[0]: r[1] or "" for r in rows}
     order = sorted(by, reverse=True)

@@ -3,7 +3,8 @@
 Method: a rolling hash of every k-gram of code points; from each window of ``WINDOW``
 consecutive grams the smallest hash is kept, the rightmost one on ties, with its position.
 Any passage of at least ``K + WINDOW - 1`` code points that two texts share therefore
-leaves a common hash in both fingerprints (the match guarantee).  A fingerprint is written
+leaves a common hash in both fingerprints (the match guarantee): 31 code points, so a text of
+62 or more always shares a hash with an edit that keeps its first half.  A fingerprint is written
 as ``position:hash`` items, comma-joined, in text order; the likeness of two fingerprints is
 the Jaccard similarity of their hashes.
 
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from tomefold.llm.common import prepare
 
-K = 32
-WINDOW = 96
+K = 16
+WINDOW = 16
 BLOCK = 1 << 20
 RANGES_PER_PARTITION = 4
 
