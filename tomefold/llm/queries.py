@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomefold.llm import chosen_path, langid, mixing, packing, pii, quality_cnn, secret_scan, token_store, weak_rules, winnowing
+from tomefold.llm import (chosen_path, langid, mixing, packing, periodic, pii, quality_cnn, secret_scan, token_store, weak_rules,
+                          winnowing)
 from tomefold.llm.common import held_out, prepare, table
 from tomefold.llm.tokens import default_path
 
@@ -67,9 +68,15 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.document_digests(token_store.read_store(spark, path))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return periodic.run_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mixing, op2_winnowing, op3_quality_cnn, op4_chosen_path_join, op5_language_id, op6_pii,
-    op7_secret_scan, op8_weak_rules, op9_best_fit_packing, op10_token_store)}
+    op7_secret_scan, op8_weak_rules, op9_best_fit_packing, op10_token_store,
+    op11_periodic_runs)}
 
 #: None: each result depends on hashes, tokens, model fits or look-around patterns that the
 #: oracle's SQL does not have; tests/llm compares every operator with brute force instead.
