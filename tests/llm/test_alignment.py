@@ -34,7 +34,7 @@ def brute_groups(text):
     """[(A ids, B ids)] of a text; None without tokens."""
     if not text:
         return None
-    enc = al.aligner(A, B)
+    enc = al.tokenizers(A, B)
     a, b = enc.a.encode(" " + text, add_special_tokens=False).ids, enc.b.encode(text)
     raw = (" " + text).encode()
     if b"".join(enc.bytes_a[i] for i in a) != raw or b"".join(enc.bytes_b[i] for i in b) != raw:
@@ -81,28 +81,23 @@ def test_tricky_and_messy_rows(spark):
 
 
 def test_small_shards_rounds_blocks_and_memo(spark, documents, monkeypatch):
-    for name, value in (("SHARD_PAIRS", 300), ("ROUND_SHARDS", 4), ("FAN_IN", 2), ("BLOCK", 64)):
+    for name, value in (("SHARD_PAIRS", 300), ("ROUND_SHARDS", 4), ("FAN_IN", 2), ("BLOCK", 64), ("CHARS_AT_ONCE", 3000), ("BYTES_AT_ONCE", 2000)):
         monkeypatch.setattr(al, name, value)
     some = documents.where("doc_id < 60").repartition(9)
     check(some.union(some.where("doc_id < 5")))
 
 
-def test_units_equal_whole_texts():
-    enc = al.Aligner(A, B)
-    texts = ["one two\nthree one", "one\ntwo", "Foo's bar, baz! 12\n34"]
-    flat, size = enc.coded(texts)
-    at = 0
-    for text, n in zip(texts, size.tolist()):
-        spelled = b";".join(enc.spelling[c] for c in flat[at:at + n].tolist()).decode()
-        at += n
-        assert spelled == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in brute_groups(text))
-
-
-@pytest.mark.parametrize("memo", [0, 500])
-def test_forgetting_changes_nothing(monkeypatch, memo, documents):
-    texts = [r["text"] for r in documents.select("text").limit(30).collect()] + TRICKY
-    enc = al.Aligner(A, B)
-    monkeypatch.setattr(al, "MEMO_CHARS", memo)
-    for text, want in zip(texts, expected(texts)):
-        flat, _ = enc.coded([text])
-        assert (int(enc.n_a[flat].sum()), int(enc.n_b[flat].sum()), int(enc.n_groups[flat].sum()), int(enc.n_links[flat].sum())) == want[:4]
+@pytest.mark.parametrize("memo", [0, 50, 500_000])
+def test_units_give_the_ids_of_whole_texts(monkeypatch, memo, documents):
+    texts = [r["text"] for r in documents.select("text").limit(60).collect()] + TRICKY + [None, ""]
+    enc = al.Pair(A, B)
+    monkeypatch.setattr(al, "MEMO_UNITS", memo)
+    want = [(enc.encode(t) if t else None) or (b"", b"") for t in texts]
+    for _ in range(2):
+        assert enc.ids(texts) == want
+        assert [enc.ids([t])[0] for t in texts] == want
+
+
+def test_large_groups_are_linked_by_distinct_ids(spark, monkeypatch):
+    monkeypatch.setattr(al, "LARGE_GROUP", 1)
+    check(spark.createDataFrame([(i, t) for i, t in enumerate(TRICKY)], "doc_id long, text string"))

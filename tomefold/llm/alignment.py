@@ -5,9 +5,10 @@ text.  Byte offsets where tokens of both end cut the text into groups; every A-B
 token occurrences in a group is a link, and the count of an id pair is the number of
 documents that hold it linked.
 
-Method, in passes over the whole texts:
+Method, in passes over all documents:
 
-1. every task emits the distinct id pairs of its documents; Spark makes them distinct;
+0. every text is encoded once by both; the ids are written;
+1. every task aligns its documents and emits their distinct id pairs; Spark makes them distinct;
 2. the pairs are dealt into shards of about ``SHARD_PAIRS``, one task builds a shard's minimal
    perfect hash function and keeps its keys in index order;
 3. every task aligns its documents again and adds one per document and pair to a dense count
@@ -20,9 +21,10 @@ bounded by that constant (some 13 bytes a pair, 50 MB), however many pairs there
 counts of different rounds add up.  Besides, one number per id of A is broadcast.
 
 Texts are cut at single blanks and newlines, which neither kind of file joins characters
-across, and what a worker learns of such a unit is remembered (a bounded memo that only
-saves time).  A text with other or repeated white space, or with a unit that is not
-rendered byte by byte, is aligned in one piece.
+across, and the ids of such a unit are remembered (a bounded memo that only saves time).  A
+text with other or repeated white space, or with a unit that is not rendered byte by byte,
+is encoded in one piece.  A group of many tokens is linked by its distinct ids with their
+numbers, not occurrence by occurrence.
 
 Defined cases: a text that is null, empty, or not rendered byte by byte by both has no
 tokens (zeros, an empty digest); rows with equal or null doc_ids are documents of their own;
@@ -39,6 +41,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +53,10 @@ SHARD_PAIRS = 1 << 18
 ROUND_SHARDS = 16
 BLOCK = 1 << 14
 FAN_IN = 16
-MEMO_CHARS = 24_000_000
-CHARS_AT_ONCE = 2_000_000
+MEMO_UNITS = 500_000
+CHARS_AT_ONCE = 1_000_000
+BYTES_AT_ONCE = 4_000_000
+LARGE_GROUP = 4096
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _RUN = re.compile(r"[ \n][ \n]|\A[ \n]|[ \n]\Z")
@@ -64,19 +69,8 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def _spans(counts: np.ndarray) -> np.ndarray:
-    """0..c-1 for each count, one after another."""
-    ends = np.cumsum(counts)
-    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts, counts)
-
-
-def _grow(counts: np.ndarray, firsts: np.ndarray, values: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """The values of each list in ``of``; list i holds ``counts[i]`` values from ``firsts[i]`` on."""
-    return values[np.repeat(firsts[of], counts[of]) + _spans(counts[of])]
-
-
-class Aligner:
-    """Units of texts with their groups and pairs, learnt in bulk and remembered by code."""
+class Pair:
+    """The two tokenizers, the bytes that their ids render, and the ids of frequent units of texts."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -93,143 +87,181 @@ class Aligner:
                         else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.size_b)]
         self.length_a = np.array([len(x) for x in self.bytes_a])
         self.length_b = np.array([len(x) for x in self.bytes_b])
-        self.forget()
-
-    def forget(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.held = 0
-        self.spelling: list[bytes] = []
-        #: Per unit: rendered byte by byte, tokens of A, of B, groups, links, distinct pairs and where they begin.
-        self.ok, self.n_a, self.n_b, self.n_groups, self.n_links, self.n_pairs, self.first = (np.empty(0, np.int64) for _ in range(7))
-        self.pairs, self.times = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.known_to = None
-
-    def units(self, text: str) -> list[str]:
-        """Units by name: one that begins with a newline keeps it, others stand for a space and themselves;
-        a text that is encoded in one piece has a carriage return before it."""
-        if _OTHER_SPACE.search(text) or _RUN.search(text):
-            return ["\r" + text]
-        return text.replace("\n", " \n").split(" ")
-
-    def learn(self, names: list[str]) -> None:
-        """Encode and align new units."""
-        lines = [u[0] == "\n" for u in names]
-        wholes = [u[0] == "\r" for u in names]
-        spaced = [u if line else " " + (u[1:] if whole else u) for u, line, whole in zip(names, lines, wholes)]
-        plain = [(u[1:] if whole else u) for u, whole in zip(names, wholes)]
-        got_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        # B's space before a newline is a piece of its own and not part of the unit
-        got_b = [ids[1:] if line else ids for ids, line in zip(self.b.encode(plain, num_threads=1), lines)]
-        a_of, b_of = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        ok = np.array([b"".join(map(a_of, x)) == s.encode() == b"".join(map(b_of, y)) for x, y, s in zip(got_a, got_b, spaced)])
-        got_a = [x if good else [] for x, good in zip(got_a, ok)]
-        got_b = [y if good else [] for y, good in zip(got_b, ok)]
-        n_a, n_b = np.array([len(x) for x in got_a]), np.array([len(y) for y in got_b])
-        ids_a, ids_b = (np.array([i for x in got for i in x], np.int64) for got in (got_a, got_b))
-        ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
-        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
-        unit_a = np.repeat(np.arange(len(names)), n_a)
-        unit_of = np.empty(len(cuts), np.int64)  # of each group
-        unit_of[group_a] = unit_a
-        n_groups = np.bincount(unit_of, minlength=len(names))
-        in_a, in_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
-        n_links = np.bincount(unit_of, weights=in_a.astype(float) * in_b, minlength=len(names)).astype(np.int64)
-
-        def distinct(group, ids, size):
-            found, times = np.unique(group * size + ids, return_counts=True)
-            return found // size, found % size, times
-
-        of_a, kind_a, times_a = distinct(group_a, ids_a, self.size_a)
-        of_b, kind_b, times_b = distinct(group_b, ids_b, self.size_b)
-        kinds_b = np.bincount(of_b, minlength=len(cuts))
-        first_b = np.cumsum(kinds_b) - kinds_b
-        partners = kinds_b[of_a]
-        partner = np.repeat(first_b[of_a], partners) + _spans(partners)
-        pair = np.repeat(kind_a, partners) * self.size_b + kind_b[partner]
-        times = np.repeat(times_a, partners) * times_b[partner]
-        of_unit = np.repeat(unit_of[of_a], partners)
-        # a pair may be linked in several groups of a unit
-        by = np.lexsort((pair, of_unit))
-        of_unit, pair, times = of_unit[by], pair[by], times[by]
-        new = np.r_[True, (pair[1:] != pair[:-1]) | (of_unit[1:] != of_unit[:-1])] if len(pair) else np.empty(0, bool)
-        at = np.flatnonzero(new)
-        of_unit, pair, times = of_unit[at], pair[at], np.add.reduceat(times, at) if len(at) else times
-        n_pairs = np.bincount(of_unit, minlength=len(names))
-
-        start_a, start_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
-        text_a, text_b = [b"%d" % i for i in ids_a.tolist()], [b"%d" % i for i in ids_b.tolist()]
-        spelled = [b",".join(text_a[i:i + x]) + b"|" + b",".join(text_b[j:j + y])
-                   for i, x, j, y in zip(start_a.tolist(), in_a.tolist(), start_b.tolist(), in_b.tolist())]
-        ends = np.cumsum(n_groups).tolist()
-        spelling = [b";".join(spelled[end - n:end]) for end, n in zip(ends, n_groups.tolist())]
-
-        for name in names:
-            self.codes[name] = len(self.codes)
-        self.held += sum(map(len, names)) + sum(map(len, spelling))
-        self.spelling += spelling
-        self.first = np.r_[self.first, len(self.pairs) + np.cumsum(n_pairs) - n_pairs]
-        self.pairs, self.times = np.r_[self.pairs, pair], np.r_[self.times, times]
-        for field, more in (("ok", ok), ("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups), ("n_links", n_links), ("n_pairs", n_pairs)):
-            setattr(self, field, np.r_[getattr(self, field), more])
-        self.known_to = None
-
-    def coded(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(unit codes of all texts, codes of each text); a text without tokens has none."""
-        if self.held > MEMO_CHARS:
-            self.forget()
-        named = [self.units(t) if t else [] for t in texts]
-        codes = self.codes
-
-        def known(some):
-            new = dict.fromkeys([u for units in some for u in units if u not in codes])
-            if new:
-                self.learn(list(new))
-
-        known(named)
-        out = [[codes[u] for u in units] for units in named]
-        size = np.array([len(x) for x in out], np.int64)
-        flat = np.fromiter((c for x in out for c in x), np.int64, int(size.sum()))
-        bad = np.unique(np.repeat(np.arange(len(texts)), size)[self.ok[flat] == 0]).tolist()
-        if bad:
-            pieces = {k: "\r" + texts[k] for k in bad}
-            known([[u] for u in pieces.values()])
-            for k, u in pieces.items():
-                out[k] = [codes[u]] if self.ok[codes[u]] else []
-            size = np.array([len(x) for x in out], np.int64)
-            flat = np.fromiter((c for x in out for c in x), np.int64, int(size.sum()))
-        return flat, size
-
-
-_ALIGNERS: dict[tuple, Aligner] = {}
-
-
-def aligner(path_a: str, path_b: str) -> Aligner:
-    """The worker's aligner of two files (loaded once per Python worker)."""
-    if (path_a, path_b) not in _ALIGNERS:
-        _ALIGNERS[path_a, path_b] = Aligner(path_a, path_b)
-    return _ALIGNERS[path_a, path_b]
-
-
-def _parts(batches):
-    """(doc_ids, texts) of at most about ``CHARS_AT_ONCE`` characters, or one text."""
+        #: Decimal ids with what follows them: a comma, the bar between A and B, or the mark between groups.
+        self.spelled = pa.array([f"{i}{mark}" for mark in ",|;" for i in range(max(self.size_a, self.size_b))])
+        #: Ids of both for a unit: one that begins with a newline keeps it, others stand for a space and themselves;
+        #: None for a unit that is not rendered byte by byte.
+        self.memo: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def encode(self, text: str) -> tuple[bytes, bytes] | None:
+        """Ids (unsigned 32-bit) of a space and ``text`` in one piece; None if they do not render its bytes."""
+        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text, num_threads=1)
+        raw = (" " + text).encode()
+        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+            return None
+        return np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()
+
+    def _learn(self, names: list[str]) -> None:
+        """Encode new units side by side: their ids are told apart by the bytes they render."""
+        spaced = [u if u[0] == "\n" else " " + u for u in names]
+        line = "x" + "".join(spaced)
+        raw = (" " + line).encode()
+        a, b = self.a.encode(" " + line, add_special_tokens=False).ids, self.b.encode(line, num_threads=1)
+        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+            if len(names) == 1:
+                self.memo[names[0]] = None
+            else:  # some unit is not rendered byte by byte: find it
+                self._learn(names[:len(names) // 2])
+                self._learn(names[len(names) // 2:])
+            return
+        ends = 2 + np.r_[0, np.cumsum([len(u.encode()) for u in spaced])]
+        a, b = np.array(a, "<u4"), np.array(b, "<u4")
+        cut_a = 4 * (np.searchsorted(np.cumsum(self.length_a[a]), ends) + 1)
+        cut_b = 4 * (np.searchsorted(np.cumsum(self.length_b[b]), ends) + 1)
+        a, b = a.tobytes(), b.tobytes()
+        cut_a, cut_b = cut_a.tolist(), cut_b.tolist()
+        for k, name in enumerate(names):
+            self.memo[name] = a[cut_a[k]:cut_a[k + 1]], b[cut_b[k]:cut_b[k + 1]]
+
+    def ids(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Ids of A and B of each text; none for texts without tokens."""
+        memo = self.memo
+        if len(memo) > MEMO_UNITS:
+            for unit in list(memo)[MEMO_UNITS // 2:]:  # frequent units were met first: they stay
+                del memo[unit]
+        named = [None if not t or _OTHER_SPACE.search(t) or _RUN.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        new = list(dict.fromkeys([u for names in named if names for u in names if u not in memo]))
+        for begin in range(0, len(new), 4096):
+            self._learn(new[begin:begin + 4096])
+        out = []
+        for text, names in zip(texts, named):
+            found = [memo[u] for u in names] if names else [None]
+            if None in found:  # in one piece
+                found = [text and self.encode(text)]
+            if found[0]:
+                a, b = zip(*found)
+                out.append((b"".join(a), b"".join(b)))
+            else:
+                out.append((b"", b""))
+        return out
+
+
+_PAIRS: dict[tuple, Pair] = {}
+
+
+def tokenizers(path_a: str, path_b: str) -> Pair:
+    """The worker's tokenizers (loaded once per Python worker)."""
+    if (path_a, path_b) not in _PAIRS:
+        _PAIRS[path_a, path_b] = Pair(path_a, path_b)
+    return _PAIRS[path_a, path_b]
+
+
+_IDS = pa.schema([("doc_id", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+
+
+def _parts(batches, size_of, most: int):
+    """Slices of batches of at most about ``most`` (by ``size_of`` its last column), or one row."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        begin, chars = 0, 0
-        for k, text in enumerate(texts):
-            chars += len(text or "")
-            if chars > CHARS_AT_ONCE or k == len(texts) - 1:
-                yield ids.slice(begin, k + 1 - begin), texts[begin:k + 1]
-                begin, chars = k + 1, 0
+        total = np.cumsum(size_of(batch.column(batch.num_columns - 1)))
+        begin = 0
+        while begin < batch.num_rows:
+            done = int(total[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(total, done + most, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def _bytes_of(column) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _tokenise(path_a: str, path_b: str):
+    def emit(batches):
+        pair = tokenizers(path_a, path_b)
+        for part in _parts(batches, _bytes_of, CHARS_AT_ONCE):
+            a, b = zip(*pair.ids(part.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=_IDS)
+    return emit
+
+
+def _spans(counts: np.ndarray) -> np.ndarray:
+    """0..c-1 for each count, one after another."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+def _merged(group: np.ndarray, ids: np.ndarray, large: np.ndarray, size: int):
+    """(group, id, times): the equal ids of a large group as one row."""
+    times = np.ones(len(ids), np.int64)
+    if not large.any():
+        return group, ids, times
+    some = large[group]
+    key, again = np.unique(group[some] * size + ids[some], return_counts=True)
+    group, ids, times = (np.r_[x[~some], y] for x, y in ((group, key // size), (ids, key % size), (times, again)))
+    by = np.argsort(group, kind="stable")
+    return group[by], ids[by], times[by]
+
+
+class Aligned:
+    """The alignment of a batch of (doc_id, a, b): groups and links of every document."""
+
+    def __init__(self, pair: Pair, batch):
+        (self.a, size_a), (self.b, size_b) = (self._ids(batch.column(k)) for k in (1, 2))
+        self.pair, self.n_a, self.n_b = pair, size_a, size_b
+        ends_a, ends_b = np.cumsum(pair.length_a[self.a]), np.cumsum(pair.length_b[self.b])
+        at = np.zeros(int(ends_a[-1]) + 1 if len(ends_a) else 1, np.int8)
+        at[ends_a] = 1
+        self.last_b = at[ends_b] == 1
+        at[ends_b] += 1
+        self.last_a = at[ends_a] == 2
+        self.group_a, self.group_b = (np.cumsum(last) - last for last in (self.last_a, self.last_b))
+        self.n_all = int(self.last_a.sum())
+        self.in_a, self.in_b = np.bincount(self.group_a, minlength=self.n_all), np.bincount(self.group_b, minlength=self.n_all)
+        self.doc_ends = np.r_[0, np.cumsum(self.last_a)][np.r_[0, np.cumsum(size_a)]]  # groups of the documents so far
+
+    @staticmethod
+    def _ids(column):
+        ids = np.frombuffer(b"".join(column.to_pylist()), "<u4").astype(np.int64)
+        return ids, pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+
+    def links(self):
+        """(pair, times, where the links of each document begin and the last end)."""
+        large = self.in_a * self.in_b > LARGE_GROUP
+        group_a, a, times_a = _merged(self.group_a, self.a, large, self.pair.size_a)
+        group_b, b, times_b = _merged(self.group_b, self.b, large, self.pair.size_b)
+        in_b = np.bincount(group_b, minlength=self.n_all)
+        first_b = np.cumsum(in_b) - in_b
+        partners = in_b[group_a]
+        partner = np.repeat(first_b[group_a], partners) + _spans(partners)
+        pairs = np.repeat(a * self.pair.size_b, partners) + b[partner]
+        times = np.repeat(times_a, partners) * times_b[partner] if large.any() else np.ones(len(pairs), np.int64)
+        ends = np.r_[0, np.cumsum(partners)][np.searchsorted(group_a, self.doc_ends)]
+        return pairs, times, ends
+
+    def spelled(self) -> list[str]:
+        """The sha256 of every document's groups; the empty text without tokens."""
+        size = max(self.pair.size_a, self.pair.size_b)
+        order = np.empty(len(self.a) + len(self.b), np.int64)
+        before_b, before_a = np.cumsum(self.in_b) - self.in_b, np.cumsum(self.in_a)
+        order[np.arange(len(self.a)) + before_b[self.group_a]] = self.a + size * self.last_a
+        order[np.arange(len(self.b)) + before_a[self.group_b]] = self.b + 2 * size * self.last_b
+        text = self.pair.spelled.take(pa.array(order))
+        starts = np.r_[0, np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))]
+        ends = starts[np.r_[0, np.cumsum(self.n_a + self.n_b)]].tolist()
+        raw = memoryview(text.buffers()[2] or b"")
+        return [hashlib.sha256(raw[i:j - 1]).hexdigest() if j > i else "" for i, j in zip(ends[:-1], ends[1:])]
+
+
+def _aligned(batches, pair: Pair):
+    for part in _parts(batches, _bytes_of, BYTES_AT_ONCE):
+        yield part, Aligned(pair, part)
 
 
 def _distinct_pairs(path_a: str, path_b: str):
     def emit(batches):
-        aligned, found = aligner(path_a, path_b), np.empty(0, np.int64)
-        for _, texts in _parts(batches):
-            flat, _ = aligned.coded(texts)
-            units = np.unique(flat)
-            found = np.union1d(found, _grow(aligned.n_pairs, aligned.first, aligned.pairs, units))
+        found = np.empty(0, np.int64)
+        for _, aligned in _aligned(batches, tokenizers(path_a, path_b)):
+            found = pd.unique(np.r_[found, pd.unique(aligned.links()[0])])
         for begin in range(0, len(found), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(found[begin:begin + (1 << 16)])], ["pair"])
     return emit
@@ -261,6 +293,7 @@ class Shards:
 
     def index(self, pairs: np.ndarray) -> np.ndarray:
         """Index of each pair; -1 for pairs of other shards."""
+        code, pairs = pd.factorize(pairs)
         out = np.full(len(pairs), -1, np.int64)
         shard = pairs % self.n_shards
         for number, base, made in self.shards:
@@ -268,29 +301,19 @@ class Shards:
             found = base + made.index(pairs[at])
             found[self.keys[found] != pairs[at]] = -1
             out[at] = found
-        return out
+        return out[code]
 
 
-def _indexed(aligned: Aligner, shards: Shards, name: str) -> np.ndarray:
-    """The index of every pair the worker knows, looked up once per function and memo."""
-    if aligned.known_to != (name, len(aligned.pairs)):
-        aligned.index = shards.index(aligned.pairs)
-        aligned.known_to = (name, len(aligned.pairs))
-    return aligned.index
-
-
-def _count(path_a: str, path_b: str, shared, name: str):
+def _count(path_a: str, path_b: str, shared):
     def emit(batches):
-        aligned, shards = aligner(path_a, path_b), shared.value
+        shards = shared.value
         counts = np.zeros(shards.total + 1, np.int64)  # the last place takes pairs of other shards
-        for _, texts in _parts(batches):
-            flat, size = aligned.coded(texts)
-            index = _indexed(aligned, shards, name)
-            ends = np.cumsum(size).tolist()
-            for n, end in zip(size.tolist(), ends):
-                if n:
-                    at = _grow(aligned.n_pairs, aligned.first, index, flat[end - n:end])
-                    counts[at] = counts[at] + 1  # once per document, however often it is linked
+        for _, aligned in _aligned(batches, tokenizers(path_a, path_b)):
+            pairs, _, ends = aligned.links()
+            index = shards.index(pairs)
+            for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                at = index[begin:end]
+                counts[at] = counts[at] + 1  # once per document, however often it is linked
         part = TaskContext.get().partitionId()
         for block, begin in enumerate(range(0, shards.total, BLOCK)):
             some = counts[begin:min(begin + BLOCK, shards.total)]
@@ -334,36 +357,28 @@ _ROWS = pa.schema([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64
                    ("n_best", pa.int64()), ("count_sum", pa.int64()), ("groups_sha256", pa.string())])
 
 
-def _look_up(path_a: str, path_b: str, shared, name: str):
+def _look_up(path_a: str, path_b: str, shared):
     def emit(batches):
-        aligned, shards = aligner(path_a, path_b), shared.value
-        best = shards.counts == shards.best[shards.keys // aligned.size_b]
-        for ids, texts in _parts(batches):
-            flat, size = aligned.coded(texts)
-            units = np.unique(flat)
-            index = _grow(aligned.n_pairs, aligned.first, _indexed(aligned, shards, name), units)
-            times = _grow(aligned.n_pairs, aligned.first, aligned.times, units) * (index >= 0)
-            owner = np.repeat(units, aligned.n_pairs[units])
-            total, top = np.zeros(len(aligned.codes), np.int64), np.zeros(len(aligned.codes), np.int64)
-            if shards.total:
-                np.add.at(total, owner, times * shards.counts[index])
-                np.add.at(top, owner, times * best[index])
-            ends = np.r_[0, np.cumsum(size)]
-
-            def per_text(values):
-                return pa.array(np.diff(np.r_[0, np.cumsum(values[flat])][ends]))
-
-            spelled = [b";".join([aligned.spelling[c] for c in flat[i:j].tolist()]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            digests = [hashlib.sha256(s).hexdigest() if s else "" for s in spelled]
+        pair, shards = tokenizers(path_a, path_b), shared.value
+        counts = np.r_[shards.counts, 0]  # the last place is that of pairs of other shards
+        best = np.r_[shards.counts == shards.best[shards.keys // pair.size_b], False]
+        for part, aligned in _aligned(batches, pair):
+            pairs, times, ends = aligned.links()
+            index = shards.index(pairs)
+
+            def per_text(values, ends):
+                return pa.array(np.diff(np.r_[0, np.cumsum(values)][ends]).astype(np.int64))
+
             yield pa.RecordBatch.from_arrays(
-                [ids, *(per_text(v) for v in (aligned.n_a, aligned.n_b, aligned.n_groups, aligned.n_links, top, total)),
-                 pa.array(digests)], schema=_ROWS)
+                [part.column(0), pa.array(aligned.n_a), pa.array(aligned.n_b), pa.array(np.diff(aligned.doc_ends)),
+                 per_text(times, ends), per_text(times * best[index], ends), per_text(times * counts[index], ends),
+                 pa.array(aligned.spelled(), pa.string())], schema=_ROWS)
     return emit
 
 
-def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame, list[list[int]], int]:
+def pair_shards(ids: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame, list[list[int]], int]:
     """(shards with their functions and keys, shard numbers by round, number of shards)."""
-    pairs = stored(docs.select("doc_id", "text").mapInArrow(_distinct_pairs(path_a, path_b), "pair long").distinct(), "align-pairs")
+    pairs = stored(ids.mapInArrow(_distinct_pairs(path_a, path_b), "pair long").distinct(), "align-pairs")
     n_shards = -(-pairs.count() // SHARD_PAIRS) | 1
     built = (pairs.withColumn("shard", F.pmod("pair", F.lit(n_shards))).groupBy("shard")
              .applyInPandas(_build_shard, "shard long, sizes binary, bits binary, keys binary"))
@@ -390,25 +405,25 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     sum of the links' counts."""
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    built, rounds, n_shards = pair_counts(docs, path_a, path_b)
-    size_a, size_b = aligner(path_a, path_b).size_a, aligner(path_a, path_b).size_b
+    ids = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+                 .mapInArrow(_tokenise(path_a, path_b), "doc_id long, a binary, b binary"), "align-ids")
+    built, rounds, n_shards = pair_shards(ids, path_a, path_b)
+    size_a, size_b = tokenizers(path_a, path_b).size_a, tokenizers(path_a, path_b).size_b
     counted, best = [], np.zeros(size_a, np.int64)
     for numbers in rounds:
         shards = _of_round(built, numbers, n_shards)
         shared = spark.sparkContext.broadcast(shards)
-        name = hashlib.sha256(shards.keys.tobytes()).hexdigest()
-        vectors = stored(docs.mapInArrow(_count(path_a, path_b, shared, name), "block long, part long, counts binary"), "align-counts")
+        vectors = stored(ids.mapInArrow(_count(path_a, path_b, shared), "block long, part long, counts binary"), "align-counts")
         summed = stored(tree_sum(vectors).select("block", "counts"), "align-counts")
         np.maximum.at(best, shards.keys // size_b, _vector(summed, shards.total))
-        counted.append((numbers, name, summed))
+        counted.append((numbers, summed))
         shared.unpersist()
     ddl = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     rows = None
-    for numbers, name, summed in counted:
+    for numbers, summed in counted:
         shards = _of_round(built, numbers, n_shards)
         shards.counts, shards.best = _vector(summed, shards.total), best
-        found = docs.mapInArrow(_look_up(path_a, path_b, spark.sparkContext.broadcast(shards), name), ddl)
+        found = ids.mapInArrow(_look_up(path_a, path_b, spark.sparkContext.broadcast(shards)), ddl)
         rows = found if rows is None else rows.unionAll(found)
     if len(rounds) == 1:
         return rows
