@@ -34,6 +34,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import os
 import re
@@ -53,9 +54,10 @@ SHARD_PAIRS = 1 << 18
 ROUND_SHARDS = 16
 BLOCK = 1 << 14
 FAN_IN = 16
-MEMO_UNITS = 500_000
+MEMO_UNITS = 400_000
+UNITS_AT_ONCE = 256
 CHARS_AT_ONCE = 1_000_000
-BYTES_AT_ONCE = 4_000_000
+BYTES_AT_ONCE = 1_000_000
 LARGE_GROUP = 4096
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -81,6 +83,7 @@ class Pair:
         self.b = SentencePieceProcessor(model_file=path_b)
         symbols = _byte_symbols()
         self.size_a, self.size_b = self.a.get_vocab_size(), self.b.get_piece_size()
+        self.types = ["<u2" if size <= 1 << 16 else "<u4" for size in (self.size_a, self.size_b)]
         spelled = [self.a.id_to_token(i) or "" for i in range(self.size_a)]
         self.bytes_a = [bytes(symbols[c] for c in s) if all(c in symbols for c in s) else s.encode() for s in spelled]
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i)
@@ -89,62 +92,91 @@ class Pair:
         self.length_b = np.array([len(x) for x in self.bytes_b])
         #: Decimal ids with what follows them: a comma, the bar between A and B, or the mark between groups.
         self.spelled = pa.array([f"{i}{mark}" for mark in ",|;" for i in range(max(self.size_a, self.size_b))])
-        #: Ids of both for a unit: one that begins with a newline keeps it, others stand for a space and themselves;
-        #: None for a unit that is not rendered byte by byte.
-        self.memo: dict[str, tuple[bytes, bytes] | None] = {}
+        #: Code of a unit: one that begins with a newline keeps it, others stand for a space and themselves.
+        self.codes: dict[str, int] = {}
+        #: Per side the ids of all units and where each unit's end; a unit that is not rendered byte by byte has none.
+        self.known = [(np.empty(0, kind), np.zeros(1, np.int64)) for kind in self.types]
 
-    def encode(self, text: str) -> tuple[bytes, bytes] | None:
-        """Ids (unsigned 32-bit) of a space and ``text`` in one piece; None if they do not render its bytes."""
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a space and ``text`` in one piece; None if they do not render its bytes."""
         a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text, num_threads=1)
         raw = (" " + text).encode()
         if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
             return None
-        return np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()
+        return np.array(a, self.types[0]), np.array(b, self.types[1])
 
-    def _learn(self, names: list[str]) -> None:
-        """Encode new units side by side: their ids are told apart by the bytes they render."""
+    def _new(self, names: list[str]):
+        """Ids of new units side by side, told apart by the bytes they render: per side (ids, ends)."""
         spaced = [u if u[0] == "\n" else " " + u for u in names]
         line = "x" + "".join(spaced)
         raw = (" " + line).encode()
-        a, b = self.a.encode(" " + line, add_special_tokens=False).ids, self.b.encode(line, num_threads=1)
+        a = self.a.encode_batch_fast([" " + line], add_special_tokens=False)[0].ids
+        b = self.b.encode(line, num_threads=1)
         if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
             if len(names) == 1:
-                self.memo[names[0]] = None
-            else:  # some unit is not rendered byte by byte: find it
-                self._learn(names[:len(names) // 2])
-                self._learn(names[len(names) // 2:])
-            return
+                return [(np.empty(0, kind), np.zeros(1, np.int64)) for kind in self.types]
+            half = len(names) // 2  # some unit is not rendered byte by byte: find it
+            return [_joined(x, y) for x, y in zip(self._new(names[:half]), self._new(names[half:]))]
         ends = 2 + np.r_[0, np.cumsum([len(u.encode()) for u in spaced])]
-        a, b = np.array(a, "<u4"), np.array(b, "<u4")
-        cut_a = 4 * (np.searchsorted(np.cumsum(self.length_a[a]), ends) + 1)
-        cut_b = 4 * (np.searchsorted(np.cumsum(self.length_b[b]), ends) + 1)
-        a, b = a.tobytes(), b.tobytes()
-        cut_a, cut_b = cut_a.tolist(), cut_b.tolist()
-        for k, name in enumerate(names):
-            self.memo[name] = a[cut_a[k]:cut_a[k + 1]], b[cut_b[k]:cut_b[k + 1]]
-
-    def ids(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """Ids of A and B of each text; none for texts without tokens."""
-        memo = self.memo
-        if len(memo) > MEMO_UNITS:
-            for unit in list(memo)[MEMO_UNITS // 2:]:  # frequent units were met first: they stay
-                del memo[unit]
-        named = [None if not t or _OTHER_SPACE.search(t) or _RUN.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        new = list(dict.fromkeys([u for names in named if names for u in names if u not in memo]))
-        for begin in range(0, len(new), 4096):
-            self._learn(new[begin:begin + 4096])
         out = []
-        for text, names in zip(texts, named):
-            found = [memo[u] for u in names] if names else [None]
-            if None in found:  # in one piece
-                found = [text and self.encode(text)]
-            if found[0]:
-                a, b = zip(*found)
-                out.append((b"".join(a), b"".join(b)))
-            else:
-                out.append((b"", b""))
+        for ids, length, kind in zip((a, b), (self.length_a, self.length_b), self.types):
+            ids = np.array(ids, kind)
+            cuts = np.searchsorted(np.cumsum(length[ids]), ends) + 1
+            out.append((ids[cuts[0]:], cuts[1:] - cuts[0]))
         return out
 
+    def _learn(self, names: list[str]) -> None:
+        for begin in range(0, len(names), UNITS_AT_ONCE):
+            some = names[begin:begin + UNITS_AT_ONCE]
+            for name in some:
+                self.codes[name] = len(self.codes)
+            self.fresh.append(self._new(some))
+
+    def ids(self, texts: list[str | None]):
+        """Per side (ids of all texts, number of each text's); texts without tokens have none."""
+        if len(self.codes) > MEMO_UNITS:  # frequent units were met first: they stay
+            kept = MEMO_UNITS // 2
+            self.codes = dict(itertools.islice(self.codes.items(), kept))
+            self.known = [(ids[:ends[kept]].copy(), ends[:kept + 1].copy()) for ids, ends in self.known]
+        known, self.fresh = self.codes.get, []
+        named = [() if not t or _OTHER_SPACE.search(t) or _RUN.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        found = [list(map(known, names)) for names in named]
+        new: dict[str, None] = {}
+        for names, got in zip(named, found):
+            if None in got:
+                new.update(dict.fromkeys([u for u, code in zip(names, got) if code is None]))
+        if new:
+            self._learn(list(new))
+            known = self.codes.get
+            found = [list(map(known, names)) if None in got else got for names, got in zip(named, found)]
+            self.known = [_joined(*x) for x in zip(self.known, *self.fresh)]
+        ends = self.known[0][1]
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, sum(map(len, found)))
+        of = np.repeat(np.arange(len(texts)), [len(x) for x in found])
+        whole = {k for k, (t, names) in enumerate(zip(texts, named)) if t and not names}
+        whole |= set(np.unique(of[ends[flat + 1] == ends[flat]]).tolist())
+        tables = self.known
+        if whole:  # in one piece: units of this call alone
+            got = {k: self.encode(texts[k]) for k in sorted(whole)}
+            extra = {k: len(ends) - 1 + n for n, k in enumerate(x for x in got if got[x])}
+            found = [([extra[k]] if k in extra else []) if k in whole else x for k, x in enumerate(found)]
+            flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, sum(map(len, found)))
+            of = np.repeat(np.arange(len(texts)), [len(x) for x in found])
+            tables = [_joined(table, *((got[k][side], np.array([len(got[k][side])])) for k in extra))
+                      for side, table in enumerate(self.known)]
+        out = []
+        for ids, ends in tables:
+            counts = (ends[1:] - ends[:-1])[flat]
+            out.append((ids[np.repeat(ends[flat], counts) + _spans(counts)],
+                        np.bincount(of, weights=counts, minlength=len(texts)).astype(np.int64)))
+        return out
+
+
+def _joined(*parts):
+    """(ids, ends) of lists of lists, one after another; the first has a leading zero among its ends or none has."""
+    shift = np.cumsum([0] + [len(ids) for ids, _ in parts])
+    return np.concatenate([ids for ids, _ in parts]), np.concatenate([ends + n for (_, ends), n in zip(parts, shift)])
+
 
 _PAIRS: dict[tuple, Pair] = {}
 
@@ -179,8 +211,11 @@ def _tokenise(path_a: str, path_b: str):
     def emit(batches):
         pair = tokenizers(path_a, path_b)
         for part in _parts(batches, _bytes_of, CHARS_AT_ONCE):
-            a, b = zip(*pair.ids(part.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=_IDS)
+            sides = []
+            for ids, counts in pair.ids(part.column(1).to_pylist()):
+                ends = (ids.itemsize * np.r_[0, np.cumsum(counts)]).astype(np.int32)
+                sides.append(pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(ids)]))
+            yield pa.RecordBatch.from_arrays([part.column(0), *sides], schema=_IDS)
     return emit
 
 
@@ -206,7 +241,7 @@ class Aligned:
     """The alignment of a batch of (doc_id, a, b): groups and links of every document."""
 
     def __init__(self, pair: Pair, batch):
-        (self.a, size_a), (self.b, size_b) = (self._ids(batch.column(k)) for k in (1, 2))
+        (self.a, size_a), (self.b, size_b) = (self._ids(batch.column(k + 1), kind) for k, kind in enumerate(pair.types))
         self.pair, self.n_a, self.n_b = pair, size_a, size_b
         ends_a, ends_b = np.cumsum(pair.length_a[self.a]), np.cumsum(pair.length_b[self.b])
         at = np.zeros(int(ends_a[-1]) + 1 if len(ends_a) else 1, np.int8)
@@ -220,9 +255,9 @@ class Aligned:
         self.doc_ends = np.r_[0, np.cumsum(self.last_a)][np.r_[0, np.cumsum(size_a)]]  # groups of the documents so far
 
     @staticmethod
-    def _ids(column):
-        ids = np.frombuffer(b"".join(column.to_pylist()), "<u4").astype(np.int64)
-        return ids, pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    def _ids(column, kind: str):
+        ids = np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.int64)
+        return ids, pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(kind).itemsize
 
     def links(self):
         """(pair, times, where the links of each document begin and the last end)."""
