@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomefold.llm import (alignment, chosen_path, langid, mixing, packing, periodic, pii, quality_cnn, secret_scan, token_store, weak_rules,
-                          winnowing)
+from tomefold.llm import (alignment, chosen_path, langid, mixing, packing, periodic, pii, quality_cnn, radix_dedup,
+                          secret_scan, token_store, weak_rules, winnowing)
 from tomefold.llm.common import held_out, prepare, table
 from tomefold.llm.tokens import default_path
 
@@ -78,10 +78,15 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), default_path("piece_bpe_32k.model"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return radix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mixing, op2_winnowing, op3_quality_cnn, op4_chosen_path_join, op5_language_id, op6_pii,
     op7_secret_scan, op8_weak_rules, op9_best_fit_packing, op10_token_store,
-    op11_periodic_runs, op12_token_alignment)}
+    op11_periodic_runs, op12_token_alignment, op13_suffix_dedup)}
 
 #: None: each result depends on hashes, tokens, model fits or look-around patterns that the
 #: oracle's SQL does not have; tests/llm compares every operator with brute force instead.
