@@ -47,7 +47,7 @@ LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 8_000_000
 MOST_BLOCK_BYTES = 128_000_000
-BUCKET_BYTES = 32_000_000
+BUCKET_BYTES = 12_000_000
 HOT = 4096
 _AT_ONCE = 1 << 19  # windows; places inside a slice need 20 bits
 _PLACE = np.uint64((1 << 20) - 1)
@@ -61,9 +61,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _packed(raw) -> bytes:
-    raw = bytes(raw)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+_CODEC = pa.Codec("zstd", compression_level=4)
+
+
+def _packed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
 
 
 def _unpacked(data: bytes) -> bytes:
@@ -76,9 +78,9 @@ def _spans(counts: np.ndarray) -> np.ndarray:
 
 
 # --------------------------------------------------------------------------- blocks
-_BLOCKS = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("rows", pa.binary()), ("ids", pa.binary()),
-                     ("ends", pa.binary()), ("data", pa.binary())])
-_BLOCKS_DDL = "block long, size long, rows binary, ids binary, ends binary, data binary"
+_BLOCKS = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("names", pa.binary()), ("rows", pa.binary()),
+                     ("ids", pa.binary()), ("ends", pa.binary()), ("data", pa.binary())])
+_BLOCKS_DDL = "block long, size long, names binary, rows binary, ids binary, ends binary, data binary"
 
 
 def _blocks(most: int):
@@ -94,7 +96,7 @@ def _blocks(most: int):
             np.minimum.at(ids, of[:, 2], of[:, 0])
             ends = np.cumsum([len(t) for t in texts]).astype("<i8")
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(
-                (part << 24 | number, size, of.astype("<i8").tobytes(), ids.astype("<i8").tobytes(), ends.tobytes(),
+                (part << 24 | number, size, np.array(list(known), "<i8").tobytes(), of.astype("<i8").tobytes(), ids.astype("<i8").tobytes(), ends.tobytes(),
                  _packed(b"".join(texts))), _BLOCKS)], schema=_BLOCKS)
 
         for batch in batches:
@@ -122,6 +124,9 @@ class Block:
         self.raw = _unpacked(row["data"])
         self.data = np.frombuffer(self.raw, np.uint8)
         self.begins = np.r_[0, self.ends[:-1]].astype(np.int64)
+        #: Texts that a document with a smaller id has in another block: they go whole, unless short.
+        self.copy = np.zeros(len(self.ends), bool)
+        self.copy[row.get("copies") or []] = True
         self.start, self.windows, name = self._segments()
         self.text = np.searchsorted(self.ends, self.start, side="right")
         #: Distinct digits in order, and each segment's.
@@ -175,7 +180,7 @@ class Block:
             at = order[bounds[mask["bucket"]]:bounds[mask["bucket"] + 1]]
             for flags, bits in ((shared, mask["shared"]), (hot, mask["hot"])):
                 flags[at] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(at)).astype(bool)
-        held = np.flatnonzero(shared[self.digit])
+        held = np.flatnonzero(shared[self.digit] & ~self.copy[self.text])
         one = held[~hot[self.digit[held]]]
         many = held[hot[self.digit[held]]]
         times = self.windows[many]
@@ -378,7 +383,7 @@ def _remove(n_buckets: int, digest, last: str):
             for doc_id, known, text in block.rows.tolist():
                 n = int(size[text])
                 i, j = int(block.begins[text]), int(block.ends[text])
-                if doc_id > block.ids[text] and n >= LENGTH:  # a copy of a text with a smaller id
+                if (block.copy[text] or doc_id > block.ids[text]) and n >= LENGTH:  # a smaller id has the same text
                     out.append((doc_id if known else None, n, n, 1, digest(b"")))
                     continue
                 if text not in kept:
@@ -410,11 +415,29 @@ def _passes(docs: DataFrame) -> tuple[DataFrame, int]:
     masks = stored(digits.groupBy("bucket").applyInPandas(
         shared_digits(HOT), "block long, bucket long, shared binary, hot binary"), "radix-masks")
     masks = masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("masks"))  # a row per bucket
-    segments = blocks.join(masks, "block").select(*blocks.columns, "masks").mapInArrow(
+    notes = stored(blocks.select("block").join(_copies(blocks), "block", "left").join(masks, "block", "left"), "radix-notes")
+    opened = blocks.join(notes, "block").select(*blocks.columns, "copies", "masks")
+    segments = opened.where(F.col("masks").isNotNull()).mapInArrow(
         _open_segments(n_buckets), "bucket long, block long, n long, data binary")
-    answers = stored(segments.groupBy("bucket").applyInPandas(_sorted_bucket, "block long, bucket long, answers binary"), "radix-answers")
+    answers = segments.groupBy("bucket").applyInPandas(_sorted_bucket, "block long, bucket long, answers binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "answers")).alias("answers"))
-    return blocks.join(masks, "block", "left").join(answers, "block", "left").select(*blocks.columns, "masks", "answers"), n_buckets
+    # one plan: the exchange of the blocks is made once and read for the segments and for the removal
+    return opened.join(answers, "block", "left"), n_buckets
+
+
+def _copies(blocks: DataFrame) -> DataFrame:
+    """(block, copies): texts of a block that a document of another block with a smaller id has."""
+    texts = stored(blocks.select("block", "names", "ids").mapInArrow(_named, "block long, text int, name long, id long"), "radix-names")
+    least = texts.groupBy("name").agg(F.min("id").alias("least"))
+    copies = texts.join(least, "name").where(F.col("id") > F.col("least"))
+    return stored(copies.groupBy("block").agg(F.collect_list("text").alias("copies")), "radix-copies")
+
+
+def _named(batches):
+    for row in _rows_of(batches):
+        names, ids = np.frombuffer(row["names"], "<i8"), np.frombuffer(row["ids"], "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row["block"])), pa.array(np.arange(len(ids), dtype=np.int32)),
+                                          pa.array(names), pa.array(ids)], ["block", "text", "name", "id"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
