@@ -4,12 +4,16 @@ Method: a text is the set of its shingles (five consecutive words; a shorter tex
 word is one shingle).  Sets are embedded by ``COORDINATES`` minhashes: token i of a set is
 its i-th minhash, and two sets share it with the probability of their Jaccard similarity.
 A run sends every set down a path of sampled tokens: all sets of a bucket that agree on
-the sampled token share the next bucket.  Buckets of at most ``MEDIUM`` sets are compared
-by brute force, in pairs of blocks when they hold more than ``SMALL``.  Larger ones are
-first compared with a pivot: when every set is close to it, they are connected and the
-bucket is done; else it is split further by a token of its own.  What is still large after
-``LEVELS`` is compared block by block too, so no size is left out.  Runs repeat until the target recall: a pair at the threshold is missed by one run
-with probability ``1 - threshold**2`` at most when its path is two tokens long.
+the sampled token share the next bucket.  Buckets of at most ``SMALL`` sets are compared
+by brute force.  Larger ones are first compared with a pivot, their smallest set: sets that
+look similar get an edge to it, and those that look ``SAME`` drop out, since by the
+triangle inequality of the Jaccard distance whatever is at least ``THRESHOLD`` similar to
+such a set looks similar to the pivot too and has that edge.  The rest and the pivot are
+split further, each by a sampled token of its own.  What is still large after ``LEVELS``
+splits is compared in its task without copying a row (up to ``MEDIUM`` sets), or in pairs of
+blocks beyond, so no size is left out.  Runs start from different coordinates and repeat until
+the target recall: a pair at the threshold is missed by one run with probability
+``1 - threshold**PATH`` at most when its path is ``PATH`` tokens long.
 
 Brute force inside buckets compares 8-bit sketches of the minhashes and connects sets that
 look similar (``LOOKS``, about five standard deviations below the threshold).  An exact
@@ -48,6 +52,8 @@ THRESHOLD = 0.8
 RECALL = 0.99999
 COORDINATES = 128
 LOOKS = 0.62
+SAME = 0.95
+PATH = 3
 SMALL = 512
 MEDIUM = 8192
 LEVELS = 4
@@ -94,8 +100,8 @@ def minhashes(tokens: np.ndarray) -> np.ndarray:
 
 
 def runs_for(recall: float, threshold: float) -> int:
-    """Runs until a pair at the threshold is met with probability ``recall`` on paths of two tokens."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold ** 2))
+    """Runs until a pair at the threshold is met with probability ``recall`` on paths of ``PATH`` tokens."""
+    return min(COORDINATES, math.ceil(math.log(1 - recall) / math.log(1 - threshold ** PATH)))
 
 
 def _signed(h: int) -> int:
@@ -126,20 +132,22 @@ _MEMBERS = pa.schema([("bucket", pa.int64()), ("set_id", pa.int64())])
 
 def _first_buckets(runs: int):
     """Buckets of all runs after the first sampled token."""
+    first = np.random.default_rng(17).permutation(COORDINATES)
+
     def spread(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             mins = _bytes_matrix(batch.column(1), "<u4", COORDINATES)
             for run in range(runs):
                 start = _mixed(np.array([run + 1], np.uint64))
-                at = int(start[0] % COORDINATES)
+                at = int(first[run])
                 bucket = _mixed((mins[:, at].astype(np.uint64) << np.uint64(8)) ^ start)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(ids)], schema=_MEMBERS)
     return spread
 
 
 _SPLIT = pa.schema([("bucket", pa.int64()), ("set_id", pa.int64()), ("child", pa.int64()), ("pivot", pa.int64()),
-                    ("near", pa.bool_())])
+                    ("near", pa.bool_()), ("same", pa.bool_())])
 
 
 def _split(batches):
@@ -153,7 +161,7 @@ def _split(batches):
         token = mins[np.arange(len(bucket)), (sampled % np.uint64(COORDINATES)).astype(np.int64)].astype(np.uint64)
         child = _mixed((token << np.uint64(8)) ^ sampled)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(child.view(np.int64)),
-                                          batch.column(4), pa.array(same >= LOOKS)], schema=_SPLIT)
+                                          batch.column(4), pa.array(same >= LOOKS), pa.array(same >= SAME)], schema=_SPLIT)
 
 
 def _groups(batches, columns: int):
@@ -228,21 +236,23 @@ def similar_groups(sets: DataFrame, runs: int) -> DataFrame:
     edges, small = [], []
     for level in range(LEVELS + 1):
         members = stored(rows.join(sizes_of(rows), "bucket"), "path-members")
+        if level == LEVELS:
+            small.append(members.where(F.col("n") <= MEDIUM).select("bucket", "set_id"))
+            small.append(_in_blocks(members.where(F.col("n") > MEDIUM)))
+            break
         small.append(members.where(F.col("n") <= SMALL).select("bucket", "set_id"))
-        most = MEDIUM if level < LEVELS else None
-        medium = F.col("n") > SMALL if most is None else F.col("n").between(SMALL + 1, most)
-        small.append(_in_blocks(members.where(medium)))
-        large = members.where(F.col("n") > most) if most else members.limit(0)
+        large = members.where(F.col("n") > SMALL)
         if not large.limit(1).count():
             break
         wide = large.select("bucket", "set_id").join(sets.select("set_id", "mins", "sketch"), "set_id")
         pivots = (large.groupBy("bucket").agg(F.min("set_id").alias("pivot"))
                   .join(sets.select(F.col("set_id").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot"))
         split = stored(wide.join(pivots, "bucket").select("bucket", "set_id", "mins", "sketch", "pivot", "pivot_sketch")
-                       .mapInArrow(_split, "bucket long, set_id long, child long, pivot long, near boolean"), "path-split")
+                       .mapInArrow(_split, "bucket long, set_id long, child long, pivot long, near boolean, same boolean"), "path-split")
         edges.append(split.where("near").select(F.col("set_id").alias("a"), F.col("pivot").alias("b")))
-        unlike = split.where(~F.col("near")).select("bucket").distinct()  # the others are done
-        rows = split.join(unlike, "bucket", "left_semi").select(F.col("child").alias("bucket"), "set_id")
+        # the pivot stands for those that look the same; a bucket without others is done
+        rest = split.where(~F.col("same") | (F.col("set_id") == F.col("pivot")))
+        rows = rest.select(F.col("child").alias("bucket"), "set_id")
     todo = small[0]
     for more in small[1:]:
         todo = todo.union(more)

@@ -47,9 +47,9 @@ LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 8_000_000
 MOST_BLOCK_BYTES = 128_000_000
-BUCKET_BYTES = 12_000_000
+BUCKET_BYTES = 8_000_000
 HOT = 4096
-_AT_ONCE = 1 << 19  # windows; places inside a slice need 20 bits
+_AT_ONCE = 1 << 18  # windows; places inside a slice need 20 bits
 _PLACE = np.uint64((1 << 20) - 1)
 _NO_ID = np.iinfo(np.int64).max
 _ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F,
@@ -349,7 +349,7 @@ _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed"
 
 def _covered(block: Block, row: dict, n_buckets: int) -> np.ndarray:
     """Bytes of the block's texts (as of the document with each text's smallest id) that go."""
-    gone = np.zeros(len(block.data) + 1, np.int64)
+    gone = np.zeros(len(block.data) + 1, np.int32)
     if row["masks"]:
         found = block.open(row["masks"], n_buckets)
         answer = np.zeros(len(found.key), np.uint64)
