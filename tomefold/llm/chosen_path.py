@@ -9,7 +9,8 @@ by brute force.  Larger ones are first compared with a pivot, their smallest set
 look similar get an edge to it, and those that look ``SAME`` drop out, since by the
 triangle inequality of the Jaccard distance whatever is at least ``THRESHOLD`` similar to
 such a set looks similar to the pivot too and has that edge.  The rest and the pivot are
-split further, each by a sampled token of its own.  What is still large after ``LEVELS``
+split further, each by a sampled token of its own; a bucket whose sets all look similar to
+the pivot is connected and done.  What is still large after ``LEVELS``
 splits is compared in its task without copying a row (up to ``MEDIUM`` sets), or in pairs of
 blocks beyond, so no size is left out.  Runs start from different coordinates and repeat until
 the target recall: a pair at the threshold is missed by one run with probability
@@ -250,9 +251,10 @@ def similar_groups(sets: DataFrame, runs: int) -> DataFrame:
         split = stored(wide.join(pivots, "bucket").select("bucket", "set_id", "mins", "sketch", "pivot", "pivot_sketch")
                        .mapInArrow(_split, "bucket long, set_id long, child long, pivot long, near boolean, same boolean"), "path-split")
         edges.append(split.where("near").select(F.col("set_id").alias("a"), F.col("pivot").alias("b")))
-        # the pivot stands for those that look the same; a bucket without others is done
+        # the pivot stands for those that look the same; a bucket whose sets are all near it is connected and done
         rest = split.where(~F.col("same") | (F.col("set_id") == F.col("pivot")))
-        rows = rest.select(F.col("child").alias("bucket"), "set_id")
+        unlike = split.where(~F.col("near")).select("bucket").distinct()
+        rows = rest.join(unlike, "bucket", "left_semi").select(F.col("child").alias("bucket"), "set_id")
     todo = small[0]
     for more in small[1:]:
         todo = todo.union(more)
