@@ -91,9 +91,10 @@ def test_near_duplicates_on_documents_against_bruteforce(spark):
             j = len(a & b) / len(a | b)
             if j >= 0.7:
                 adj[ids[x]].add(ids[y]), adj[ids[y]].add(ids[x])
-            if j >= 0.9:
+            if len(a & b) / len(a | b) >= 0.7:
                 strong.append((ids[x], ids[y]))
-    for a, b in strong:   # every strong pair is found
+    assert len(strong) > 10
+    for a, b in strong:   # every pair is found
         assert comp.get(a) is not None and comp.get(a) == comp.get(b), (a, b)
     # every reported component is connected by verified (>= 0.7) edges
     groups = {}
@@ -107,3 +108,21 @@ def test_near_duplicates_on_documents_against_bruteforce(spark):
                 if n not in seen:
                     seen.add(n), todo.append(n)
         assert seen == members
+
+
+def test_prefix_join_against_bruteforce(spark):
+    import random
+    from tomefold.operators.prefix_join import similar_across
+    rng = random.Random(11)
+    base = [rng.sample(range(60), rng.randrange(1, 25)) for _ in range(60)]
+    sets = base + [[t for t in s if rng.random() > 0.15] + [rng.randrange(60, 90)] for s in base for _ in range(2)]
+    sets = [sorted(set(s)) for s in sets]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, sh array<long>")
+    labels = spark.createDataFrame([(i, 0) for i in range(0, 60, 7)], "id long, label long")
+    label = {i: 0 for i in range(0, 60, 7)}
+    for t in (0.5, 0.7, 1.0):
+        want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+                if label.get(i, i) != label.get(j, j)
+                and len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])) >= t}
+        got = [tuple(sorted((r["a"], r["b"]))) for r in similar_across(df, labels, t).collect()]
+        assert len(got) == len(set(got)) and set(got) == want

@@ -17,7 +17,8 @@ from pyspark.sql import types as TY
 
 from .. import constants as C
 from ..functions import text as T
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written
+from .prefix_join import similar_across
 
 
 def normalise(text) -> Column:
@@ -106,20 +107,26 @@ def word_hashes(text) -> Column:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                     bands: int = 16, rows: int = 4, threshold: float = 0.7, k: int = 3,
                     seed: int = 7, max_iter: int = 200) -> DataFrame:
-    """Near-duplicate components: MinHash LSH candidates, exact Jaccard check,
-    connected components by iterated min-label propagation.
+    """Near-duplicate components: the connected components of all pairs of documents whose sets
+    of ``k``-word shingles have a Jaccard similarity of at least ``threshold``.
+
+    Documents with equal sets are one set.  A MinHash pass connects families cheaply (star edges
+    to the smallest member of a bucket, checked exactly); a prefix join then finds every pair left
+    between different families, so no link is lost whatever the hashing missed.
 
     Returns ``(id, component, component_size)`` for documents in a component
     of size >= 2.
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    # signatures are read three times (buckets, both sides of the Jaccard check):
-    # write them once to reliable storage
-    sig = (docs.select(F.col(id_col).alias("id"),
-                       _signature_udf(bands * rows, seed, k)(word_hashes(text_col)).alias("s"))
-           .select("id", "s.sh", "s.mh").filter(F.col("mh").isNotNull()).checkpoint())
-    bucket = sig.select("id", F.posexplode(F.transform(
+    sig = written(docs.select(F.col(id_col).alias("id"), _signature_udf(bands * rows, seed, k)(word_hashes(text_col)).alias("s"))
+                  .select("id", "s.sh", "s.mh").filter(F.col("mh").isNotNull())
+                  .withColumn("name", F.xxhash64("sh")), "near-sets")  # shingles come in ascending order
+    first = sig.groupBy("name").agg(F.min("id").alias("rep"))
+    copies = sig.select("id", "name").join(first, "name").filter(F.col("id") != F.col("rep")).select("id", "rep")
+    sets = written(sig.join(first.select(F.col("name").alias("_name"), "rep"), (F.col("id") == F.col("rep"))
+                            & (F.col("name") == F.col("_name"))).select("id", "sh", "mh").dropDuplicates(["id"]), "near-reps")
+    bucket = sets.select("id", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda bi: F.xxhash64(F.slice("mh", bi * rows + 1, rows)))).alias("band", "bkey"))
     # star edges: every bucket member to the bucket's smallest id (partial aggregation)
@@ -127,19 +134,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = (bucket.join(reps, ["band", "bkey"]).filter(F.col("id") != F.col("rep"))
              .select("id", "rep").distinct())
     # exact Jaccard on the candidate edges only
-    s1 = sig.select(F.col("id"), F.col("sh").alias("sh1"))
-    s2 = sig.select(F.col("id").alias("rep"), F.col("sh").alias("sh2"))
-    ver = (edges.join(s1, "id").join(s2, "rep")
-           .withColumn("jac", F.size(F.array_intersect("sh1", "sh2")) / F.size(F.array_union("sh1", "sh2")))
-           .filter(F.col("jac") >= threshold).select("id", "rep"))
-    both = ver.unionByName(ver.select(F.col("rep").alias("id"), F.col("id").alias("rep")))
-    both = both.select(F.col("id").alias("src"), F.col("rep").alias("dst"))
-    labels = connected_components(both, max_iter)
+    s1 = sets.select(F.col("id"), F.col("sh").alias("sh1"))
+    s2 = sets.select(F.col("id").alias("rep"), F.col("sh").alias("sh2"))
+    ver = written(edges.join(s1, "id").join(s2, "rep")
+                  .filter(F.size(F.array_intersect("sh1", "sh2")) / F.size(F.array_union("sh1", "sh2")) >= threshold)
+                  .select("id", "rep"), "near-edges")
+    families = written(connected_components(_both_ways(ver), max_iter), "near-families")
+    more = similar_across(sets.select("id", "sh"), families, threshold).select(F.col("a").alias("id"), F.col("b").alias("rep"))
+    every = written(ver.unionByName(more).unionByName(copies), "near-edges")
+    labels = connected_components(_both_ways(every), max_iter)
     sizes = labels.groupBy("label").agg(F.count("*").alias("component_size"))
     return (labels.join(sizes, "label")
             .select(F.col("id").alias(id_col), F.col("label").alias("component"), "component_size"))
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("id").alias("src"), F.col("rep").alias("dst")).union(edges.select("rep", "id"))
+
+
 def connected_components(edges: DataFrame, max_iter: int = 200) -> DataFrame:
     """``edges(src, dst)`` (both directions present) -> ``(id, label)`` with the
     smallest id of each connected component as label."""
