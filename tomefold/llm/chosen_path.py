@@ -55,7 +55,7 @@ COORDINATES = 128
 LOOKS = 0.62
 SAME = 0.95
 PATH = 3
-SMALL = 512
+SMALL = 4096
 MEDIUM = 8192
 LEVELS = 4
 BLOCK = 128
