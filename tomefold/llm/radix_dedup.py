@@ -46,7 +46,7 @@ from tomefold.llm.common import prepare, stored
 LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 8_000_000
-MOST_BLOCK_BYTES = 128_000_000
+MOST_BLOCK_BYTES = 32_000_000
 BUCKET_BYTES = 8_000_000
 HOT = 4096
 _AT_ONCE = 1 << 18  # windows; places inside a slice need 20 bits
@@ -134,10 +134,10 @@ class Block:
 
     def _segments(self):
         n = len(self.data)
-        crossing = np.zeros(n + 1, np.int32)  # windows that would leave their text
+        crossing = np.zeros(n + 1, np.int8)  # windows that would leave their text
         np.add.at(crossing, np.maximum(self.begins, self.ends - LENGTH + 1), 1)
         np.add.at(crossing, self.ends, -1)
-        inside = np.cumsum(crossing[:-1]) == 0
+        inside = np.cumsum(crossing[:-1], dtype=np.int8) == 0
         starts, counts, names = [], [], []
         for begin in range(0, n - LENGTH + 1, _AT_ONCE):
             some = self.data[begin:begin + _AT_ONCE + LENGTH - 1]
@@ -364,7 +364,7 @@ def _covered(block: Block, row: dict, n_buckets: int) -> np.ndarray:
         start = found.start[of[hit]] + offset[hit]
         np.add.at(gone, start, 1)
         np.add.at(gone, start + LENGTH, -1)
-    return np.cumsum(gone[:-1]) > 0
+    return np.cumsum(gone[:-1], dtype=np.int32) > 0
 
 
 def _remove(n_buckets: int, digest, last: str):
@@ -375,7 +375,7 @@ def _remove(n_buckets: int, digest, last: str):
             first = np.zeros(len(gone), bool)
             first[block.begins[block.ends > block.begins]] = True
             opens = gone & np.r_[True, ~gone[:-1]] | gone & first if len(gone) else gone
-            sums = [np.r_[0, np.cumsum(x)] for x in (gone, opens)]
+            sums = [np.r_[np.int32(0), np.cumsum(x, dtype=np.int32)] for x in (gone, opens)]
             removed, spans = (s[block.ends] - s[block.begins] for s in sums)
             size = block.ends - block.begins
             kept = {}
@@ -408,7 +408,7 @@ def _passes(docs: DataFrame) -> tuple[DataFrame, int]:
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("name"), text.cast("binary").alias("text"))
     total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    most = int(min(max(BLOCK_BYTES, 64 * math.sqrt(total)), MOST_BLOCK_BYTES))
+    most = int(min(max(BLOCK_BYTES, 32 * math.sqrt(total)), MOST_BLOCK_BYTES))
     n_buckets = max(-(-total // BUCKET_BYTES), 16)
     blocks = stored(texts.mapInArrow(_blocks(most), _BLOCKS_DDL), "radix-blocks")
     digits = blocks.mapInArrow(_first_digits(n_buckets), "bucket long, block long, n long, data binary")
