@@ -60,6 +60,10 @@ def test_query_stream_appends_results(spark):
     QS.start_query_stream(stream, R.search_index(spark, SF), out, ck).awaitTermination()
     res = spark.read.parquet(out)
     assert res.select("qid").distinct().count() == 6
+    # the same batch again (a new checkpoint counts from 0): its answers are there once
+    before = res.count()
+    QS.start_query_stream(stream, R.search_index(spark, SF), out, tempfile.mkdtemp(prefix="tf-ck-")).awaitTermination()
+    assert spark.read.parquet(out).count() == before
 
 
 def test_mixed_batch_one_file_fails_to_embed(spark):
