@@ -114,3 +114,29 @@ def test_repeated_rows_are_counted_alike(spark):
     got = pii.sanitise(docs).collect()
     assert len(got) == len(rows) == pii.detect(docs).count()
     assert not any("Zorblatt" in r.text for r in got)
+
+
+def test_pools_by_hand(spark):
+    """No entity repeats, yet the term that goes with a domain, stem, subnet, number block or issuer is found."""
+    mails = [f"{a}{i}@firm.org" for i, a in enumerate(["ann", "bob", "cy", "dee"])]
+    stems = [f"jane.roe{i}@host{i}.net" for i in range(4)]
+    nets = [f"10.20.30.{i}" for i in range(4)]
+    phones = [f"+49 (30) 5557 00{i}1" for i in range(4)]
+    cards = [f"411111{i:04d}" for i in range(10 ** 4)]
+    cards = [c + "0" * 5 + str(d) for c in cards[:200] for d in range(10) if luhn(c + "0" * 5 + str(d))][:4]
+    words = ["firmament", "janitor", "netting", "phoneme", "cardinal"]
+    rows, k = [], 0
+    for word, group in zip(words, (mails, stems, nets, phones, cards)):
+        for m in group:
+            rows.append((k, f"{word} unique{chr(97 + k)} before {m} after"))
+            k += 1
+    rows += [(100 + i, f"before and after nothing of note number{chr(97 + i)}") for i in range(26)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    from tomefold.llm.common import stored
+    got = {(r.entity, r.term): r.disclosure for r in pii.revealing_terms(docs, stored(pii.found(docs), "test-pools")).collect()}
+    want = {("*@firm.org", "firmament"), ("janeroe@*", "janitor"), ("10.20.30.*", "netting"),
+            ("+49305557*", "phoneme"), ("411111*", "cardinal")}
+    assert set(got) == want and all(math.isclose(d, 1.0) for d in got.values())
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert not any(w in clean[i] for w in words for i in range(k)) and all("before" in clean[i] for i in range(k))
+    assert all(clean[d] == t for d, t in rows if d >= 100)

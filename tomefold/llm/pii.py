@@ -10,6 +10,12 @@ the entity, 0 when they are independent.  Terms above ``REMOVE`` are removed, te
 them.  A term must share at least ``SUPPORT`` different texts with the entity, so a chance
 word, or copies of one text, reveal nothing.
 
+Most entities stand in one text, which gives no estimate.  Every mention therefore also counts
+for its pools (``POOLS``): the mail domain and the letters of the local part, the subnet, the
+block of phone numbers, the card's issuer.  A pool is an entity like any other: n_e and n_te are
+the documents that mention any of its members, so a term that goes with different addresses of
+one person or firm is found though no address repeats.
+
 Scale: DataFrame functions only.  Whole texts are counted, so long ones need no window.
 The threshold bounds n_t by n_e: common words go before any pair is formed, and no pairs of
 a group are.  Document counts aggregate on the map side; the distinct terms of each text
@@ -43,6 +49,16 @@ PATTERNS = {
 #: A text without any of these has no span of the kind.
 MAYBE = {"email": "@", "ip": "[0-9]\\.[0-9]++\\.[0-9]++\\.[0-9]", "card": "[0-9](?:[\\x20-]?[0-9]){11}", "phone": "\\+[0-9]"}
 KINDS = tuple(PATTERNS)
+#: What a mention (lower case) is pooled under; null for none.  A mark tells pools from mentions.
+POOLS = {
+    "email": (lambda m: F.concat(F.lit("*@"), F.substring_index(m, "@", -1)),
+              lambda m: let(F.regexp_replace(F.substring_index(m, "@", 1), "[^a-z]", ""),
+                            lambda stem: F.when(F.length(stem) >= 3, F.concat(stem, F.lit("@*"))))),
+    "ip": (lambda m: F.concat(F.substring_index(m, ".", 3), F.lit(".*")),),
+    "card": (lambda m: F.concat(F.substring(_digits(m), 1, 6), F.lit("*")),),
+    "phone": (lambda m: let(_digits(m), lambda d: F.concat(
+        F.lit("+"), F.substring(d, F.lit(1), F.length(d) - 4), F.lit("*"))),),
+}
 TERM = "\\p{L}{3,}+"
 SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
@@ -51,8 +67,12 @@ BROADCAST_TERMS = 200_000
 _NO_SPANS = "array<struct<start: bigint, end: bigint, m: string, g: string>>"
 
 
+def _digits(m: Column) -> Column:
+    return F.regexp_replace(m, "[^0-9]", "")
+
+
 def _luhn(m: Column) -> Column:
-    digits = F.regexp_replace(m, "[^0-9]", "")
+    digits = _digits(m)
     values = F.transform(F.split(F.reverse(digits), "(?<=[0-9])(?=[0-9])"), lambda d, i: let(
         d.cast("int") * F.when(i % 2 == 1, 2).otherwise(1), lambda v: F.when(v > 9, v - 9).otherwise(v)))
     n = F.length(digits)
@@ -66,7 +86,7 @@ def _valid(kind: str, m: Column) -> Column:
     if kind == "card":
         return _luhn(m)
     if kind == "phone":
-        return F.length(F.regexp_replace(m, "[^0-9]", "")).between(9, 15)
+        return F.length(_digits(m)).between(9, 15)
     return F.lit(True)
 
 
@@ -80,6 +100,15 @@ def base_matches(text: Column) -> dict[str, Column]:
     return out
 
 
+def protected() -> Column:
+    """The entities of a row with the columns ``KINDS``: its mentions and their pools."""
+    def named(kind, name):
+        return F.transform(kind, lambda m: name(F.lower(m["m"])))
+
+    names = [named(kind, name) for kind in KINDS for name in (lambda m: m, *POOLS[kind])]
+    return F.array_compact(F.array_distinct(F.concat(*names)))
+
+
 def _blanked(text: Column, mentions: Column) -> Column:
     """``text`` with every mention replaced by as many spaces (places stay)."""
     def step(acc, x):
@@ -101,11 +130,10 @@ def found(docs: DataFrame) -> DataFrame:
     with_base = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key"),
                             *[m.alias(k) for k, m in base.items()])
     mentions = F.concat(*KINDS)
-    entities = F.array_distinct(F.transform(mentions, lambda m: F.lower(m["m"])))
     terms = F.transform(F.regexp_extract_all(_blanked(F.col("text"), mentions), F.lit(TERM), F.lit(0)), F.lower)
     return with_base.select(
         "doc_id", "key", F.xxhash64("text").alias("text_hash"), *[labelled(F.col(k), i, k).alias(k) for i, k in enumerate(KINDS)],
-        F.when(F.size(mentions) > 0, entities).alias("entities"), F.array_distinct(terms).alias("terms"))
+        F.when(F.size(mentions) > 0, protected()).alias("entities"), F.array_distinct(terms).alias("terms"))
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
