@@ -380,6 +380,7 @@ def q_search_fallback(spark, sf_dir):
 
 # --------------------------------------------------------------------------- index, ingest
 from ..operators import cells as CE  # noqa: E402
+from ..operators import blocks as BL  # noqa: E402
 from ..operators import dedup as DD  # noqa: E402
 from ..operators import index as IX  # noqa: E402
 from ..operators import ingest as IN  # noqa: E402
@@ -585,6 +586,40 @@ def q_strip_boilerplate(spark, sf_dir):
     return DD.strip_boilerplate(docs, DD.boilerplate_lines(docs, share=BP_SHARE, min_docs=BP_MIN_DOCS))
 
 
+_SQL_BLOCKS = f"""
+WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+n AS (SELECT doc_id, list_filter(range(1, len(ls) + 1), lambda i: {S.strip('ls[i]')} <> '') AS nb,
+             list_filter(list_transform(ls, lambda x: {S.strip('x')}), lambda x: x <> '') AS ls FROM raw),
+starts AS (SELECT doc_id, nb, ls, unnest(range(1, len(ls) + 1)) AS i FROM n),
+runs AS (SELECT *, unnest(range(1, len(ls) - i + 2)) AS l FROM starts),
+occ AS (SELECT doc_id, i, l, nb[i] AS a, nb[i + l - 1] AS z, array_to_string(ls[i:i + l - 1], chr(10)) AS block FROM runs),
+freq AS (SELECT l, block, count(DISTINCT doc_id) AS n_docs FROM occ GROUP BY l, block HAVING count(DISTINCT doc_id) >= 3),
+best AS (SELECT doc_id, i, max(l) AS l FROM occ JOIN freq USING (l, block) GROUP BY doc_id, i),
+top AS (SELECT b.* FROM best b LEFT JOIN best p ON p.doc_id = b.doc_id AND p.i = b.i - 1
+        WHERE b.l >= 2 AND coalesce(p.l, 0) <= b.l),
+places AS (SELECT * FROM top JOIN occ USING (doc_id, i, l))"""
+
+
+@register("repeated_blocks", _SQL_BLOCKS + """
+SELECT block, l AS n_lines, n_docs, count(*) AS n_places FROM places JOIN freq USING (l, block) GROUP BY block, l, n_docs""")
+def q_repeated_blocks(spark, sf_dir):
+    """Maximal runs of two or more lines that stand in three or more documents (D3)."""
+    return BL.repeated_blocks(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register("strip_blocks", _SQL_BLOCKS + """,
+cut AS (SELECT doc_id, list(a) AS aa, list(z) AS zz FROM places GROUP BY doc_id),
+kept AS (SELECT doc_id, text, len(ls) AS n, aa, list_filter(range(1, len(ls) + 1), lambda p: len(list_filter(range(1, len(aa) + 1),
+                lambda k: aa[k] <= p AND p <= zz[k])) = 0) AS k, ls FROM raw LEFT JOIN cut USING (doc_id))
+SELECT doc_id, CASE WHEN aa IS NULL THEN 0 ELSE n - len(k) END AS n_removed,
+       CASE WHEN aa IS NULL THEN text ELSE coalesce(array_to_string(list_transform(k, lambda p: ls[p]), chr(10)), '') END AS clean_text
+FROM kept""")
+def q_strip_blocks(spark, sf_dir):
+    """Documents without their repeated blocks (D3)."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return BL.strip_blocks(docs, BL.block_places(docs)[0])
+
+
 SQL_SHINGLE_PAIRS = """
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
