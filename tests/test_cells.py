@@ -81,3 +81,18 @@ def test_pairs_above_a_threshold(spark, vectors, block):
     got = [(r["a"], r["b"]) for r in pairs.collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
     assert {r["item_id"]: r["rep"] for r in members.collect()}["i000"] == "copy"
+
+
+def test_search_by_stored_cells_equals_exact_search(spark, tmp_path):
+    from tomefold.operators import search as SE
+    from tomefold.plans import registry as R
+    sf, base = "/root/testdata/sf0.001", str(tmp_path / "index-cells")
+    index, queries = R.search_index(spark, sf), R.search_queries(spark, sf)
+    half = F.xxhash64("chunk_id") % 2 == 0
+    SE.store_cells(index.where(half), base, R.DIM)
+    SE.store_cells(index.where(~half), base, R.DIM, append=True)
+    out = [sorted(tuple(r) for r in R._search_out(SE.search(queries, index, dim=R.DIM, **how)).collect())
+           for how in ({"cells": base}, {"plan": "broadcast"})]
+    assert out[0] == out[1] and len(out[0]) > 0
+    with pytest.raises(ValueError):
+        SE.search(queries, index, cells=base, probes=3)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..session import keep_cached
 from ..session import release as _release
+from . import cells as CE
 from . import embed as E
 from . import knn as K
 
@@ -100,16 +101,30 @@ def _hit_counts(good: DataFrame, initial: DataFrame, first: DataFrame) -> DataFr
                     F.coalesce("n_final", F.lit(0)).alias("n_final")))
 
 
+def store_cells(index: DataFrame, base: str, dim: int = C.EMBED_DIM, append: bool = False) -> None:
+    """Write the vectors of ``index`` to the inverted file under ``base`` (a new folder), or append those of a run.
+
+    A run that replaces or deletes chunks needs a new file of the live index: stored
+    items that are no longer in it would take places among the candidates."""
+    items = index_items(index).select("item_id", "vector", "version")
+    if append:
+        CE.append_cells(items, base)
+    else:
+        CE.create_cells(items, base, dim)
+
+
 def search(queries: DataFrame, index: DataFrame, *, rules: RerankRules = RerankRules(),
            dim: int = C.EMBED_DIM, embedder=None, plan: str = "auto", counts_only: bool = False,
-           probes: int | None = None, synonyms: DataFrame | None = None) -> DataFrame:
+           probes: int | None = None, synonyms: DataFrame | None = None, cells: str | None = None) -> DataFrame:
     """``queries(qid, query, version, limit, min_score)`` x ``index`` -> results.
 
     ``index`` has the chunk columns plus ``vector``.  ``embedder`` maps a text
     column to a vector column (default: the hashed embedder).
 
     ``probes``: search approximately, in that many cells per query (A7); None is
-    exact.  ``synonyms(term, synonym)``: embed the expanded query text (D9); boosts
+    exact.  ``cells``: the folder of a stored inverted file of this index (``store_cells``); exact
+    too, reads only the partitions of the versions and cells a query can need and fits
+    nothing.  ``synonyms(term, synonym)``: embed the expanded query text (D9); boosts
     and messages keep the text as asked.
     """
     emb = embedder or (lambda c: E.hashed_vector(c, dim))
@@ -130,12 +145,16 @@ def search(queries: DataFrame, index: DataFrame, *, rules: RerankRules = RerankR
     good = q.filter(~F.col("bad"))
 
     items = index_items(index)
-    if plan == "auto":
+    if cells is not None and probes is not None:
+        raise ValueError("give either cells or probes")
+    if plan == "auto" and cells is None:
         # the raw request count bounds the embedded query side (no UDF needed to count)
         n_q = queries.count()
         plan = "broadcast" if n_q * dim * 8 <= K.MAX_BROADCAST_BYTES else "grid"
     asked = good.select("qid", "qvec", F.col("version").alias("qversion"))
-    if probes is None:
+    if cells is not None:
+        hits = CE.search_cells(asked, cells, C.CANDIDATE_CAP, default_min_score=C.FALLBACK_MIN_SCORE)
+    elif probes is None:
         hits = K.knn(asked, items, C.CANDIDATE_CAP, default_min_score=C.FALLBACK_MIN_SCORE, plan=plan)
     else:
         hits = K.knn_ivf(asked, items, C.CANDIDATE_CAP, n_probe=probes, default_min_score=C.FALLBACK_MIN_SCORE)

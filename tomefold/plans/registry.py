@@ -792,6 +792,15 @@ def q_knn_approx_recall(spark, sf_dir):
         (F.coalesce(F.sum("found"), F.lit(0)) >= RECALL_FLOOR * F.count("*")).alias("recall_reached"))
 
 
+@register("search_stored", ORACLE["search_full"])
+def q_search_stored(spark, sf_dir):
+    """``search_full`` over a stored inverted file of the index (A7, R2): the same answers without a fit or a full scan."""
+    index = written(search_index(spark, sf_dir), "search-index")
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tomefold/index-cells-{uuid.uuid4().hex}"
+    SE.store_cells(index, base, DIM)
+    return _search_out(SE.search(search_queries(spark, sf_dir), index, cells=base))
+
+
 @register("search_hit_counts", _sql_search_ctes(C.SEARCH_LIMIT, C.SEARCH_MIN_SCORE) + """
 SELECT v.qid, coalesce(i.n, 0) AS n_initial, coalesce(f.n, 0) AS n_final
 FROM (SELECT qid FROM qvec) v
