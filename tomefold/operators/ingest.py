@@ -118,6 +118,20 @@ def expand_queries(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
         "expanded_query", F.coalesce("expanded_query", F.col("query")))
 
 
+def to_process(docs: DataFrame, ledger: DataFrame, skip: str = "hash") -> DataFrame:
+    """The documents a run has to chunk and embed (``skip`` as in ``ingest_batch``)."""
+    if skip == "path":
+        return pending_by_path(docs, ledger)
+    if skip == "none":
+        return docs
+    # only the ledger rows of this batch's files matter: restrict before ranking
+    mine = ledger.join(docs.select("version", "file_path").distinct(), ["version", "file_path"], "left_semi")
+    latest = IX.dedupe_latest(mine, ["version", "file_path"], "ts")
+    seen = latest.select("version", "file_path", "content_hash")
+    return (docs.withColumn("content_hash", IX.content_hash("content"))
+            .join(seen, ["version", "file_path", "content_hash"], "left_anti").drop("content_hash"))
+
+
 def ingest_batch(docs: DataFrame, existing_index: DataFrame, ledger: DataFrame, run_id: str,
                  params: CH.ChunkParams = CH.ChunkParams(), mode: str = "replace",
                  embed=None, skip: str = "hash") -> tuple[DataFrame, DataFrame]:
@@ -150,17 +164,7 @@ def ingest_batch_with_errors(docs: DataFrame, existing_index: DataFrame, ledger:
     reported once in the errors, none of its chunks is written and it is not
     marked processed, so the next run retries it; the other files commit.
     """
-    if skip == "path":
-        todo = pending_by_path(docs, ledger)
-    elif skip == "none":
-        todo = docs
-    else:
-        # only the ledger rows of this batch's files matter: restrict before ranking
-        mine = ledger.join(docs.select("version", "file_path").distinct(), ["version", "file_path"], "left_semi")
-        latest = IX.dedupe_latest(mine, ["version", "file_path"], "ts")
-        seen = latest.select("version", "file_path", "content_hash")
-        todo = (docs.withColumn("content_hash", IX.content_hash("content"))
-                .join(seen, ["version", "file_path", "content_hash"], "left_anti").drop("content_hash"))
+    todo = to_process(docs, ledger, skip)
     chunks = CH.chunk_documents(todo, params)
     embedded = (embed or (lambda df: EM.embed_hashed(df, "content")))(chunks)
     if "embed_error" not in embedded.columns:

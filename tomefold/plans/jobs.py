@@ -13,6 +13,7 @@ from ..operators import chunk as CH
 from ..operators import convert as CV
 from ..operators import index as IX
 from ..operators import ingest as IN
+from ..operators import partial as PA
 from ..operators import search as SE
 from ..session import release
 from ..streaming.ingest_stream import latest_index
@@ -75,3 +76,31 @@ def answer(spark: SparkSession, queries: DataFrame, base_dir: str, out_path: str
     if out_path:
         res.write.mode("append").parquet(out_path)
     return res
+
+
+def ingest_sections(spark: SparkSession, docs: DataFrame, base_dir: str, params: CH.ChunkParams = CH.ChunkParams(),
+                    embed=None, skip: str = "hash") -> str:
+    """Ingest ``docs(version, file_path, content)`` into an append-only index, chunk by chunk:
+    a file with failed chunks is searchable without them (``retry_failed`` takes those)."""
+    run_id = IX.new_run_id()
+    ledger = IX.read_or_empty(spark, f"{base_dir}/ledger", IX.LEDGER_SCHEMA)
+    rows, led, failed = PA.ingest_sections(docs, ledger, run_id, f"{base_dir}/staging/{run_id}", params, embed, skip)
+    IX.append_rows(rows, base_dir)
+    failed.write.mode("append").parquet(f"{base_dir}/failed_chunks")
+    led.write.mode("append").parquet(f"{base_dir}/ledger")
+    return run_id
+
+
+def retry_failed(spark: SparkSession, base_dir: str, embed=None) -> None:
+    """Embed the pending failed chunks of ``base_dir`` alone; the other chunks are not touched."""
+    failed = IX.read_or_empty(spark, f"{base_dir}/failed_chunks", PA.FAILED_SCHEMA)
+    rows, led, again = PA.retry_sections(
+        failed, IX.read_or_empty(spark, IX.chunks_dir(spark, base_dir), IX.INDEX_SCHEMA),
+        IX.read_or_empty(spark, f"{base_dir}/ledger", IX.LEDGER_SCHEMA), f"{base_dir}/staging/{IX.new_run_id()}", embed)
+    # the ledger rows count the index before this run's rows are in it: written first, committed last
+    counted = f"{base_dir}/staging/{IX.new_run_id()}-ledger"
+    led.write.parquet(counted)
+    led = spark.read.schema(IX.LEDGER_SCHEMA).parquet(counted)
+    again.write.mode("append").parquet(f"{base_dir}/failed_chunks")
+    IX.append_rows(rows, base_dir)
+    led.write.mode("append").parquet(f"{base_dir}/ledger")

@@ -861,4 +861,4 @@ def q_page_coverage(spark, sf_dir):
 
 FLAGSHIP = "search_full"
 
-from . import branches  # noqa: E402,F401  (registers the rows that reach the remaining branches)
+from . import branches, evolution  # noqa: E402,F401  (they register further rows)

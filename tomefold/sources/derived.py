@@ -15,6 +15,7 @@ from .tables import table
 # fixed values: versions used for the two-version collection
 OLD_VERSION = "1.28.0"
 NEW_VERSION = C.DEFAULT_VERSION
+NEXT_VERSION = "1.30.0"
 REVISION_NOTE = "\n\nRevised: this text was reviewed and updated."
 
 _URL_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)"
@@ -79,3 +80,15 @@ def two_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         F.format_string("bench/%d.md", "item_id").alias("file_path"),
         F.col("text").alias("content"))
     return old, kept.unionByName(bench)
+
+
+def three_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``two_versions`` and a third: the old tree without documents labelled toxic 1, so
+    files deleted before return, added ones go and the others have their old text."""
+    old, new = two_versions(spark, sf_dir)
+    d = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    toxic = table(spark, sf_dir, "labels", "doc_id", "toxic").filter(F.col("toxic") == 1).select("doc_id")
+    third = d.join(toxic, "doc_id", "left_anti").select(
+        F.lit(NEXT_VERSION).alias("version"),
+        F.format_string("%s/%s/%d.md", "lang", "source", "doc_id").alias("file_path"), F.col("text").alias("content"))
+    return old.unionByName(new).unionByName(third)

@@ -5,8 +5,8 @@ checkpoint records which files were read, so a rerun picks up only new files.
 Each micro-batch is chunked and embedded; by default its rows are appended to
 the index and its ledger rows after them, so a batch costs the size of the
 batch, not of the index (the ledger decides which rows are live).  Changed files at
-a known path are not re-read by the file source: run the batch ``changes``
-job (hash ledger, D7) for those.
+a known path are not re-read by the file source: ``tree_stream.sync_tree``
+follows edits and deletions, as does the batch ``changes`` job (hash ledger, D7).
 """
 
 from __future__ import annotations
