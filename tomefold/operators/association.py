@@ -15,12 +15,14 @@ def _words(text: str) -> Column:
 
 
 def _pairs(words: Column, window: int) -> Column:
-    """The distinct pairs (lesser, greater) of different words up to ``window`` places apart."""
+    """The distinct pairs "lesser greater" of different words up to ``window`` places apart.
+
+    Strings, since Spark makes them distinct by hashing (structs are compared pair by pair)."""
     def at(d):
         n = F.greatest(F.size(words) - d, F.lit(0))
         both = F.arrays_zip(F.slice(words, 1, n).alias("x"), F.slice(words, d + 1, n).alias("y"))
         return F.transform(F.filter(both, lambda p: p["x"] != p["y"]),
-                           lambda p: F.struct(F.least(p["x"], p["y"]).alias("a"), F.greatest(p["x"], p["y"]).alias("b")))
+                           lambda p: F.concat_ws(" ", F.least(p["x"], p["y"]), F.greatest(p["x"], p["y"])))
     return F.array_distinct(F.flatten(F.array(*[at(d) for d in range(1, window + 1)])))
 
 
@@ -36,8 +38,9 @@ def term_associations(docs: DataFrame, text_col: str = "text", window: int = WIN
     w = docs.select(_words(text_col).alias("w"))
     single = w.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     single = single.filter(F.col("n") >= min_support)
-    pairs = (w.select(F.explode(_pairs(F.col("w"), window)).alias("p")).groupBy("p.a", "p.b")
-             .agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_support))
+    pairs = (w.select(F.explode(_pairs(F.col("w"), window)).alias("p")).groupBy("p")
+             .agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_support)
+             .select(F.substring_index("p", " ", 1).alias("a"), F.substring_index("p", " ", -1).alias("b"), "n_both"))
     both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("term"), F.col("b").alias("synonym")),
                                           F.struct(F.col("b").alias("term"), F.col("a").alias("synonym")))).alias("s"),
                         "n_both").select("s.term", "s.synonym", "n_both")

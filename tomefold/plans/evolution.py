@@ -14,9 +14,9 @@ from ..operators import versions as VS
 from ..session import ensure_checkpoint_dir
 from ..sources import derived as D
 from ..sources.tables import table
+from . import branches as B
 from . import jobs as J
 from . import registry as R
-from .branches import _flaky
 from .registry import WORDS, register
 
 SQL_THIRD = f"""(SELECT '{D.NEXT_VERSION}' AS version, printf('%s/%s/%d.md', lang, source, doc_id) AS file_path, text AS content
@@ -49,7 +49,7 @@ def q_section_timeline(spark, sf_dir):
 
 # --------------------------------------------------------------------------- D9
 @register("term_associations", rf"""
-WITH w AS (SELECT row_number() OVER () AS d, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), x -> x <> '') AS w
+WITH w AS (SELECT row_number() OVER () AS d, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w
            FROM documents),
      p AS (SELECT d, unnest(w) AS t, unnest(range(len(w))) AS i FROM w),
      df AS (SELECT t, count(DISTINCT d) AS n FROM p GROUP BY t),
@@ -79,7 +79,7 @@ def q_section_retry(spark, sf_dir):
     docs = R.both_docs(spark, sf_dir)
 
     def refusing(df):
-        return EM.embed_with(df, _flaky, "content", batch_size=16, base_delay=0.0, batch_delay=0.0, sleep=lambda s: None)
+        return EM.embed_with(df, B._flaky, "content", batch_size=16, base_delay=0.0, batch_delay=0.0, sleep=lambda s: None)
 
     def states(folder):
         df = PA.section_states(IX.read_or_empty(spark, f"{base}/failed_chunks", PA.FAILED_SCHEMA),
