@@ -50,9 +50,11 @@ def section_timeline(docs: DataFrame, versions: list[str], params: CH.ChunkParam
     keys = ["file_path", "heading", "occurrence"]
     names = F.array(*[F.lit(v) for v in versions])
     s = _with_heading(CH.sections_of(docs.filter(F.col("version").isin(versions)), merged=False, params=params))
-    nth = Window.partitionBy("version", "file_path", "heading").orderBy("sec_idx", "section")
-    s = s.select("file_path", "heading", F.row_number().over(nth).alias("occurrence"),
-                 F.array_position(names, F.col("version")).alias("pos"), F.sha2("section", 256).alias("text_hash"))
+    # only the hash of a section's text is shuffled
+    s = s.select("file_path", "heading", "sec_idx", F.sha2("section", 256).alias("text_hash"),
+                 F.array_position(names, F.col("version")).alias("pos"))
+    nth = Window.partitionBy("pos", "file_path", "heading").orderBy("sec_idx", "text_hash")
+    s = s.withColumn("occurrence", F.row_number().over(nth))
     # a section has one row a version, so a window holds as many rows as there are versions
     w = Window.partitionBy(*keys).orderBy("pos")
     s = s.withColumn("island", F.col("pos") - F.row_number().over(w))
