@@ -26,6 +26,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
@@ -36,7 +38,9 @@ from . import knn as K
 MAX_CELLS = 16384
 SAMPLE_ROWS = 200_000
 BLOCK_ROWS = 4096
+ROW_CELLS = 1 << 20  # vectors x centroids compared at once (8 MB)
 FIRST_PROBES = 4
+MORE_PROBES = 16
 SLACK = 1e-6  # on radii, for the rounding of angles
 
 _CENTROID = "cell int, centroid array<double>, generation int"
@@ -49,6 +53,11 @@ def _unit_rows(vectors) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def _rows_at_once(centers: np.ndarray) -> int:
+    """Vectors compared with all centroids in one go."""
+    return max(1, min(BLOCK_ROWS, ROW_CELLS // max(1, len(centers))))
+
+
 def fit_centroids(items: DataFrame, n_cells: int | None = None, sample_rows: int = SAMPLE_ROWS, seed: int = 1,
                   max_iter: int = 20) -> np.ndarray:
     """Unit centroids of k-means over a sample of usable item vectors: ``sqrt(n)`` of them unless given."""
@@ -82,8 +91,10 @@ def assign(items: DataFrame, numbers: np.ndarray, centers: np.ndarray) -> DataFr
     def nearest(vectors: pd.Series) -> pd.DataFrame:
         numbers, centers = shared.value
         cells, angles = [], []
-        for k in range(0, len(vectors), BLOCK_ROWS):
-            likeness = np.clip(_unit_rows(vectors.iloc[k:k + BLOCK_ROWS]) @ centers.T, -1, 1)
+        step = _rows_at_once(centers)
+        for k in range(0, len(vectors), step):
+            likeness = _unit_rows(vectors.iloc[k:k + step]) @ centers.T
+            np.clip(likeness, -1, 1, out=likeness)
             best = likeness.argmax(axis=1)
             cells.append(numbers[best])
             angles.append(np.arccos(likeness[np.arange(len(best)), best]))
@@ -184,17 +195,17 @@ def split_cells(spark: SparkSession, base: str, max_rows: int, seed: int = 1) ->
 
 # --------------------------------------------------------------------------- search
 def search_cells(queries: DataFrame, base: str, k: int, *, default_min_score: float = -math.inf,
-                 block_rows: int = BLOCK_ROWS, first_probes: int = FIRST_PROBES) -> DataFrame:
+                 block_rows: int | None = None, first_probes: int = FIRST_PROBES) -> DataFrame:
     """Exact top ``k`` stored items of ``queries`` (qid, qvec, optional qversion): (qid, item_id, score, rank).
 
-    A query vector of another size than the store's fails the job.  Each round probes four
+    A query vector of another size than the store's fails the job.  Each round probes ``MORE_PROBES``
     times as many cells as the one before, for the queries that still need them.
     """
     spark = queries.sparkSession
     ship_package(spark)
     numbers, centers, _ = _centroids(spark, base)
-    stats = cell_stats(spark, base)
-    radius = {r["cell"]: r["radius"] for r in stats.collect()}  # at most MAX_CELLS
+    stats = cell_stats(spark, base).collect()  # at most MAX_CELLS
+    radius, size = {r["cell"]: r["radius"] for r in stats}, {r["cell"]: r["n"] for r in stats}
     live = np.array([int(c) in radius for c in numbers])
     numbers, centers = numbers[live], centers[live]
     shared = _shared(spark, (numbers, centers, np.array([radius[int(c)] for c in numbers]) + SLACK))
@@ -218,49 +229,63 @@ def search_cells(queries: DataFrame, base: str, k: int, *, default_min_score: fl
             kth = best.where(F.col("rank") == k).select("qid", F.col("score").alias("kth"))
             todo = asked.join(kth, "qid", "left")
             floor = F.greatest("qmin", F.coalesce("kth", F.lit(-math.inf)))
-        probes = todo.withColumn("cell", F.explode_outer(_next_cells(shared, low, high)(F.col("qvec"), floor)))
-        probes = written(probes.where(F.col("cell").isNotNull()).select("qid", "qvec", "qversion", "qmin", "cell"), "cell-probes")
-        probed = [r[0] for r in probes.select("cell").distinct().collect()]  # at most MAX_CELLS
+        todo = todo.select("qid", "qvec", "qversion", "qmin", floor.alias("floor"))
+        probed = [r[0] for r in todo.select(F.explode_outer(_next_cells(shared, low, high)(F.col("qvec"), F.col("floor"))).alias("cell"))
+                  .where(F.col("cell").isNotNull()).distinct().collect()]  # at most MAX_CELLS
         if not probed:
             break
-        found = _score(probes, items.where(F.col("cell").isin(probed)), stats, k, block_rows)
+        found = K.probe_blocks(todo, items.where(F.col("cell").isin(probed)), {c: size[c] for c in probed},
+                               _prober(shared, low, high), k, block_rows)
         every = found if best is None else best.select("qid", "item_id", "score").unionByName(found)
         best = written(K._rank(every, k), "cell-best")
-        low, high = high, 4 * high
+        low, high = high, MORE_PROBES * high
     return best if best is not None else K._rank(spark.createDataFrame([], K._OUT), k)
 
 
+def _reached(vec: np.ndarray, floor: np.ndarray, centers: np.ndarray, radius: np.ndarray, low: int, high: int):
+    """(cells ranked ``low`` to ``high`` by the best score they could hold, whether that reaches the floor), per row."""
+    norm = np.linalg.norm(vec, axis=1, keepdims=True)
+    usable = np.isfinite(norm[:, 0]) & (norm[:, 0] > 0)
+    reach = np.where(usable[:, None], vec, 0) / np.where(usable[:, None], norm, 1) @ centers.T
+    np.arccos(np.clip(reach, -1, 1, out=reach), out=reach)
+    reach -= radius
+    np.cos(np.maximum(reach, 0, out=reach), out=reach)
+    reach += 2 / K.SCALE
+    order = np.argsort(-reach, axis=1, kind="stable")[:, low:high]
+    return order, (np.take_along_axis(reach, order, axis=1) >= floor[:, None]) & usable[:, None]
+
+
 def _next_cells(shared, low: int, high: int):
     """Cells ranked ``low`` to ``high`` by the best score they could hold, as far as it reaches the floor."""
     @F.pandas_udf(TY.ArrayType(TY.IntegerType()))
     def cells(vectors: pd.Series, floor: pd.Series) -> pd.Series:
         numbers, centers, radius = shared.value
         out = []
-        for k in range(0, len(vectors), BLOCK_ROWS):
-            vec = np.stack(list(vectors.iloc[k:k + BLOCK_ROWS])).astype(np.float64)
-            norm = np.linalg.norm(vec, axis=1, keepdims=True)
-            usable = np.isfinite(norm[:, 0]) & (norm[:, 0] > 0)
-            angle = np.arccos(np.clip(vec / np.where(usable[:, None], norm, 1) @ centers.T, -1, 1))
-            reach = np.cos(np.maximum(angle - radius, 0)) + 2 / K.SCALE
-            order = np.argsort(-reach, axis=1, kind="stable")[:, low:high]
-            enough = np.take_along_axis(reach, order, axis=1) >= floor.iloc[k:k + BLOCK_ROWS].to_numpy()[:, None]
-            out += [numbers[o[e]] if u else None for o, e, u in zip(order, enough, usable)]
+        step = _rows_at_once(centers)
+        for k in range(0, len(vectors), step):
+            vec = np.stack(list(vectors.iloc[k:k + step])).astype(np.float64)
+            order, enough = _reached(vec, floor.iloc[k:k + step].to_numpy(), centers, radius, low, high)
+            out += [numbers[o[e]] for o, e in zip(order, enough)]
         return pd.Series(out, dtype=object)
     return cells.asNondeterministic()
 
 
-def _score(probes: DataFrame, items: DataFrame, stats: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """Top ``k`` of each (cell, salt, query block): large cells and popular probes are split."""
-    salts = stats.select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias("n_salt"))
-    blocks = probes.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_block"))
-    left = (probes.join(salts, "cell").join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("qid"), "n_block"))
-            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1))))
-    right = (items.join(salts, "cell").join(blocks, "cell").withColumn("salt", F.pmod(F.xxhash64("item_id"), "n_salt"))
-             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_block") - 1))))
-    group = ["cell", "salt", "block"]
-    return (left.select(*group, "qid", "qvec", "qversion", "qmin").groupBy(*group)
-            .cogroup(right.select(*group, "item_id", "vector", "version").groupBy(*group))
-            .applyInPandas(lambda a, b: K._block_topk(a, b, k), K._OUT))
+def _prober(shared, low: int, high: int):
+    """The cells of ``_next_cells`` as a matrix, for ``knn.probe_blocks``."""
+    def probe(batch: pa.RecordBatch, held: np.ndarray) -> np.ndarray:
+        numbers, centers, radius = shared.value
+        marked = np.zeros((batch.num_rows, len(held)), bool)
+        at = np.minimum(np.searchsorted(held, numbers), len(held) - 1)  # the place of each cell among the held ones
+        known = held[at] == numbers
+        step = _rows_at_once(centers)
+        for k in range(0, batch.num_rows, step):
+            some = batch.slice(k, step)
+            vec = pc.list_flatten(some.column("qvec")).to_numpy(zero_copy_only=False).astype(np.float64).reshape(some.num_rows, -1)
+            order, enough = _reached(vec, some.column("floor").to_numpy(zero_copy_only=False), centers, radius, low, high)
+            row, place = np.nonzero(enough & known[order])
+            marked[k + row, at[order[row, place]]] = True
+        return marked
+    return probe
 
 
 # --------------------------------------------------------------------------- threshold join
