@@ -34,6 +34,8 @@ COUNTERS = {
     "pretoken": (C.PRETOKEN_PATTERN, C.PRETOKEN_PATTERN),
     "bounded": (C.JAVA_BOUNDED_PATTERN, C.JAVA_BOUNDED_PIECE_PATTERN),
 }
+# counters whose tokens hold no white space: texts joined by white space have the sum of their counts
+ADDITIVE = ("words", "bounded")
 
 
 def token_count(text, counter: str = "words") -> Column:
@@ -43,10 +45,10 @@ def token_count(text, counter: str = "words") -> Column:
     return F.regexp_count(_c(text), F.lit(COUNTERS[counter][0]))
 
 
-def overlap_tail(text, n: int, counter: str = "words") -> Column:
-    """Text of the last ``n`` tokens; the whole text if it has at most ``n``."""
+def overlap_tail(text, n: int, counter: str = "words", size: Column | None = None) -> Column:
+    """Text of the last ``n`` tokens; the whole text if it has at most ``n`` (``size``: its tokens, if known)."""
     t = _c(text)
-    return F.when(token_count(t, counter) <= n, t).otherwise(
+    return F.when((token_count(t, counter) if size is None else size) <= n, t).otherwise(
         F.array_join(F.slice(F.regexp_extract_all(t, F.lit(COUNTERS[counter][1]), 0), -n, n), ""))
 
 
@@ -144,9 +146,8 @@ def code_chars(text) -> Column:
     t = _c(text)
 
     def chars_of(pat):
-        matches = F.regexp_extract_all(t, F.lit(pat), 0)
-        return (F.aggregate(matches, F.lit(0), lambda acc, m: acc + F.length(m))
-                + F.greatest(F.size(matches) - 1, F.lit(0)))
+        return let(F.regexp_extract_all(t, F.lit(pat), 0), lambda matches: (
+            F.aggregate(matches, F.lit(0), lambda acc, m: acc + F.length(m)) + F.greatest(F.size(matches) - 1, F.lit(0))))
     fenced, inline, indented = (chars_of(p) for p in JAVA_CODE_PATTERNS)
     ticks = F.when(t.contains("`"), fenced + inline).otherwise(F.lit(0))
     return ticks + indented

@@ -82,29 +82,42 @@ def _merge(secs: Column, min_tokens: int, counter: str) -> Column:
 def _halve(cur: Column, max_tokens: int, counter: str = "words") -> Column:
     """Repeatedly cut the ``". "`` sentence list in half while the rest is too big.
 
-    Returns ``struct(out array<string>, rest string)``: the emitted first halves
-    (each with a ``.`` appended) and the remaining text.  Each round halves the
-    remaining sentence count, so ``ceil(log2 m) + 1`` rounds always suffice.
+    Returns ``struct(out array<string>, rest string, n int)``: the emitted first halves
+    (each with a ``.`` appended), the remaining text and its tokens (0 unless the counter
+    adds up).  Each round halves the remaining sentence count, so ``ceil(log2 m) + 1``
+    rounds always suffice.
     """
+    adds_up = counter in T.ADDITIVE
+
     def body(sents):
         m = F.size(sents)
         rounds = F.sequence(F.lit(1), (F.ceil(F.log2(m)).cast("int") + 1))
-        init = F.struct(_empty().alias("out"), F.lit(0).alias("b"), F.lit(False).alias("stop"))
+        # a sentence keeps its ". " and so ends in white space: tokens of the rest are the sum
+        sizes = F.transform(sents, lambda s, i: T.token_count(F.when(i < m - 1, F.concat(s, F.lit(". "))).otherwise(s), counter)
+                            ) if adds_up else F.array().cast("array<int>")
+        return T.let(sizes, lambda ns: cut_up(sents, m, rounds, ns))
+
+    def cut_up(sents, m, rounds, sizes):
+        def total(ns):
+            return F.aggregate(ns, F.lit(0), lambda acc, n: acc + n)
+
+        init = F.struct(_empty().alias("out"), F.lit(0).alias("b"), F.lit(False).alias("stop"), total(sizes).alias("n"))
 
         def step(acc, _r):
             left = m - acc["b"]
             rest = F.array_join(F.slice(sents, acc["b"] + 1, left), ". ")
-            halt = acc["stop"] | (left <= 1) | (T.token_count(rest, counter) <= max_tokens)
+            fits = (acc["n"] if adds_up else T.token_count(rest, counter)) <= max_tokens
+            halt = acc["stop"] | (left <= 1) | fits
             k = F.floor(left / 2).cast("int")
             cut = F.concat(F.array_join(F.slice(sents, acc["b"] + 1, k), ". "), F.lit("."))
             return F.when(halt, F.struct(acc["out"].alias("out"), acc["b"].alias("b"),
-                                         F.lit(True).alias("stop"))).otherwise(
-                F.struct(F.array_append(acc["out"], cut).alias("out"), (acc["b"] + k).alias("b"),
-                         F.lit(False).alias("stop")))
+                                         F.lit(True).alias("stop"), acc["n"].alias("n"))).otherwise(
+                F.struct(F.array_append(acc["out"], cut).alias("out"), (acc["b"] + k).alias("b"), F.lit(False).alias("stop"),
+                         (acc["n"] - (total(F.slice(sizes, acc["b"] + 1, k)) if adds_up else F.lit(0))).alias("n")))
 
         return F.aggregate(rounds, init, step, lambda acc: F.struct(
             acc["out"].alias("out"),
-            F.array_join(F.slice(sents, acc["b"] + 1, m - acc["b"]), ". ").alias("rest")))
+            F.array_join(F.slice(sents, acc["b"] + 1, m - acc["b"]), ". ").alias("rest"), acc["n"].alias("n")))
 
     return T.let(F.split(cur, r"\. ", -1), body)
 
@@ -113,33 +126,49 @@ def _halve(cur: Column, max_tokens: int, counter: str = "words") -> Column:
 def split_large_section(section, params: ChunkParams = ChunkParams()) -> Column:
     """Greedy packing of ``\\n\\n`` paragraphs up to ``target_tokens``; each new
     chunk starts with the last ``overlap_tokens`` of the previous one; an
-    oversize chunk is cut by sentence halving.  A section that fits is kept."""
+    oversize chunk is cut by sentence halving.  A section that fits is kept.
+
+    Every paragraph is counted once: counters that add up across white space
+    (``text.ADDITIVE``) keep a running sum, so the work grows with the text, not with
+    paragraphs times chunk size; the others measure the growing chunk again."""
     max_t, ov, ctr = params.target_tokens, params.overlap_tokens, params.counter
     sec = T._c(section)
-    init = F.struct(_empty().alias("done"), F.lit("").alias("cur"))
+    adds_up = ctr in T.ADDITIVE
+    init = F.struct(_empty().alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
 
     def step(acc, para):
         has_cur = acc["cur"] != F.lit("")
-        test = F.when(has_cur, F.concat(acc["cur"], F.lit("\n\n"), para)).otherwise(para)
+        test = F.when(has_cur, F.concat(acc["cur"], F.lit("\n\n"), para["text"])).otherwise(para["text"])
+        sum_n = acc["n"] + para["n"]
 
-        def overflow(_):
-            start = F.when(has_cur, F.concat(T.overlap_tail(acc["cur"], ov, ctr), F.lit("\n\n"), para)).otherwise(para)
+        def overflow():
+            start = F.when(has_cur, F.concat(T.overlap_tail(acc["cur"], ov, ctr, acc["n"] if adds_up else None),
+                                             F.lit("\n\n"), para["text"])).otherwise(para["text"])
             done = F.when(has_cur, F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"])
             return T.let(_halve(start, max_t, ctr), lambda h: F.struct(
-                F.concat(done, h["out"]).alias("done"), h["rest"].alias("cur")))
+                F.concat(done, h["out"]).alias("done"), h["rest"].alias("cur"), h["n"].alias("n")))
 
-        return T.let(test, lambda t: F.when(
-            T.token_count(t, ctr) <= max_t, F.struct(acc["done"].alias("done"), t.alias("cur"))
-        ).otherwise(overflow(t)))
+        def kept(t):
+            return F.struct(acc["done"].alias("done"), t.alias("cur"), sum_n.alias("n"))
+
+        if adds_up:
+            return F.when(sum_n <= max_t, kept(test)).otherwise(overflow())
+        return T.let(test, lambda t: F.when(T.token_count(t, ctr) <= max_t, kept(t)).otherwise(overflow()))
+
+    def fold(paras):
+        return F.aggregate(paras, init, step, lambda acc: F.when(
+            acc["cur"] != F.lit(""), F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"]))
 
-    packed = F.aggregate(F.split(sec, "\n\n", -1), init, step, lambda acc: F.when(
-        acc["cur"] != F.lit(""), F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"]))
     # one oversize paragraph: the fold would only measure it again and halve it
     halved = T.let(_halve(sec, max_t, ctr), lambda h: F.when(
         h["rest"] != F.lit(""), F.array_append(h["out"], h["rest"])).otherwise(h["out"]))
-    return (F.when(T.token_count(sec, ctr) <= max_t, F.array(sec))
-            .when(~sec.contains("\n\n"), halved)
-            .otherwise(packed))
+
+    def pick(paras):
+        size = F.aggregate(paras, F.lit(0), lambda acc, p: acc + p["n"]) if adds_up else T.token_count(sec, ctr)
+        return F.when(size <= max_t, F.array(sec)).when(F.size(paras) == 1, halved).otherwise(fold(paras))
+
+    return T.let(F.transform(F.split(sec, "\n\n", -1), lambda p: F.struct(
+        p.alias("text"), (T.token_count(p, ctr) if adds_up else F.lit(0)).alias("n"))), pick)
 
 
 # --------------------------------------------------------------------------- T4
