@@ -78,11 +78,15 @@ def index_items(index: DataFrame) -> DataFrame:
     return index.withColumn("item_id", F.concat_ws("/", "version", "chunk_id"))
 
 
+def _initial() -> Column:
+    """Whether a hit is among the candidates of the boosted pass."""
+    return ((F.col("rank") <= F.least(F.col("limit") * 2, F.lit(C.CANDIDATE_CAP)))
+            & (F.col("score") >= F.greatest(F.col("min_score") - C.CANDIDATE_MARGIN, F.lit(C.CANDIDATE_FLOOR))))
+
+
 def _first_pass(cand: DataFrame, rules: RerankRules) -> tuple[DataFrame, DataFrame]:
     """(initial candidates, final hits) of the boosted pass."""
-    initial = cand.filter((F.col("rank") <= F.least(F.col("limit") * 2, F.lit(C.CANDIDATE_CAP)))
-                          & (F.col("score") >= F.greatest(F.col("min_score") - C.CANDIDATE_MARGIN,
-                                                          F.lit(C.CANDIDATE_FLOOR))))
+    initial = cand.filter(_initial())
     first = initial.withColumn("boosted", F.col("score") * boost_factor(
         "query", "content_type", "title", "heading_path", "has_code", "content", rules))
     first = first.filter(F.col("boosted") >= F.col("min_score"))
@@ -151,17 +155,22 @@ def search(queries: DataFrame, index: DataFrame, *, rules: RerankRules = RerankR
         # the raw request count bounds the embedded query side (no UDF needed to count)
         n_q = queries.count()
         plan = "broadcast" if n_q * dim * 8 <= K.MAX_BROADCAST_BYTES else "grid"
+    # no rank beyond the largest limit's candidates and the fallback is ever looked at
+    most = q.agg(F.max("limit")).first()[0] or C.SEARCH_LIMIT
+    k = min(max(2 * most, C.FALLBACK_K), C.CANDIDATE_CAP)
     asked = good.select("qid", "qvec", F.col("version").alias("qversion"))
     if cells is not None:
-        hits = CE.search_cells(asked, cells, C.CANDIDATE_CAP, default_min_score=C.FALLBACK_MIN_SCORE)
+        hits = CE.search_cells(asked, cells, k, default_min_score=C.FALLBACK_MIN_SCORE)
     elif probes is None:
-        hits = K.knn(asked, items, C.CANDIDATE_CAP, default_min_score=C.FALLBACK_MIN_SCORE, plan=plan)
+        hits = K.knn(asked, items, k, default_min_score=C.FALLBACK_MIN_SCORE, plan=plan)
     else:
-        hits = K.knn_ivf(asked, items, C.CANDIDATE_CAP, n_probe=probes, default_min_score=C.FALLBACK_MIN_SCORE)
+        hits = K.knn_ivf(asked, items, k, n_probe=probes, default_min_score=C.FALLBACK_MIN_SCORE)
     # the engine chooses these joins by the measured size of the hits and queries (AQE)
     payload = items.select("item_id", "content", "title", "file_path", "section", "doc_url",
                            "heading_path", "has_code", "content_type", "version")
-    cand = hits.join(payload, "item_id").join(good.select("qid", "query", "limit", "min_score"), "qid")
+    # and the texts come last, only to hits that either pass can use
+    hits = hits.join(good.select("qid", "query", "limit", "min_score"), "qid")
+    cand = hits.filter(_initial() | (F.col("rank") <= C.FALLBACK_K)).join(payload, "item_id")
     # both passes and the sentinel read the one candidate set (<= 30 rows per query)
     cand = cand.persist()
 
