@@ -2,7 +2,7 @@
 
 Default embedder: a deterministic hashed bag of words (there is no network).
 Tokens and their md5 hashes are computed natively in the JVM; the per-row
-bucket counting is one vectorised ``np.bincount`` over the whole Arrow batch.
+bucket counting is a vectorised ``np.bincount`` over slices of the Arrow batch.
 The vector holds signed integer counts (not normalised): cosine similarity
 divides by the norms, and integer inputs make every engine agree bit for bit.
 
@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
@@ -30,6 +31,7 @@ from .. import constants as C
 
 # fixed value: token pattern of the hashed embedder
 HASH_TOKEN_PATTERN = r"[\p{L}\p{N}]+"
+HASHES_AT_ONCE = 1 << 18  # hashes counted in one go
 
 
 def token_hashes(text) -> Column:
@@ -40,25 +42,36 @@ def token_hashes(text) -> Column:
 
 
 def _bincount_factory(dim: int):
-    @F.pandas_udf(TY.ArrayType(TY.FloatType()))
-    def signed_counts(hashes: pd.Series) -> pd.Series:
-        arr = pa.array(hashes, type=pa.list_(pa.int64()))
-        offsets = arr.offsets.to_numpy()
-        values = arr.values.to_numpy(zero_copy_only=False)
-        lengths = np.diff(offsets)
-        rows = np.repeat(np.arange(len(lengths)), lengths)
-        bucket = values % dim
-        sign = np.where((values // dim) % 2 == 0, 1.0, -1.0)
-        mat = np.bincount(rows * dim + bucket, weights=sign, minlength=len(lengths) * dim)
-        mat = mat.reshape(len(lengths), dim).astype(np.float32)
-        empty = (lengths == 0) | np.asarray(hashes.isna())
-        out = [None if e else row for row, e in zip(mat, empty)]
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf(TY.ArrayType(TY.FloatType()))
+    def signed_counts(hashes: pa.Array) -> pa.Array:
+        return _sliced_counts(hashes, dim)
     # marked non-deterministic only so that Catalyst never copies the call into a
     # pushed-down filter (which would run the Python worker twice per row)
     return signed_counts.asNondeterministic()
 
 
+def _sliced_counts(hashes: pa.Array, dim: int) -> pa.Array:
+    """The vectors of an Arrow batch, made of rows with about ``HASHES_AT_ONCE`` hashes at a time (one row at least)."""
+    parts, lo = [], 0
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False))
+    while lo < len(hashes):
+        begin = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, begin + HASHES_AT_ONCE, side="right")))
+        parts.append(_signed_counts(hashes.slice(lo, hi - lo), dim))
+        lo = hi
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
+
+
+def _signed_counts(hashes: pa.Array, dim: int) -> pa.Array:
+    lengths = pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False)
+    values = pc.list_flatten(hashes).to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(lengths)), lengths)
+    sign = np.where((values // dim) % 2 == 0, 1.0, -1.0)
+    counts = np.bincount(rows * dim + values % dim, weights=sign, minlength=len(lengths) * dim).astype(np.float32)
+    offsets = np.arange(len(lengths) + 1, dtype=np.int32) * dim
+    return pa.ListArray.from_arrays(offsets, pa.array(counts), mask=pa.array(lengths == 0))
+
+
 _UDFS: dict[int, object] = {}
 
 
