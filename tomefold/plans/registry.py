@@ -795,7 +795,7 @@ def q_knn_approx_recall(spark, sf_dir):
 @register("search_stored", ORACLE["search_full"])
 def q_search_stored(spark, sf_dir):
     """``search_full`` over a stored inverted file of the index (A7, R2): the same answers without a fit or a full scan."""
-    index = written(search_index(spark, sf_dir), "search-index")
+    index = search_index(spark, sf_dir)
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tomefold/index-cells-{uuid.uuid4().hex}"
     SE.store_cells(index, base, DIM)
     return _search_out(SE.search(search_queries(spark, sf_dir), index, cells=base))
@@ -855,8 +855,9 @@ def q_page_coverage(spark, sf_dir):
     """Pages -> markdown -> chunks -> index: the stage each page reached."""
     conv = written(converted_pages(spark, sf_dir, CV.ARTICLE_SELECTOR), "converted-pages")
     chunks = CH.chunk_documents(CV.markdown_docs(conv, C.DEFAULT_VERSION))
-    index = EM.embed_hashed(chunks, "content")
-    return IN.page_coverage(conv, chunks, index)
+    # chunked and embedded once; both counts read the written rows
+    index = written(EM.embed_hashed(chunks, "content"), "page-index")
+    return IN.page_coverage(conv, index.drop("vector"), index)
 
 
 FLAGSHIP = "search_full"
