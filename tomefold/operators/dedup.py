@@ -18,7 +18,7 @@ from pyspark.sql import types as TY
 from .. import constants as C
 from ..functions import text as T
 from ..session import ensure_checkpoint_dir, written
-from .prefix_join import similar_across
+from .prefix_join import named_in, similar_across
 
 
 def normalise(text) -> Column:
@@ -38,6 +38,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 # --------------------------------------------------------------------------- D2
 MINHASH_PRIME = (1 << 31) - 1  # keeps a * x + b inside uint64
+FEW_ROWS = 1_000_000           # rows of one number that may be broadcast (8 MB)
 MINHASH_CELLS = 1 << 24        # hash values x permutations held at once (128 MB)
 
 
@@ -119,23 +120,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda bi: F.xxhash64(F.slice("mh", bi * rows + 1, rows)))
     sig = written(docs.select(F.col(id_col).alias("id"), _signature_udf(bands * rows, seed, k)(word_hashes(text_col)).alias("s"))
                   .select("id", "s.sh", "s.mh").filter(F.col("mh").isNotNull())
-                  .withColumn("name", F.xxhash64("sh")), "near-sets")  # shingles come in ascending order
+                  .select("id", "sh", keys.alias("keys"), F.xxhash64("sh").alias("name"),  # shingles come in ascending order
+                          F.monotonically_increasing_id().alias("place")), "near-sets")
     first = sig.groupBy("name").agg(F.min("id").alias("rep"))
     copies = sig.select("id", "name").join(first, "name").filter(F.col("id") != F.col("rep")).select("id", "rep")
-    sets = written(sig.join(first.select(F.col("name").alias("_name"), "rep"), (F.col("id") == F.col("rep"))
-                            & (F.col("name") == F.col("_name"))).select("id", "sh", "mh").dropDuplicates(["id"]), "near-reps")
-    bucket = sets.select("id", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.lit(bands - 1)),
-        lambda bi: F.xxhash64(F.slice("mh", bi * rows + 1, rows)))).alias("band", "bkey"))
+    # one row per rep, chosen among narrow rows: the sets themselves move once
+    chosen = (sig.select("id", "name", "place").join(first.select(F.col("name").alias("_name"), "rep"),
+                                                     (F.col("id") == F.col("rep")) & (F.col("name") == F.col("_name")))
+              .groupBy("id").agg(F.min("place").alias("place")).select("place"))
+    others = written(sig.select("place").join(chosen, "place", "left_anti"), "near-others")
+    few = others.count() <= FEW_ROWS
+    sets = sig.join(F.broadcast(others) if few else others, "place", "left_anti").select("id", "sh", "keys")
+    sets = sets if few else written(sets, "near-reps")
+    bucket = sets.select("id", F.posexplode("keys").alias("band", "bkey"))
     # star edges: every bucket member to the bucket's smallest id (partial aggregation)
     reps = bucket.groupBy("band", "bkey").agg(F.min("id").alias("rep"))
-    edges = (bucket.join(reps, ["band", "bkey"]).filter(F.col("id") != F.col("rep"))
-             .select("id", "rep").distinct())
+    edges = written(bucket.join(reps, ["band", "bkey"]).filter(F.col("id") != F.col("rep"))
+                    .select("id", "rep").distinct(), "near-candidates")
     # exact Jaccard on the candidate edges only
-    s1 = sets.select(F.col("id"), F.col("sh").alias("sh1"))
-    s2 = sets.select(F.col("id").alias("rep"), F.col("sh").alias("sh2"))
+    some = named_in(sets, edges, "id", "rep")
+    s1 = some.select(F.col("id"), F.col("sh").alias("sh1"))
+    s2 = some.select(F.col("id").alias("rep"), F.col("sh").alias("sh2"))
     ver = written(edges.join(s1, "id").join(s2, "rep")
                   .filter(F.size(F.array_intersect("sh1", "sh2")) / F.size(F.array_union("sh1", "sh2")) >= threshold)
                   .select("id", "rep"), "near-edges")

@@ -13,7 +13,7 @@ between two labels.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -22,13 +22,21 @@ from ..session import written
 def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     """(id, n, token, pos) of the prefix tokens that another set holds too; ``sets`` is (id, sh: distinct tokens)."""
     tokens = sets.select("id", F.size("sh").alias("n"), F.explode("sh").alias("token"))
-    held = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = (tokens.join(held, "token").groupBy("id", "n")
-               .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens")))
+    # one exchange of all tokens; those of a single set come first in its order, so only their number counts
+    shared = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    ordered = shared.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
     # the margin keeps a product such as 0.7 * 10 from being rounded up to 8
     length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    return (ordered.select("id", "n", F.posexplode(F.slice("tokens", F.lit(1), length)).alias("pos", "t"))
-            .where("t.df > 1").select("id", "n", F.col("t.token").alias("token"), "pos"))
+    alone = F.col("n") - F.size("tokens")
+    return (ordered.select("id", "n", alone.alias("alone"), F.posexplode(
+                F.slice("tokens", F.lit(1), F.greatest(length - alone, F.lit(0)))).alias("pos", "t"))
+            .select("id", "n", F.col("t.token").alias("token"), (F.col("pos") + F.col("alone")).alias("pos")))
+
+
+def named_in(sets: DataFrame, pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """The sets of written ``pairs``; most are in none and need not be moved."""
+    ids = pairs.select(F.explode(F.array(a, b)).alias("id")).distinct()
+    return sets.join(written(ids, "pair-ids"), "id", "left_semi")
 
 
 def similar_across(sets: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
@@ -48,6 +56,8 @@ def similar_across(sets: DataFrame, labels: DataFrame, threshold: float) -> Data
     pairs = (a.join(b, "token").where(F.col("a_label") < F.col("b_label"))
              .where(F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * threshold - 1e-9)
              .where(at_most >= overlap).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct())
-    left, right = (sets.select(F.col("id").alias(side), F.col("sh").alias(f"{side}_sh")) for side in "ab")
+    pairs = written(pairs, "prefix-pairs")  # the planner sees how few they are before it moves the sets
+    some = named_in(sets, pairs, "a", "b")
+    left, right = (some.select(F.col("id").alias(side), F.col("sh").alias(f"{side}_sh")) for side in "ab")
     shared, every = F.size(F.array_intersect("a_sh", "b_sh")), F.size(F.array_union("a_sh", "b_sh"))
     return pairs.join(left, "a").join(right, "b").where(shared / every >= threshold).select("a", "b")
