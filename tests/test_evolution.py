@@ -4,6 +4,7 @@ import re
 from collections import Counter
 from math import sqrt
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tomefold.operators import association as AS
@@ -129,3 +130,28 @@ def test_term_associations_equal_brute_force(spark):
     out = IN.expand_queries(queries, learned.select("term", "synonym")).first()["expanded_query"]
     assert out.split(" ")[0] == term and synonym in out.split(" ")
     assert AS.term_associations(frame.filter("1 = 0")).count() == 0
+
+
+def test_term_pairs_cross_the_shuffle_as_lists_of_codes(spark, monkeypatch):
+    for name, value in (("COMMON", 2), ("WORDS_AT_ONCE", 7), ("PAIRS_HELD", 9), ("MAX_PARTNERS", 2), ("ROWS_AT_ONCE", 3)):
+        monkeypatch.setattr(AS, name, value)
+    salts, code = [], AS._code
+    monkeypatch.setattr(AS, "_code", lambda term, salt: salts.append(salt) or (F.length(term).cast("long") if salt < 2 else code(term, salt)))
+    texts = [" ".join(f"{c}{(i * 7 + k * k) % 5}" for k, c in enumerate("the of the x y z of a the y".split())) for i in range(12)]
+    texts += ["", None, "the of the of the of the", "the of x", "x"] * 3
+    df, both = Counter(), Counter()
+    for t in texts:
+        w = (t or "").split()
+        df.update(set(w))
+        both.update({frozenset((w[i], w[j])) for i in range(len(w)) for j in range(i + 1, min(len(w), i + 5)) if w[i] != w[j]})
+    learned = AS.term_associations(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2), top=100)
+    got = {(r.term, r.synonym): (r.n_term, r.n_synonym, r.n_both) for r in learned.collect()}
+    assert got == {(x, y): (df[x], df[y], n) for p, n in both.items() if n >= AS.MIN_SUPPORT for x, y in (sorted(p), sorted(p)[::-1])}
+    assert max(salts) == 2  # codes that two terms share are not used
+
+
+def test_common_terms_own_no_pairs_with_others():
+    codes = pa.array([[1, 2, 1, 3], [1, 4], [], [1, 2, 5]], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([codes], names=["codes"])
+    rows = [r for out in AS._counted(2, [1, 2])([batch.slice(0, 3), batch.slice(3)]) for r in out.to_pylist()]
+    assert {r["a"]: dict(zip(r["b"], r["n"])) for r in rows} == {1: {2: 2}, 3: {1: 1, 2: 1}, 4: {1: 1}, 5: {1: 1, 2: 1}}
