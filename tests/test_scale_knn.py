@@ -81,3 +81,65 @@ def test_hash_counts_of_slices():
     from tomefold.operators import embed as EM
     got = EM._signed_counts(pa.array([[0, 1, 5], None, [], [6, 6]], pa.list_(pa.int64())), 4)
     assert got.to_pylist() == [[1.0, 0.0, 0.0, 0.0], None, None, [0.0, 0.0, -2.0, 0.0]]
+
+
+def test_first_floors_keep_every_neighbour():
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (5000, 6)).astype(np.float64)  # few kinds of vectors: many equal scores at the cut
+    ids, iv = np.array([f"i{n:04d}" for n in rng.permutation(5000)], dtype=object), rng.integers(0, 2, 5000)
+    q = rng.normal(size=(30, 6))
+    q[10:] = x[:20]
+    qver = rng.integers(-1, 2, 30)
+    top = K._TopK(np.arange(30), q, qver, np.full(30, 0.1), 5)
+    found = []
+    merge = top._merge
+    top._merge = lambda rows, *rest: found.append(len(rows)) or merge(rows, *rest)
+    for lo in range(0, 5000, 2500):
+        top.add(x[lo:lo + 2500], ids[lo:lo + 2500], iv[lo:lo + 2500])
+    assert len(found) <= 6  # a merge for each version and batch, not one for each doubling
+    s = K._scores(q, np.einsum("ij,ij->i", q, q), x)
+    want = []
+    for r in range(30):
+        able = [j for j in range(5000) if s[r, j] >= 0.1 and (qver[r] < 0 or qver[r] == iv[j])]
+        want += [(r, ids[j], s[r, j]) for j in sorted(able, key=lambda j: (-s[r, j], ids[j]))[:5]]
+    assert sorted(zip(*top.result())) == sorted(want)
+
+
+def test_near_pairs_of_uneven_tiles(monkeypatch):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(45, 3)).astype(np.float32), rng.normal(size=(83, 3)).astype(np.float32)
+    monkeypatch.setattr(K, "TILE", 20)
+    floor = np.linspace(-3, 3, 45, dtype=np.float32)
+    i, j = map(np.concatenate, zip(*K.near_pairs(a, b, floor)))
+    assert sorted(zip(i, j)) == sorted(zip(*np.nonzero(a @ b.T >= floor[:, None])))
+
+
+def test_queries_of_a_version_without_items_are_not_moved(spark, monkeypatch):
+    asked = []
+    plain = K._block_counts
+    monkeypatch.setattr(K, "_block_counts", lambda s, n_q, *rest: asked.append(n_q) or plain(s, n_q, *rest))
+    it = spark.createDataFrame([(f"i{n}", [1.0, float(n)], "ab"[n % 2] if n else None) for n in range(6)],
+                               "item_id string, vector array<float>, version string")
+    q = spark.createDataFrame([(1, [1.0, 0.0], None), (2, [1.0, 0.0], ""), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], "none")],
+                              "qid long, qvec array<float>, qversion string")
+    got = sorted((r.qid, r.item_id) for r in K.knn(q, it, 2, plan="grid").collect())
+    assert got == [(1, "i0"), (1, "i1"), (2, "i0"), (2, "i1"), (3, "i1"), (3, "i3")] and asked == [3]
+
+
+def test_a_boost_is_worked_out_once(spark):
+    index = spark.createDataFrame([("1", f"c{n}", "text", "t", "p", "s", "u", ["h"], False, "api", [1.0, float(n)]) for n in range(4)],
+                                  "version string, chunk_id string, content string, title string, file_path string, section string, "
+                                  "doc_url string, heading_path array<string>, has_code boolean, content_type string, vector array<float>")
+    q = spark.createDataFrame([(1, "text", None, 2, 0.0)], "qid long, query string, version string, limit int, min_score double")
+    emb = lambda c: F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>")
+    out = SE.search(q, index, dim=2, embedder=emb, rules=SE.RerankRules(title_boost=0.21257))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("0.21257") == 1
+    assert [r["stage"] for r in out.collect()] == ["hit", "hit"]
+
+
+def test_words_are_hashed_as_in_the_plan(spark):
+    from tomefold.operators import embed as EM
+    words = ["the", "Ärger", "漢字", "the", "x1"]
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    want = [r.h[0] for r in df.select(EM.token_hashes("t").alias("h")).collect()]
+    assert EM._word_hashes(pa.array([w.lower() for w in words])).tolist() == want

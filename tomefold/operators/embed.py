@@ -1,8 +1,8 @@
 """Embedding.
 
 Default embedder: a deterministic hashed bag of words (there is no network).
-Tokens and their md5 hashes are computed natively in the JVM; the per-row
-bucket counting is a vectorised ``np.bincount`` over slices of the Arrow batch.
+Tokens are found natively in the JVM; over slices of the Arrow batch each different
+token is hashed once and the per-row bucket counting is a vectorised ``np.bincount``.
 The vector holds signed integer counts (not normalised): cosine similarity
 divides by the norms, and integer inputs make every engine agree bit for bit.
 
@@ -15,6 +15,7 @@ failing the job.
 
 from __future__ import annotations
 
+import hashlib
 import random
 import time
 from collections.abc import Callable, Iterator
@@ -34,24 +35,28 @@ HASH_TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 HASHES_AT_ONCE = 1 << 18  # hashes counted in one go
 
 
+def tokens(text) -> Column:
+    """The lower-cased letter/digit tokens."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(F.lower(t), F.lit(HASH_TOKEN_PATTERN), 0)
+
+
 def token_hashes(text) -> Column:
     """First 32 bits of md5 of each lower-cased letter/digit token, as BIGINT."""
-    t = F.col(text) if isinstance(text, str) else text
-    toks = F.regexp_extract_all(F.lower(t), F.lit(HASH_TOKEN_PATTERN), 0)
-    return F.transform(toks, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"))
+    return F.transform(tokens(text), lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"))
 
 
 def _bincount_factory(dim: int):
     @F.arrow_udf(TY.ArrayType(TY.FloatType()))
-    def signed_counts(hashes: pa.Array) -> pa.Array:
-        return _sliced_counts(hashes, dim)
+    def signed_counts(words: pa.Array) -> pa.Array:
+        return _sliced_counts(words, dim)
     # marked non-deterministic only so that Catalyst never copies the call into a
     # pushed-down filter (which would run the Python worker twice per row)
     return signed_counts.asNondeterministic()
 
 
 def _sliced_counts(hashes: pa.Array, dim: int) -> pa.Array:
-    """The vectors of an Arrow batch, made of rows with about ``HASHES_AT_ONCE`` hashes at a time (one row at least)."""
+    """The vectors of an Arrow batch of tokens or their hashes, made of rows with about ``HASHES_AT_ONCE`` at a time (one row at least)."""
     parts, lo = [], 0
     ends = np.cumsum(pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False))
     while lo < len(hashes):
@@ -64,7 +69,8 @@ def _sliced_counts(hashes: pa.Array, dim: int) -> pa.Array:
 
 def _signed_counts(hashes: pa.Array, dim: int) -> pa.Array:
     lengths = pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False)
-    values = pc.list_flatten(hashes).to_numpy(zero_copy_only=False)
+    values = pc.list_flatten(hashes)
+    values = values.to_numpy(zero_copy_only=False) if pa.types.is_integer(values.type) else _word_hashes(values)
     rows = np.repeat(np.arange(len(lengths)), lengths)
     sign = np.where((values // dim) % 2 == 0, 1.0, -1.0)
     counts = np.bincount(rows * dim + values % dim, weights=sign, minlength=len(lengths) * dim).astype(np.float32)
@@ -72,6 +78,13 @@ def _signed_counts(hashes: pa.Array, dim: int) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(counts), mask=pa.array(lengths == 0))
 
 
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """``token_hashes`` of an Arrow array of tokens; each different one is hashed once."""
+    coded = words.cast(pa.binary()).dictionary_encode()
+    digests = b"".join(hashlib.md5(w, usedforsecurity=False).digest()[:4] for w in coded.dictionary.to_pylist())
+    return np.frombuffer(digests, ">u4").astype(np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+
+
 _UDFS: dict[int, object] = {}
 
 
@@ -79,7 +92,7 @@ def hashed_vector(text, dim: int = C.EMBED_DIM) -> Column:
     """Signed hashed bag-of-words vector; NULL when the text has no token."""
     if dim not in _UDFS:
         _UDFS[dim] = _bincount_factory(dim)
-    return _UDFS[dim](token_hashes(text))
+    return _UDFS[dim](tokens(text))
 
 
 def embed_hashed(df: DataFrame, text_col: str = "content", out_col: str = "vector",

@@ -36,11 +36,15 @@ NO_MATCH = -2
 
 # size bound for the broadcast plan (query rows x dims x 8 bytes)
 MAX_BROADCAST_BYTES = 8 << 20
-GRID_BLOCK_ROWS = 4096         # items scored in one go
+GRID_BLOCK_ROWS = 16384        # items screened in one go
 GRID_BLOCK_BYTES = 32 << 20    # grid plan: float64 bytes of each side held by one group
 MAX_SCORE_CELLS = 1 << 22      # scores held at once per task (16 MB of float32)
 SCREEN_ROWS = 2048             # queries screened in one go; no smaller blocks for the sake of more tasks
 PAIRS_AT_ONCE = 1 << 16        # pairs scored in float64 in one go
+TILE = 512                     # rows of each side of one float32 product, which stays in a core's cache
+FLOOR_ROWS = 4096              # items that give a query without k items its first floor
+TILE_GROUPS = 64               # of the items of a tile, for first floors
+MAX_VERSIONS = 1000            # of the items, looked at by the driver
 PROBES_AT_ONCE = 512           # queries whose probed cells are marked in one go
 
 _OUT = TY.StructType([
@@ -132,34 +136,52 @@ class _TopK:
     def _scan(self, rows, unit, x, x2, ids, cols) -> None:
         asked = self.unit[rows]
         floor = np.maximum(self.qmin[rows], self.best_s[rows].min(axis=1))
-        most = max(1, MAX_SCORE_CELLS // len(rows))
-        # rows without k items yet let everything through: begin small, the floors rise as blocks double
-        lo, step = 0, most if np.isfinite(self.best_s[rows]).all() else max(64, 4 * self.k)
+        lo, step = 0, len(cols)
+        if not np.isfinite(self.best_s[rows]).all():
+            if min(len(unit), FLOOR_ROWS) // TILE * TILE_GROUPS >= 4 * self.k:
+                floor = np.maximum(floor, _first_floors(asked, unit[:FLOOR_ROWS], self.k) - self.margin)
+            else:  # rows without k items yet let everything through: begin small, the floors rise as blocks double
+                step = max(64, 4 * self.k)
+        screen = (floor - self.margin).astype(np.float32)  # read for each tile, so it rises with the floors
         while lo < len(cols):
-            step = min(step, most)
-            i, j = np.nonzero(asked @ unit[lo:lo + step].T >= (floor - self.margin).astype(np.float32)[:, None])
-            j = cols[lo + j]
-            scores = np.empty(len(i))
-            for at in range(0, len(i), PAIRS_AT_ONCE):
-                ii, jj = rows[i[at:at + PAIRS_AT_ONCE]], j[at:at + PAIRS_AT_ONCE]
-                scores[at:at + PAIRS_AT_ONCE] = quantize(
-                    np.einsum("ij,ij->i", self.qmat[ii], x[jj]) / np.sqrt(self.q2[ii] * x2[jj]))
-            good = scores >= floor[i]
-            if good.any():
-                self._merge(rows, i[good], ids[j[good]], scores[good])
-                floor = np.maximum(self.qmin[rows], self.best_s[rows].min(axis=1))
+            for i, j in near_pairs(asked, unit[lo:lo + step], screen):
+                j = cols[lo + j]
+                scores = exact_scores(self.qmat, self.q2, rows[i], x, x2, j)
+                good = scores >= floor[i]
+                if good.any():
+                    i = i[good]
+                    self._merge(rows[i], ids[j[good]], scores[good])
+                    i = np.unique(i)
+                    floor[i] = np.maximum(floor[i], self.best_s[rows[i]].min(axis=1))
+                    screen[i] = floor[i] - self.margin
             lo, step = lo + step, 2 * step
 
-    def _merge(self, rows, i, ids, scores) -> None:
-        """Take the found items, sorted by ``i``, into the lists of ``rows[i]``."""
-        found, first, count = np.unique(i, return_index=True, return_counts=True)
-        line, place = np.repeat(np.arange(len(found)), count), np.arange(len(i)) - np.repeat(first, count)
-        s = np.full((len(found), count.max()), -np.inf)
-        s[line, place] = scores
-        idm = np.full(s.shape, None, dtype=object)
-        idm[line, place] = ids
-        at = rows[found]
-        self.best_s[at], self.best_id[at] = _merge_topk(self.best_s[at], self.best_id[at], s, idm, self.k)
+    def _merge(self, rows, ids, scores) -> None:
+        """Take found items into the lists of their query rows: the k best of each by score, of equal ones by id."""
+        found = np.unique(rows)
+        line, place = np.nonzero(np.isfinite(self.best_s[found]))
+        rows = np.concatenate([found[line], rows])
+        scores = np.concatenate([self.best_s[found[line], place], scores])
+        ids = np.concatenate([self.best_id[found[line], place], ids])
+        order = np.lexsort((-scores, rows))
+        rows, scores, ids = rows[order], scores[order], ids[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rows))))
+        last = first + self.k - 1
+        more = np.flatnonzero(np.append(first[1:], len(rows)) > last + 1)
+        tied = np.zeros(len(first), bool)  # more equal scores at the cut than places left
+        tied[more] = scores[last[more]] == scores[last[more] + 1]
+        if tied.any():
+            at = np.flatnonzero(tied[of])
+            at = at[scores[at] == scores[last[of[at]]]]
+            _, by_id = np.unique(np.array([v or "" for v in ids[at]], dtype=object), return_inverse=True)
+            order = np.lexsort((by_id, of[at]))  # the places of a row's equal scores are one run: sorted in place
+            ids[at] = ids[at[order]]
+        keep = np.arange(len(rows)) - first[of] < self.k
+        self.best_s[found] = -np.inf
+        self.best_id[found] = None
+        place = (np.arange(len(rows)) - first[of])[keep]
+        self.best_s[rows[keep], place], self.best_id[rows[keep], place] = scores[keep], ids[keep]
 
     def result(self):
         rows_q, rows_k = np.nonzero(np.isfinite(self.best_s))
@@ -173,6 +195,59 @@ class _TopK:
                                            pa.array(scores, pa.float64())], names=["qid", "item_id", "score"])
 
 
+def _tiles(a: np.ndarray, b: np.ndarray):
+    """(row of ``a``, row of ``b``, product) of every tile of ``a @ b.T``; the next tile takes the product's place."""
+    buffer = np.empty(TILE * TILE, np.float32)
+    for r in range(0, len(a), TILE):
+        some = a[r:r + TILE]
+        for c in range(0, len(b), TILE):
+            other = b[c:c + TILE]
+            out = buffer[:len(some) * len(other)].reshape(len(some), len(other))
+            yield r, c, np.matmul(some, other.T, out=out)
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, floor: np.ndarray):
+    """Places (in ``a``, in ``b``) of the float32 products that reach their row's floor, some rows of ``a`` at a time."""
+    i, j, held, began = [], [], 0, 0
+    reached = np.zeros(TILE * TILE + 8, bool)
+    for r, c, s in _tiles(a, b):
+        if held and (r != began or held > PAIRS_AT_ONCE):
+            yield np.concatenate(i), np.concatenate(j)
+            i, j, held = [], [], 0
+        n, began = s.size, r
+        np.greater_equal(s, floor[r:r + TILE, None], out=reached[:n].reshape(s.shape))
+        reached[n:n + 8] = False
+        eights = reached[:n + 8 - n % 8]
+        words = np.flatnonzero(eights.view(np.uint64))  # most products are below: looked at eight at a time
+        if len(words):
+            word, bit = np.nonzero(eights.reshape(-1, 8)[words])
+            at = words[word] * 8 + bit
+            i.append(r + at // s.shape[1])
+            j.append(c + at % s.shape[1])
+            held += len(at)
+    if held:
+        yield np.concatenate(i), np.concatenate(j)
+
+
+def _first_floors(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """Per row of ``a`` a product that ``k`` rows of ``b`` reach: the k-th best of the maxima of ``TILE_GROUPS`` groups a tile."""
+    b = b[:len(b) // TILE * TILE]
+    best = np.empty((len(a), len(b) // TILE * TILE_GROUPS), np.float32)
+    for r, c, s in _tiles(a, b):
+        at = c // TILE * TILE_GROUPS
+        np.max(s.reshape(len(s), -1, TILE_GROUPS), axis=1, out=best[r:r + len(s), at:at + TILE_GROUPS])
+    return np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k].astype(np.float64)
+
+
+def exact_scores(x: np.ndarray, x2: np.ndarray, i: np.ndarray, y: np.ndarray, y2: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Quantised cosine of the pairs (row ``i`` of ``x``, row ``j`` of ``y``), given their squared norms."""
+    scores = np.empty(len(i))
+    for at in range(0, len(i), PAIRS_AT_ONCE):
+        ii, jj = i[at:at + PAIRS_AT_ONCE], j[at:at + PAIRS_AT_ONCE]
+        scores[at:at + PAIRS_AT_ONCE] = quantize(np.einsum("ij,ij->i", x[ii], y[jj]) / np.sqrt(x2[ii] * y2[jj]))
+    return scores
+
+
 def _unit32(m: np.ndarray, norm2: np.ndarray) -> np.ndarray:
     return (m / np.sqrt(norm2)[:, None]).astype(np.float32)
 
@@ -299,9 +374,16 @@ def _grid_plan(q: DataFrame, it: DataFrame, k: int, block_rows: int | None) -> D
     Moving data costs ``items x query_blocks + queries x item_blocks`` rows, so
     blocks are as large as a group may hold (``GRID_BLOCK_BYTES`` of float64
     per side by default, ~65k rows at 64 dims) while their pairs keep every core
-    busy, instead of replicating either side thousands of times.
+    busy, instead of replicating either side thousands of times.  Queries of a
+    version that no item has stay where they are.
     """
-    n_q, n_i = q.count(), it.count()
+    n_i = None
+    if "version" in it.columns:
+        held = it.groupBy("version").count().limit(MAX_VERSIONS + 1).collect()
+        if len(held) <= MAX_VERSIONS:
+            n_i = sum(r["count"] for r in held)
+            q = q.filter((F.coalesce("qversion", F.lit("")) == "") | F.col("qversion").isin([r["version"] for r in held if r["version"] is not None]))
+    n_q, n_i = q.count(), it.count() if n_i is None else n_i
     qb, ib = _block_counts(q.sparkSession, n_q, n_i, _dim_of(q), block_rows)
     # every query block meets every item block: replicate by the other side's count
     qg = (q.withColumn("qblk", F.pmod(F.xxhash64("qid"), F.lit(qb)))
@@ -310,8 +392,9 @@ def _grid_plan(q: DataFrame, it: DataFrame, k: int, block_rows: int | None) -> D
     ig = (it.withColumn("iblk", F.pmod(F.xxhash64("item_id"), F.lit(ib)))
             .withColumn("qblk", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
             .withColumn("g", F.col("qblk") * ib + F.col("iblk")))
-
-    return (qg.groupBy("g").cogroup(ig.groupBy("g"))
+    # few pairs and much work in each: enough partitions to keep them apart
+    parts = 4 * qb * ib
+    return (qg.repartition(parts, "g").groupBy("g").cogroup(ig.repartition(parts, "g").groupBy("g"))
             .applyInArrow(lambda a, b: _block_topk(a, b, k), _OUT))
 
 

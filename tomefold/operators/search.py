@@ -43,29 +43,35 @@ def _add_if(acc: Column, cond: Column, amount: float) -> Column:
     return acc + F.when(cond, F.lit(amount)).otherwise(F.lit(0.0))
 
 
+def query_terms(query: Column) -> Column:
+    """The words of a lower-cased query."""
+    return F.filter(F.split(query, "(?U)" + C.JAVA_WS_CLASS + "+", -1), lambda w: w != F.lit(""))
+
+
 def boost_factor(query, content_type, title, heading_path, has_code, content,
-                 rules: RerankRules = RerankRules()) -> Column:
-    """Multiplicative boost, additions in the same order as the rules."""
+                 rules: RerankRules = RerankRules(), terms=None) -> Column:
+    """Multiplicative boost, additions in the same order as the rules.
+
+    ``terms``: the column of ``query_terms``, when they were split before."""
     from ..functions.text import let
 
     def with_texts(t):
-        q, title_l, head_l, content_l = t["q"], t["title"], t["head"], t["content"]
+        q, title_l, head_l = t["q"], t["title"], t["head"]
+        content_l = F.lower(F.coalesce(F.col(content), F.lit("")))  # looked at last, and only for UI queries
         b = _add_if(F.lit(1.0), _any_in(F.lower(F.coalesce(F.col(content_type), F.lit(""))), rules.type_terms),
                     rules.type_boost)
-        terms = F.filter(F.split(q, "(?U)" + C.JAVA_WS_CLASS + "+", -1), lambda w: w != F.lit(""))
-        b = F.aggregate(terms, b, lambda acc, w: _add_if(
+        b = F.aggregate(query_terms(q) if terms is None else F.col(terms), b, lambda acc, w: _add_if(
             _add_if(acc, title_l.contains(w), rules.title_boost), head_l.contains(w), rules.heading_boost))
         b = _add_if(b, F.coalesce(F.col(has_code), F.lit(False)) & _any_in(q, rules.code_phrases),
                     rules.code_boost)
-        ui = _any_in(q, rules.ui_query_terms) & _any_in(content_l, rules.ui_content_terms)
+        ui = F.when(_any_in(q, rules.ui_query_terms), _any_in(content_l, rules.ui_content_terms)).otherwise(F.lit(False))
         return _add_if(b, ui, rules.ui_boost)
 
     # each lower-cased text is computed once, not once per term
     texts = F.struct(
         F.lower(F.col(query)).alias("q"),
         F.lower(F.coalesce(F.col(title), F.lit(""))).alias("title"),
-        F.lower(F.array_join(F.coalesce(F.col(heading_path), F.array().cast("array<string>")), " ")).alias("head"),
-        F.lower(F.coalesce(F.col(content), F.lit(""))).alias("content"))
+        F.lower(F.array_join(F.coalesce(F.col(heading_path), F.array().cast("array<string>")), " ")).alias("head"))
     return let(texts, with_texts)
 
 
@@ -84,23 +90,27 @@ def _initial() -> Column:
             & (F.col("score") >= F.greatest(F.col("min_score") - C.CANDIDATE_MARGIN, F.lit(C.CANDIDATE_FLOOR))))
 
 
-def _first_pass(cand: DataFrame, rules: RerankRules) -> tuple[DataFrame, DataFrame]:
-    """(initial candidates, final hits) of the boosted pass."""
-    initial = cand.filter(_initial())
-    first = initial.withColumn("boosted", F.col("score") * boost_factor(
-        "query", "content_type", "title", "heading_path", "has_code", "content", rules))
-    first = first.filter(F.col("boosted") >= F.col("min_score"))
-    w1 = Window.partitionBy("qid").orderBy(F.desc("boosted"), F.asc("rank"))
-    first = (first.withColumn("pos", F.row_number().over(w1)).filter(F.col("pos") <= F.col("limit"))
-             .select("*", F.lit("hit").alias("stage"), F.round("boosted", C.SCORE_DIGITS).alias("similarity_score")))
-    return initial, first
+def _both_passes(cand: DataFrame, rules: RerankRules) -> DataFrame:
+    """Candidates with ``initial``, ``boosted`` (of those of the boosted pass), ``passed``, ``pos`` among the passed
+    ones of a query and ``answered``: whether any passed (R2-R8).  A boost is worked out once."""
+    c = cand.withColumn("initial", _initial())
+    c = c.withColumn("boosted", F.when(F.col("initial"), F.col("score") * boost_factor(
+        "query", "content_type", "title", "heading_path", "has_code", "content", rules, "terms"))).drop("terms")
+    c = c.withColumn("passed", F.coalesce(F.col("boosted") >= F.col("min_score"), F.lit(False)))
+    by_query = Window.partitionBy("qid")
+    return (c.withColumn("pos", F.row_number().over(by_query.orderBy(F.desc("passed"), F.desc("boosted"), F.asc("rank"))))
+            .withColumn("answered", F.max("passed").over(by_query)))
 
 
-def _hit_counts(good: DataFrame, initial: DataFrame, first: DataFrame) -> DataFrame:
+def _kept() -> Column:
+    """Whether a candidate is a final hit of the boosted pass."""
+    return F.col("passed") & (F.col("pos") <= F.col("limit"))
+
+
+def _hit_counts(good: DataFrame, cand: DataFrame) -> DataFrame:
     """Per query: candidates returned by the first search and hits kept."""
-    ni = initial.groupBy("qid").agg(F.count("*").alias("n_initial"))
-    nf = first.groupBy("qid").agg(F.count("*").alias("n_final"))
-    return (good.select("qid").join(ni, "qid", "left").join(nf, "qid", "left")
+    n = cand.groupBy("qid").agg(F.count_if("initial").alias("n_initial"), F.count_if(_kept()).alias("n_final"))
+    return (good.select("qid").join(n, "qid", "left")
             .select("qid", F.coalesce("n_initial", F.lit(0)).alias("n_initial"),
                     F.coalesce("n_final", F.lit(0)).alias("n_final")))
 
@@ -168,21 +178,19 @@ def search(queries: DataFrame, index: DataFrame, *, rules: RerankRules = RerankR
     # the engine chooses these joins by the measured size of the hits and queries (AQE)
     payload = items.select("item_id", "content", "title", "file_path", "section", "doc_url",
                            "heading_path", "has_code", "content_type", "version")
-    # and the texts come last, only to hits that either pass can use
-    hits = hits.join(good.select("qid", "query", "limit", "min_score"), "qid")
-    cand = hits.filter(_initial() | (F.col("rank") <= C.FALLBACK_K)).join(payload, "item_id")
-    # both passes and the sentinel read the one candidate set (<= 30 rows per query)
-    cand = cand.persist()
-
-    initial, first = _first_pass(cand, rules)
+    # and the texts come last, only to hits that either pass can use; the hits themselves are found once
+    hits = hits.persist()
+    asks = good.select("qid", "query", "limit", "min_score", query_terms(F.lower("query")).alias("terms"))
+    cand = (hits.join(asks, "qid").filter(_initial() | (F.col("rank") <= C.FALLBACK_K)).join(payload, "item_id"))
+    cand = _both_passes(cand, rules)
     if counts_only:
-        return _keep(_hit_counts(good, initial, first), q, cand)
+        return _keep(_hit_counts(good, cand), q, hits)
 
     # fallback: only queries without a first-pass hit, top 5 unboosted
-    answered = first.select("qid").distinct()
-    fb = (cand.join(answered, "qid", "left_anti").filter(F.col("rank") <= C.FALLBACK_K)
-          .select("*", F.col("rank").alias("pos"), F.lit("fallback").alias("stage"),
-                  F.round("score", C.SCORE_DIGITS).alias("similarity_score")))
+    found = cand.filter(_kept() | (~F.col("answered") & (F.col("rank") <= C.FALLBACK_K)))
+    found = (found.withColumn("pos", F.when(F.col("answered"), F.col("pos")).otherwise(F.col("rank")))
+             .withColumn("stage", F.when(F.col("answered"), "hit").otherwise("fallback"))
+             .withColumn("similarity_score", F.round(F.when(F.col("answered"), F.col("boosted")).otherwise(F.col("score")), C.SCORE_DIGITS)))
 
     out_cols = [F.col("qid"), F.col("pos").cast("int").alias("rank"), "stage",
                 F.coalesce("content", F.lit("")).alias("content"), F.coalesce("title", F.lit("")).alias("title"),
@@ -194,10 +202,10 @@ def search(queries: DataFrame, index: DataFrame, *, rules: RerankRules = RerankR
                 F.coalesce("content_type", F.lit("")).alias("content_type"),
                 F.coalesce("version", F.lit("")).alias("version"),
                 F.col("similarity_score").cast("double").alias("similarity_score")]
-    found = first.select(*out_cols).unionByName(fb.select(*out_cols))
+    found = found.select(*out_cols)
 
-    # sentinel and error rows
-    none = good.join(found.select("qid").distinct(), "qid", "left_anti")
+    # sentinel and error rows; a query with any hit has a row of either pass, unless a stored file holds chunks the index lost
+    none = good.join((hits if cells is None else found).select("qid").distinct(), "qid", "left_anti")
     sentinel = none.select(
         "qid", F.lit(1).alias("rank"), F.lit("none").alias("stage"),
         F.format_string(C.NO_RESULTS_TEXT.replace("{query}", "%s"), "query").alias("content"),
@@ -216,7 +224,7 @@ def search(queries: DataFrame, index: DataFrame, *, rules: RerankRules = RerankR
         F.lit(C.ERROR_TYPE).alias("content_type"),
         F.coalesce(F.when(F.col("version") != "", F.col("version")), F.lit(C.UNKNOWN_VERSION)).alias("version"),
         F.lit(0.0).alias("similarity_score"))
-    return _keep(found.unionByName(sentinel).unionByName(errors).select(*RESULT_COLUMNS), q, cand)
+    return _keep(found.unionByName(sentinel).unionByName(errors).select(*RESULT_COLUMNS), q, hits)
 
 
 def _keep(result: DataFrame, *persisted: DataFrame) -> DataFrame:

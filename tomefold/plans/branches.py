@@ -38,7 +38,7 @@ FROM documents)"""
 
 
 def _title() -> F.Column:
-    return F.array_join(F.slice(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), " "), 1, 3), " ")
+    return F.substring_index(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), " ", 3)
 
 
 def rich_docs(spark, sf_dir) -> DataFrame:
