@@ -83,6 +83,39 @@ def test_pairs_above_a_threshold(spark, vectors, block):
     assert {r["item_id"]: r["rep"] for r in members.collect()}["i000"] == "copy"
 
 
+def test_pairs_do_not_depend_on_the_partitions(spark, vectors):
+    # groups of both sides meet in every partition, not only where there is one
+    odd = spark.createDataFrame([(None, [9.0] + [0.0] * 7, "a"), ("i001", [0.0, 9.0] + [0.0] * 6, "a"), ("short", [1.0], "b")], vectors.schema)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {}
+        for block in (None, 60):
+            rows = CE.similar_pairs(vectors.unionByName(odd), 0.5, 8, n_cells=9, block_rows=block)[0].collect()
+            got[block] = sorted((r["a"], r["b"], r["score"]) for r in rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    local = [(r["item_id"], np.array(r["vector"])) for r in vectors.where("item_id <> 'i000'").collect()] + [("i001", np.eye(8)[1] * 9)]
+    want = []
+    for i, (a, x) in enumerate(local):
+        for b, y in local[i + 1:]:
+            score = K.quantize(x @ y / math.sqrt((x @ x) * (y @ y)))
+            if score >= 0.5 and a != b:
+                want.append((min(a, b), max(a, b), score))
+    assert [g[:2] for g in got[None]] == [w[:2] for w in sorted(want)] and len(want) > 1000
+    assert got[60] == got[None] and np.allclose([g[2] for g in got[None]], [w[2] for w in sorted(want)], atol=2e-9)
+
+
+def test_a_vector_travels_once_to_a_block(spark, vectors, monkeypatch):
+    packed = []
+    plain = K.pack_cells
+    monkeypatch.setattr(K, "pack_cells", lambda sizes, rows: packed.append(plain(sizes, rows)) or packed[-1])
+    pairs = CE.similar_pairs(vectors, 0.0, 8, n_cells=30)[0]
+    layout = packed[0][0]
+    assert len(layout) > 10 and layout[-1][1] + layout[-1][2] == 1  # many cells, one block
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "Generate" not in plan
+
+
 def test_search_by_stored_cells_equals_exact_search(spark, tmp_path):
     from tomefold.operators import search as SE
     from tomefold.plans import registry as R

@@ -41,6 +41,7 @@ BLOCK_ROWS = 4096
 ROW_CELLS = 1 << 20  # vectors x centroids compared at once (8 MB)
 FIRST_PROBES = 4
 MORE_PROBES = 16
+PAIR_ROWS = 200_000  # rows moved to a task of the threshold join, about
 SLACK = 1e-6  # on radii, for the rounding of angles
 
 _CENTROID = "cell int, centroid array<double>, generation int"
@@ -290,12 +291,14 @@ def _prober(shared, low: int, high: int):
 
 # --------------------------------------------------------------------------- threshold join
 def similar_pairs(items: DataFrame, min_score: float, dim: int, n_cells: int | None = None,
-                  block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+                  block_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(all pairs (a, b, score) of different vectors with cosine of at least ``min_score``, (item_id, rep)).
 
     A pair names the smallest item ids of its two vectors, ``a`` before ``b``; equal vectors share
-    a rep.  A vector visits the cells before its own whose radius its angle, less that of the
-    threshold, does not exceed, so every pair meets in the earlier of its two home cells.
+    a rep.  Whole cells are packed into blocks (larger ones cut by a hash).  A vector travels once to each
+    block, its own included, that has a cell whose radius its angle, less that of the threshold, does not
+    exceed: both vectors of a pair reach the pair of their two blocks, and meet there alone.  So rows are
+    moved at most as often as there are blocks, not as there are cells.
     """
     spark = items.sparkSession
     ship_package(spark)
@@ -306,49 +309,103 @@ def similar_pairs(items: DataFrame, min_score: float, dim: int, n_cells: int | N
     if not reps.limit(1).count():
         return spark.createDataFrame([], _PAIR), members
     centers = fit_centroids(reps, n_cells)
-    numbers = np.arange(len(centers), dtype=np.int32)
-    homes = written(assign(reps, numbers, centers), "cell-homes")
-    sizes = homes.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
-    radius = {r["cell"]: r["radius"] for r in sizes.collect()}  # at most MAX_CELLS
-    reach = np.array([radius.get(k, -math.inf) for k in range(len(centers))]) + math.acos(min(1.0, max(-1.0, min_score))) + SLACK
-    shared = _shared(spark, (centers, reach))
-
-    @F.pandas_udf(TY.ArrayType(TY.IntegerType()))
-    def visits(vectors: pd.Series, home: pd.Series) -> pd.Series:
-        centers, reach = shared.value
-        out = []
-        for k in range(0, len(vectors), BLOCK_ROWS):
-            angle = np.arccos(np.clip(_unit_rows(vectors.iloc[k:k + BLOCK_ROWS]) @ centers.T, -1, 1))
-            out += [np.flatnonzero(row[:h + 1] <= reach[:h + 1]).astype(np.int32) for row, h in zip(angle, home.iloc[k:k + BLOCK_ROWS])]
-        return pd.Series(out, dtype=object)
-
-    seen = written(homes.withColumn("at", F.explode_outer(visits.asNondeterministic()("vector", "cell")))
-                   .select(F.col("at").alias("cell"), "item_id", "vector", (F.col("at") == F.col("cell")).alias("home")), "cell-visits")
-    salts = sizes.select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias("n_salt"))
-    blocks = seen.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_block"))
-    left = (homes.join(salts, "cell").join(blocks, "cell").withColumn("salt", F.pmod(F.xxhash64("item_id"), "n_salt"))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_block") - 1))))
-    right = (seen.join(salts, "cell").join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("item_id"), "n_block"))
-             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1))))
-    group = ["cell", "salt", "block"]
-    pairs = (left.select(*group, "item_id", "vector").groupBy(*group)
-             .cogroup(right.select(*group, "item_id", "vector", "home").groupBy(*group))
-             .applyInPandas(lambda a, b: _close(a, b, min_score), _PAIR))
+    homes = written(assign(reps, np.arange(len(centers), dtype=np.int32), centers), "cell-homes")
+    cells = homes.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()  # at most MAX_CELLS
+    sizes, radius = {r["cell"]: r["n"] for r in cells}, {r["cell"]: r["radius"] for r in cells}
+    n = sum(sizes.values())
+    layout, starts = K.pack_cells(sizes, math.ceil(n / K._block_counts(spark, n, n, dim, block_rows)[0]))
+    held = [c[0] for c in layout]
+    reach = np.array([radius[c] for c in held]) + math.acos(min(1.0, max(-1.0, min_score))) + SLACK
+    n_blocks = layout[-1][1] + layout[-1][2]
+    shared = _shared(spark, (centers[held], reach, np.array(starts), np.array([layout[p][1] for p in starts]),
+                             np.array([layout[p][2] for p in starts])))
+
+    def visits(batches):
+        centers, reach, starts, firsts, parts = shared.value
+        step = _rows_at_once(centers)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                angle = np.arccos(np.clip(_unit_rows(_matrix(batch.column("vector"), dim)) @ centers.T, -1, 1))
+                row, group = np.nonzero(np.logical_or.reduceat(angle <= reach, starts, axis=1))
+                times, block = K.blocks_of(group, firsts, parts)
+                row = np.repeat(row, times)
+                own = batch.column("block").to_numpy()[row]
+                pair = np.minimum(block, own) * n_blocks + np.maximum(block, own)
+                some = batch.select(["item_id", "vector"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(block < own), *some.columns],
+                                                 names=["pair", "later", "item_id", "vector"])
+
+    places = spark.createDataFrame([tuple(int(v) for v in c) for c in layout], "cell int, first int, parts int, slot int")
+    placed = (homes.where(F.col("item_id").isNotNull()).join(places, "cell")
+              .select("item_id", "vector", (F.col("first") + F.pmod(F.xxhash64("item_id"), "parts")).cast("long").alias("block")))
+    moved = placed.mapInArrow(visits, TY.StructType([TY.StructField("pair", TY.LongType()), TY.StructField("later", TY.BooleanType()),
+                                                     reps.schema["item_id"], reps.schema["vector"]]))
+    sc = _context(spark)
+    cores = sc.defaultParallelism if sc is not None else 16
+    parts = min(2 * n_blocks * (n_blocks + 1), max(16 * cores, n * n_blocks // PAIR_ROWS))
+    pairs = (moved.repartition(parts, "pair").sortWithinPartitions("pair", "later")
+             .mapInArrow(lambda batches: _close(batches, n_blocks, dim, min_score), _PAIR))
     return pairs, members
 
 
-def _close(home: pd.DataFrame, seen: pd.DataFrame, min_score: float) -> pd.DataFrame:
-    if home.empty or seen.empty:
-        return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": object, "b": object, "score": float})
-    x, y = (np.stack(list(f["vector"])).astype(np.float64) for f in (home, seen))
-    x_id, y_id, own = home["item_id"].to_numpy(), seen["item_id"].to_numpy(), seen["home"].to_numpy(bool)
-    out = []
-    step = max(1, K.MAX_SCORE_CELLS // len(y))
-    for k in range(0, len(x), step):
-        scores = K._scores(x[k:k + step], np.einsum("ij,ij->i", x[k:k + step], x[k:k + step]), y)
-        i, j = np.nonzero(scores >= min_score)
-        once = np.where(own[j], x_id[k + i] < y_id[j], x_id[k + i] != y_id[j])  # both at home: one order
-        i, j = i[once], j[once]
-        a, b = x_id[k + i], y_id[j]
-        out.append(pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "score": scores[i, j]}))
-    return pd.concat(out)
+def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+    return pc.list_flatten(vectors).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+class _Vectors:
+    """Rows of one side: ids, vectors, squared norms and unit float32 rows."""
+
+    def __init__(self, batches: list, dim: int):
+        self.ids = np.concatenate([b.column("item_id").to_numpy(zero_copy_only=False) for b in batches]).astype(object)
+        self.x = np.concatenate([_matrix(b.column("vector"), dim) for b in batches])
+        self.x2 = np.einsum("ij,ij->i", self.x, self.x)
+        self.unit = K._unit32(self.x, self.x2)
+
+
+def _close(batches, n_blocks: int, dim: int, min_score: float):
+    """Close pairs of rows sorted by pair of blocks, those of the earlier block first.
+
+    The rows of one block are held; those of the other stream past, and pairs leave as they are found."""
+    now, first, held = None, [], None
+    for batch in batches:
+        pair = batch.column("pair").to_numpy()
+        later = batch.column("later").to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (later[1:] != later[:-1])))
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(pair))):
+            if pair[lo] != now:
+                yield from _own_pairs(now, first, n_blocks, dim, min_score)
+                now, first, held = pair[lo], [], None
+            run = batch.slice(lo, hi - lo)
+            if not later[lo]:
+                first.append(run)
+            elif first:
+                held = held or _Vectors(first, dim)
+                yield from _found(_Vectors([run], dim), held, min_score)
+    yield from _own_pairs(now, first, n_blocks, dim, min_score)
+
+
+def _own_pairs(pair, rows: list, n_blocks: int, dim: int, min_score: float):
+    """Close pairs within a block."""
+    if rows and pair // n_blocks == pair % n_blocks:
+        own = _Vectors(rows, dim)
+        for lo in range(0, len(own.x), BLOCK_ROWS):
+            yield from _found(own, own, min_score, lo)
+
+
+def _found(some: _Vectors, held: _Vectors, min_score: float, lo: int | None = None):
+    """Pairs of ``some`` and ``held``; with ``lo``, of ``BLOCK_ROWS`` rows from there on and later rows of the same."""
+    at, end = (0, len(some.x)) if lo is None else (lo, lo + BLOCK_ROWS)
+    margin = (some.x.shape[1] + 16) * 1.2e-7  # of the float32 screen
+    floor = np.full(len(some.unit[at:end]), min_score - margin, np.float32)
+    for i, j in K.near_pairs(some.unit[at:end], held.unit[at:], floor):
+        i, j = at + i, at + j
+        if lo is not None:
+            i, j = i[i < j], j[i < j]
+        scores = K.exact_scores(some.x, some.x2, i, held.x, held.x2, j)
+        a, b = some.ids[i], held.ids[j]
+        keep = (scores >= min_score) & (a != b)
+        a, b, scores = a[keep], b[keep], scores[keep]
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(a < b, a, b), pa.string()), pa.array(np.where(a < b, b, a), pa.string()),
+                                              pa.array(scores)], names=["a", "b", "score"])

@@ -38,7 +38,6 @@ NO_MATCH = -2
 MAX_BROADCAST_BYTES = 8 << 20
 GRID_BLOCK_ROWS = 16384        # items screened in one go
 GRID_BLOCK_BYTES = 32 << 20    # grid plan: float64 bytes of each side held by one group
-MAX_SCORE_CELLS = 1 << 22      # scores held at once per task (16 MB of float32)
 SCREEN_ROWS = 2048             # queries screened in one go; no smaller blocks for the sake of more tasks
 PAIRS_AT_ONCE = 1 << 16        # pairs scored in float64 in one go
 TILE = 512                     # rows of each side of one float32 product, which stays in a core's cache
@@ -436,6 +435,26 @@ def _block_topk(queries: pa.Table, items: pa.Table, k: int) -> pa.Table:
     return pa.Table.from_batches([top.batch()])
 
 
+def pack_cells(sizes: dict[int, int], rows: int) -> tuple[list, list]:
+    """([(cell, first block, blocks, slot)], places in it where a new block begins): whole cells packed into
+    blocks of about ``rows`` rows, larger ones cut into several."""
+    layout, first, held, starts = [], 0, 0, []
+    for cell in sorted(sizes):
+        parts = math.ceil(sizes[cell] / rows)
+        if parts > 1 or not starts or layout[-1][2] > 1 or held + sizes[cell] > rows:
+            first, held = (layout[-1][1] + layout[-1][2] if layout else 0), 0
+            starts.append(len(layout))
+        layout.append((cell, first, parts, len(layout) - starts[-1]))
+        held += sizes[cell]
+    return layout, starts
+
+
+def blocks_of(group: np.ndarray, firsts: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks per entry of ``group``, all blocks in a row): a group has ``parts`` blocks from its first on."""
+    times = parts[group]
+    return times, np.repeat(firsts[group], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+
+
 def probe_blocks(probes: DataFrame, items: DataFrame, sizes: dict[int, int], probe, k: int,
                  block_rows: int | None = None) -> DataFrame:
     """Top-k of every (query block, item block) over probed cells: (qid, item_id, score).
@@ -451,15 +470,7 @@ def probe_blocks(probes: DataFrame, items: DataFrame, sizes: dict[int, int], pro
     qb, ib = _block_counts(spark, n_q, sum(sizes.values()), dim, block_rows)
     if not n_q or not sizes:
         return spark.createDataFrame([], _OUT)
-    rows = math.ceil(sum(sizes.values()) / ib)
-    layout, first, held, starts = [], 0, 0, []  # (cell, first block, blocks, slot)
-    for cell in sorted(sizes):
-        parts = math.ceil(sizes[cell] / rows)
-        if parts > 1 or not starts or layout[-1][2] > 1 or held + sizes[cell] > rows:
-            first, held = (layout[-1][1] + layout[-1][2] if layout else 0), 0
-            starts.append(len(layout))
-        layout.append((cell, first, parts, len(layout) - starts[-1]))
-        held += sizes[cell]
+    layout, starts = pack_cells(sizes, math.ceil(sum(sizes.values()) / ib))
     cells = np.array([c[0] for c in layout])
     from ..session import _context
     sc = _context(spark)
@@ -477,8 +488,7 @@ def probe_blocks(probes: DataFrame, items: DataFrame, sizes: dict[int, int], pro
                 every = np.logical_and.reduceat(marked, starts, axis=1)
                 row, group = np.nonzero(some)
                 marks = [None if every[r, g] else np.packbits(marked[r, starts[g]:ends[g]]).tobytes() for r, g in zip(row, group)]
-                times = parts[group]
-                block = np.repeat(firsts[group], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                times, block = blocks_of(group, firsts, parts)
                 out = batch.select(["qid", "qvec", "qversion", "qmin"]).take(pa.array(np.repeat(row, times)))
                 marks = pa.array(marks, pa.binary()).take(pa.array(np.repeat(np.arange(len(row)), times)))
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.array(block, pa.int32()), marks],
